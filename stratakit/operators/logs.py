@@ -130,3 +130,60 @@ def _next_prime(n: int) -> int:
     while not is_prime(n):
         n += 1
     return n
+
+
+def prime_multipliers(count: int = 64, start: int = 2 ** 31) -> list[int]:
+    """The first ``count`` primes above ``start`` (generated by rule).  Any of
+    them is coprime to every table size below ``start``."""
+    out, n = [], start
+    while len(out) < count:
+        n = _next_prime(n + 1)
+        out.append(n)
+    return out
+
+
+PRIMES = prime_multipliers()
+
+
+def random_top_k(users: DataFrame, items: DataFrame, seen: DataFrame | None,
+                 user_key: str, item_key: str, k: int, seed: int) -> DataFrame:
+    """K random unseen items per user.
+
+    Each user walks the item index space in the order of its own permutation
+    ``idx_j = (a_u * j + b_u) mod n`` (``a_u`` a prime above any table size,
+    so the map is a bijection) and takes the first k unseen items.  Only the
+    first ``k + seen_u`` positions are generated: linear work, no product of
+    users and items."""
+    from stratakit.operators.index import row_index
+    idx = row_index(items.select(item_key), item_key, "_iidx")
+    n = items.select(F.count(F.lit(1)).cast("long")).scalar()
+    u = users.select(user_key).distinct()
+    if seen is not None:
+        s = (seen.select(user_key, item_key).distinct()
+             .groupBy(user_key).agg(F.count(F.lit(1)).alias("_seen")))
+        u = u.join(s, user_key, "left").fillna(0, ["_seen"])
+    else:
+        u = u.withColumn("_seen", F.lit(0).cast("long"))
+    primes = F.array(*[F.lit(p).cast("long") for p in PRIMES])
+    a = F.element_at(primes, (hash32(seed, F.lit("a"), user_key) % F.lit(len(PRIMES)) + 1).cast("int")) % n
+    b = hash32(seed, F.lit("b"), user_key) % n
+    need = F.least(F.lit(k) + F.col("_seen"), n)
+    walk = (u.select(user_key, a.alias("_a"), b.alias("_b"), need.alias("_need"))
+            .where(F.col("_need") > 0)
+            .withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_need") - 1)))
+            .withColumn("_iidx", (F.col("_a") * F.col("_j") + F.col("_b")) % n))
+    cand = walk.join(idx, "_iidx").select(user_key, item_key, "_j")
+    if seen is not None:
+        cand = cand.join(seen.select(user_key, item_key), [user_key, item_key], "left_anti")
+    w = Window.partitionBy(user_key).orderBy("_j")
+    return (cand.withColumn("rank", F.row_number().over(w))
+            .where(F.col("rank") <= F.lit(k)).drop("_j"))
+
+
+def dedup_pairs(log: DataFrame, user_key: str, item_key: str, order_cols: list[str]) -> DataFrame:
+    """One row per (user, item) - the one with the largest ``order_cols``
+    - via a partial aggregate of a struct (no window, map-side combine)."""
+    rest = [c for c in log.columns if c not in (user_key, item_key)]
+    keep = order_cols + [c for c in rest if c not in order_cols]
+    agg = log.groupBy(user_key, item_key).agg(F.max(F.struct(*keep)).alias("_best"))
+    return agg.select(user_key, item_key, *[F.col("_best")[c].alias(c) for c in rest])
