@@ -28,6 +28,7 @@ def build_session(master: str | None = None, app: str = "stratakit",
     cores = os.cpu_count() or 8
     conf = {
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
