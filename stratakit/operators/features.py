@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratakit.functions.text import clean_text, genre_list, tokens
+from stratakit.session import broadcast_if_small
 
 
 def genre_vocabulary(df: DataFrame, genres_col: str) -> Column:
@@ -74,10 +75,18 @@ def ordered_concat(df: DataFrame, key: str, order_col: str, text_col: str, out_c
 
 
 def mean_vectors(rows: DataFrame, key: str, vec_col: str, weight_col: str | None = None,
-                 out_col: str = "vec") -> DataFrame:
-    """Weighted mean of ``array`` vectors per key (Summarizer, partial agg)."""
-    v = rows.withColumn("_v", array_to_vector(F.col(vec_col).cast("array<double>")))
+                 out_col: str = "vec", dim: int | None = None) -> DataFrame:
+    """Weighted mean of ``array`` vectors per key.
+
+    With a known ``dim`` it is one hash aggregate of ``dim`` plain sums
+    (codegen, partial aggregation); otherwise MLlib's ``Summarizer``."""
     w = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
+    if dim is not None:
+        v = F.col(vec_col)
+        sums = [F.sum(v[i].cast("double") * w).alias(f"_s{i}") for i in range(dim)]
+        agg = rows.groupBy(key).agg(F.sum(w).alias("_w"), *sums)
+        return agg.select(key, F.array(*[F.col(f"_s{i}") / F.col("_w") for i in range(dim)]).alias(out_col))
+    v = rows.withColumn("_v", array_to_vector(F.col(vec_col).cast("array<double>")))
     agg = v.groupBy(key).agg(Summarizer.mean(F.col("_v"), w).alias("_m"))
     return agg.select(key, vector_to_array("_m").alias(out_col))
 
@@ -86,10 +95,10 @@ def text_embedding(texts: DataFrame, key: str, tokens_col: str, word_vectors: Da
                    dim: int, out_col: str = "vec") -> DataFrame:
     """C9 + H6 + B6: mean word vector of each text (repeats count, unknown
     tokens skipped); texts with no known token get zeros."""
-    counts = (texts.select(key, F.explode(tokens(F.col(tokens_col))).alias("token"))
-              .groupBy(key, "token").agg(F.count(F.lit(1)).alias("_n")))
-    known = counts.join(word_vectors.select("token", "vec"), "token")
-    means = mean_vectors(known, key, "vec", "_n", out_col)
+    wv = broadcast_if_small(word_vectors.select("token", "vec"))
+    known = (texts.select(key, F.explode(tokens(F.col(tokens_col))).alias("token"))
+             .join(wv, "token"))
+    means = mean_vectors(known, key, "vec", None, out_col, dim=dim)
     zeros = F.array_repeat(F.lit(0.0), dim)
     return (texts.select(key).join(means, key, "left")
             .withColumn(out_col, F.coalesce(F.col(out_col), zeros)))
@@ -103,7 +112,7 @@ def user_vectors(log: DataFrame, item_vectors: DataFrame, user_key: str, item_ke
     zeros = F.array_repeat(F.lit(0.0), dim)
     j = (pairs.join(item_vectors.select(item_key, F.col("vec").alias("_iv")), item_key, "left")
          .withColumn("_iv", F.coalesce(F.col("_iv").cast("array<double>"), zeros)))
-    return mean_vectors(j, user_key, "_iv", None, out_col)
+    return mean_vectors(j, user_key, "_iv", None, out_col, dim=dim)
 
 
 def spread_vector(df: DataFrame, key: str, vec_col: str, digits: int = 6) -> DataFrame:

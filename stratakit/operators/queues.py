@@ -118,21 +118,47 @@ REPLAY_SCHEMA = T.StructType([
 
 def _replay_bucket(alpha: float, rules: tuple):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for (inst, _), g in pdf.groupby(["instance_id", "period"], sort=False):
-            tasks = list(zip(g["task_no"].tolist(), g["arrival"].tolist(),
-                             g["processing"].tolist(), g["deadline"].tolist()))
-            dl = {x[0]: x[3] for x in tasks}
-            t0 = max(0.0, min(x[1] for x in tasks))
-            for rule in rules:
-                for no, s, f in replay_rule(tasks, rule, alpha, t0):
-                    rows.append((inst, rule, no, s, f, max(f - dl[no], 0.0)))
-        return pd.DataFrame(rows, columns=[f.name for f in REPLAY_SCHEMA.fields])
+        pdf = pdf.sort_values(["instance_id", "period", "task_no"], kind="stable")
+        inst = pdf["instance_id"].tolist()
+        per = pdf["period"].tolist()
+        no = pdf["task_no"].tolist()
+        arr = pdf["arrival"].tolist()
+        prc = pdf["processing"].tolist()
+        ddl = pdf["deadline"].tolist()
+        out = {f.name: [] for f in REPLAY_SCHEMA.fields}
+
+        def emit(i, rule, task, s, f, d):
+            out["instance_id"].append(i)
+            out["rule"].append(rule)
+            out["task_no"].append(task)
+            out["start"].append(s)
+            out["finish"].append(f)
+            out["lateness"].append(max(f - d, 0.0))
+
+        n = len(no)
+        s = 0
+        while s < n:
+            e = s + 1
+            while e < n and inst[e] == inst[s] and per[e] == per[s]:
+                e += 1
+            if e - s == 1:      # a lone task runs on arrival under every rule
+                start = max(0.0, arr[s])
+                for rule in rules:
+                    emit(inst[s], rule, no[s], start, start + prc[s], ddl[s])
+            else:
+                tasks = list(zip(no[s:e], arr[s:e], prc[s:e], ddl[s:e]))
+                dl = {x[0]: x[3] for x in tasks}
+                t0 = max(0.0, min(arr[s:e]))
+                for rule in rules:
+                    for task, st, f in replay_rule(tasks, rule, alpha, t0):
+                        emit(inst[s], rule, task, st, f, dl[task])
+            s = e
+        return pd.DataFrame(out)
     return fn
 
 
 def replay(tasks: DataFrame, rules: tuple = RULES, alpha: float = 1.0,
-           rows_per_bucket: int = 50_000, split_periods: bool | None = None) -> DataFrame:
+           rows_per_bucket: int = 20_000, split_periods: bool | None = None) -> DataFrame:
     """Finish time of every task under every rule.
 
     ``tasks``: instance_id, task_no, arrival, processing (> 0), deadline.
@@ -157,7 +183,8 @@ def replay(tasks: DataFrame, rules: tuple = RULES, alpha: float = 1.0,
     if split_periods is None:
         split_periods = stats["frac"] == 0
     t = busy_periods(t) if split_periods else t.withColumn("period", F.lit(0).cast("long"))
-    buckets = max(1, math.ceil((stats["n"] or 0) / rows_per_bucket))
+    par = tasks.sparkSession.sparkContext.defaultParallelism
+    buckets = max(par, math.ceil((stats["n"] or 0) / rows_per_bucket))
     t = t.withColumn("_bucket", F.abs(F.xxhash64("instance_id", "period")) % buckets)
     return t.groupBy("_bucket").applyInPandas(_replay_bucket(alpha, tuple(rules)), REPLAY_SCHEMA)
 

@@ -86,3 +86,12 @@ def bounded_broadcast(df: DataFrame, row_bound: int) -> DataFrame:
     if row_bound is not None and row_bound <= BROADCAST_ROW_LIMIT:
         return F.broadcast(df)
     return df
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """Broadcast after *checking* the size: one count (limited to
+    ``max_rows + 1`` rows, so it stops early on big inputs).  Meant for
+    dimension-like tables whose size the planner cannot estimate, such as
+    checkpointed ones."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
