@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from stratakit.functions.arrays import argmax, majority_vote
 from stratakit.functions.rand import hash32
+from stratakit.session import local_table
 
 
 def baseline_accuracy(df: DataFrame, label: str) -> DataFrame:
@@ -134,7 +135,7 @@ def replicate_samples(df: DataFrame, key: str, group: str, replicates: int | Non
     m = per_replicate or int(math.isqrt(n))
     reps = replicates if replicates is not None else 50 * m
     spark = df.sparkSession
-    plan = spark.createDataFrame(
+    plan = local_table(spark, 
         [(r[group], int(r["_N"]), int(math.floor(r["_N"] / n * m))) for r in sizes],
         T.StructType([T.StructField(group, df.schema[group].dataType),
                       T.StructField("_N", T.LongType()), T.StructField("_take", T.LongType())]))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratakit.functions.rand import U, hash32
-from stratakit.session import bounded_broadcast
+from stratakit.session import bounded_broadcast, local_table
 
 ALL = -1
 SMALL_K = 10_000
@@ -38,7 +38,7 @@ def _quota_table(spark, stratum_col, quotas: dict, stype) -> DataFrame:
     schema = T.StructType([T.StructField(stratum_col, stype, True),
                            T.StructField("_quota", T.LongType(), True)])
     rows = [(s, None if q == ALL else int(q)) for s, q in quotas.items()]
-    return spark.createDataFrame(rows, schema)
+    return local_table(spark, rows, schema)
 
 
 def exact_sample(df: DataFrame, quotas: dict, key_cols: list[str], seed: int,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratakit.operators.index import dense_codes, recode, row_index_sorted
-from stratakit.session import bounded_broadcast
+from stratakit.session import bounded_broadcast, local_table
 
 
 def _check_quantiles(qs):
@@ -32,7 +32,7 @@ def exact_quantiles(df: DataFrame, col: str, qs: list[float]) -> DataFrame:
     vals = df.select(F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     ranked = row_index_sorted(vals, [F.col("_v")], "_r")
     n = ranked.select(F.count(F.lit(1))).scalar()
-    qt = spark.createDataFrame([(float(q),) for q in qs], T.StructType([T.StructField("q", T.DoubleType())]))
+    qt = local_table(spark, [(float(q),) for q in qs], T.StructType([T.StructField("q", T.DoubleType())]))
     h = (n - 1).cast("double") * F.col("q")
     qt = qt.select("q", h.alias("_h"), F.floor(h).cast("long").alias("_lo"),
                    F.ceil(h).cast("long").alias("_hi"))

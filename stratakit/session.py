@@ -95,3 +95,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> Da
     checkpointed ones."""
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def local_table(spark: SparkSession, rows: list, schema) -> DataFrame:
+    """A small parameter table (quotas, quantile positions...) built in the JVM
+    from literals (``inline`` over one row), not from a Python RDD."""
+    if not rows:
+        return spark.createDataFrame([], schema)
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, schema.fields)])
+               for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
