@@ -72,7 +72,7 @@ def exact_sample(df: DataFrame, quotas: dict, key_cols: list[str], seed: int,
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     cum = (hist.withColumn("_incl", F.sum("_n").over(w))
            .withColumn("_excl", F.col("_incl") - F.col("_n")))
-    totals = hist.groupBy(stratum_col).agg(F.sum("_n").alias("_total"))
+    totals = cum.groupBy(stratum_col).agg(F.max("_incl").alias("_total"))
     checked = qt.join(totals, stratum_col, "left").fillna(0, ["_total"])
     if validate:
         checked = checked.where(

@@ -208,11 +208,11 @@ FROM p JOIN s ON p.user_id = s.user_id GROUP BY s.segment""")
 def segment_response_rate(spark, d):
     """Minimum slice: sample users per segment, take their history, score a
     Bernoulli response per pair, response rate per segment."""
-    s = sampled_users(spark, d)
-    pairs = train_log(t.history(spark, d), s, t.items(spark, d), "user_id", "item_id").select(
-        "user_id", "item_id").distinct()
-    scored = pairs.join(s.select("user_id", "segment"), "user_id").withColumn(
-        "rated", bernoulli_response(SEED, THETA, "user_id", "item_id"))
+    s = sampled_users(spark, d).select("user_id", "segment")
+    # the inner join with the sample is the user restriction (C1) and brings
+    # the segment along, so the sample is planned once
+    pairs = t.history(spark, d).join(s, "user_id").select("user_id", "item_id", "segment").distinct()
+    scored = pairs.withColumn("rated", bernoulli_response(SEED, THETA, "user_id", "item_id"))
     return scored.groupBy("segment").agg(
         F.count(F.lit(1)).cast("long").alias("n_pairs"),
         F.countDistinct("user_id").cast("long").alias("n_users"),
