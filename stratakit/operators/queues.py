@@ -32,30 +32,96 @@ from pyspark.sql import types as T
 RULES = ("MINDL", "SF", "BTSF")
 
 
-def number_tasks(df: DataFrame, instance: str, order: list[str], out_col: str = "task_no") -> DataFrame:
-    """E5: task number 1..n inside each instance in the given order."""
-    w = Window.partitionBy(instance).orderBy(*order)
-    return df.withColumn(out_col, F.row_number().over(w))
-
-
-def busy_periods(tasks: DataFrame, instance: str = "instance_id") -> DataFrame:
+CHUNK_ROWS = 100_000
+
+
+def largest_group(df: DataFrame, key: str) -> int:
+    """Rows in the largest group (partial aggregation, one small job)."""
+    r = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return int(r or 0)
+
+
+def number_tasks(df: DataFrame, instance: str, order: list[str], out_col: str = "task_no",
+                 chunked: bool | None = None) -> DataFrame:
+    """E5: task number 1..n inside each instance in the given order.
+
+    When every instance has at most ``CHUNK_ROWS`` tasks (checked), a window
+    per instance is bounded and is used.  Otherwise the chunked form: one
+    global index over (instance, order) - a balanced range sort - minus each
+    instance's first index (a partial aggregate), so a huge task set is never
+    numbered in a single window task."""
+    if chunked is None:
+        chunked = largest_group(df, instance) > CHUNK_ROWS
+    if not chunked:
+        w = Window.partitionBy(instance).orderBy(*order)
+        return df.withColumn(out_col, F.row_number().over(w))
+    from stratakit.operators.index import row_index_sorted
+    g = row_index_sorted(df, [F.col(instance)] + [F.col(c) for c in order], "_g")
+    first = g.groupBy(instance).agg(F.min("_g").alias("_g0"))
+    return (g.join(first, instance)
+            .withColumn(out_col, (F.col("_g") - F.col("_g0") + 1).cast("long"))
+            .drop("_g", "_g0"))
+
+
+def busy_periods(tasks: DataFrame, instance: str = "instance_id",
+                 chunk_rows: int | None = CHUNK_ROWS, auto: bool = True) -> DataFrame:
     """Busy-period id (0-based, per instance) for every task.
 
     In (arrival, task_no) order with S the running processing sum, the work
     queued before task i ends at ``max_{j<i}(a_j - S_{j-1}) + S_{i-1}``; task
-    i opens a new period when it arrives at or after that instant."""
+    i opens a new period when it arrives at or after that instant.
+
+    With ``chunk_rows`` the running sum and running max are computed as a
+    chunked prefix scan: rows get a global index in (instance, arrival,
+    task_no) order, windows run inside (instance, chunk) segments of at most
+    ``chunk_rows`` rows, and a small per-segment table carries the sums and
+    maxima of earlier segments.  ``chunk_rows=None`` uses plain windows per
+    instance.  With ``auto`` the plain windows are also used when no instance
+    is larger than ``chunk_rows`` (checked), since they are bounded then."""
     a = F.greatest(F.col("arrival"), F.lit(0))
-    w = Window.partitionBy(instance).orderBy("arrival", "task_no")
+    if chunk_rows is not None and auto and largest_group(tasks, instance) <= chunk_rows:
+        chunk_rows = None
+    if chunk_rows is None:
+        w = Window.partitionBy(instance).orderBy("arrival", "task_no")
+        run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        before = w.rowsBetween(Window.unboundedPreceding, -1)
+        x = (tasks.withColumn("_s", F.sum("processing").over(run))
+             .withColumn("_sprev", F.col("_s") - F.col("processing"))
+             .withColumn("_x", a - F.col("_sprev")))
+        x = x.withColumn("_mprev", F.max("_x").over(before))
+        new = F.when(F.col("_mprev").isNull() | (a >= F.col("_mprev") + F.col("_sprev")), 1).otherwise(0)
+        x = x.withColumn("_new", new)
+        return (x.withColumn("period", (F.sum("_new").over(run) - 1).cast("long"))
+                .drop("_s", "_sprev", "_x", "_mprev", "_new"))
+
+    from stratakit.operators.index import row_index_sorted
+    cols = tasks.columns
+    g = row_index_sorted(tasks, [F.col(instance), F.col("arrival"), F.col("task_no")], "_g")
+    g = g.withColumn("_c", F.floor(F.col("_g") / F.lit(chunk_rows)).cast("long"))
+    seg = [instance, "_c"]
+    w = Window.partitionBy(*seg).orderBy("_g")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    x = (tasks.withColumn("_s", F.sum("processing").over(run))
-         .withColumn("_sprev", F.col("_s") - F.col("processing"))
-         .withColumn("_x", a - F.col("_sprev")))
-    x = x.withColumn("_mprev", F.max("_x").over(before))
-    new = F.when(F.col("_mprev").isNull() | (a >= F.col("_mprev") + F.col("_sprev")), 1).otherwise(0)
-    x = x.withColumn("_new", new)
-    return (x.withColumn("period", (F.sum("_new").over(run) - 1).cast("long"))
-            .drop("_s", "_sprev", "_x", "_mprev", "_new"))
+    # local scan inside a segment
+    x = (g.withColumn("_sl", F.sum("processing").over(run))
+         .withColumn("_slprev", F.col("_sl") - F.col("processing"))
+         .withColumn("_xl", a - F.col("_slprev")))
+    # carries from earlier segments of the same instance (one row per segment)
+    segs = x.groupBy(*seg).agg(F.sum("processing").alias("_p"), F.max("_xl").alias("_mx"))
+    sw = Window.partitionBy(instance).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    segs = segs.withColumn("_sbefore", F.coalesce(F.sum("_p").over(sw), F.lit(0)))
+    segs = segs.withColumn("_mbefore", F.max(F.col("_mx") - F.col("_sbefore")).over(sw))
+    x = x.join(segs.select(*seg, "_sbefore", "_mbefore"), seg)
+    sprev = F.col("_sbefore") + F.col("_slprev")
+    x = x.withColumn("_mloc", F.max(F.col("_xl") - F.col("_sbefore")).over(before))
+    mprev = F.greatest(F.col("_mbefore"), F.col("_mloc"))   # greatest skips nulls
+    x = x.withColumn("_new", F.when(mprev.isNull() | (a >= mprev + sprev), 1).otherwise(0))
+    # running count of period starts, with the same carry
+    x = x.withColumn("_nl", F.sum("_new").over(run))
+    nseg = x.groupBy(*seg).agg(F.sum("_new").alias("_n"))
+    nseg = nseg.withColumn("_nbefore", F.coalesce(F.sum("_n").over(sw), F.lit(0)))
+    x = x.join(nseg.select(*seg, "_nbefore"), seg)
+    return x.select(*cols, (F.col("_nbefore") + F.col("_nl") - 1).cast("long").alias("period"))
 
 
 # ------------------------------------------------------------------ replay

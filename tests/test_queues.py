@@ -67,3 +67,17 @@ def test_mindl_batch_equals_replay(spark):
     got = {x["instance_id"]: x["l"] for x in b.collect()}
     want = {x["instance_id"]: x["total_lateness"] for x in r.collect()}
     assert got == want
+
+
+def test_chunked_scans_equal_windows(spark):
+    from stratakit.operators.queues import number_tasks
+    from stratakit.plans.queues import tasks
+    tk = tasks(spark, SF001)
+    a = {(r["instance_id"], r["task_no"]): r["period"] for r in busy_periods(tk, chunk_rows=7, auto=False).collect()}
+    b = {(r["instance_id"], r["task_no"]): r["period"] for r in busy_periods(tk, chunk_rows=None).collect()}
+    assert a == b
+    li = spark.read.parquet(f"{SF001}/lineitem.parquet").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey")
+    o = ["l_orderkey", "l_linenumber", "l_partkey"]
+    x = {tuple(r[:4]): r["task_no"] for r in number_tasks(li, "l_suppkey", o, chunked=True).collect()}
+    y = {tuple(r[:4]): r["task_no"] for r in number_tasks(li, "l_suppkey", o, chunked=False).collect()}
+    assert sorted(x.values()) == sorted(y.values())
