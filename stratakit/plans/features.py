@@ -263,3 +263,34 @@ def q_user_features(spark, d):
            .join(ra, "user_id"))
     return out.select("user_id", "genre", F.round("share", 6).alias("genre_share"),
                       F.round("rating_avg", 6).alias("rating_avg"))
+
+
+# ------------------------------------------------ title-embedding variant
+def title_word_vectors(spark, d, cleaned):
+    """(token, vec) for the catalogue's own title words: alphabetical ordinal
+    -> embeddings row with that id."""
+    vocab = cleaned.select(F.explode(tokens(F.col("clean"))).alias("token")).distinct()
+    codes = row_index_sorted(vocab, [F.col("token")], "code")
+    e = t.read(spark, d, "embeddings").select(F.col("vec_id").alias("code"), F.col("embedding").alias("vec"))
+    return codes.join(e, "code").select("token", "vec")
+
+
+@query("title_user_vectors", f"""
+WITH cat AS (SELECT item_id, {CLEAN_SQL.format(c='title')} AS clean FROM ({CATALOGUE_SQL})),
+tok AS (SELECT item_id, unnest(string_split(clean, ' ')) AS token FROM cat),
+voc AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS code FROM (SELECT DISTINCT token FROM tok WHERE token <> '')),
+wv AS (SELECT voc.token, e.embedding FROM voc JOIN embeddings e ON e.vec_id = voc.code),
+k AS (SELECT tok.item_id, wv.embedding FROM tok JOIN wv ON tok.token = wv.token),
+iv AS (SELECT k.item_id, g.i AS dim, avg(k.embedding[g.i + 1]) AS value FROM k CROSS JOIN range({DIM}) g(i) GROUP BY ALL),
+p AS (SELECT DISTINCT user_id, item_id FROM ({t.HISTORY_SQL})),
+m AS (SELECT p.user_id, g.i AS dim, avg(coalesce(iv.value, 0.0)) AS value
+      FROM p CROSS JOIN range({DIM}) g(i) LEFT JOIN iv ON iv.item_id = p.item_id AND iv.dim = g.i GROUP BY ALL)
+SELECT user_id, CAST(dim AS INTEGER) AS dim, round(value, 6) AS value FROM m""")
+def q_title_user_vectors(spark, d):
+    """I15 (+ H3 H6 C9 D5): item vectors from cleaned titles (mean word
+    vector, zeros when no word is known), user vector = mean over the user's
+    distinct items, spread at the output edge."""
+    cleaned = catalogue(spark, d).select("item_id", clean_text(F.col("title")).alias("clean"))
+    iv = text_embedding(cleaned, "item_id", "clean", title_word_vectors(spark, d, cleaned), DIM)
+    uv = user_vectors(t.history(spark, d), iv, "user_id", "item_id", DIM)
+    return spread_vector(uv, "user_id", "vec")
