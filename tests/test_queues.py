@@ -81,3 +81,11 @@ def test_chunked_scans_equal_windows(spark):
     x = {tuple(r[:4]): r["task_no"] for r in number_tasks(li, "l_suppkey", o, chunked=True).collect()}
     y = {tuple(r[:4]): r["task_no"] for r in number_tasks(li, "l_suppkey", o, chunked=False).collect()}
     assert sorted(x.values()) == sorted(y.values())
+
+
+def test_mindl_batch_chunked_equals_window(spark):
+    from stratakit.plans.queues import tasks
+    tk = tasks(spark, SF001)
+    a = {(r["instance_id"], r["task_no"]): r["finish"] for r in mindl_batch(tk, chunk_rows=5, auto=False).collect()}
+    b = {(r["instance_id"], r["task_no"]): r["finish"] for r in mindl_batch(tk, chunk_rows=None).collect()}
+    assert a == b
