@@ -84,3 +84,25 @@ def recode(df: DataFrame, id_col: str, codes: DataFrame, code_col: str = "code",
     return (df.join(c, df[id_col] == c["_rid"])
             .drop("_rid").drop(id_col)
             .withColumnRenamed("_code", out))
+
+
+def explode_range(df: DataFrame, count_col: str, out_col: str, block: int = 4096,
+                  spread_cols: list[str] | None = None) -> DataFrame:
+    """Rows ``0..count-1`` for every input row, generated in two levels.
+
+    A row with a huge count would otherwise emit all its rows from one task;
+    here it first emits ``ceil(count / block)`` block rows, which are spread
+    over a fixed number of partitions (not coalesced by AQE), and each block
+    then emits at most ``block`` ids."""
+    spark = df.sparkSession
+    n_part = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    n = F.col(count_col).cast("long")
+    blocks = (df.where(n > 0)
+              .withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("long"),
+                                                       F.floor((n - 1) / F.lit(block)).cast("long")))))
+    keys = [F.col(c) for c in (spread_cols or [])] + [F.col("_blk")]
+    blocks = blocks.repartition(n_part, *keys)
+    lo = F.col("_blk") * F.lit(block)
+    hi = F.least(lo + F.lit(block), n) - 1
+    return (blocks.withColumn(out_col, F.explode(F.sequence(lo, hi)))
+            .drop("_blk"))

@@ -102,10 +102,11 @@ def top_k_global_unseen(users: DataFrame, scores: DataFrame, seen: DataFrame | N
         u = u.join(s, user_key, "left").fillna(0, ["_seen"])
     else:
         u = u.withColumn("_seen", F.lit(0).cast("long"))
+    from stratakit.operators.index import explode_range
     need = F.lit(k) + F.col("_seen")
     u = u.withColumn("_need", need).withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0).cast("long"),
-                                       F.floor((need - 1) / F.lit(chunk)).cast("long"))))
+        "_nchunks", F.floor((F.col("_need") - 1) / F.lit(chunk)).cast("long") + 1)
+    u = explode_range(u, "_nchunks", "_chunk", spread_cols=[user_key]).drop("_nchunks")
     cand = (u.join(ranked, "_chunk")
             .where(F.col("_rank") < F.col("_need"))
             .select(user_key, item_key, "score", "_rank"))
@@ -168,10 +169,10 @@ def random_top_k(users: DataFrame, items: DataFrame, seen: DataFrame | None,
     a = F.element_at(primes, (hash32(seed, F.lit("a"), user_key) % F.lit(len(PRIMES)) + 1).cast("int")) % n
     b = hash32(seed, F.lit("b"), user_key) % n
     need = F.least(F.lit(k) + F.col("_seen"), n)
-    walk = (u.select(user_key, a.alias("_a"), b.alias("_b"), need.alias("_need"))
-            .where(F.col("_need") > 0)
-            .withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_need") - 1)))
-            .withColumn("_iidx", (F.col("_a") * F.col("_j") + F.col("_b")) % n))
+    from stratakit.operators.index import explode_range
+    walk = explode_range(u.select(user_key, a.alias("_a"), b.alias("_b"), need.alias("_need")),
+                         "_need", "_j", spread_cols=[user_key])
+    walk = walk.withColumn("_iidx", (F.col("_a") * F.col("_j") + F.col("_b")) % n)
     cand = walk.join(idx, "_iidx").select(user_key, item_key, "_j")
     if seen is not None:
         cand = cand.join(seen.select(user_key, item_key), [user_key, item_key], "left_anti")

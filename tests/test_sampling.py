@@ -64,3 +64,11 @@ def test_augment_pool_contiguous_keys(spark):
     assert keys == [6, 7, 8, 9, 10, 11]
     counts = {r["__stratum"]: r["n_rows"] for r in pool_counts(pool).collect()}
     assert counts == {"real": 3, "a": 4, "b": 2}
+
+
+def test_explode_range_two_levels(spark):
+    from stratakit.operators.index import explode_range
+    df = spark.createDataFrame([(1, 10), (2, 0), (3, 3)], "u long, n long")
+    out = explode_range(df, "n", "j", block=4, spread_cols=["u"])
+    got = sorted((r["u"], r["j"]) for r in out.collect())
+    assert got == [(1, j) for j in range(10)] + [(3, j) for j in range(3)]
