@@ -46,13 +46,14 @@ def group_accuracy(df: DataFrame, pred: str, label: str, group: str,
 
 
 def metric_frame(df: DataFrame, pred: str, label: str, group: str) -> DataFrame:
-    """Accuracy by group plus overall, min, max, difference and ratio."""
+    """Accuracy by group, then min, max, difference, ratio and the
+    overall accuracy (one row)."""
     hit = (F.col(pred) == F.col(label)).cast("double")
     by = df.groupBy(group).agg(F.avg(hit).alias("accuracy"), F.count(F.lit(1)).alias("n"))
-    return by.agg(F.min("accuracy").alias("min"), F.max("accuracy").alias("max"),
-                  (F.max("accuracy") - F.min("accuracy")).alias("difference"),
-                  F.try_divide(F.min("accuracy"), F.max("accuracy")).alias("ratio"),
-                  (F.sum(F.col("accuracy") * F.col("n")) / F.sum("n")).alias("overall"))
+    return by.agg(F.min("accuracy").alias("acc_min"), F.max("accuracy").alias("acc_max"),
+                  (F.max("accuracy") - F.min("accuracy")).alias("acc_difference"),
+                  F.try_divide(F.min("accuracy"), F.max("accuracy")).alias("acc_ratio"),
+                  (F.sum(F.col("accuracy") * F.col("n")) / F.sum("n")).alias("acc_overall"))
 
 
 def relabel_expr(probs: Column, group: Column, lam: list[float], pi_a: float, pi_b: float,

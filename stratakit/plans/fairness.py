@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratakit.functions.arrays import argmax, majority_vote
-from stratakit.functions.rand import U, u_sql
-from stratakit.operators.fairness import (baseline_accuracy, group_accuracy, parity_relabel,
+from stratakit.functions.rand import U, hash32_sql, u_sql
+from stratakit.operators.logs import PRIMES
+from stratakit.operators.fairness import (baseline_accuracy, group_accuracy, metric_frame, parity_relabel,
                                           replicate_lambdas, replicate_samples, vote_relabel)
 from stratakit.operators.models import class_probabilities
 from stratakit.operators.sampling import split_train_test
@@ -75,6 +76,22 @@ def q_group_accuracy(spark, d):
     return g.select("n", *[F.round(c, 6).alias(c) for c in ("accuracy", "acc_group0", "acc_group1", "gap")])
 
 
+@query("metric_frame", f"""
+WITH x AS (SELECT *, {ARGMAX_SQL} AS pred FROM ({LABELLED_SQL}) WHERE {u_sql(SEED, 'doc_id')} >= 0.75),
+g AS (SELECT grp, avg(CAST(pred = label AS DOUBLE)) AS acc, count(*) AS n FROM x GROUP BY grp)
+SELECT round(min(acc), 6) AS acc_min, round(max(acc), 6) AS acc_max,
+       round(max(acc) - min(acc), 6) AS acc_difference,
+       round(CASE WHEN max(acc) = 0 THEN NULL ELSE min(acc) / max(acc) END, 6) AS acc_ratio,
+       round(sum(acc * n) / sum(n), 6) AS acc_overall
+FROM g""")
+def q_metric_frame(spark, d):
+    """Accuracy by group with min, max, difference, ratio and overall."""
+    x = split_train_test(labelled(spark, d), ["doc_id"], SEED).where(F.col("split") == "test")
+    x = x.withColumn("pred", argmax(_seeded_probs("doc_id")))
+    m = metric_frame(x, "pred", "label", "grp")
+    return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
+
+
 _V = [f"CAST(floor(3 * {u_sql(SEED, chr(39) + 'v' + chr(39), 'c_custkey', str(r))}) AS INTEGER)"
       for r in range(VOTES)]
 _CNT = [" + ".join(f"CAST({v} = {c} AS INTEGER)" for v in _V) for c in range(K)]
@@ -151,7 +168,25 @@ def q_fairness_report(spark, d):
         (F.col("acc1_before") - F.col("acc1_after")).alias("loss_group1"))
 
 
-@query("replicate_samples")
+_PRIMES_SQL = "[" + ", ".join(str(p) for p in PRIMES) + "]"
+REPLICATE_SQL = f"""
+WITH c AS (SELECT c_custkey AS user_id, CAST(c_mktsegment IN ('AUTOMOBILE', 'BUILDING') AS INTEGER) AS grp
+           FROM customer),
+sz AS (SELECT grp, count(*) AS N FROM c GROUP BY grp),
+tot AS (SELECT CAST(sum(N) AS DOUBLE) AS n, CAST(floor(sqrt(sum(N))) AS BIGINT) AS m FROM sz),
+pl AS (SELECT sz.grp, sz.N, CAST(floor(CAST(sz.N AS DOUBLE) / tot.n * tot.m) AS BIGINT) AS take
+       FROM sz CROSS JOIN tot),
+idx AS (SELECT user_id, grp, row_number() OVER (PARTITION BY grp ORDER BY user_id) - 1 AS i FROM c),
+reps AS (SELECT unnest(range(50 * m)) AS rep FROM tot),
+w AS (SELECT reps.rep, pl.grp, pl.N, pl.take,
+             list_extract({_PRIMES_SQL}, CAST({hash32_sql(SEED, "'a'", 'reps.rep', 'pl.grp')} % {len(PRIMES)} + 1 AS INTEGER)) % pl.N AS a,
+             {hash32_sql(SEED, "'b'", 'reps.rep', 'pl.grp')} % pl.N AS b
+      FROM reps CROSS JOIN pl WHERE pl.take > 0),
+dr AS (SELECT rep, grp, (a * j + b) % N AS i FROM (SELECT *, unnest(range(take)) AS j FROM w))
+SELECT CAST(dr.rep AS BIGINT) AS rep, dr.grp, idx.user_id FROM dr JOIN idx ON dr.grp = idx.grp AND dr.i = idx.i"""
+
+
+@query("replicate_samples", REPLICATE_SQL)
 def q_replicate_samples(spark, d):
     """the reference's replicate subsamples (m = floor(sqrt(n)) rows per
     replicate split by group share, R = 50 m replicates)."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratakit.operators.queues import (busy_periods, compare_rules, mindl_batch,
-                                        number_tasks, replay, total_lateness)
+                                        number_tasks, ratio_summary, replay, total_lateness)
 from stratakit.plans.registry import query
 from stratakit.sources import tables as t
 
@@ -84,3 +84,9 @@ def q_replay(spark, d):
 def q_compare(spark, d):
     """D12 + D13 + H8: totals per rule and their ratios per instance."""
     return compare_rules(total_lateness(replay(tasks(spark, d))))
+
+
+@query("queue_ratio_summary")
+def q_ratio_summary(spark, d):
+    """How many task sets have each policy ratio above 1."""
+    return ratio_summary(compare_rules(total_lateness(replay(tasks(spark, d)))))
