@@ -118,11 +118,61 @@ def customers_with_probs(spark, d):
                     F.transform(raw, lambda x: x / total).alias("probs"))
 
 
-@query("parity_relabel")
+# Oracle for the dual: the same subgradient iteration as a recursive CTE
+# (same IEEE operations in the same order), stopping at the first gap below
+# the tolerance and keeping the earliest best lambda.
+PARITY_ITER, PARITY_STEP, PARITY_TOL = 40, 0.1, 0.005
+_PU = [u_sql(SEED, f"'p{c}'", "c_custkey") for c in range(K)]
+
+
+def _argmax_sql(v):
+    return (f"CASE WHEN {v[0]} >= {v[1]} AND {v[0]} >= {v[2]} THEN 0 "
+            f"WHEN {v[1]} >= {v[2]} THEN 1 ELSE 2 END")
+
+
+def _shifted_sql(lam):
+    return [f"(p{c} + CASE WHEN grp = 1 THEN (-{lam[c]}) / pi_a ELSE {lam[c]} / pi_b END)" for c in range(K)]
+
+
+def _eval_sql(lam):
+    cnt = lambda g, c: f"CAST(count_if(grp = {g} AND c = {c}) AS DOUBLE)"
+    diffs = ", ".join(f"{cnt(1, c)} / max(da) - {cnt(0, c)} / max(db) AS d{c}" for c in range(K))
+    return (f"(SELECT {diffs} FROM (SELECT pr.grp, pi.da, pi.db, {_argmax_sql(_shifted_sql(lam))} AS c "
+            f"FROM pr, pi))")
+
+
+PARITY_SQL = f"""
+WITH RECURSIVE
+raw AS (SELECT c_custkey AS user_id, CAST(c_mktsegment IN ('AUTOMOBILE', 'BUILDING') AS INTEGER) AS grp,
+               {_PU[0]} AS u0, {_PU[1]} AS u1, {_PU[2]} AS u2 FROM customer),
+pr AS (SELECT user_id, grp, u0 / (((CAST(0.0 AS DOUBLE) + u0) + u1) + u2) AS p0,
+              u1 / (((CAST(0.0 AS DOUBLE) + u0) + u1) + u2) AS p1,
+              u2 / (((CAST(0.0 AS DOUBLE) + u0) + u1) + u2) AS p2 FROM raw),
+cn AS (SELECT count_if(grp = 1) AS na, count(*) AS n FROM pr),
+pi AS (SELECT CAST(na AS DOUBLE) / n AS pi_a, CAST(n - na AS DOUBLE) / n AS pi_b,
+              CAST(greatest(na, 1) AS DOUBLE) AS da, CAST(greatest(n - na, 1) AS DOUBLE) AS db FROM cn),
+it(i, l0, l1, l2, d0, d1, d2) AS (
+  SELECT 1, CAST(0.0 AS DOUBLE), CAST(0.0 AS DOUBLE), CAST(0.0 AS DOUBLE), e.d0, e.d1, e.d2
+  FROM {_eval_sql(['CAST(0.0 AS DOUBLE)'] * 3)} e
+  UNION ALL
+  SELECT nx.i, nx.l0, nx.l1, nx.l2, e.d0, e.d1, e.d2
+  FROM (SELECT i + 1 AS i,
+               l0 + ({PARITY_STEP!r} / sqrt(i)) * d0 AS l0, l1 + ({PARITY_STEP!r} / sqrt(i)) * d1 AS l1,
+               l2 + ({PARITY_STEP!r} / sqrt(i)) * d2 AS l2
+        FROM it WHERE i < {PARITY_ITER} AND greatest(abs(d0), abs(d1), abs(d2)) >= {PARITY_TOL!r}) nx,
+       LATERAL {_eval_sql(['nx.l0', 'nx.l1', 'nx.l2'])} e
+),
+best AS (SELECT l0, l1, l2 FROM it ORDER BY greatest(abs(d0), abs(d1), abs(d2)), i LIMIT 1)
+SELECT pr.user_id, pr.grp, {_argmax_sql(['p0', 'p1', 'p2'])} AS pred_before,
+       {_argmax_sql(_shifted_sql(['best.l0', 'best.l1', 'best.l2']))} AS pred_after
+FROM pr, pi, best"""
+
+
+@query("parity_relabel", PARITY_SQL)
 def q_parity(spark, d):
     """I18 + H7: class per customer with equal class rates in both groups."""
     c = customers_with_probs(spark, d)
-    out, _ = parity_relabel(c, "probs", "grp", K)
+    out, _ = parity_relabel(c, "probs", "grp", K, max_iter=PARITY_ITER, step=PARITY_STEP, tol=PARITY_TOL)
     return out.select("user_id", "grp", argmax(F.col("probs")).alias("pred_before"),
                       F.col("pred_fair").alias("pred_after"))
 
