@@ -219,21 +219,25 @@ def q_fairness_report(spark, d):
 
 
 _PRIMES_SQL = "[" + ", ".join(str(p) for p in PRIMES) + "]"
-REPLICATE_SQL = f"""
-WITH c AS (SELECT c_custkey AS user_id, CAST(c_mktsegment IN ('AUTOMOBILE', 'BUILDING') AS INTEGER) AS grp
+def _replicate_ctes(reps_expr: str) -> str:
+    """CTEs ending in ``samples(rep, grp, user_id)``: F7 draws in SQL."""
+    return f"""c AS (SELECT c_custkey AS user_id, CAST(c_mktsegment IN ('AUTOMOBILE', 'BUILDING') AS INTEGER) AS grp
            FROM customer),
 sz AS (SELECT grp, count(*) AS N FROM c GROUP BY grp),
 tot AS (SELECT CAST(sum(N) AS DOUBLE) AS n, CAST(floor(sqrt(sum(N))) AS BIGINT) AS m FROM sz),
 pl AS (SELECT sz.grp, sz.N, CAST(floor(CAST(sz.N AS DOUBLE) / tot.n * tot.m) AS BIGINT) AS take
        FROM sz CROSS JOIN tot),
 idx AS (SELECT user_id, grp, row_number() OVER (PARTITION BY grp ORDER BY user_id) - 1 AS i FROM c),
-reps AS (SELECT unnest(range(50 * m)) AS rep FROM tot),
+reps AS (SELECT unnest(range({reps_expr})) AS rep FROM tot),
 w AS (SELECT reps.rep, pl.grp, pl.N, pl.take,
              list_extract({_PRIMES_SQL}, CAST({hash32_sql(SEED, "'a'", 'reps.rep', 'pl.grp')} % {len(PRIMES)} + 1 AS INTEGER)) % pl.N AS a,
              {hash32_sql(SEED, "'b'", 'reps.rep', 'pl.grp')} % pl.N AS b
       FROM reps CROSS JOIN pl WHERE pl.take > 0),
-dr AS (SELECT rep, grp, (a * j + b) % N AS i FROM (SELECT *, unnest(range(take)) AS j FROM w))
-SELECT CAST(dr.rep AS BIGINT) AS rep, dr.grp, idx.user_id FROM dr JOIN idx ON dr.grp = idx.grp AND dr.i = idx.i"""
+dr AS (SELECT rep, grp, (a * j + b) % N AS i FROM (SELECT *, unnest(range(take)) AS j FROM w)),
+samples AS (SELECT CAST(dr.rep AS BIGINT) AS rep, dr.grp, idx.user_id FROM dr JOIN idx ON dr.grp = idx.grp AND dr.i = idx.i)"""
+
+
+REPLICATE_SQL = "WITH " + _replicate_ctes("50 * m") + "\nSELECT rep, grp, user_id FROM samples"
 
 
 @query("replicate_samples", REPLICATE_SQL)
@@ -244,12 +248,59 @@ def q_replicate_samples(spark, d):
     return replicate_samples(c, "user_id", "grp", None, SEED)
 
 
-@query("replicate_vote")
+VOTE_REPS, VOTE_ITER = 50, 60
+
+
+def _rep_eval_sql(rep: str, lam) -> str:
+    cnt = lambda g, c: f"CAST(count_if(grp = {g} AND c = {c}) AS DOUBLE)"
+    diffs = ", ".join(f"{cnt(1, c)} / max(da) - {cnt(0, c)} / max(db) AS d{c}" for c in range(K))
+    return (f"(SELECT {diffs} FROM (SELECT rs.grp, rp.da, rp.db, pi_a, pi_b, "
+            f"{_argmax_sql(_shifted_sql(lam))} AS c FROM rs JOIN rp ON rs.rep = rp.rep WHERE rs.rep = {rep}))")
+
+
+# Oracle for the replicate vote: F7 draws, one recursive dual per replicate
+# (same steps as the per-replicate numpy solve), then the vote of all rules.
+VOTE_SQL = f"""
+WITH RECURSIVE {_replicate_ctes(str(VOTE_REPS))},
+raw AS (SELECT c_custkey AS user_id, CAST(c_mktsegment IN ('AUTOMOBILE', 'BUILDING') AS INTEGER) AS grp,
+               {_PU[0]} AS u0, {_PU[1]} AS u1, {_PU[2]} AS u2 FROM customer),
+pr AS (SELECT user_id, grp, u0 / (((CAST(0.0 AS DOUBLE) + u0) + u1) + u2) AS p0,
+              u1 / (((CAST(0.0 AS DOUBLE) + u0) + u1) + u2) AS p1,
+              u2 / (((CAST(0.0 AS DOUBLE) + u0) + u1) + u2) AS p2 FROM raw),
+rs AS (SELECT samples.rep, pr.grp, pr.p0, pr.p1, pr.p2 FROM samples JOIN pr ON samples.user_id = pr.user_id),
+rp AS (SELECT rep, CAST(count_if(grp = 1) AS DOUBLE) / count(*) AS pi_a,
+              CAST(count(*) - count_if(grp = 1) AS DOUBLE) / count(*) AS pi_b,
+              CAST(count_if(grp = 1) AS DOUBLE) AS da, CAST(count(*) - count_if(grp = 1) AS DOUBLE) AS db
+       FROM rs GROUP BY rep),
+it(rep, i, l0, l1, l2, d0, d1, d2) AS (
+  SELECT r0.rep, 1, CAST(0.0 AS DOUBLE), CAST(0.0 AS DOUBLE), CAST(0.0 AS DOUBLE), e.d0, e.d1, e.d2
+  FROM rp AS r0, LATERAL {_rep_eval_sql('r0.rep', ['CAST(0.0 AS DOUBLE)'] * 3)} e
+  UNION ALL
+  SELECT nx.rep, nx.i, nx.l0, nx.l1, nx.l2, e.d0, e.d1, e.d2
+  FROM (SELECT rep, i + 1 AS i,
+               l0 + ({PARITY_STEP!r} / sqrt(i)) * d0 AS l0, l1 + ({PARITY_STEP!r} / sqrt(i)) * d1 AS l1,
+               l2 + ({PARITY_STEP!r} / sqrt(i)) * d2 AS l2
+        FROM it WHERE i < {VOTE_ITER} AND greatest(abs(d0), abs(d1), abs(d2)) >= {PARITY_TOL!r}) nx,
+       LATERAL {_rep_eval_sql('nx.rep', ['nx.l0', 'nx.l1', 'nx.l2'])} e
+),
+best AS (SELECT rep, l0, l1, l2 FROM (
+           SELECT *, row_number() OVER (PARTITION BY rep ORDER BY greatest(abs(d0), abs(d1), abs(d2)), i) AS rn
+           FROM it) WHERE rn = 1),
+rules AS (SELECT best.rep, best.l0, best.l1, best.l2, rp.pi_a, rp.pi_b FROM best JOIN rp ON best.rep = rp.rep),
+preds AS (SELECT pr.user_id, pr.grp, {_argmax_sql(_shifted_sql(['rules.l0', 'rules.l1', 'rules.l2']))} AS c
+          FROM pr CROSS JOIN rules),
+cnt AS (SELECT user_id, grp, count_if(c = 0) AS n0, count_if(c = 1) AS n1, count_if(c = 2) AS n2
+        FROM preds GROUP BY user_id, grp)
+SELECT user_id, grp, CASE WHEN n0 >= n1 AND n0 >= n2 THEN 0 WHEN n1 >= n2 THEN 1 ELSE 2 END AS pred_vote FROM cnt"""
+
+
+@query("replicate_vote", VOTE_SQL)
 def q_replicate_vote(spark, d):
     """50 replicate duals solved in parallel on subsamples, every rule
     applied to every customer, majority vote."""
     c = customers_with_probs(spark, d)
-    samples = replicate_samples(c.select("user_id", "grp"), "user_id", "grp", 50, SEED)
-    lams = [r.asDict() for r in replicate_lambdas(samples, c, "user_id", "grp", "probs", K).collect()]
+    samples = replicate_samples(c.select("user_id", "grp"), "user_id", "grp", VOTE_REPS, SEED)
+    lams = [r.asDict() for r in replicate_lambdas(samples, c, "user_id", "grp", "probs", K, max_iter=VOTE_ITER,
+                                                   step=PARITY_STEP, tol=PARITY_TOL).collect()]
     lams.sort(key=lambda r: r["rep"])
     return vote_relabel(c, "probs", "grp", lams, K).select("user_id", "grp", "pred_vote")
