@@ -13,6 +13,7 @@ from stratakit.operators.features import (fill_year_by_peers, genre_multi_hot, g
                                           user_vectors)
 from stratakit.operators.index import row_index_sorted
 from stratakit.plans.registry import query
+from stratakit.session import spread_for_cpu
 from stratakit.sources import tables as t
 
 DIM = 64
@@ -201,7 +202,8 @@ FROM documents d CROSS JOIN range({DIM}) g(i) LEFT JOIN m ON m.doc_id = d.doc_id
 def q_text_embedding(spark, d):
     """Mean word vector of every whole document (zeros if no word
     is known), spread to (doc_id, dim, value) at the output edge."""
-    docs = t.read(spark, d, "documents").select("doc_id", clean_text(F.col("text")).alias("clean"))
+    docs = spread_for_cpu(t.read(spark, d, "documents").select("doc_id", "text")).select(
+        "doc_id", clean_text(F.col("text")).alias("clean"))
     emb = text_embedding(docs, "doc_id", "clean", word_vectors(spark, d), DIM)
     return spread_vector(emb, "doc_id", "vec")
 

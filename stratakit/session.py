@@ -105,3 +105,13 @@ def local_table(spark: SparkSession, rows: list, schema) -> DataFrame:
     structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, schema.fields)])
                for r in rows]
     return spark.range(1).select(F.inline(F.array(*structs)))
+
+
+def spread_for_cpu(df: DataFrame) -> DataFrame:
+    """Before CPU-heavy row work (regexes over whole texts), spread an input
+    that arrives in fewer partitions than the cluster has task slots (a few
+    large parquet row groups).  On large inputs this is a no-op."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
