@@ -239,16 +239,23 @@ def replay(tasks: DataFrame, rules: tuple = RULES, alpha: float = 1.0,
                      F.col("arrival").cast("double").alias("arrival"),
                      F.col("processing").cast("double").alias("processing"),
                      F.col("deadline").cast("double").alias("deadline"))
-    stats = t.agg(F.count(F.lit(1)).alias("n"),
-                  F.sum(F.when(F.col("processing") <= 0, 1).otherwise(0)).alias("bad"),
-                  F.sum(F.when((F.col("arrival") != F.floor("arrival")) |
-                               (F.col("processing") != F.floor("processing")), 1).otherwise(0))
-                  .alias("frac")).first()
+    # one two-level aggregate: sizes, validity and integrality in a single pass
+    per = t.groupBy("instance_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.when(F.col("processing") <= 0, 1).otherwise(0)).alias("bad"),
+        F.sum(F.when((F.col("arrival") != F.floor("arrival")) |
+                     (F.col("processing") != F.floor("processing")), 1).otherwise(0)).alias("frac"))
+    stats = per.agg(F.sum("n").alias("n"), F.max("n").alias("largest"),
+                    F.sum("bad").alias("bad"), F.sum("frac").alias("frac")).first()
     if stats["bad"]:
         raise ValueError("processing must be > 0")
     if split_periods is None:
         split_periods = stats["frac"] == 0
-    t = busy_periods(t) if split_periods else t.withColumn("period", F.lit(0).cast("long"))
+    if split_periods:
+        chunk = CHUNK_ROWS if (stats["largest"] or 0) > CHUNK_ROWS else None
+        t = busy_periods(t, chunk_rows=chunk, auto=False)
+    else:
+        t = t.withColumn("period", F.lit(0).cast("long"))
     par = tasks.sparkSession.sparkContext.defaultParallelism
     buckets = max(par, math.ceil((stats["n"] or 0) / rows_per_bucket))
     t = t.withColumn("_bucket", F.abs(F.xxhash64("instance_id", "period")) % buckets)
