@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratakit.functions.rand import U, bernoulli, hash32_sql, normal_sql, u_sql
-from stratakit.operators.index import row_index
+from stratakit.functions.rand import U, bernoulli, hash32, hash32_sql, normal_sql, u_sql
+from stratakit.operators.index import row_index, row_index_sorted
 from stratakit.operators.pools import augment_pool, pool_counts
 from stratakit.operators.responses import (append_history, bernoulli_response,
                                            constant_response, noise_response,
@@ -217,3 +217,15 @@ def segment_response_rate(spark, d):
         F.count(F.lit(1)).cast("long").alias("n_pairs"),
         F.countDistinct("user_id").cast("long").alias("n_users"),
         F.round(F.avg("rated"), 6).alias("response_rate"))
+
+
+@query("shuffled_users", f"""
+SELECT c_custkey AS user_id,
+       CAST(row_number() OVER (ORDER BY {hash32_sql(SEED, 'c_custkey')}, c_custkey) - 1 AS BIGINT) AS position
+FROM customer""")
+def q_shuffled_users(spark, d):
+    """F1 + E1: a repeatable random order of all customers (global sort on
+    (hash, key)) with each row's 0-based position in it."""
+    c = t.read(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    c = c.withColumn("_h", hash32(SEED, "user_id"))
+    return row_index_sorted(c, [F.col("_h"), F.col("user_id")], "position").select("user_id", "position")
