@@ -111,3 +111,33 @@ def norm_cdf(z: Column) -> Column:
         poly = (poly + F.lit(c)) * t
     erf = F.lit(1.0) - poly * F.exp(-x * x)
     return F.when(z >= 0, F.lit(0.5) * (F.lit(1.0) + erf)).otherwise(F.lit(0.5) * (F.lit(1.0) - erf))
+
+
+def _poly_sql(coefs, x: str) -> str:
+    acc = repr(coefs[0])
+    for c in coefs[1:]:
+        acc = f"({acc} * {x} + {c!r})"
+    return acc
+
+
+def inv_norm_cdf_sql(p: str) -> str:
+    """DuckDB twin of :func:`inv_norm_cdf` (same operations, same order)."""
+    q_lo = f"sqrt(-2.0 * ln({p}))"
+    q_hi = f"sqrt(-2.0 * ln(1.0 - {p}))"
+    lo = f"({_poly_sql(_C, q_lo)} / ({_poly_sql(_D, q_lo)} * {q_lo} + 1.0))"
+    hi = f"(-{_poly_sql(_C, q_hi)} / ({_poly_sql(_D, q_hi)} * {q_hi} + 1.0))"
+    q = f"({p} - 0.5)"
+    r = f"({q} * {q})"
+    mid = f"({_poly_sql(_A, r)} * {q} / ({_poly_sql(_B, r)} * {r} + 1.0))"
+    return f"(CASE WHEN {p} < {_P_LOW!r} THEN {lo} WHEN {p} > {1.0 - _P_LOW!r} THEN {hi} ELSE {mid} END)"
+
+
+def norm_cdf_sql(z: str) -> str:
+    """DuckDB twin of :func:`norm_cdf`."""
+    x = f"(abs({z}) / {math.sqrt(2.0)!r})"
+    t = f"(1.0 / (1.0 + {_AS_P!r} * {x}))"
+    poly = "0.0"
+    for c in reversed(_AS):
+        poly = f"(({poly} + {c!r}) * {t})"
+    erf = f"(1.0 - {poly} * exp(-{x} * {x}))"
+    return f"(CASE WHEN {z} >= 0 THEN 0.5 * (1.0 + {erf}) ELSE 0.5 * (1.0 - {erf}) END)"

@@ -61,11 +61,21 @@ def _clip(u: Column) -> Column:
 
 
 def fit_copula(df: DataFrame, numeric: list[str], categorical: list[str] | None = None,
-               grid_points: int = 101, accuracy: int = 100_000) -> CopulaModel:
+               grid_points: int = 101, accuracy: int = 100_000, exact: bool = False) -> CopulaModel:
+    """Fit marginals and the normal-score correlation.  ``exact`` takes the
+    quantile grid from a distributed sort per column (exact, repeatable);
+    the default is one ``percentile_approx`` pass for all columns."""
     categorical = categorical or []
     model = CopulaModel(columns=list(numeric) + list(categorical))
     probs = [i / (grid_points - 1) for i in range(grid_points)]
-    if numeric:
+    if numeric and exact:
+        from stratakit.operators.strata import exact_quantiles
+        for c in numeric:
+            rows = exact_quantiles(df, c, probs).collect()
+            by_q = {r["q"]: r["value"] for r in rows}
+            model.numeric[c] = [float(by_q[q]) for q in probs]
+            model.types[c] = df.schema[c].dataType.simpleString()
+    elif numeric:
         row = df.select(*[F.percentile_approx(F.col(c).cast("double"), probs, accuracy).alias(c)
                           for c in numeric]).first()
         for c in numeric:
@@ -102,9 +112,11 @@ def fit_copula(df: DataFrame, numeric: list[str], categorical: list[str] | None
         corr = Correlation.corr(vec, "_zv").first()[0].toArray()
         corr = np.nan_to_num(corr, nan=0.0)
         np.fill_diagonal(corr, 1.0)
-    # nearest positive-definite fix for tiny negative eigenvalues
+    # nearest positive-definite repair, only when an eigenvalue is (nearly)
+    # non-positive
     w, v = np.linalg.eigh(corr)
-    corr = (v * np.clip(w, 1e-9, None)) @ v.T
+    if w.min() < 1e-9:
+        corr = (v * np.clip(w, 1e-9, None)) @ v.T
     model.chol = np.linalg.cholesky(corr).tolist()
     return model
 

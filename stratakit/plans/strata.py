@@ -9,6 +9,8 @@ from stratakit.operators.copula import fit_copula, sample_copula
 from stratakit.operators.models import bisecting_strata, kmeans_strata, pca_embedding
 from stratakit.operators.pools import augment_pool
 from stratakit.operators.strata import quantile_strata, standardise, subset_by_strata
+from stratakit.functions.rand import inv_norm_cdf_sql, norm_cdf_sql, normal_sql
+from stratakit.operators.copula import EPS
 from stratakit.plans.registry import SEED, query
 from stratakit.sources import tables as t
 
@@ -104,13 +106,79 @@ def q_pca(spark, d):
     return pca_embedding(_vectors(spark, d), "embedding", variance_share=0.8).select("vec_id", "embedding")
 
 
-@query("copula_rows")
+GRID = 101
+_PROBS = "[" + ", ".join(repr(i / (GRID - 1)) for i in range(GRID)) + "]"
+_M = GRID - 1
+
+
+def _grid_u_sql(x: str, g: str) -> str:
+    k = f"len(list_filter({g}, lambda v: v <= {x}))"
+    lo = f"{g}[greatest({k}, 1)]"
+    hi = f"{g}[least({k} + 1, {_M + 1})]"
+    frac = f"(CASE WHEN {hi} > {lo} THEN ({x} - {lo}) / ({hi} - {lo}) ELSE 0.5 END)"
+    u = f"((CAST(greatest({k} - 1, 0) AS DOUBLE) + {frac}) / {float(_M)!r})"
+    return f"(CASE WHEN {k} = 0 THEN {EPS!r} WHEN {k} > {_M} THEN {1 - EPS!r} ELSE {u} END)"
+
+
+def _clip_sql(u: str) -> str:
+    return f"least(greatest({u}, {EPS!r}), {1 - EPS!r})"
+
+
+def _grid_inv_sql(u: str, g: str) -> str:
+    pos = f"(least(greatest({u}, 0.0), 1.0) * {float(_M)!r})"
+    k = f"least(CAST(floor({pos}) AS INTEGER), {_M - 1})"
+    return f"({g}[{k} + 1] + ({pos} - {k}) * ({g}[{k} + 2] - {g}[{k} + 1]))"
+
+
+# Oracle for the copula: exact grids (quantile_cont), the same normal-score
+# and CDF approximations, DuckDB corr(), a closed-form 3x3 Cholesky and the
+# same seeded normal draws.
+COPULA_SQL = f"""
+WITH u AS ({t.USERS_SQL}),
+ga AS (SELECT quantile_cont(acctbal, {_PROBS}) AS g FROM u),
+gn AS (SELECT quantile_cont(CAST(nationkey AS DOUBLE), {_PROBS}) AS g FROM u),
+sc AS (SELECT segment, count(*) AS cnt FROM u GROUP BY segment),
+sp AS (SELECT segment,
+              CAST(coalesce(sum(cnt) OVER (ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+                / (SELECT sum(cnt) FROM sc) AS lo,
+              CAST(sum(cnt) OVER (ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE)
+                / (SELECT sum(cnt) FROM sc) AS hi
+       FROM sc),
+z AS (SELECT {inv_norm_cdf_sql(_clip_sql(_grid_u_sql('u.acctbal', 'ga.g')))} AS z0,
+             {inv_norm_cdf_sql(_clip_sql(_grid_u_sql('CAST(u.nationkey AS DOUBLE)', 'gn.g')))} AS z1,
+             {inv_norm_cdf_sql(_clip_sql('((sp.lo + sp.hi) / 2.0)'))} AS z2
+      FROM u CROSS JOIN ga CROSS JOIN gn JOIN sp ON u.segment = sp.segment),
+cr AS (SELECT corr(z0, z1) AS c10, corr(z0, z2) AS c20, corr(z1, z2) AS c21 FROM z),
+l1 AS (SELECT c10 AS l10, sqrt(1.0 - c10 * c10) AS l11, c20 AS l20, c21 FROM cr),
+ch AS (SELECT l10, l11, l20, (c21 - l20 * l10) / l11 AS l21 FROM l1),
+chol AS (SELECT l10, l11, l20, l21, sqrt(1.0 - (l20 * l20 + l21 * l21)) AS l22 FROM ch),
+r AS (SELECT unnest(range((SELECT count(*) FROM u))) AS i),
+mx AS (SELECT r.i,
+              {norm_cdf_sql("(0.0 + 1.0 * " + normal_sql(SEED, 'r.i', '0') + ")")} AS v0,
+              {norm_cdf_sql("((0.0 + chol.l10 * " + normal_sql(SEED, 'r.i', '0') + ") + chol.l11 * " + normal_sql(SEED, 'r.i', '1') + ")")} AS v1,
+              {norm_cdf_sql("(((0.0 + chol.l20 * " + normal_sql(SEED, 'r.i', '0') + ") + chol.l21 * " + normal_sql(SEED, 'r.i', '1') + ") + chol.l22 * " + normal_sql(SEED, 'r.i', '2') + ")")} AS v2
+       FROM r CROSS JOIN chol),
+gen AS (SELECT mx.i, {_grid_inv_sql('mx.v0', 'ga.g')} AS acctbal,
+               CAST(round({_grid_inv_sql('mx.v1', 'gn.g')}) AS INTEGER) AS nationkey,
+               coalesce((SELECT arg_min(sp.segment, sp.hi) FROM sp WHERE mx.v2 < sp.hi),
+                        (SELECT max(segment) FROM sp)) AS segment
+        FROM mx CROSS JOIN ga CROSS JOIN gn)
+SELECT user_id, round(acctbal, 6) AS acctbal, nationkey, segment, 0 AS __is_synth, 0 AS __cluster,
+       'real' AS __stratum FROM u
+UNION ALL
+SELECT (SELECT coalesce(max(user_id) + 1, 0) FROM u) + i, round(acctbal, 6), nationkey, segment, 1, 1, 'copula'
+FROM gen"""
+
+
+@query("copula_rows", COPULA_SQL)
 def q_copula(spark, d):
     """I7 + I1: a Gaussian copula fitted on customers (balance, nation,
-    segment) generates as many rows as there are customers; they join the
-    pool under fresh keys."""
+    segment; exact quantile grids) generates as many rows as there are
+    customers; they join the pool under fresh keys."""
     users = t.users(spark, d)
-    model = fit_copula(users, ["acctbal", "nationkey"], ["segment"])
+    model = fit_copula(users, ["acctbal", "nationkey"], ["segment"], grid_points=GRID, exact=True)
     n = users.count()
     gen = sample_copula(spark, model, n, SEED)
-    return augment_pool(users, {"copula": gen}, "user_id")
+    pool = augment_pool(users, {"copula": gen}, "user_id")
+    return pool.select("user_id", F.round("acctbal", 6).alias("acctbal"), "nationkey", "segment",
+                       "__is_synth", "__cluster", "__stratum")
