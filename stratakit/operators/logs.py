@@ -188,3 +188,17 @@ def dedup_pairs(log: DataFrame, user_key: str, item_key: str, order_cols: list[s
     keep = order_cols + [c for c in rest if c not in order_cols]
     agg = log.groupBy(user_key, item_key).agg(F.max(F.struct(*keep)).alias("_best"))
     return agg.select(user_key, item_key, *[F.col("_best")[c].alias(c) for c in rest])
+
+
+def get_train_log(history: DataFrame, users: DataFrame, items: DataFrame, user_key: str,
+                  item_key: str, response: Column | None = None, use_synth_items: bool = True,
+                  use_real_items: bool = True, k: int = 3, seed: int = 42,
+                  value_col: str = "relevance") -> DataFrame:
+    """I2 as one call: the users' history over the allowed items; when that
+    is empty, ``k`` random allowed items per user scored by ``response``.
+    The branch is chosen with ``isEmpty()`` (a one-row job), not a count."""
+    allowed = origin_filter(items, use_synth_items, use_real_items)
+    log = restrict_log(history, users, allowed, user_key, item_key)
+    if not log.isEmpty():
+        return log
+    return random_log(users, allowed, user_key, item_key, k, seed, response, value_col)

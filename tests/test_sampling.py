@@ -72,3 +72,18 @@ def test_explode_range_two_levels(spark):
     out = explode_range(df, "n", "j", block=4, spread_cols=["u"])
     got = sorted((r["u"], r["j"]) for r in out.collect())
     assert got == [(1, j) for j in range(10)] + [(3, j) for j in range(3)]
+
+
+def test_get_train_log_falls_back_when_history_is_empty(spark):
+    from stratakit.operators.logs import get_train_log
+    from stratakit.operators.pools import empty_log
+    from stratakit.sources import tables as t
+    users = t.users(spark, SF01).limit(7)
+    items = t.items(spark, SF01)
+    out = get_train_log(empty_log(spark), users, items, "user_id", "item_id",
+                        response=F.lit(1.0), use_synth_items=False)
+    assert out.count() == 21 and out.select("item_id").distinct().count() == 3
+    assert out.columns == ["user_id", "item_id", "relevance", "timestamp"]
+    hist = t.history(spark, SF01)
+    real = get_train_log(hist, users, items, "user_id", "item_id")
+    assert real.count() == hist.join(users.select("user_id"), "user_id", "left_semi").count()
