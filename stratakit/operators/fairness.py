@@ -56,6 +56,29 @@ def metric_frame(df: DataFrame, pred: str, label: str, group: str) -> DataFrame:
                   (F.sum(F.col("accuracy") * F.col("n")) / F.sum("n")).alias("acc_overall"))
 
 
+def fairness_metrics(test: DataFrame, baseline: Column, group: str = "grp", label: str = "label",
+                     before: str = "before", after: str = "after") -> DataFrame:
+    """One-row report - baseline accuracy, accuracy overall and per
+    group before and after relabelling, the gaps, the gap improvement and
+    the accuracy lost per group (one aggregate over the test rows)."""
+    hit_b = (F.col(before) == F.col(label)).cast("double")
+    hit_a = (F.col(after) == F.col(label)).cast("double")
+
+    def by(g, h):
+        return F.avg(F.when(F.col(group) == g, h))
+    m = test.agg(F.avg(hit_b).alias("accuracy_before"), F.avg(hit_a).alias("accuracy_after"),
+                 by(0, hit_b).alias("acc0_before"), by(1, hit_b).alias("acc1_before"),
+                 by(0, hit_a).alias("acc0_after"), by(1, hit_a).alias("acc1_after"))
+    gap_b = F.abs(F.col("acc0_before") - F.col("acc1_before"))
+    gap_a = F.abs(F.col("acc0_after") - F.col("acc1_after"))
+    return m.select(
+        baseline.alias("baseline_accuracy"), "accuracy_before", "accuracy_after",
+        "acc0_before", "acc1_before", "acc0_after", "acc1_after",
+        gap_b.alias("gap_before"), gap_a.alias("gap_after"), (gap_b - gap_a).alias("gap_improvement"),
+        (F.col("acc0_before") - F.col("acc0_after")).alias("loss_group0"),
+        (F.col("acc1_before") - F.col("acc1_after")).alias("loss_group1"))
+
+
 def relabel_expr(probs: Column, group: Column, lam: list[float], pi_a: float, pi_b: float,
                  group_a=1) -> Column:
     """The dual rule as an expression (H7 argmax, lowest class on ties)."""

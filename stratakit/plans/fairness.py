@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from stratakit.functions.arrays import argmax, majority_vote
 from stratakit.functions.rand import U, hash32_sql, u_sql
 from stratakit.operators.logs import PRIMES
-from stratakit.operators.fairness import (baseline_accuracy, group_accuracy, metric_frame, parity_relabel,
+from stratakit.operators.fairness import (baseline_accuracy, fairness_metrics, group_accuracy, metric_frame,
+                                          parity_relabel, relabel_expr,
                                           replicate_lambdas, replicate_samples, vote_relabel)
 from stratakit.operators.models import class_probabilities
 from stratakit.operators.sampling import split_train_test
@@ -141,14 +142,9 @@ def _eval_sql(lam):
             f"FROM pr, pi))")
 
 
-PARITY_SQL = f"""
-WITH RECURSIVE
-raw AS (SELECT c_custkey AS user_id, CAST(c_mktsegment IN ('AUTOMOBILE', 'BUILDING') AS INTEGER) AS grp,
-               {_PU[0]} AS u0, {_PU[1]} AS u1, {_PU[2]} AS u2 FROM customer),
-pr AS (SELECT user_id, grp, u0 / (((CAST(0.0 AS DOUBLE) + u0) + u1) + u2) AS p0,
-              u1 / (((CAST(0.0 AS DOUBLE) + u0) + u1) + u2) AS p1,
-              u2 / (((CAST(0.0 AS DOUBLE) + u0) + u1) + u2) AS p2 FROM raw),
-cn AS (SELECT count_if(grp = 1) AS na, count(*) AS n FROM pr),
+def _dual_ctes() -> str:
+    """CTEs ``cn, pi, it, best`` over a ``pr(grp, p0, p1, p2)`` CTE."""
+    return f"""cn AS (SELECT count_if(grp = 1) AS na, count(*) AS n FROM pr),
 pi AS (SELECT CAST(na AS DOUBLE) / n AS pi_a, CAST(n - na AS DOUBLE) / n AS pi_b,
               CAST(greatest(na, 1) AS DOUBLE) AS da, CAST(greatest(n - na, 1) AS DOUBLE) AS db FROM cn),
 it(i, l0, l1, l2, d0, d1, d2) AS (
@@ -162,12 +158,65 @@ it(i, l0, l1, l2, d0, d1, d2) AS (
         FROM it WHERE i < {PARITY_ITER} AND greatest(abs(d0), abs(d1), abs(d2)) >= {PARITY_TOL!r}) nx,
        LATERAL {_eval_sql(['nx.l0', 'nx.l1', 'nx.l2'])} e
 ),
-best AS (SELECT l0, l1, l2 FROM it ORDER BY greatest(abs(d0), abs(d1), abs(d2)), i LIMIT 1)
+best AS (SELECT l0, l1, l2 FROM it ORDER BY greatest(abs(d0), abs(d1), abs(d2)), i LIMIT 1)"""
+
+
+def _norm_probs_sql(us) -> str:
+    tot = f"(((CAST(0.0 AS DOUBLE) + {us[0]}) + {us[1]}) + {us[2]})"
+    return ", ".join(f"{us[c]} / {tot} AS p{c}" for c in range(K))
+
+
+PARITY_SQL = f"""
+WITH RECURSIVE
+raw AS (SELECT c_custkey AS user_id, CAST(c_mktsegment IN ('AUTOMOBILE', 'BUILDING') AS INTEGER) AS grp,
+               {_PU[0]} AS u0, {_PU[1]} AS u1, {_PU[2]} AS u2 FROM customer),
+pr AS (SELECT user_id, grp, {_norm_probs_sql(['u0', 'u1', 'u2'])} FROM raw),
+{_dual_ctes()}
 SELECT pr.user_id, pr.grp, {_argmax_sql(['p0', 'p1', 'p2'])} AS pred_before,
        {_argmax_sql(_shifted_sql(['best.l0', 'best.l1', 'best.l2']))} AS pred_after
 FROM pr, pi, best"""
 
 
+_DU = [u_sql(SEED, f"'p{c}'", "doc_id") for c in range(K)]
+_R6 = "round({}, 6) AS {}"
+REPORT_SQL = f"""
+WITH RECURSIVE
+lab AS (SELECT l.*, {_norm_probs_sql(_DU)},
+               CASE WHEN {u_sql(SEED, 'doc_id')} < 0.75 THEN 'train' ELSE 'test' END AS split
+        FROM ({LABELLED_SQL}) l),
+pr AS (SELECT grp, p0, p1, p2 FROM lab WHERE split = 'train'),
+{_dual_ctes()},
+te AS (SELECT lab.grp, lab.label, {_argmax_sql(['p0', 'p1', 'p2'])} AS bf,
+              {_argmax_sql(_shifted_sql(['best.l0', 'best.l1', 'best.l2']))} AS af
+       FROM lab, pi, best WHERE lab.split = 'test'),
+m AS (SELECT avg(CAST(bf = label AS DOUBLE)) AS accuracy_before, avg(CAST(af = label AS DOUBLE)) AS accuracy_after,
+             avg(CASE WHEN grp = 0 THEN CAST(bf = label AS DOUBLE) END) AS acc0_before,
+             avg(CASE WHEN grp = 1 THEN CAST(bf = label AS DOUBLE) END) AS acc1_before,
+             avg(CASE WHEN grp = 0 THEN CAST(af = label AS DOUBLE) END) AS acc0_after,
+             avg(CASE WHEN grp = 1 THEN CAST(af = label AS DOUBLE) END) AS acc1_after FROM te),
+bl AS (SELECT CAST(max(n) AS DOUBLE) / sum(n) AS baseline_accuracy
+       FROM (SELECT label, count(*) AS n FROM lab GROUP BY label))
+SELECT {', '.join(_R6.format(c, c) for c in ['baseline_accuracy', 'accuracy_before', 'accuracy_after',
+                                              'acc0_before', 'acc1_before', 'acc0_after', 'acc1_after'])},
+       round(abs(acc0_before - acc1_before), 6) AS gap_before, round(abs(acc0_after - acc1_after), 6) AS gap_after,
+       round(abs(acc0_before - acc1_before) - abs(acc0_after - acc1_after), 6) AS gap_improvement,
+       round(acc0_before - acc0_after, 6) AS loss_group0, round(acc1_before - acc1_after, 6) AS loss_group1
+FROM m, bl"""
+
+
+@query("fairness_report_seeded", REPORT_SQL)
+def q_fairness_report_seeded(spark, d):
+    """I20 + I18 + D7-D9 with seeded class probabilities per document: the
+    dual is fitted on the training split and applied to the test split, and
+    the report is the same as ``fairness_report`` (exactly checkable)."""
+    x = split_train_test(labelled(spark, d), ["doc_id"], SEED)
+    raw = _seeded_probs("doc_id")
+    total = F.aggregate(raw, F.lit(0.0), lambda a, v: a + v)
+    scored = x.withColumn("probs", F.transform(raw, lambda v: v / total))
+    r = _report(x, scored)
+    return r.select(*[F.round(c, 6).alias(c) for c in r.columns])
+
+
 @query("parity_relabel", PARITY_SQL)
 def q_parity(spark, d):
     """I18 + H7: class per customer with equal class rates in both groups."""
@@ -192,33 +241,22 @@ def q_fairness_report(spark, d):
     and after."""
     x = split_train_test(labelled(spark, d), ["doc_id"], SEED)
     scored = class_probabilities(x.where(F.col("split") == "train"), x, FEATURES, "label", seed=SEED)
+    return _report(x, scored)
+
+
+def _report(x, scored):
     train = scored.where(F.col("split") == "train")
-    _, fit = parity_relabel(train, "probs", "grp", K)
-    from stratakit.operators.fairness import relabel_expr
+    _, fit = parity_relabel(train, "probs", "grp", K, max_iter=PARITY_ITER, step=PARITY_STEP, tol=PARITY_TOL)
     test = scored.where(F.col("split") == "test").select(
         "grp", "label", argmax(F.col("probs")).alias("before"),
         relabel_expr(F.col("probs"), F.col("grp"), fit["lambda"], fit["pi_a"], fit["pi_b"]).alias("after"))
-    hit_b = (F.col("before") == F.col("label")).cast("double")
-    hit_a = (F.col("after") == F.col("label")).cast("double")
-
-    def by(g, h):
-        return F.avg(F.when(F.col("grp") == g, h))
-    m = test.agg(F.avg(hit_b).alias("accuracy_before"), F.avg(hit_a).alias("accuracy_after"),
-                 by(0, hit_b).alias("acc0_before"), by(1, hit_b).alias("acc1_before"),
-                 by(0, hit_a).alias("acc0_after"), by(1, hit_a).alias("acc1_after"))
     base = baseline_accuracy(x, "label").select("baseline_accuracy").scalar()
-    return m.select(
-        base.alias("baseline_accuracy"), "accuracy_before", "accuracy_after",
-        "acc0_before", "acc1_before", "acc0_after", "acc1_after",
-        F.abs(F.col("acc0_before") - F.col("acc1_before")).alias("gap_before"),
-        F.abs(F.col("acc0_after") - F.col("acc1_after")).alias("gap_after"),
-        (F.abs(F.col("acc0_before") - F.col("acc1_before"))
-         - F.abs(F.col("acc0_after") - F.col("acc1_after"))).alias("gap_improvement"),
-        (F.col("acc0_before") - F.col("acc0_after")).alias("loss_group0"),
-        (F.col("acc1_before") - F.col("acc1_after")).alias("loss_group1"))
+    return fairness_metrics(test, base)
 
 
 _PRIMES_SQL = "[" + ", ".join(str(p) for p in PRIMES) + "]"
+
+
 def _replicate_ctes(reps_expr: str) -> str:
     """CTEs ending in ``samples(rep, grp, user_id)``: F7 draws in SQL."""
     return f"""c AS (SELECT c_custkey AS user_id, CAST(c_mktsegment IN ('AUTOMOBILE', 'BUILDING') AS INTEGER) AS grp
