@@ -2,10 +2,10 @@
 
 No operator here puts all rows into one window partition.  Two strategies:
 
-* ``row_index`` on one integral column: equal-width buckets between the exact
-  min and max (deterministic), a row_number inside each bucket and a running
-  offset over the per-bucket counts (a table of at most ``buckets`` rows).
-  For distinct integer keys a bucket never holds more than its width.
+* ``row_index`` on one numeric column: approximate-quantile buckets whose
+  bounds are collected once (fixed literals, so recomputation is
+  deterministic), a row_number inside each bucket and a running offset over
+  the per-bucket counts (a table of at most ``buckets`` rows).
 * ``row_index_sorted`` for any order: a global sort (range-partitioned on the
   whole order, so ties on the first column are still split), materialised in
   the shared checkpoint folder so partition ids are stable, then per-partition
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from stratakit.session import checkpointed
 
-DEFAULT_BUCKETS = 4096
+DEFAULT_BUCKETS = 1024
 
 
 def _offsets(counts: DataFrame, bucket: str) -> DataFrame:
@@ -30,20 +30,42 @@ def _offsets(counts: DataFrame, bucket: str) -> DataFrame:
 
 def row_index(df: DataFrame, key: str, index_col: str = "index",
               buckets: int = DEFAULT_BUCKETS, tiebreak: list[str] | None = None) -> DataFrame:
-    """0-based contiguous index in ascending ``key`` order (``key`` integral).
-
-    Ties on ``key`` are ordered by ``tiebreak`` columns when given.
+    """0-based contiguous index in ascending ``key`` order (``key`` numeric).
+
+    One small pass reads min, max and count.  Dense integer keys (range at
+    most 4x the count) use equal-width buckets, which then hold at most 4x the
+    average.  Other keys use approximate-quantile bounds, collected once (at
+    most ``buckets`` numbers), placed by ``Bucketizer``'s binary search.
+    Either way the bucket function is built from literals, so every
+    recomputation assigns the same bucket.  Inside a bucket rows are numbered by a window, and a running
+    offset over the per-bucket counts (a table of at most ``buckets`` rows)
+    makes the numbering global.  Ties on ``key`` are ordered by ``tiebreak``.
     """
-    k = F.col(key)
-    stats = df.agg(F.min(key).alias("mn"), F.max(key).alias("mx"))
-    mn = stats.select("mn").scalar()
-    mx = stats.select("mx").scalar()
-    width = (mx.cast("double") - mn.cast("double") + F.lit(1.0)) / F.lit(float(buckets))
-    bucket = F.floor((k - mn).cast("double") / width).cast("long")
-    b = df.withColumn("_bucket", bucket)
+    from pyspark.ml.feature import Bucketizer
+    st = df.agg(F.min(key).alias("mn"), F.max(key).alias("mx"), F.count(key).alias("n")).first()
+    integral = df.schema[key].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
+    if st["n"] and integral and (st["mx"] - st["mn"] + 1) <= 4 * st["n"]:
+        # dense keys: equal-width buckets; a bucket holds at most its width of
+        # distinct keys, i.e. at most 4x the average bucket
+        rng = st["mx"] - st["mn"] + 1
+        bucket = F.floor((F.col(key) - F.lit(st["mn"])).cast("double") * F.lit(float(buckets))
+                         / F.lit(float(rng))).cast("long")
+        b = df.withColumn("_bucket", bucket)
+    else:
+        qs = [i / buckets for i in range(1, buckets)]
+        bounds = df.select(F.percentile_approx(F.col(key).cast("double"), qs, 10_000)).first()[0]
+        splits = sorted(set(x for x in (bounds or []) if x is not None))
+        b = df.withColumn("_kd", F.col(key).cast("double"))
+        if splits:
+            b = Bucketizer(splits=[-float("inf")] + splits + [float("inf")], inputCol="_kd",
+                           outputCol="_bucketd", handleInvalid="keep").transform(b)
+            b = b.withColumn("_bucket", F.col("_bucketd").cast("long")).drop("_bucketd")
+        else:
+            b = b.withColumn("_bucket", F.lit(0).cast("long"))
+        b = b.drop("_kd")
     counts = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"))
     offs = F.broadcast(_offsets(counts, "_bucket"))
-    order = [k] + [F.col(c) for c in (tiebreak or [])]
+    order = [F.col(key)] + [F.col(c) for c in (tiebreak or [])]
     w = Window.partitionBy("_bucket").orderBy(*order)
     return (b.withColumn("_rn", F.row_number().over(w))
             .join(offs, "_bucket")

@@ -36,6 +36,8 @@ def build_session(master: str | None = None, app: str = "stratakit",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
+        # delete checkpoint files once their DataFrame is garbage-collected
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     conf.update(extra or {})
     for k, v in conf.items():

@@ -87,3 +87,12 @@ def test_get_train_log_falls_back_when_history_is_empty(spark):
     hist = t.history(spark, SF01)
     real = get_train_log(hist, users, items, "user_id", "item_id")
     assert real.count() == hist.join(users.select("user_id"), "user_id", "left_semi").count()
+
+
+def test_row_index_sparse_and_clustered_keys(spark):
+    keys = list(range(1000)) + [10**15, 10**15 + 7, -(10**12)]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    got = [r["k"] for r in row_index(df, "k", "i", buckets=16).orderBy("i").collect()]
+    assert got == sorted(keys)
+    idx = sorted(r["i"] for r in row_index(df, "k", "i", buckets=16).collect())
+    assert idx == list(range(len(keys)))
