@@ -3,13 +3,14 @@ users chosen by strata (D15 D16 H10 I11 I12 I13)."""
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratakit.operators.index import dense_codes, recode, row_index_sorted
+from stratakit.operators.index import dense_codes, recode
 from stratakit.session import bounded_broadcast, local_table
 
 
@@ -20,28 +21,69 @@ def _check_quantiles(qs):
         raise ValueError("quantiles must be unique")
 
 
-def exact_quantiles(df: DataFrame, col: str, qs: list[float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, col: str, qs: list[float], buckets: int = 256) -> DataFrame:
     """Linear-interpolation quantiles (numpy's default, DuckDB's
-    ``quantile_cont``), exactly, on any data size.
-
-    The column is globally sorted (distributed range sort), indexed, and only
-    the two order statistics around each ``(n-1)q`` are picked by an
-    equi-join with a ``len(qs)``-row table.  Returns ``(q, value)`` rows."""
+    ``quantile_cont``), exactly, without sorting the column.
+
+    1. one pass: the count and approximate quantile bounds (``buckets``
+       numbers, collected, so the bucket function is fixed literals);
+    2. rows are bucketed by binary search (``Bucketizer``); the per-bucket
+       counts (at most ``buckets + 1`` rows) locate the bucket and local rank
+       of the two order statistics around each ``(n-1)q``;
+    3. only those few buckets are read again, as *distinct-value counts*
+       (duplicates collapse map-side, so a value held by a third of all rows
+       is one row), and the running count inside each bucket picks the value.
+
+    Returns ``(q, value)`` rows."""
+    from pyspark.ml.feature import Bucketizer
     _check_quantiles(qs)
     spark = df.sparkSession
+    schema = T.StructType([T.StructField("q", T.DoubleType()), T.StructField("value", T.DoubleType())])
     vals = df.select(F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    ranked = row_index_sorted(vals, [F.col("_v")], "_r")
-    n = ranked.select(F.count(F.lit(1))).scalar()
-    qt = local_table(spark, [(float(q),) for q in qs], T.StructType([T.StructField("q", T.DoubleType())]))
-    h = (n - 1).cast("double") * F.col("q")
-    qt = qt.select("q", h.alias("_h"), F.floor(h).cast("long").alias("_lo"),
-                   F.ceil(h).cast("long").alias("_hi"))
-    qt = bounded_broadcast(qt, len(qs))
-    lo = ranked.select(F.col("_r").alias("_lo"), F.col("_v").alias("_vlo"))
-    hi = ranked.select(F.col("_r").alias("_hi"), F.col("_v").alias("_vhi"))
-    j = qt.join(lo, "_lo").join(hi, "_hi")
-    return j.select("q", (F.col("_vlo") + (F.col("_h") - F.col("_lo")) * (F.col("_vhi") - F.col("_vlo")))
-                    .alias("value"))
+    probs = [i / buckets for i in range(1, buckets)]
+    head = vals.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", probs, 10_000).alias("b")).first()
+    n = head["n"]
+    if not n:
+        return local_table(spark, [(float(q), None) for q in qs], schema)
+    splits = sorted(set(x for x in (head["b"] or []) if x is not None))
+    if splits:
+        vb = Bucketizer(splits=[-float("inf")] + splits + [float("inf")], inputCol="_v",
+                        outputCol="_bd", handleInvalid="keep").transform(vals)
+        vb = vb.withColumn("_b", F.col("_bd").cast("long")).drop("_bd")
+    else:
+        vb = vals.withColumn("_b", F.lit(0).cast("long"))
+    counts = sorted((r["_b"], r["c"]) for r in vb.groupBy("_b").agg(F.count(F.lit(1)).alias("c")).collect())
+    starts, acc = [], 0
+    for b, c in counts:
+        starts.append((b, acc, acc + c))
+        acc += c
+
+    def locate(rank):
+        for b, lo, hi in starts:
+            if lo <= rank < hi:
+                return b, rank - lo
+        raise AssertionError("rank outside the table")
+
+    plan, needed = [], {}
+    for q in qs:
+        h = float(n - 1) * q
+        lo, hi = math.floor(h), math.ceil(h)
+        plan.append((q, h, lo, hi))
+        for r in (lo, hi):
+            needed[r] = locate(r)
+    targets = sorted({b for b, _ in needed.values()})
+    vc = (vb.where(F.col("_b").isin(targets)).groupBy("_b", "_v").agg(F.count(F.lit(1)).alias("c")))
+    w = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    vc = vc.withColumn("_incl", F.sum("c").over(w)).withColumn("_excl", F.col("_incl") - F.col("c"))
+    want = local_table(spark, [(b, r_local, r) for r, (b, r_local) in needed.items()],
+                       T.StructType([T.StructField("_b", T.LongType()), T.StructField("_r", T.LongType()),
+                                     T.StructField("_rank", T.LongType())]))
+    hit = (vc.join(F.broadcast(want), "_b")
+           .where((F.col("_excl") <= F.col("_r")) & (F.col("_r") < F.col("_incl")))
+           .select("_rank", "_v").collect())            # at most 2 * len(qs) rows
+    value_at = {r["_rank"]: r["_v"] for r in hit}
+    rows = [(float(q), value_at[lo] + (h - lo) * (value_at[hi] - value_at[lo])) for q, h, lo, hi in plan]
+    return local_table(spark, rows, schema)
 
 
 def quantile_edges(df: DataFrame, col: str, qs: list[float], exact: bool = True,

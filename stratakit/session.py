@@ -99,14 +99,34 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> Da
     return F.broadcast(df) if n <= max_rows else df
 
 
+def _sql_literal(v) -> str:
+    import math
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, int):
+        return str(v)
+    if isinstance(v, float):
+        if math.isnan(v):
+            return "CAST('NaN' AS DOUBLE)"
+        if math.isinf(v):
+            return "CAST('Infinity' AS DOUBLE)" if v > 0 else "CAST('-Infinity' AS DOUBLE)"
+        return repr(v) + "D"          # shortest repr round-trips to the same double
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def local_table(spark: SparkSession, rows: list, schema) -> DataFrame:
-    """A small parameter table (quotas, quantile positions...) built in the JVM
-    from literals (``inline`` over one row), not from a Python RDD."""
+    """A small parameter table (quotas, quantile positions...) as one SQL
+    ``VALUES`` relation: a JVM ``LocalRelation`` built in one call, not a
+    Python RDD and not thousands of literal expressions."""
     if not rows:
         return spark.createDataFrame([], schema)
-    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, schema.fields)])
-               for r in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    names = [f"c{i}" for i in range(len(schema.fields))]
+    values = ", ".join("(" + ", ".join(_sql_literal(v) for v in r) + ")" for r in rows)
+    cols = ", ".join(f"CAST({n} AS {f.dataType.simpleString()}) AS `{f.name}`"
+                     for n, f in zip(names, schema.fields))
+    return spark.sql(f"SELECT {cols} FROM VALUES {values} AS t({', '.join(names)})")
 
 
 def spread_for_cpu(df: DataFrame) -> DataFrame:
