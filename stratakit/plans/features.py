@@ -258,7 +258,10 @@ def q_user_features(spark, d):
     cat = genre_multi_hot(catalogue(spark, d), "genres", "genre_hot")
     vocab = genre_vocabulary(catalogue(spark, d), "genres")
     j = h.join(cat.select("item_id", "genre_hot"), "item_id")
-    means = mean_vectors(j, "user_id", "genre_hot", None, "share")
+    # the vocabulary is small and bounded; its size makes the mean one hash
+    # aggregate of per-genre sums
+    n_genres = len(spark.range(1).select(vocab).first()[0] or [])
+    means = mean_vectors(j, "user_id", "genre_hot", None, "share", dim=n_genres)
     ra = mean_by_key(h, "user_id", "relevance", "rating_avg")
     out = (means.select("user_id", F.posexplode("share").alias("_i", "share"))
            .withColumn("genre", F.element_at(vocab, F.col("_i") + 1))
