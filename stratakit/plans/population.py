@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratakit.functions.rand import U, bernoulli, hash32, hash32_sql, normal_sql, u_sql
+from stratakit.functions.rand import bernoulli, hash32, hash32_sql, normal_sql, u_sql
 from stratakit.operators.index import row_index, row_index_sorted
 from stratakit.operators.pools import augment_pool, pool_counts
 from stratakit.operators.responses import (append_history, bernoulli_response,
