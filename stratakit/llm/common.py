@@ -47,9 +47,9 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
 
 def latest_earlier(events: DataFrame, keys: list[str], order: str, value: str,
                    out: str, bucket: int = 4096) -> DataFrame:
-    """For every row, the ``value`` of the last row of the same ``keys`` with a
-    non-null ``value`` and a strictly smaller ``order`` (a non-null integer);
-    null where there is none.
+    """``events`` with ``out``: the ``value`` of the last row of the same
+    ``keys`` that has a value and a strictly smaller ``order``; null where
+    there is none.  ``keys`` and ``order`` (an integer) are not null.
 
     The as-of lookup runs on two levels, so that a key holding a third of all
     rows isn't sorted in one task: windows inside (keys, order // bucket), and
@@ -57,24 +57,26 @@ def latest_earlier(events: DataFrame, keys: list[str], order: str, value: str,
     bucket.  Rows of equal ``order`` don't see each other; where several rows
     with a value share an ``order``, the largest value counts.
     """
-    e = events.withColumn("_b", F.floor(F.col(order) / F.lit(bucket)).cast("long"))
-    inside = (Window.partitionBy(*keys, "_b").orderBy(order)
-              .rangeBetween(Window.unboundedPreceding, -1))
-    # the struct's maximum is the latest order, then the largest value
+    part = F.floor(F.col(order) / F.lit(bucket)).cast("bigint").alias("_part")
     mark = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("o"), F.col(value).alias("v")))
-    e = e.withColumn("_in", F.max(mark).over(inside))
-    tops = (events.filter(F.col(value).isNotNull())
-            .groupBy(*keys, F.floor(F.col(order) / F.lit(bucket)).cast("long").alias("_b"))
-            .agg(F.max(mark).alias("_top")))
-    # a bucket sees the top of the nearest filled bucket before it
-    marks = (e.select(*keys, "_b").distinct().withColumn("_top", F.lit(None).cast(tops.schema["_top"].dataType))
-             .unionByName(tops).groupBy(*keys, "_b").agg(F.max("_top").alias("_top")))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    marks = marks.withColumn("_prev", F.max("_top").over(before)).drop("_top")
-    cond = [e[k].eqNullSafe(marks[k]) for k in keys] + [e["_b"] == marks["_b"]]
-    on = cond[0]
-    for c in cond[1:]:
-        on = on & c
-    joined = e.join(marks, on, "left").select(
-        *[e[c] for c in events.columns], F.coalesce(e["_in"], marks["_prev"])["v"].alias(out))
-    return joined
+    inside = (Window.partitionBy(*keys, "_part").orderBy(order)
+              .rangeBetween(Window.unboundedPreceding, -1))
+    seen = events.select("*", part).withColumn("_own", F.max(mark).over(inside))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = (events.groupBy(*keys, part).agg(F.max(mark).alias("_top"))
+             .select(*keys, "_part", F.max("_top").over(before).alias("_earlier")))
+    return (seen.join(parts, [*keys, "_part"])
+            .select(*events.columns, F.coalesce("_own", "_earlier")["v"].alias(out)))
+
+
+def rank_in_key(rows: DataFrame, keys: list[str], order: str, out: str, bucket: int = 4096) -> DataFrame:
+    """``rows`` with ``out``: how many rows of the same ``keys`` have a smaller
+    ``order`` (no nulls), on the same two levels."""
+    part = F.floor(F.col(order) / F.lit(bucket)).cast("bigint").alias("_part")
+    inside = Window.partitionBy(*keys, "_part").orderBy(order)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = (rows.groupBy(*keys, part).agg(F.count("*").alias("_n"))
+             .select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    return (rows.select("*", part).withColumn("_in", F.rank().over(inside) - 1)
+            .join(parts, [*keys, "_part"])
+            .select(*rows.columns, (F.col("_before") + F.col("_in")).cast("bigint").alias(out)))

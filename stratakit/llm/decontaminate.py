@@ -241,14 +241,15 @@ def _one_pass(docs: DataFrame, carried: list[str], text_col: str, shared, window
         matcher = _matcher(key, shared.value, window)
         for batch in slices(batches):
             got = matcher.match(texts_of(batch, "_text"))
-            cols = [batch.column(c) for c in carried] + [
+            cols = [batch.column(f"_own{i}") for i in range(len(carried))] + [
                 pa.array([n for n, _, _ in got], pa.int64()),
                 pa.array([sum(b - a for a, b in spans) for _, spans, _ in got], pa.int64()),
                 pa.array([sorted(i for i in items if i is not None) for _, _, items in got], pa.list_(pa.string())),
                 pa.array([spans for _, spans, _ in got], pa.list_(pa.list_(pa.int64())))]
             yield pa.RecordBatch.from_arrays(cols, names=carried + RESULT.names)
 
-    return docs.select(*carried, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(c).alias(f"_own{i}") for i, c in enumerate(carried)],
+                       F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
 def shards_of(benchmark: DataFrame, item_col: str, text_col: str, max_words: int) -> int:

@@ -241,9 +241,10 @@ def quality_rules(docs: DataFrame, field: LineField, text_col: str = "text",
         own = LineField(weights, change)
         for batch in slices(batches):
             got = [judge(t, own, min_share) for t in texts_of(batch, "_text")]
-            cols = [batch.column(c) for c in carried]
+            cols = [batch.column(f"_own{i}") for i in range(len(carried))]
             cols += [pa.array(v, pa.bool_() if f.dataType == T.BooleanType() else pa.int64())
                      for v, f in zip(zip(*got), RESULT.fields)]
             yield pa.RecordBatch.from_arrays(cols, names=carried + RESULT.names)
 
-    return docs.select(*carried, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(c).alias(f"_own{i}") for i, c in enumerate(carried)],
+                       F.col(text_col).alias("_text")).mapInArrow(run, schema)

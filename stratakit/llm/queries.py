@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, repair, secrets, simhash
+from . import decontaminate, lattice, packing, quality, quotes, repair, secrets, simhash, urls, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,36 @@ def query(fn):
     return fn
 
 
+UP, LOW = urls.UPPER, urls.LOWER
+
+
+@query
+def op1_revisits(spark, sf_dir):
+    """Revisits of all pages against all full responses."""
+    found = warc.resolve_revisits(warc.page_records(table(spark, sf_dir, "pages")))
+    return found.withColumn("headers", warc.headers_text(F.col("headers")))
+
+
+ORACLES["op1_revisits"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strpos(url, '://') > 0 AS ok, substr(url, strpos(url, '://') + 3) AS rest FROM pages),
+k AS (SELECT page_id, h, CASE WHEN ok THEN
+  regexp_replace(regexp_replace(translate(regexp_extract(rest, '^[^/?#]*'), '{UP}', '{LOW}'), '^www\\.', ''), ':(80|443)$', '')
+  || regexp_replace(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '/+$', '') END AS place,
+  list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\\?([^#]*)', 1), '&'),
+    lambda f: f <> '' AND NOT regexp_matches(f, '{warc.TRACKING}'))) AS fields FROM p),
+f AS (SELECT page_id, place || CASE WHEN len(fields) > 0 THEN '?' || array_to_string(fields, '&') ELSE '' END AS url_key,
+  sha256(h) AS sha, '"' || substr(sha256(h), 1, 16) || '"' AS etag, length(h) AS n FROM k),
+r AS (SELECT page_id, page_id + 500 AS ts, url_key, etag FROM f),
+j AS (SELECT r.*, s.page_id AS source, s.etag AS s_etag, s.sha, s.n FROM r ASOF LEFT JOIN f s ON r.url_key = s.url_key AND r.ts > s.page_id)
+SELECT 2 * page_id + 1 AS record_id, url_key, ts, 2 * source AS source_id,
+  CASE WHEN url_key IS NULL THEN 'no_url' WHEN source IS NULL THEN 'no_response' WHEN etag = s_etag THEN 'resolved' ELSE 'mismatch' END AS status,
+  CASE WHEN source IS NOT NULL AND etag = s_etag
+    THEN 'content-length: ' || n || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || ts || chr(10) || 'etag: ' || etag
+    ELSE 'Connection: close' || chr(10) || 'Content-Length: 0' || chr(10) || 'Date: ' || ts || chr(10) || 'ETag: ' || etag END AS headers,
+  CASE WHEN source IS NOT NULL AND etag = s_etag THEN sha END AS payload_sha256
+FROM j"""
+
+
 @query
 def op2_simhash(spark, sf_dir):
     """SimHash classes of all documents."""
@@ -112,3 +142,85 @@ def op6_quality(spark, sf_dir):
 def op8_packing(spark, sf_dir):
     """All documents' pieces in sequences of 4096 ids."""
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_quotes(spark, sf_dir):
+    """All conversations' messages in reply order, without quotes."""
+    return quotes.link_quotes(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op7_quotes"] = """
+WITH m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, coalesce(text, '') AS t FROM conversations),
+l AS (SELECT rid, conv_id, turn, i, lines[i] AS line, regexp_extract(lines[i], '^([ \\t]*>)+') AS prefix
+      FROM (SELECT *, string_split_regex(t, '\\r?\\n') AS lines, unnest(range(1, len(string_split_regex(t, '\\r?\\n')) + 1)) AS i FROM m)),
+b AS (SELECT rid, conv_id, turn, i, length(regexp_replace(prefix, '[^>]', '', 'g')) AS level,
+      regexp_replace(line, '^([ \\t]*>)+[ \\t]?', '') AS body FROM l),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY rid, level ORDER BY i) AS run FROM b),
+p AS (SELECT rid, conv_id, turn, level, run, min(i) AS i, string_agg(body, chr(10) ORDER BY i) AS text FROM g GROUP BY ALL),
+parts AS (SELECT rid, conv_id, turn, level, unnest(list_concat([text], string_split(text, chr(10)))) AS part FROM p),
+u AS (SELECT DISTINCT rid, conv_id, turn, level, trim(regexp_replace(lower(part), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS unit FROM parts
+      WHERE regexp_matches(part, '[\\p{L}\\p{N}]') AND conv_id IS NOT NULL AND turn IS NOT NULL),
+q AS (SELECT conv_id, turn, unit, min(level) AS level FROM u WHERE level > 0 GROUP BY ALL),
+own AS (SELECT DISTINCT conv_id, turn, unit FROM u WHERE level = 0),
+v AS (SELECT conv_id, turn, level, from_turn, count(*) AS n FROM (
+        SELECT q.conv_id, q.turn, q.unit, q.level, max(own.turn) AS from_turn FROM q JOIN own
+        ON q.conv_id = own.conv_id AND q.unit = own.unit AND own.turn < q.turn GROUP BY ALL) GROUP BY ALL),
+r AS (SELECT conv_id, turn, arg_max(from_turn, (-level, n, from_turn)) AS quoted, sum(n) AS n_linked FROM v GROUP BY ALL),
+o AS (SELECT conv_id, turn, lag(turn) OVER w AS previous, row_number() OVER w - 1 AS position
+      FROM (SELECT DISTINCT conv_id, turn FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+x AS (SELECT rid, count(*) FILTER (level > 0) AS n_quotes, max(level) AS max_level,
+      trim(coalesce(string_agg(text, chr(10) ORDER BY i) FILTER (level = 0), '')) AS text FROM p GROUP BY rid)
+SELECT m.conv_id, m.turn, m.role, o.position, coalesce(quoted, previous) AS reply_to,
+  CASE WHEN quoted IS NOT NULL THEN 'quote' WHEN previous IS NOT NULL THEN 'previous' ELSE 'none' END AS link,
+  n_quotes, CAST(max_level AS INTEGER) AS max_level, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, x.text
+FROM m JOIN x USING (rid) LEFT JOIN o ON m.conv_id = o.conv_id AND m.turn = o.turn
+LEFT JOIN r ON m.conv_id = r.conv_id AND m.turn = r.turn"""
+
+
+@query
+def op9_urls(spark, sf_dir):
+    """All pages' urls under the rules, aliases by their html's links."""
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge_urls(pages, urls.html_edges(pages))
+
+
+_HOST = f"translate(regexp_extract(rest, '^[^/?#]*'), '{UP}', '{LOW}')"
+_PLACE = f"""{_HOST} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+  CASE WHEN ok THEN translate(string_split(url, '://')[1], '{UP}', '{LOW}') || '://' || {_HOST} || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) END AS node"""
+_REST = "strpos(url, '://') > 0 AS ok, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest"
+ORACLES["op9_urls"] = f"""
+WITH RECURSIVE rules(rh, rp, rv) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urls.RULES)}),
+pages0 AS (SELECT page_id, url, html, {_REST} FROM pages),
+pg AS (SELECT page_id, url, html, {_PLACE} FROM pages0),
+hrefs AS (SELECT url, host, path, unnest(list_concat(
+    list_transform(list_filter(regexp_extract_all(html, '(?is)<link\\s[^>]*>'), lambda t: regexp_matches(t, '(?is)\\srel\\s*=\\s*["'']?canonical["''\\s/>]')),
+      lambda t: regexp_extract(t, '(?is)\\shref\\s*=\\s*["'']?([^"''\\s>]+)', 1)),
+    list_transform(list_filter(regexp_extract_all(html, '(?is)<meta\\s[^>]*>'), lambda t: regexp_matches(t, '(?is)\\shttp-equiv\\s*=\\s*["'']?refresh["''\\s/>]')),
+      lambda t: regexp_extract(t, '(?is)[;\\s]url\\s*=\\s*["'']?([^"''\\s>]+)', 1)))) AS href FROM pg WHERE url IS NOT NULL),
+tied AS (SELECT url AS src, CASE WHEN contains(href, '://') THEN href
+    WHEN starts_with(href, '//') THEN string_split(url, '://')[1] || ':' || href
+    WHEN starts_with(href, '/') THEN string_split(url, '://')[1] || '://' || host || href
+    ELSE string_split(url, '://')[1] || '://' || host || regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '[^/]*$', '') || href END AS dst
+  FROM hrefs WHERE href <> ''),
+ends AS (SELECT DISTINCT url FROM (SELECT src AS url FROM tied UNION ALL SELECT dst FROM tied)),
+nodes AS (SELECT url, {_PLACE} FROM (SELECT url, {_REST} FROM ends)),
+e AS (SELECT a.node AS a, b.node AS b FROM tied JOIN nodes a ON a.url = src JOIN nodes b ON b.url = dst
+      WHERE a.node IS NOT NULL AND b.node IS NOT NULL AND a.node <> b.node),
+e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(a, b) AS (SELECT a, b FROM e2 UNION SELECT r.a, e2.b FROM reach r JOIN e2 ON r.b = e2.a),
+places AS (SELECT DISTINCT host, path FROM pg UNION SELECT DISTINCT host, path FROM nodes),
+fit AS (SELECT host, path, arg_max(rh || rp, (length(rh || rp), length(rh))) AS rule, arg_max(rv, (length(rh || rp), length(rh))) AS rv
+        FROM places JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY ALL),
+comp AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY a),
+decided AS (SELECT component, min(fit.rv) AS av FROM comp JOIN (SELECT DISTINCT node, host, path FROM nodes) n USING (node)
+            JOIN fit USING (host, path) GROUP BY component)
+SELECT page_id, pg.host, pg.path, fit.rule, coalesce(fit.rv, av, 'allow') AS verdict, comp.component
+FROM pg LEFT JOIN fit ON fit.host = pg.host AND fit.path = pg.path
+LEFT JOIN comp ON comp.node = pg.node LEFT JOIN decided ON decided.component = comp.component"""
+
+
+@query
+def op10_lattice(spark, sf_dir):
+    """Scores of all documents, learned from the training ones."""
+    return lattice.score_documents(table(spark, sf_dir, "documents"))

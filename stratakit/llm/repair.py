@@ -91,8 +91,12 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, rules_a_round: in
         got = place[pair]
         taken = got < len(best)
         at, got = at[taken], got[taken]
-        # Where occurrences overlap the more frequent pair wins, then the left
-        # one; the loser waits for the next round.
+        # In a run of one symbol every second occurrence overlaps.
+        fresh = np.append(True, (at[1:] != at[:-1] + 1) | (got[1:] != got[:-1]))
+        place_in_run = np.arange(len(at)) - np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+        at, got = at[place_in_run % 2 == 0], got[place_in_run % 2 == 0]
+        # Where different pairs overlap the more frequent one wins; the other
+        # waits for the next round.
         rank = got.astype(np.int64) * len(seq) + at
         keep = np.ones(len(at), dtype=bool)
         touch = at[1:] == at[:-1] + 1
