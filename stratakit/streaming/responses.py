@@ -2,9 +2,9 @@
 positive responses to a history table (I3 + G3 on a stream).
 
 The response components use only the seeded uniform, so a pair gets the same
-response whichever micro-batch, partition or retry evaluates it; the append
-sink is idempotent per batch id (a batch that is replayed after a failure
-rewrites the same rows under the same ``batch_id`` partition)."""
+response whichever micro-batch, partition or retry evaluates it.  The append
+sink writes one partition per (stream, batch): a batch that is replayed after a
+failure or a restart rewrites its own partition and no other."""
 
 from __future__ import annotations
 
@@ -13,8 +13,6 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratakit.session import ensure_checkpoint_dir
-
 
 def score_stream(pairs: DataFrame, users: DataFrame, items: DataFrame, user_key: str,
                  item_key: str, actions: Mapping[str, Column]) -> DataFrame:
@@ -24,23 +22,26 @@ def score_stream(pairs: DataFrame, users: DataFrame, items: DataFrame, user_key:
 
 
 def append_positive_responses(scored: DataFrame, history_path: str, user_key: str, item_key: str,
+                              stream_id: str, checkpoint_location: str,
                               flag_col: str = "rated", value_col: str = "relevance",
-                              checkpoint_location: str | None = None, trigger_once: bool = True):
+                              trigger_once: bool = True):
     """G3 as a streaming sink: rows with ``flag_col == 1`` are written to
-    parquet at ``history_path`` with timestamp 0, partitioned by batch id.
-    The checkpoint goes under the session's shared checkpoint folder unless
-    given."""
-    spark = scored.sparkSession
-    if checkpoint_location is None:
-        checkpoint_location = ensure_checkpoint_dir(spark).rstrip("/") + "/append_history_stream"
-
+    parquet at ``history_path`` with timestamp 0, in one partition for each
+    ``stream_id`` and batch.
+
+    ``checkpoint_location`` is a lasting folder of this stream: a restart that
+    names it goes on where the last run ended.  It has no default, because a
+    folder that an application makes for itself is a new one after a restart,
+    and the source would be read again from its start.  A stream that is meant
+    to begin anew (with a new folder) takes a new ``stream_id``, so its batches
+    don't overwrite those of the old one."""
     def write(batch: DataFrame, batch_id: int) -> None:
         out = (batch.where(F.col(flag_col) == 1)
                .select(user_key, item_key, F.col(value_col).cast("double").alias(value_col),
                        F.lit(0).cast("long").alias("timestamp"),
-                       F.lit(batch_id).cast("long").alias("batch_id")))
+                       F.lit(stream_id).alias("stream_id"), F.lit(batch_id).cast("long").alias("batch_id")))
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(history_path))
+         .partitionBy("stream_id", "batch_id").parquet(history_path))
 
     w = scored.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_location)
     if trigger_once:
