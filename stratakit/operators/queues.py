@@ -1,61 +1,32 @@
-"""Queue-rule replay over many task sets.
+"""Task-set measures that are relational (E5, D12 for MINDL, busy periods).
 
 A task set ("instance") holds tasks ``(task_no, arrival, processing,
-deadline)`` for one non-preemptive server.  Rules (SURVEY §2.11):
-
-* MINDL - smallest deadline;
-* SF    - smallest slack factor (deadline - t) / processing;
-* BTSF(alpha) - SF, but when the SF winner is the "big" ready task
-  (processing > alpha * mean of the other ready ones) the previous incumbent
-  of the scan runs instead.
-
-Ties go to the larger task number (scan in task order with ``<=``).  The clock
-idles in whole steps, so with integer data it resumes exactly at the next
-arrival.
-
-Every rule keeps the server busy while work is waiting, so *busy periods* do
-not depend on the rule; they are found with running windows, and each period
-is replayed alone.  Periods are hashed into buckets and replayed with one
-``applyInPandas`` call per bucket, so the Python work of a large instance is
-spread over many tasks and no call handles a whole table.
+deadline)`` for one non-preemptive server.  Every scheduling rule that keeps
+the server busy while work waits has the same *busy periods*; they, the task
+numbers and the MINDL order of tasks that are all there at time 0 are running
+sums and maxima.  These are computed as chunked prefix scans over one globally
+sorted index, whatever the size of an instance: windows run inside
+(instance, chunk) segments of at most ``CHUNK_ROWS`` rows, and a small
+per-segment table carries sums and maxima of earlier segments.
+
+Replaying the rules step by step is a queue simulator and not part of this
+package.
 """
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-RULES = ("MINDL", "SF", "BTSF")
 
+from stratakit.operators.index import row_index_sorted
 
 CHUNK_ROWS = 100_000
 
 
-def largest_group(df: DataFrame, key: str) -> int:
-    """Rows in the largest group (partial aggregation, one small job)."""
-    r = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return int(r or 0)
-
-
-def number_tasks(df: DataFrame, instance: str, order: list[str], out_col: str = "task_no",
-                 chunked: bool | None = None) -> DataFrame:
-    """E5: task number 1..n inside each instance in the given order.
-
-    When every instance has at most ``CHUNK_ROWS`` tasks (checked), a window
-    per instance is bounded and is used.  Otherwise the chunked form: one
-    global index over (instance, order) - a balanced range sort - minus each
-    instance's first index (a partial aggregate), so a huge task set is never
-    numbered in a single window task."""
-    if chunked is None:
-        chunked = largest_group(df, instance) > CHUNK_ROWS
-    if not chunked:
-        w = Window.partitionBy(instance).orderBy(*order)
-        return df.withColumn(out_col, F.row_number().over(w))
-    from stratakit.operators.index import row_index_sorted
+def number_tasks(df: DataFrame, instance: str, order: list[str], out_col: str = "task_no") -> DataFrame:
+    """E5: task number 1..n inside each instance in the given order: one global
+    index over (instance, order) minus each instance's first index (a partial
+    aggregate), so a huge task set is never numbered in a single task."""
     g = row_index_sorted(df, [F.col(instance)] + [F.col(c) for c in order], "_g")
     first = g.groupBy(instance).agg(F.min("_g").alias("_g0"))
     return (g.join(first, instance)
@@ -63,38 +34,13 @@ def number_tasks(df: DataFrame, instance: str, order: list[str], out_col: str =
             .drop("_g", "_g0"))
 
 
-def busy_periods(tasks: DataFrame, instance: str = "instance_id",
-                 chunk_rows: int | None = CHUNK_ROWS, auto: bool = True) -> DataFrame:
+def busy_periods(tasks: DataFrame, instance: str = "instance_id", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Busy-period id (0-based, per instance) for every task.
 
     In (arrival, task_no) order with S the running processing sum, the work
     queued before task i ends at ``max_{j<i}(a_j - S_{j-1}) + S_{i-1}``; task
-    i opens a new period when it arrives at or after that instant.
-
-    With ``chunk_rows`` the running sum and running max are computed as a
-    chunked prefix scan: rows get a global index in (instance, arrival,
-    task_no) order, windows run inside (instance, chunk) segments of at most
-    ``chunk_rows`` rows, and a small per-segment table carries the sums and
-    maxima of earlier segments.  ``chunk_rows=None`` uses plain windows per
-    instance.  With ``auto`` the plain windows are also used when no instance
-    is larger than ``chunk_rows`` (checked), since they are bounded then."""
+    i opens a new period when it arrives at or after that instant."""
     a = F.greatest(F.col("arrival"), F.lit(0))
-    if chunk_rows is not None and auto and largest_group(tasks, instance) <= chunk_rows:
-        chunk_rows = None
-    if chunk_rows is None:
-        w = Window.partitionBy(instance).orderBy("arrival", "task_no")
-        run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        before = w.rowsBetween(Window.unboundedPreceding, -1)
-        x = (tasks.withColumn("_s", F.sum("processing").over(run))
-             .withColumn("_sprev", F.col("_s") - F.col("processing"))
-             .withColumn("_x", a - F.col("_sprev")))
-        x = x.withColumn("_mprev", F.max("_x").over(before))
-        new = F.when(F.col("_mprev").isNull() | (a >= F.col("_mprev") + F.col("_sprev")), 1).otherwise(0)
-        x = x.withColumn("_new", new)
-        return (x.withColumn("period", (F.sum("_new").over(run) - 1).cast("long"))
-                .drop("_s", "_sprev", "_x", "_mprev", "_new"))
-
-    from stratakit.operators.index import row_index_sorted
     cols = tasks.columns
     g = row_index_sorted(tasks, [F.col(instance), F.col("arrival"), F.col("task_no")], "_g")
     g = g.withColumn("_c", F.floor(F.col("_g") / F.lit(chunk_rows)).cast("long"))
@@ -124,182 +70,10 @@ def busy_periods(tasks: DataFrame, instance: str = "instance_id",
     return x.select(*cols, (F.col("_nbefore") + F.col("_nl") - 1).cast("long").alias("period"))
 
 
-# ------------------------------------------------------------------ replay
-def _choose(rule: str, ready: list, t: float, alpha: float) -> int:
-    """Index into ``ready`` (tasks sorted by task_no) of the task to run.
-    A task is (task_no, arrival, processing, deadline)."""
-    if rule == "MINDL":
-        best, bd = -1, math.inf
-        for i, (_, _, _, d) in enumerate(ready):
-            if d <= bd:
-                best, bd = i, d
-        return best
-    best, bk, prev = -1, math.inf, -1
-    for i, (_, _, p, d) in enumerate(ready):
-        k = (d - t) / p
-        if k <= bk:
-            prev = best if best != -1 else i
-            best, bk = i, k
-    if rule == "SF" or len(ready) < 2:
-        return best
-    # BTSF: the big ready task is the first one with the largest processing
-    big, bp, total = -1, -math.inf, 0.0
-    for i, (_, _, p, _) in enumerate(ready):
-        total += p
-        if p > bp:
-            big, bp = i, p
-    if best == big and bp > alpha * (total - bp) / (len(ready) - 1):
-        return prev
-    return best
-
-
-def replay_rule(tasks: list, rule: str, alpha: float = 1.0, t0: float = 0.0) -> list:
-    """Replay one rule; ``tasks`` are (task_no, arrival, processing, deadline).
-    Returns (task_no, start, finish) in run order."""
-    pending = sorted(tasks)
-    out = []
-    t = t0
-    while pending:
-        ready = [x for x in pending if x[1] <= t]
-        if not ready:
-            t += math.ceil(min(x[1] for x in pending) - t)
-            continue
-        c = ready[_choose(rule, ready, t, alpha)]
-        start = t
-        t = t + c[2]
-        out.append((c[0], start, t))
-        pending.remove(c)
-    return out
-
-
-REPLAY_SCHEMA = T.StructType([
-    T.StructField("instance_id", T.StringType()),
-    T.StructField("rule", T.StringType()),
-    T.StructField("task_no", T.LongType()),
-    T.StructField("start", T.DoubleType()),
-    T.StructField("finish", T.DoubleType()),
-    T.StructField("lateness", T.DoubleType()),
-])
-
-
-def _replay_bucket(alpha: float, rules: tuple):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["instance_id", "period", "task_no"], kind="stable")
-        inst = pdf["instance_id"].tolist()
-        per = pdf["period"].tolist()
-        no = pdf["task_no"].tolist()
-        arr = pdf["arrival"].tolist()
-        prc = pdf["processing"].tolist()
-        ddl = pdf["deadline"].tolist()
-        out = {f.name: [] for f in REPLAY_SCHEMA.fields}
-
-        def emit(i, rule, task, s, f, d):
-            out["instance_id"].append(i)
-            out["rule"].append(rule)
-            out["task_no"].append(task)
-            out["start"].append(s)
-            out["finish"].append(f)
-            out["lateness"].append(max(f - d, 0.0))
-
-        n = len(no)
-        s = 0
-        while s < n:
-            e = s + 1
-            while e < n and inst[e] == inst[s] and per[e] == per[s]:
-                e += 1
-            if e - s == 1:      # a lone task runs on arrival under every rule
-                start = max(0.0, arr[s])
-                for rule in rules:
-                    emit(inst[s], rule, no[s], start, start + prc[s], ddl[s])
-            else:
-                tasks = list(zip(no[s:e], arr[s:e], prc[s:e], ddl[s:e]))
-                dl = {x[0]: x[3] for x in tasks}
-                t0 = max(0.0, min(arr[s:e]))
-                for rule in rules:
-                    for task, st, f in replay_rule(tasks, rule, alpha, t0):
-                        emit(inst[s], rule, task, st, f, dl[task])
-            s = e
-        return pd.DataFrame(out)
-    return fn
-
-
-def replay(tasks: DataFrame, rules: tuple = RULES, alpha: float = 1.0,
-           rows_per_bucket: int = 20_000, split_periods: bool | None = None) -> DataFrame:
-    """Finish time of every task under every rule.
-
-    ``tasks``: instance_id, task_no, arrival, processing (> 0), deadline.
-    Busy periods are used when arrival and processing are integers (checked
-    with one aggregate unless ``split_periods`` is given); otherwise each
-    instance is replayed whole."""
-    for r in rules:
-        if r not in RULES:
-            raise ValueError(f"unknown rule {r}")
-    t = tasks.select(F.col("instance_id").cast("string").alias("instance_id"),
-                     F.col("task_no").cast("long").alias("task_no"),
-                     F.col("arrival").cast("double").alias("arrival"),
-                     F.col("processing").cast("double").alias("processing"),
-                     F.col("deadline").cast("double").alias("deadline"))
-    # one two-level aggregate: sizes, validity and integrality in a single pass
-    per = t.groupBy("instance_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(F.col("processing") <= 0, 1).otherwise(0)).alias("bad"),
-        F.sum(F.when((F.col("arrival") != F.floor("arrival")) |
-                     (F.col("processing") != F.floor("processing")), 1).otherwise(0)).alias("frac"))
-    stats = per.agg(F.sum("n").alias("n"), F.max("n").alias("largest"),
-                    F.sum("bad").alias("bad"), F.sum("frac").alias("frac")).first()
-    if stats["bad"]:
-        raise ValueError("processing must be > 0")
-    if split_periods is None:
-        split_periods = stats["frac"] == 0
-    if split_periods:
-        chunk = CHUNK_ROWS if (stats["largest"] or 0) > CHUNK_ROWS else None
-        t = busy_periods(t, chunk_rows=chunk, auto=False)
-    else:
-        t = t.withColumn("period", F.lit(0).cast("long"))
-    par = tasks.sparkSession.sparkContext.defaultParallelism
-    buckets = max(par, math.ceil((stats["n"] or 0) / rows_per_bucket))
-    t = t.withColumn("_bucket", F.abs(F.xxhash64("instance_id", "period")) % buckets)
-    return t.groupBy("_bucket").applyInPandas(_replay_bucket(alpha, tuple(rules)), REPLAY_SCHEMA)
-
-
-def total_lateness(replayed: DataFrame) -> DataFrame:
-    """Sum of max(finish - deadline, 0) per instance and rule."""
-    return replayed.groupBy("instance_id", "rule").agg(F.sum("lateness").alias("total_lateness"))
-
-
-def compare_rules(totals: DataFrame) -> DataFrame:
-    """D13 + H8: per instance the three totals and the ratios MINDL/SF,
-    SF/BTSF, MINDL/BTSF (null when the divisor is 0)."""
-    p = (totals.groupBy("instance_id").pivot("rule", list(RULES))
-         .agg(F.first("total_lateness")))
-    return p.select(
-        "instance_id", F.col("MINDL").alias("mindl"), F.col("SF").alias("sf"), F.col("BTSF").alias("btsf"),
-        F.try_divide("MINDL", F.when(F.col("SF") != 0, F.col("SF"))).alias("mindl_over_sf"),
-        F.try_divide("SF", F.when(F.col("BTSF") != 0, F.col("BTSF"))).alias("sf_over_btsf"),
-        F.try_divide("MINDL", F.when(F.col("BTSF") != 0, F.col("BTSF"))).alias("mindl_over_btsf"))
-
-
-def ratio_summary(compared: DataFrame) -> DataFrame:
-    """How many instances have each ratio above 1."""
-    return compared.agg(F.count_if(F.col("mindl_over_sf") > 1).alias("n_mindl_over_sf_gt1"),
-                        F.count_if(F.col("sf_over_btsf") > 1).alias("n_sf_over_btsf_gt1"),
-                        F.count_if(F.col("mindl_over_btsf") > 1).alias("n_mindl_over_btsf_gt1"))
-
-
-def mindl_batch(tasks: DataFrame, instance: str = "instance_id",
-                chunk_rows: int | None = CHUNK_ROWS, auto: bool = True) -> DataFrame:
+def mindl_batch(tasks: DataFrame, instance: str = "instance_id", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """MINDL when every task of an instance is there at time 0: the run order
     is (deadline, larger task_no first), so finish = running sum of
-    processing in that order.  Large instances (checked) use a chunked prefix
-    sum over a global range-sorted index instead of one window per
-    instance."""
-    if chunk_rows is not None and auto and largest_group(tasks, instance) <= chunk_rows:
-        chunk_rows = None
-    if chunk_rows is None:
-        w = (Window.partitionBy(instance).orderBy("deadline", F.col("task_no").desc())
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return tasks.withColumn("finish", F.sum("processing").over(w))
-    from stratakit.operators.index import row_index_sorted
+    processing in that order."""
     cols = tasks.columns
     g = row_index_sorted(tasks, [F.col(instance), F.col("deadline"), F.col("task_no").desc()], "_g")
     g = g.withColumn("_c", F.floor(F.col("_g") / F.lit(chunk_rows)).cast("long"))

@@ -1,11 +1,10 @@
-"""Queue-rule queries: lineitem rows of one supplier form one task set."""
+"""Task-set queries: lineitem rows of one supplier form one task set."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratakit.operators.queues import (busy_periods, compare_rules, mindl_batch,
-                                        number_tasks, ratio_summary, replay, total_lateness)
+from stratakit.operators.queues import busy_periods, mindl_batch, number_tasks
 from stratakit.plans.registry import query
 from stratakit.sources import tables as t
 
@@ -55,7 +54,7 @@ FROM n"""
 
 @query("busy_periods", BUSY_SQL)
 def q_busy_periods(spark, d):
-    """E5 + I17 (window part): busy-period id of every task."""
+    """E5: busy-period id of every task."""
     return busy_periods(tasks(spark, d))
 
 
@@ -68,87 +67,9 @@ SELECT instance_id, CAST(count(*) AS BIGINT) AS n_tasks,
        CAST(sum(greatest(finish - deadline, 0)) AS BIGINT) AS total_lateness
 FROM f GROUP BY instance_id""")
 def q_mindl_batch(spark, d):
-    """I17 + D12 with every task present at time 0: MINDL order is a plain
+    """D12 with every task present at time 0: MINDL order is a plain
     window, total lateness per instance."""
     f = mindl_batch(tasks(spark, d))
     return f.groupBy("instance_id").agg(
         F.count(F.lit(1)).cast("long").alias("n_tasks"),
         F.sum(F.greatest(F.col("finish") - F.col("deadline"), F.lit(0))).cast("long").alias("total_lateness"))
-
-
-# Oracle for the replay: inside a busy period the server never idles, so each
-# rule is a recursive step that picks the next task of every (period, rule)
-# state with window functions; BTSF's previous incumbent is the best ready task
-# with a lower task number.
-ST = "PARTITION BY instance_id, period, rule, step"
-SI = "PARTITION BY s.instance_id, s.period, s.rule, s.step"
-REPLAY_CTES = f"""
-WITH RECURSIVE
-bp AS ({BUSY_SQL}),
-tk AS (SELECT instance_id, period, task_no, CAST(arrival AS DOUBLE) AS a, CAST(processing AS DOUBLE) AS p,
-              CAST(deadline AS DOUBLE) AS d FROM bp),
-st AS (SELECT instance_id, period, greatest(min(a), 0.0) AS t0, count(*) AS n FROM tk GROUP BY instance_id, period),
-sim AS (
-  SELECT st.instance_id, st.period, r.rule, 0 AS step, st.n, st.t0 AS t, CAST([] AS BIGINT[]) AS done,
-         CAST(NULL AS BIGINT) AS task_no, CAST(NULL AS DOUBLE) AS start, CAST(NULL AS DOUBLE) AS finish,
-         CAST(NULL AS DOUBLE) AS d
-  FROM st CROSS JOIN (VALUES ('MINDL'), ('SF'), ('BTSF')) r(rule)
-  UNION ALL
-  SELECT instance_id, period, rule, step + 1, n, t + p, list_append(done, task_no), task_no, t, t + p, d
-  FROM (
-    SELECT *, CASE WHEN rule = 'MINDL' THEN md_first
-                   WHEN rule = 'SF' THEN sf_first
-                   WHEN cnt >= 2 AND sf_first = big_no AND mp > (sp - mp) / (cnt - 1) THEN coalesce(prev_w, sf_first)
-                   ELSE sf_first END AS chosen
-    FROM (
-      SELECT *, max(CASE WHEN task_no = sf_first THEN prev_before END) OVER ({ST}) AS prev_w
-      FROM (
-        SELECT s.instance_id, s.period, s.rule, s.step, s.n, s.t, s.done, tk.task_no, tk.p, tk.d,
-               first_value(tk.task_no) OVER ({SI} ORDER BY tk.d, tk.task_no DESC) AS md_first,
-               first_value(tk.task_no) OVER ({SI} ORDER BY (tk.d - s.t) / tk.p, tk.task_no DESC) AS sf_first,
-               first_value(tk.task_no) OVER ({SI} ORDER BY tk.p DESC, tk.task_no) AS big_no,
-               count(*) OVER ({SI}) AS cnt, sum(tk.p) OVER ({SI}) AS sp, max(tk.p) OVER ({SI}) AS mp,
-               arg_min(tk.task_no, [(tk.d - s.t) / tk.p, -CAST(tk.task_no AS DOUBLE)]) OVER
-                   ({SI} ORDER BY tk.task_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_before
-        FROM sim s JOIN tk ON tk.instance_id = s.instance_id AND tk.period = s.period
-        WHERE s.step < s.n AND tk.a <= s.t AND NOT list_contains(s.done, tk.task_no)
-      )
-    )
-  ) WHERE task_no = chosen
-)"""
-REPLAY_SQL = REPLAY_CTES + """
-SELECT instance_id, rule, task_no, start, finish, greatest(finish - d, 0.0) AS lateness FROM sim WHERE step > 0"""
-
-
-@query("queue_replay", REPLAY_SQL)
-def q_replay(spark, d):
-    """I17 + H11: start and finish of every task under MINDL, SF and BTSF(1),
-    busy periods replayed in parallel."""
-    return replay(tasks(spark, d))
-
-
-COMPARE_SQL = REPLAY_CTES + """,
-rp AS (SELECT instance_id, rule, greatest(finish - d, 0.0) AS lateness FROM sim WHERE step > 0),
-tl AS (SELECT instance_id, rule, sum(lateness) AS total FROM rp GROUP BY instance_id, rule),
-pv AS (SELECT instance_id, max(CASE WHEN rule = 'MINDL' THEN total END) AS mindl,
-              max(CASE WHEN rule = 'SF' THEN total END) AS sf, max(CASE WHEN rule = 'BTSF' THEN total END) AS btsf
-       FROM tl GROUP BY instance_id),
-cmp AS (SELECT instance_id, mindl, sf, btsf,
-               CASE WHEN sf <> 0 THEN mindl / sf END AS mindl_over_sf,
-               CASE WHEN btsf <> 0 THEN sf / btsf END AS sf_over_btsf,
-               CASE WHEN btsf <> 0 THEN mindl / btsf END AS mindl_over_btsf FROM pv)"""
-
-
-@query("queue_compare", COMPARE_SQL + "\nSELECT * FROM cmp")
-def q_compare(spark, d):
-    """D12 + D13 + H8: totals per rule and their ratios per instance."""
-    return compare_rules(total_lateness(replay(tasks(spark, d))))
-
-
-@query("queue_ratio_summary", COMPARE_SQL + """
-SELECT CAST(count_if(mindl_over_sf > 1) AS BIGINT) AS n_mindl_over_sf_gt1,
-       CAST(count_if(sf_over_btsf > 1) AS BIGINT) AS n_sf_over_btsf_gt1,
-       CAST(count_if(mindl_over_btsf > 1) AS BIGINT) AS n_mindl_over_btsf_gt1 FROM cmp""")
-def q_ratio_summary(spark, d):
-    """How many task sets have each policy ratio above 1."""
-    return ratio_summary(compare_rules(total_lateness(replay(tasks(spark, d)))))

@@ -25,23 +25,21 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool
     return spark.read.schema(schema).option("header", header).option("mode", "FAILFAST").csv(path)
 
 
-def read_task_sets(spark: SparkSession, path: str, fmt: str = "csv", order_col: str | None = None,
+def read_task_sets(spark: SparkSession, path: str, order_col: str, fmt: str = "csv",
                    schema: T.StructType = TASK_SCHEMA) -> DataFrame:
     """A2: a folder of task-set files, one file = one instance.
 
-    ``instance_id`` is the file name.  Files have no row order in Spark, so
-    ``task_no`` comes from ``order_col`` when the files carry one; otherwise
-    from the row position inside the file (``monotonically_increasing_id``
-    within a file is increasing because a file split is read in order and
-    files are not split below ``maxPartitionBytes``)."""
+    ``instance_id`` is the file name.  Rows of a file have no order in Spark
+    (a large file is read in splits), so the files carry one: ``order_col``,
+    a number, added to the schema if it isn't there.  ``task_no`` is the rank
+    in it, by one global sort rather than a window a file."""
+    from stratakit.operators.queues import number_tasks
+    if order_col not in schema.names:
+        schema = T.StructType([T.StructField(order_col, T.LongType()), *schema.fields])
     reader = spark.read.schema(schema)
     df = reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
     df = df.withColumn("instance_id", F.element_at(F.split(F.input_file_name(), "/"), -1))
-    from pyspark.sql import Window
-    order = F.col(order_col) if order_col else F.monotonically_increasing_id()
-    df = df.withColumn("_ord", order)
-    w = Window.partitionBy("instance_id").orderBy("_ord")
-    return df.withColumn("task_no", F.row_number().over(w).cast("long")).drop("_ord")
+    return number_tasks(df, "instance_id", [order_col])
 
 
 def from_pandas(spark: SparkSession, pdf, schema: T.StructType | None = None) -> DataFrame:

@@ -6,25 +6,26 @@ import tempfile
 import pandas as pd
 import pytest
 
-from stratakit.operators.queues import compare_rules, replay, total_lateness
+from stratakit.operators.queues import mindl_batch
 from stratakit.sources.io import (from_pandas, load_params, read_task_sets, save_params,
                                   write_table)
 
 
-def test_task_sets_folder_and_compare_sink(spark):
+def test_task_sets_folder_and_csv_sink(spark):
     d = tempfile.mkdtemp(prefix="stratakit-io-")
     os.makedirs(f"{d}/in")
-    pd.DataFrame({"arrival": [0, 0, 1, 12], "processing": [4, 2, 8, 1], "deadline": [5, 3, 10, 16]}) \
-        .to_csv(f"{d}/in/a.csv", index=False)
-    pd.DataFrame({"arrival": [0, 0], "processing": [2, 6], "deadline": [4, 7]}).to_csv(f"{d}/in/b.csv", index=False)
-    tasks = read_task_sets(spark, f"{d}/in")
+    pd.DataFrame({"line": [30, 10, 20, 40], "arrival": [1, 0, 0, 12], "processing": [8, 4, 2, 1],
+                  "deadline": [10, 5, 3, 16]}).to_csv(f"{d}/in/a.csv", index=False)
+    pd.DataFrame({"line": [1, 2], "arrival": [0, 0], "processing": [2, 6], "deadline": [4, 7]}).to_csv(
+        f"{d}/in/b.csv", index=False)
+    tasks = read_task_sets(spark, f"{d}/in", "line")
     got = {(r["instance_id"], r["task_no"]): r["processing"] for r in tasks.collect()}
-    assert got[("a.csv", 3)] == 8.0 and got[("b.csv", 2)] == 6.0
-    cmp = compare_rules(total_lateness(replay(tasks)))
-    write_table(cmp, f"{d}/out", fmt="csv")
-    back = spark.read.option("header", True).csv(f"{d}/out")
-    rows = {r["instance_id"]: r for r in back.collect()}
-    assert float(rows["a.csv"]["mindl"]) == 5.0 and float(rows["b.csv"]["sf_over_btsf"]) == 4.0
+    assert got == {("a.csv", 1): 4.0, ("a.csv", 2): 2.0, ("a.csv", 3): 8.0, ("a.csv", 4): 1.0,
+                   ("b.csv", 1): 2.0, ("b.csv", 2): 6.0}
+    write_table(mindl_batch(tasks).select("instance_id", "task_no", "finish"), f"{d}/out", fmt="csv")
+    back = {(r["instance_id"], r["task_no"]): float(r["finish"])
+            for r in spark.read.option("header", True).csv(f"{d}/out").collect()}
+    assert back["a.csv", "2"] == 2.0 and back["a.csv", "4"] == 15.0
 
 
 def test_from_pandas_and_params(spark):

@@ -1,32 +1,13 @@
-"""Golden queue cases (FIXTURES.md §3) and period-split = whole replay."""
+"""Busy periods, MINDL totals and task numbers against plain loops, for several
+chunk sizes (golden cases of FIXTURES.md section 3)."""
 
-from pyspark.sql import functions as F
+import pytest
 
-from stratakit.operators.queues import (busy_periods, compare_rules, mindl_batch, replay,
-                                        replay_rule, total_lateness)
+from stratakit.operators.queues import busy_periods, mindl_batch, number_tasks
+from stratakit.plans.queues import tasks as supplier_tasks
 from tests.conftest import SF001
 
 A = [(1, 0, 4, 5), (2, 0, 2, 3), (3, 1, 8, 10), (4, 12, 1, 16)]
-B = [(1, 0, 2, 4), (2, 0, 6, 7)]
-C = [(1, 3, 1, 9), (2, 3, 1, 9)]
-
-
-def _late(tasks, rule):
-    dl = {t[0]: t[3] for t in tasks}
-    run = replay_rule(tasks, rule)
-    return [r[0] for r in run], sum(max(f - dl[n], 0) for n, _, f in run)
-
-
-def test_golden_orders():
-    assert _late(A, "MINDL") == ([2, 1, 3, 4], 5)
-    assert _late(A, "SF") == ([1, 2, 3, 4], 7)
-    assert _late(A, "BTSF") == ([1, 2, 3, 4], 7)
-    assert _late(B, "MINDL") == ([1, 2], 1)
-    assert _late(B, "SF") == ([2, 1], 4)
-    assert _late(B, "BTSF") == ([1, 2], 1)
-    for rule in ("MINDL", "SF", "BTSF"):
-        order, late = _late(C, rule)
-        assert order == [2, 1] and late == 0
 
 
 def _df(spark, tasks, inst="x"):
@@ -34,6 +15,17 @@ def _df(spark, tasks, inst="x"):
                                  "instance_id string, task_no long, arrival double, processing double, deadline double")
 
 
+def _periods(tasks):
+    out, free, period = {}, None, -1
+    for no, arrival, processing, _ in sorted(tasks, key=lambda t: (t[1], t[0])):
+        arrival = max(arrival, 0)
+        if free is None or arrival >= free:
+            period, free = period + 1, arrival
+        free += processing
+        out[no] = period
+    return out
+
+
 def test_busy_periods(spark):
     p = {r["task_no"]: r["period"] for r in busy_periods(_df(spark, A)).collect()}
     assert set(p.values()) == {0}
@@ -42,50 +34,29 @@ def test_busy_periods(spark):
     assert p2 == {1: 0, 2: 0, 3: 0, 4: 1}
 
 
-def test_compare_ratios(spark):
-    t = _df(spark, B)
-    r = compare_rules(total_lateness(replay(t))).first()
-    assert (r["mindl"], r["sf"], r["btsf"]) == (1.0, 4.0, 1.0)
-    assert (r["mindl_over_sf"], r["sf_over_btsf"], r["mindl_over_btsf"]) == (0.25, 4.0, 1.0)
+@pytest.mark.parametrize("chunk", [7, 100_000])
+def test_scans_equal_loops(spark, chunk):
+    tk = supplier_tasks(spark, SF001)
+    by = {}
+    for r in tk.collect():
+        by.setdefault(r["instance_id"], []).append((r["task_no"], r["arrival"], r["processing"], r["deadline"]))
+    got = {(r["instance_id"], r["task_no"]): r["period"] for r in busy_periods(tk, chunk_rows=chunk).collect()}
+    assert got == {(i, no): p for i, tasks in by.items() for no, p in _periods(tasks).items()}
+    finish = {(r["instance_id"], r["task_no"]): r["finish"] for r in mindl_batch(tk, chunk_rows=chunk).collect()}
+    for i, tasks in by.items():
+        clock = 0
+        for no, _, processing, _ in sorted(tasks, key=lambda t: (t[3], -t[0])):
+            clock += processing
+            assert finish[i, no] == clock
 
 
-def test_split_equals_whole(spark):
-    from stratakit.plans.queues import tasks
-    tk = tasks(spark, SF001)
-    split = total_lateness(replay(tk, split_periods=True)).collect()
-    whole = total_lateness(replay(tk, split_periods=False)).collect()
-    key = lambda rows: sorted((r["instance_id"], r["rule"], r["total_lateness"]) for r in rows)
-    assert key(split) == key(whole)
-
-
-def test_mindl_batch_equals_replay(spark):
-    from stratakit.plans.queues import tasks
-    tk = tasks(spark, SF001).withColumn("arrival", F.lit(0))
-    b = (mindl_batch(tk).groupBy("instance_id")
-         .agg(F.sum(F.greatest(F.col("finish") - F.col("deadline"), F.lit(0))).cast("double").alias("l")))
-    r = total_lateness(replay(tk, rules=("MINDL",)))
-    got = {x["instance_id"]: x["l"] for x in b.collect()}
-    want = {x["instance_id"]: x["total_lateness"] for x in r.collect()}
-    assert got == want
-
-
-def test_chunked_scans_equal_windows(spark):
-    from stratakit.operators.queues import number_tasks
-    from stratakit.plans.queues import tasks
-    tk = tasks(spark, SF001)
-    a = {(r["instance_id"], r["task_no"]): r["period"] for r in busy_periods(tk, chunk_rows=7, auto=False).collect()}
-    b = {(r["instance_id"], r["task_no"]): r["period"] for r in busy_periods(tk, chunk_rows=None).collect()}
-    assert a == b
+def test_number_tasks(spark):
     li = spark.read.parquet(f"{SF001}/lineitem.parquet").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey")
-    o = ["l_orderkey", "l_linenumber", "l_partkey"]
-    x = {tuple(r[:4]): r["task_no"] for r in number_tasks(li, "l_suppkey", o, chunked=True).collect()}
-    y = {tuple(r[:4]): r["task_no"] for r in number_tasks(li, "l_suppkey", o, chunked=False).collect()}
-    assert sorted(x.values()) == sorted(y.values())
-
-
-def test_mindl_batch_chunked_equals_window(spark):
-    from stratakit.plans.queues import tasks
-    tk = tasks(spark, SF001)
-    a = {(r["instance_id"], r["task_no"]): r["finish"] for r in mindl_batch(tk, chunk_rows=5, auto=False).collect()}
-    b = {(r["instance_id"], r["task_no"]): r["finish"] for r in mindl_batch(tk, chunk_rows=None).collect()}
-    assert a == b
+    rows = number_tasks(li, "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey"]).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["l_suppkey"], []).append((r["task_no"], tuple(r)[1:4]))
+    for tasks in by.values():
+        tasks.sort()
+        assert [n for n, _ in tasks] == list(range(1, len(tasks) + 1))
+        assert [k for _, k in tasks] == sorted(k for _, k in tasks)
