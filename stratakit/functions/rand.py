@@ -43,6 +43,26 @@ def hash32_sql(seed, *exprs: str) -> str:
     return f"(('0x' || substr(md5(concat_ws('|', {parts})), 1, 8))::BIGINT)"
 
 
+def hash52(seed, *keys) -> Column:
+    """First 52 bits of md5('seed|k1|k2...') as a non-negative long."""
+    parts = [F.lit(str(seed))] + [_as_col(k).cast("string") for k in keys]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13), 16, 10).cast("long")
+
+
+def draw_index(n, seed, *keys) -> Column:
+    """A uniform integer in [0, n), n up to 2**52 (a column or a number)."""
+    return F.floor(hash52(seed, *keys) / F.lit(2.0 ** 52) * n).cast("long")
+
+
+def hash52_sql(seed, *exprs: str) -> str:
+    parts = ", ".join([f"'{seed}'"] + [f"CAST({e} AS VARCHAR)" for e in exprs])
+    return f"(('0x' || substr(md5(concat_ws('|', {parts})), 1, 13))::BIGINT)"
+
+
+def draw_index_sql(n: str, seed, *exprs: str) -> str:
+    return f"CAST(floor({hash52_sql(seed, *exprs)} / {2.0 ** 52!r} * {n}) AS BIGINT)"
+
+
 def normal(seed, *keys) -> Column:
     """Standard normal draw (Box-Muller on two independent uniforms)."""
     u1 = U(seed, F.lit("n1"), *keys)

@@ -3,54 +3,52 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratakit.functions.rand import hash32
+from stratakit.functions.rand import draw_index, hash32, hash52
 from stratakit.operators.pools import origin_filter
+from stratakit.operators.responses import attach_features
 from stratakit.operators.sampling import top_random
-from stratakit.session import bounded_broadcast
+from stratakit.session import parameter_broadcast
 
 
 def restrict_log(history: DataFrame, users: DataFrame | None, items: DataFrame | None,
-                 user_key: str, item_key: str, user_bound: int | None = None,
-                 item_bound: int | None = None) -> DataFrame:
+                 user_key: str, item_key: str) -> DataFrame:
     """History of a user subset over an item subset (left-semi joins;
     set semantics, duplicates in the subsets do not multiply rows)."""
     out = history
     if users is not None:
-        out = out.join(bounded_broadcast(users.select(user_key), user_bound), user_key, "left_semi")
+        out = out.join(users.select(user_key), user_key, "left_semi")
     if items is not None:
-        out = out.join(bounded_broadcast(items.select(item_key), item_bound), item_key, "left_semi")
+        out = out.join(items.select(item_key), item_key, "left_semi")
     return out
 
 
 def train_log(history: DataFrame, users: DataFrame, items: DataFrame, user_key: str,
-              item_key: str, use_synth_items: bool = True, use_real_items: bool = True,
-              user_bound: int | None = None) -> DataFrame:
+              item_key: str, use_synth_items: bool = True, use_real_items: bool = True) -> DataFrame:
     """I2 (history branch): B3 origin filter on items, then C1 and C2."""
     allowed = origin_filter(items, use_synth_items, use_real_items)
-    return restrict_log(history, users, allowed, user_key, item_key, user_bound=user_bound)
+    return restrict_log(history, users, allowed, user_key, item_key)
 
 
 def random_log(users: DataFrame, items: DataFrame, user_key: str, item_key: str,
                k: int, seed: int, response: Column | None = None,
                value_col: str = "relevance") -> DataFrame:
     """I2 fallback (F3 + C4): the same ``k`` random items for every user, each
-    pair scored by ``response`` (a Column over keys and features), timestamp 0.
+    pair scored by ``response`` (a Column over keys and the users' and items'
+    features, which are attached first), timestamp 0.
 
     The k items are numbered 0..k-1 and every user row is exploded into k
-    slots, so the pairing is an equi-join against a k-row broadcast side."""
-    picked = top_random(items.select(item_key), k, [item_key], seed)
-    slots = picked.withColumn("_slot", F.row_number().over(
-        Window.orderBy(hash32(seed, item_key), item_key)) - 1)
+    slots, so the pairing is an equi-join against a k-row parameter table."""
+    picked = top_random(items, k, [item_key], seed)
+    slots = picked.select(item_key, (F.row_number().over(
+        Window.orderBy(hash32(seed, item_key), item_key)) - 1).alias("_slot"))
     u = users.select(user_key).withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    pairs = u.join(F.broadcast(slots), "_slot").drop("_slot")
+    pairs = u.join(parameter_broadcast(slots, k), "_slot").drop("_slot")
     resp = response if response is not None else F.lit(1.0)
-    return pairs.select(user_key, item_key, resp.cast("double").alias(value_col),
-                        F.lit(0).cast("long").alias("timestamp"))
+    return attach_features(pairs, users, items, user_key, item_key).select(
+        user_key, item_key, resp.cast("double").alias(value_col), F.lit(0).cast("long").alias("timestamp"))
 
 
 def top_k_per_user(scored: DataFrame, user_key: str, item_key: str, score_col: str,
@@ -117,68 +115,49 @@ def top_k_global_unseen(users: DataFrame, scores: DataFrame, seen: DataFrame | N
             .where(F.col("rank") <= F.lit(k)).drop("_rank"))
 
 
-def _next_prime(n: int) -> int:
-    def is_prime(x):
-        if x < 2:
-            return False
-        if x % 2 == 0:
-            return x == 2
-        r = int(math.isqrt(x))
-        for d in range(3, r + 1, 2):
-            if x % d == 0:
-                return False
-        return True
-    while not is_prime(n):
-        n += 1
-    return n
-
-
-def prime_multipliers(count: int = 64, start: int = 2 ** 31) -> list[int]:
-    """The first ``count`` primes above ``start`` (generated by rule).  Any of
-    them is coprime to every table size below ``start``."""
-    out, n = [], start
-    while len(out) < count:
-        n = _next_prime(n + 1)
-        out.append(n)
-    return out
-
-
-PRIMES = prime_multipliers()
-
-
 def random_top_k(users: DataFrame, items: DataFrame, seen: DataFrame | None,
                  user_key: str, item_key: str, k: int, seed: int) -> DataFrame:
-    """K random unseen items per user.
-
-    Each user walks the item index space in the order of its own permutation
-    ``idx_j = (a_u * j + b_u) mod n`` (``a_u`` a prime above any table size,
-    so the map is a bijection) and takes the first k unseen items.  Only the
-    first ``k + seen_u`` positions are generated: linear work, no product of
-    users and items."""
+    """K random unseen items per user, uniform over all k-subsets of the
+    user's unseen items, in random order.
+
+    With u unseen items a user draws k different ranks in [0, u) by Floyd's
+    method (k steps, 52-bit draws).  A rank r among the unseen items is item
+    index r + c, where c counts the seen indexes s_i (ascending, i from 0)
+    with s_i - i <= r.  So a user costs k rows for the ranks and k times the
+    number of seen items for the counts; items are never enumerated."""
     from stratakit.operators.index import row_index
     idx = row_index(items.select(item_key), item_key, "_iidx")
     n = items.select(F.count(F.lit(1)).cast("long")).scalar()
     u = users.select(user_key).distinct()
     if seen is not None:
-        s = (seen.select(user_key, item_key).distinct()
-             .groupBy(user_key).agg(F.count(F.lit(1)).alias("_seen")))
-        u = u.join(s, user_key, "left").fillna(0, ["_seen"])
+        pairs = seen.select(user_key, item_key).distinct().join(idx, item_key).select(user_key, "_iidx")
+        order = Window.partitionBy(user_key).orderBy("_iidx")
+        gaps = pairs.select(user_key, (F.col("_iidx") - F.row_number().over(order) + 1).alias("_gap"))
+        sizes = pairs.groupBy(user_key).agg(F.count(F.lit(1)).alias("_seen"))
+        u = u.join(sizes, user_key, "left").fillna(0, ["_seen"])
     else:
         u = u.withColumn("_seen", F.lit(0).cast("long"))
-    primes = F.array(*[F.lit(p).cast("long") for p in PRIMES])
-    a = F.element_at(primes, (hash32(seed, F.lit("a"), user_key) % F.lit(len(PRIMES)) + 1).cast("int")) % n
-    b = hash32(seed, F.lit("b"), user_key) % n
-    need = F.least(F.lit(k) + F.col("_seen"), n)
-    from stratakit.operators.index import explode_range
-    walk = explode_range(u.select(user_key, a.alias("_a"), b.alias("_b"), need.alias("_need")),
-                         "_need", "_j", spread_cols=[user_key])
-    walk = walk.withColumn("_iidx", (F.col("_a") * F.col("_j") + F.col("_b")) % n)
-    cand = walk.join(idx, "_iidx").select(user_key, item_key, "_j")
+    u = u.select(user_key, (n - F.col("_seen")).alias("_unseen"))
+
+    def step(chosen, j):
+        t = draw_index(j + 1, seed, F.lit("r"), F.col(user_key), j)
+        return F.concat(chosen, F.array(F.when(F.array_contains(chosen, t), j).otherwise(t)))
+
+    first = F.greatest(F.col("_unseen") - F.lit(k), F.lit(0))
+    steps = F.filter(F.sequence(first, F.greatest(F.col("_unseen") - 1, first)), lambda j: j < F.col("_unseen"))
+    ranks = F.aggregate(steps, F.array().cast("array<bigint>"), step)
+    drawn = u.select(user_key, F.explode(ranks).alias("_r"))
     if seen is not None:
-        cand = cand.join(seen.select(user_key, item_key), [user_key, item_key], "left_anti")
-    w = Window.partitionBy(user_key).orderBy("_j")
-    return (cand.withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= F.lit(k)).drop("_j"))
+        before = (drawn.join(gaps, user_key).filter(F.col("_gap") <= F.col("_r"))
+                  .groupBy(user_key, "_r").agg(F.count(F.lit(1)).alias("_c")))
+        drawn = drawn.join(before, [user_key, "_r"], "left").fillna(0, ["_c"])
+    else:
+        drawn = drawn.withColumn("_c", F.lit(0).cast("long"))
+    picked = (drawn.withColumn("_iidx", F.col("_r") + F.col("_c")).join(idx, "_iidx")
+              .withColumn("_o", hash52(seed, F.lit("o"), user_key, item_key)))
+    w = Window.partitionBy(user_key).orderBy("_o", item_key)
+    return (picked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.lit(k))
+            .select(user_key, item_key, "rank"))
 
 
 def dedup_pairs(log: DataFrame, user_key: str, item_key: str, order_cols: list[str]) -> DataFrame:

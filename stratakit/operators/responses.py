@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratakit.functions.rand import bernoulli, normal
-from stratakit.session import bounded_broadcast
 
 Builder = Callable[[DataFrame], Column] | Column
 
@@ -39,7 +38,7 @@ def constant_response(value: float = 0.0) -> Column:
 def weighted_ensemble(components: list[Column], weights: list[float]) -> Column:
     """sum(w_i * r_i) / sum(w_i)."""
     if len(components) != len(weights):
-        raise ValueError("models and weights length mismatch")
+        raise ValueError(f"{len(components)} components need as many weights, got {len(weights)}")
     total = float(sum(weights))
     if total == 0:
         raise ValueError("weights sum to zero")
@@ -50,24 +49,17 @@ def weighted_ensemble(components: list[Column], weights: list[float]) -> Column:
 
 
 def attach_features(pairs: DataFrame, users: DataFrame, items: DataFrame,
-                    user_key: str, item_key: str, user_bound: int | None = None,
-                    item_bound: int | None = None) -> DataFrame:
-    """Pair -> user features -> item features, keyed inner joins (Q1, Q2).
-
-    A pool is broadcast only when its size bound is known (e.g. a sample of
-    fixed quota); otherwise AQE chooses at run time."""
-    p = pairs.select(user_key, item_key)
-    u = bounded_broadcast(users, user_bound)
-    i = bounded_broadcast(items, item_bound)
-    return p.join(u, user_key).join(i, item_key)
+                    user_key: str, item_key: str) -> DataFrame:
+    """Pair -> user features -> item features, keyed inner joins (Q1, Q2);
+    AQE chooses the join by the sides' bytes."""
+    return pairs.select(user_key, item_key).join(users, user_key).join(items, item_key)
 
 
 def score_responses(pairs: DataFrame, users: DataFrame, items: DataFrame,
                     user_key: str, item_key: str, actions: Mapping[str, Builder],
-                    user_bound: int | None = None, item_bound: int | None = None,
                     keep_features: bool = False) -> DataFrame:
     """One column per named action over the feature-joined pairs."""
-    joined = attach_features(pairs, users, items, user_key, item_key, user_bound, item_bound)
+    joined = attach_features(pairs, users, items, user_key, item_key)
     cols = {name: (b(joined) if callable(b) else b) for name, b in actions.items()}
     out = joined.withColumns(cols)
     if keep_features:

@@ -21,11 +21,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratakit.functions.rand import U, hash32
-from stratakit.session import bounded_broadcast, local_table
+from stratakit.functions.rand import U, draw_index, hash32
+from stratakit.session import local_table, parameter_broadcast
 
 ALL = -1
-SMALL_K = 10_000
 
 
 def random_order(df: DataFrame, key_cols: list[str], seed: int) -> DataFrame:
@@ -60,7 +59,7 @@ def exact_sample(df: DataFrame, quotas: dict, key_cols: list[str], seed: int,
         df = df.withColumn(stratum_col, F.lit(0))
         quotas = {0: list(quotas.values())[0]}
     stype = df.schema[stratum_col].dataType
-    qt = bounded_broadcast(_quota_table(spark, stratum_col, quotas, stype), len(quotas))
+    qt = parameter_broadcast(_quota_table(spark, stratum_col, quotas, stype), len(quotas))
 
     h = hash32(seed, *key_cols)
     tagged = (df.join(qt, stratum_col)
@@ -87,7 +86,7 @@ def exact_sample(df: DataFrame, quotas: dict, key_cols: list[str], seed: int,
                    (F.col("_quota") - F.col("_excl")).alias("_need")))
     cut = checked.join(cut, stratum_col, "left").select(stratum_col, "_cut", "_need", "_total")
     # one row per quota entry: a proven bound
-    cut = bounded_broadcast(cut, len(quotas))
+    cut = parameter_broadcast(cut, len(quotas))
 
     j = tagged.join(cut, stratum_col)
     take_all = F.col("_quota").isNull() | (F.col("_quota") >= F.col("_total"))
@@ -100,13 +99,11 @@ def exact_sample(df: DataFrame, quotas: dict, key_cols: list[str], seed: int,
 
 
 def top_random(df: DataFrame, k: int, key_cols: list[str], seed: int) -> DataFrame:
-    """``k`` random rows shared by everyone.  Small ``k`` becomes
-    TakeOrderedAndProject (per-partition top-k, k rows merged)."""
+    """``k`` random rows shared by everyone, as an exact sample (hash bins,
+    one ranked boundary bin) for any ``k``; all rows if there are no more."""
     if k == ALL:
         return df
-    if k <= SMALL_K:
-        return df.orderBy(hash32(seed, *key_cols), *key_cols).limit(k)
-    return exact_sample(df, {0: k}, key_cols, seed)
+    return exact_sample(df, {0: k}, key_cols, seed, validate=False)
 
 
 def stratum_sample(pool: DataFrame, num_synth: dict, num_real: int, key: str, seed: int,
@@ -140,7 +137,8 @@ def random_pairs(draws: DataFrame, draw_col: str, users: DataFrame, user_key: st
     """F8: one random (user, item, score) triple per draw, with replacement.
 
     Users and items get contiguous indexes (E1); a draw picks
-    ``floor(U * n)`` on each side and is resolved by an equi-join."""
+    ``floor(U * n)`` on each side (52-bit draws, so every row of any table can
+    come) and is resolved by an equi-join."""
     from stratakit.operators.index import row_index
     ui = row_index(users.select(user_key), user_key, "_uidx")
     ii = row_index(items.select(item_key), item_key, "_iidx")
@@ -148,8 +146,8 @@ def random_pairs(draws: DataFrame, draw_col: str, users: DataFrame, user_key: st
     n_i = items.select(F.count(F.lit(1))).scalar()
     d = draws.select(
         F.col(draw_col),
-        F.floor(U(seed, F.lit("u"), draw_col) * n_u).cast("long").alias("_uidx"),
-        F.floor(U(seed, F.lit("i"), draw_col) * n_i).cast("long").alias("_iidx"),
+        draw_index(n_u, seed, F.lit("u"), draw_col).alias("_uidx"),
+        draw_index(n_i, seed, F.lit("i"), draw_col).alias("_iidx"),
         U(seed, F.lit("s"), draw_col).alias("score"))
     return (d.join(ui, "_uidx").join(ii, "_iidx")
             .select(draw_col, user_key, item_key, "score"))

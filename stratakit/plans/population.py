@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratakit.functions.rand import bernoulli, hash32, hash32_sql, normal_sql, u_sql
+from stratakit.functions.rand import bernoulli, draw_index_sql, hash32, hash32_sql, normal_sql, u_sql
 from stratakit.operators.index import row_index, row_index_sorted
 from stratakit.operators.pools import augment_pool, pool_counts
 from stratakit.operators.responses import (append_history, bernoulli_response,
                                            constant_response, noise_response,
                                            score_responses, weighted_ensemble)
-from stratakit.operators.logs import random_log, train_log
+from stratakit.operators.logs import get_train_log, random_log, train_log
 from stratakit.operators.sampling import (candidate_items, exact_sample, random_pairs,
                                           split_train_test)
 from stratakit.plans.registry import SEED, query
@@ -49,8 +49,8 @@ def _pool(spark, d):
         F.col("s_nationkey").alias("nationkey"))
     sup = row_index(sup, "s_suppkey", "row_index").drop("s_suppkey")
     nat = t.read(spark, d, "nation").select(F.col("n_nationkey").alias("nationkey"))
-    nat = row_index(nat, "nationkey", "row_index", tiebreak=None)
-    return augment_pool(real, {"supplier": sup, "nation": nat}, "user_id")
+    nat = row_index(nat, "nationkey", "row_index")
+    return augment_pool(real, {"supplier": sup, "nation": nat}, "user_id", fill_missing=True)
 
 
 POOL_SQL = """
@@ -103,16 +103,52 @@ def q_train_log(spark, d):
                      "user_id", "item_id", use_synth_items=False, use_real_items=True)
 
 
-@query("train_log_fallback", f"""
+def _feature_response():
+    """A response that reads the keys and both sides' features."""
+    return (bernoulli(SEED, THETA, F.col("user_id"), F.col("item_id")) * (F.lit(1.0) + F.col("price") / F.lit(1000.0))
+            + F.col("acctbal") / F.lit(10000.0))
+
+
+_FEATURE_RESPONSE_SQL = (f"CAST({u_sql(SEED, 's.user_id', 'it.item_id')} >= {THETA} AS INTEGER) * (1.0 + it.price / 1000.0)"
+                         " + s.acctbal / 10000.0")
+
+
+def _fallback_sql(where: str) -> str:
+    return f"""
 WITH s AS ({SAMPLE_SQL}),
-it AS (SELECT item_id FROM ({t.ITEMS_SQL}) ORDER BY {hash32_sql(SEED, 'item_id')}, item_id LIMIT 3)
-SELECT s.user_id, it.item_id,
-       CAST(CAST({u_sql(SEED, 's.user_id', 'it.item_id')} >= {THETA} AS INTEGER) AS DOUBLE) AS relevance,
-       CAST(0 AS BIGINT) AS timestamp
-FROM s CROSS JOIN it""")
+it AS (SELECT item_id, price FROM ({t.ITEMS_SQL}) {where} ORDER BY {hash32_sql(SEED, 'item_id')}, item_id LIMIT 3)
+SELECT s.user_id, it.item_id, round({_FEATURE_RESPONSE_SQL}, 9) AS relevance, CAST(0 AS BIGINT) AS timestamp
+FROM s CROSS JOIN it"""
+
+
+@query("train_log_fallback", _fallback_sql(""))
 def q_train_log_fallback(spark, d):
-    return random_log(sampled_users(spark, d), t.items(spark, d), "user_id", "item_id", 3, SEED,
-                      response=bernoulli(SEED, THETA, F.col("user_id"), F.col("item_id")))
+    """I2 fallback: random items for the sampled users, scored by a response
+    over price and balance."""
+    out = random_log(sampled_users(spark, d), t.items(spark, d), "user_id", "item_id", 3, SEED,
+                     response=_feature_response())
+    return out.withColumn("relevance", F.round("relevance", 9))
+
+
+@query("train_log_empty_history", _fallback_sql("WHERE __is_synth = 0"))
+def q_train_log_empty_history(spark, d):
+    """I2 as one call where the users have no history over the allowed items
+    (the history is restricted to keys that no user has): the branch falls
+    back to random real items with the feature-aware response."""
+    none = t.history(spark, d).filter("user_id < 0")
+    out = get_train_log(none, sampled_users(spark, d), t.items(spark, d), "user_id", "item_id",
+                        response=_feature_response(), use_synth_items=False, seed=SEED)
+    return out.withColumn("relevance", F.round("relevance", 9))
+
+
+@query("get_train_log", f"""
+SELECT h.* FROM ({t.HISTORY_SQL}) h
+WHERE h.user_id IN (SELECT user_id FROM ({SAMPLE_SQL}))
+  AND h.item_id IN (SELECT item_id FROM ({t.ITEMS_SQL}) WHERE __is_synth = 1)""")
+def q_get_train_log(spark, d):
+    """I2 as one call with a history: no fallback is needed."""
+    return get_train_log(t.history(spark, d), sampled_users(spark, d), t.items(spark, d), "user_id", "item_id",
+                         response=_feature_response(), use_real_items=False, seed=SEED)
 
 
 # -------------------------------------------------------------- responses
@@ -175,8 +211,8 @@ def q_positional_stack(spark, d):
 WITH u AS (SELECT c_custkey AS user_id, row_number() OVER (ORDER BY c_custkey) - 1 AS uidx FROM customer),
 i AS (SELECT p_partkey AS item_id, row_number() OVER (ORDER BY p_partkey) - 1 AS iidx FROM part),
 d AS (SELECT o_orderkey AS draw_id,
-             CAST(floor({u_sql(SEED, "'u'", 'o_orderkey')} * (SELECT count(*) FROM customer)) AS BIGINT) AS uidx,
-             CAST(floor({u_sql(SEED, "'i'", 'o_orderkey')} * (SELECT count(*) FROM part)) AS BIGINT) AS iidx,
+             {draw_index_sql("(SELECT count(*) FROM customer)", SEED, "'u'", 'o_orderkey')} AS uidx,
+             {draw_index_sql("(SELECT count(*) FROM part)", SEED, "'i'", 'o_orderkey')} AS iidx,
              round({u_sql(SEED, "'s'", 'o_orderkey')}, 9) AS score
       FROM orders)
 SELECT d.draw_id, u.user_id, i.item_id, d.score FROM d JOIN u USING (uidx) JOIN i USING (iidx)""")
@@ -211,7 +247,8 @@ def segment_response_rate(spark, d):
     s = sampled_users(spark, d).select("user_id", "segment")
     # the inner join with the sample is the user restriction (C1) and brings
     # the segment along, so the sample is planned once
-    pairs = t.history(spark, d).join(s, "user_id").select("user_id", "item_id", "segment").distinct()
+    # and comes before the large join: orders are cut to the sample first
+    pairs = t.history(spark, d, users=s).select("user_id", "item_id", "segment").distinct()
     scored = pairs.withColumn("rated", bernoulli_response(SEED, THETA, "user_id", "item_id"))
     return scored.groupBy("segment").agg(
         F.count(F.lit(1)).cast("long").alias("n_pairs"),

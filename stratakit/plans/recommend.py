@@ -6,9 +6,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratakit.functions.rand import hash32_sql
+from stratakit.functions.rand import draw_index_sql, hash52_sql
 from stratakit.operators.index import dense_codes, recode
-from stratakit.operators.logs import (PRIMES, Z_95, dedup_pairs, random_top_k,
+from stratakit.operators.logs import (Z_95, dedup_pairs, random_top_k,
                                       top_k_global_unseen, wilson_scores)
 from stratakit.plans.registry import SEED, query
 from stratakit.sources import tables as t
@@ -47,22 +47,23 @@ def topk_wilson(spark, d):
                       F.col("rank").cast("long").alias("rank"))
 
 
-_primes_sql = "[" + ", ".join(str(p) for p in PRIMES) + "]"
+# Floyd's method over the unseen ranks as a fold; a rank's item index adds the
+# seen indexes below it.
 RANDOM_SQL = f"""
 WITH h AS ({t.HISTORY_SQL}),
 seen AS (SELECT DISTINCT user_id, item_id FROM h),
-nn AS (SELECT count(*) AS n FROM part),
 i AS (SELECT p_partkey AS item_id, row_number() OVER (ORDER BY p_partkey) - 1 AS iidx FROM part),
-u AS (SELECT user_id, count(*) AS seen FROM seen GROUP BY user_id),
-p AS (SELECT user_id,
-             list_extract({_primes_sql}, CAST({hash32_sql(SEED, "'a'", 'user_id')} % {len(PRIMES)} + 1 AS INTEGER)) % nn.n AS a,
-             {hash32_sql(SEED, "'b'", 'user_id')} % nn.n AS b, least({K} + seen, nn.n) AS need, nn.n AS n
-      FROM u CROSS JOIN nn),
-w AS (SELECT user_id, j, (a * j + b) % n AS iidx FROM (SELECT user_id, a, b, n, unnest(range(need)) AS j FROM p)),
-c AS (SELECT w.user_id, i.item_id, w.j FROM w JOIN i ON w.iidx = i.iidx
-      WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = w.user_id AND s.item_id = i.item_id)),
-r AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY j) AS rank FROM c)
-SELECT user_id, item_id, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= {K}"""
+s AS (SELECT seen.user_id, i.iidx, i.iidx - row_number() OVER (PARTITION BY seen.user_id ORDER BY i.iidx) + 1 AS gap
+      FROM seen JOIN i USING (item_id)),
+u AS (SELECT user_id, (SELECT count(*) FROM part) - count(*) AS n FROM s GROUP BY user_id),
+f AS (SELECT user_id, list_reduce(range(greatest(n - {K}, 0), n), lambda acc, j: list_append(acc,
+        CASE WHEN list_contains(acc, {draw_index_sql('(j + 1)', SEED, "'r'", 'user_id', 'j')}) THEN j
+             ELSE {draw_index_sql('(j + 1)', SEED, "'r'", 'user_id', 'j')} END), CAST([] AS BIGINT[])) AS ranks FROM u),
+r AS (SELECT user_id, unnest(ranks) AS r FROM f),
+p AS (SELECT r.user_id, r.r + (SELECT count(*) FROM s WHERE s.user_id = r.user_id AND s.gap <= r.r) AS iidx FROM r)
+SELECT p.user_id, i.item_id,
+       CAST(row_number() OVER (PARTITION BY p.user_id ORDER BY {hash52_sql(SEED, "'o'", 'p.user_id', 'i.item_id')}, i.item_id) AS BIGINT) AS rank
+FROM p JOIN i USING (iidx)"""
 
 
 @query("topk_random", RANDOM_SQL)
@@ -102,19 +103,18 @@ def q_recode(spark, d):
 
 @query("learned_response")
 def learned_response(spark, d):
-    """I6 with a learned component: a factorisation machine (MLlib
-    ``FMRegressor``) fitted on the sampled users' log with user and item
-    features, blended with noise and a constant."""
+    """I6 with a learned component: a factorisation machine fitted on the
+    history of the training share of users, with user and item features,
+    blended with noise and a constant."""
+    from stratakit.operators.models import fit_response
     from stratakit.operators.responses import (constant_response, noise_response,
                                                weighted_ensemble)
-    from stratakit.operators.models import fm_response_model
-    from stratakit.plans.population import sampled_users
-    users, items = t.users(spark, d), t.items(spark, d)
-    train = t.history(spark, d).join(sampled_users(spark, d).select("user_id"), "user_id", "left_semi")
-    model, featurize = fm_response_model(train, users, items, "user_id", "item_id", "relevance",
-                                         ["acctbal"], ["price", "size"], seed=SEED)
-    pairs = t.history(spark, d).select("user_id", "item_id").distinct()
-    pred = model.transform(featurize(pairs)).select("user_id", "item_id", "prediction")
+    from stratakit.operators.sampling import split_train_test
+    users, items, log = t.users(spark, d), t.items(spark, d), t.history(spark, d)
+    train = split_train_test(log, ["user_id"], SEED).where("split = 'train'")
+    model = fit_response(train, users, items, "user_id", "item_id", "relevance",
+                         ["acctbal"], ["price", "size"], seed=SEED)
+    pred = model.apply(log.select("user_id", "item_id").distinct(), users, items)
     rel = weighted_ensemble([noise_response(SEED, "user_id", "item_id"), constant_response(1.0),
                              F.col("prediction")], [1.0, 1.0, 2.0])
     return pred.select("user_id", "item_id", F.round(rel, 6).alias("relevance"))

@@ -1,5 +1,5 @@
-"""Session helpers: a tuned builder, the checkpoint folder and size-checked
-broadcasts."""
+"""Session helpers: a tuned builder, the checkpoint folder and parameter
+tables."""
 
 from __future__ import annotations
 
@@ -9,9 +9,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest number of rows we ever hand to ``F.broadcast`` on a *proven* bound
-# (a bound known from plan-time parameters, not from the data).
-BROADCAST_ROW_LIMIT = 2_000_000
+# Largest parameter table (a few narrow columns, so under 1 MB) that is
+# broadcast by a hint.
+PARAMETER_ROWS = 10_000
 
 
 def build_session(master: str | None = None, app: str = "stratakit",
@@ -80,23 +80,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_broadcast(df: DataFrame, row_bound: int) -> DataFrame:
-    """Broadcast ``df`` only when ``row_bound`` - a bound known at plan time,
-    such as the number of quota entries or ``k`` - is under the limit.
-    Otherwise leave the choice to AQE, which still broadcasts at run time when
-    the measured size is small."""
-    if row_bound is not None and row_bound <= BROADCAST_ROW_LIMIT:
-        return F.broadcast(df)
-    return df
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast after *checking* the size: one count (limited to
-    ``max_rows + 1`` rows, so it stops early on big inputs).  Meant for
-    dimension-like tables whose size the planner cannot estimate, such as
-    checkpointed ones."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def parameter_broadcast(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a table made of call parameters (quota entries, quantile
+    positions, ``k`` slots), whose ``rows`` are known when the plan is built.
+    Tables that hold data are left to AQE, which decides on bytes at run time."""
+    return F.broadcast(df) if rows <= PARAMETER_ROWS else df
 
 
 def _sql_literal(v) -> str:
@@ -127,13 +115,3 @@ def local_table(spark: SparkSession, rows: list, schema) -> DataFrame:
     cols = ", ".join(f"CAST({n} AS {f.dataType.simpleString()}) AS `{f.name}`"
                      for n, f in zip(names, schema.fields))
     return spark.sql(f"SELECT {cols} FROM VALUES {values} AS t({', '.join(names)})")
-
-
-def spread_for_cpu(df: DataFrame) -> DataFrame:
-    """Before CPU-heavy row work (regexes over whole texts), spread an input
-    that arrives in fewer partitions than the cluster has task slots (a few
-    large parquet row groups).  On large inputs this is a no-op."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df

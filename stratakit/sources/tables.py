@@ -43,14 +43,20 @@ def day_number(c) -> F.Column:
     return (F.year(c) * 10000 + F.month(c) * 100 + F.dayofmonth(c)).cast("long")
 
 
-def history(spark, sf_dir) -> DataFrame:
+def history(spark, sf_dir, users: DataFrame | None = None) -> DataFrame:
     """History log: lineitem joined to orders (user = customer, item = part,
-    value = quantity, timestamp = yyyymmdd of the order date)."""
+    value = quantity, timestamp = yyyymmdd of the order date).  With ``users``
+    only theirs, with their other columns; orders are cut to them before the
+    join with lineitem."""
     li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
-    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"), "o_orderdate")
+    more = []
+    if users is not None:
+        o = o.join(users, "user_id")
+        more = [c for c in users.columns if c != "user_id"]
     return li.join(o, li.l_orderkey == o.o_orderkey).select(
-        F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"),
-        F.col("l_quantity").alias("relevance"), day_number(F.col("o_orderdate")).alias("timestamp"))
+        "user_id", F.col("l_partkey").alias("item_id"),
+        F.col("l_quantity").alias("relevance"), day_number(F.col("o_orderdate")).alias("timestamp"), *more)
 
 
 HISTORY_SQL = ("SELECT o_custkey AS user_id, l_partkey AS item_id, l_quantity AS relevance, "

@@ -1,10 +1,10 @@
-"""Session helpers: checkpoint folder from the session, size-checked
-broadcast, spreading few-partition inputs."""
+"""Session helpers: checkpoint folder from the session, hints for parameter
+tables only."""
 
 import contextlib
 import io
 
-from stratakit.session import broadcast_if_small, ensure_checkpoint_dir, spread_for_cpu
+from stratakit.session import PARAMETER_ROWS, ensure_checkpoint_dir, parameter_broadcast
 
 
 def _plan(df):
@@ -18,18 +18,8 @@ def test_checkpoint_dir_is_read_from_the_session(spark):
     assert ensure_checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
 
 
-def test_broadcast_only_below_the_checked_size(spark):
-    small = spark.range(10).withColumnRenamed("id", "k")
-    big = spark.range(1000).withColumnRenamed("id", "k")
+def test_only_parameter_tables_are_hinted(spark):
+    k = spark.range(10).withColumnRenamed("id", "k")
     facts = spark.range(100_000).withColumnRenamed("id", "k")
-    assert "BroadcastHashJoin" in _plan(facts.join(broadcast_if_small(small, max_rows=100), "k"))
-    hinted = broadcast_if_small(big, max_rows=100)
-    assert hinted is big    # no hint: the checked size is over the bound
-
-
-def test_spread_for_cpu(spark):
-    one = spark.range(0, 1000, numPartitions=1)
-    par = spark.sparkContext.defaultParallelism
-    assert spread_for_cpu(one).rdd.getNumPartitions() == par
-    many = spark.range(0, 1000, numPartitions=par * 2)
-    assert spread_for_cpu(many) is many
+    assert "BroadcastHashJoin" in _plan(facts.join(parameter_broadcast(k, 10), "k"))
+    assert parameter_broadcast(k, PARAMETER_ROWS + 1) is k
