@@ -1,76 +1,37 @@
 """Contiguous row indexes (E1) and dense re-coding of ids.
 
-No operator here puts all rows into one window partition.  Two strategies:
-
-* ``row_index`` on one numeric column: approximate-quantile buckets whose
-  bounds are collected once (fixed literals, so recomputation is
-  deterministic), a row_number inside each bucket and a running offset over
-  the per-bucket counts (a table of at most ``buckets`` rows).
-* ``row_index_sorted`` for any order: a global sort (range-partitioned on the
-  whole order, so ties on the first column are still split), materialised in
-  the shared checkpoint folder so partition ids are stable, then per-partition
-  counts and offsets.
+Rows are sorted globally (range-partitioned on the whole order, so that a key
+with many rows is still split by what follows it), materialised in the shared
+checkpoint folder so that partition ids and positions are fixed, and numbered by
+per-partition counts and offsets.  No window holds more than one row a
+partition.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratakit.session import checkpointed
 
-DEFAULT_BUCKETS = 1024
-
 
 def _offsets(counts: DataFrame, bucket: str) -> DataFrame:
-    # ``counts`` has at most ``buckets`` (or partitions) rows: one small window.
+    # one row a partition: one small window
     w = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return counts.select(bucket, (F.sum("n").over(w) - F.col("n")).alias("_offset"))
 
 
 def row_index(df: DataFrame, key: str, index_col: str = "index",
-              buckets: int = DEFAULT_BUCKETS, tiebreak: list[str] | None = None) -> DataFrame:
-    """0-based contiguous index in ascending ``key`` order (``key`` numeric).
-
-    One small pass reads min, max and count.  Dense integer keys (range at
-    most 4x the count) use equal-width buckets, which then hold at most 4x the
-    average.  Other keys use approximate-quantile bounds, collected once (at
-    most ``buckets`` numbers), placed by ``Bucketizer``'s binary search.
-    Either way the bucket function is built from literals, so every
-    recomputation assigns the same bucket.  Inside a bucket rows are numbered by a window, and a running
-    offset over the per-bucket counts (a table of at most ``buckets`` rows)
-    makes the numbering global.  Ties on ``key`` are ordered by ``tiebreak``.
-    """
-    from pyspark.ml.feature import Bucketizer
-    st = df.agg(F.min(key).alias("mn"), F.max(key).alias("mx"), F.count(key).alias("n")).first()
-    integral = df.schema[key].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
-    if st["n"] and integral and (st["mx"] - st["mn"] + 1) <= 4 * st["n"]:
-        # dense keys: equal-width buckets; a bucket holds at most its width of
-        # distinct keys, i.e. at most 4x the average bucket
-        rng = st["mx"] - st["mn"] + 1
-        bucket = F.floor((F.col(key) - F.lit(st["mn"])).cast("double") * F.lit(float(buckets))
-                         / F.lit(float(rng))).cast("long")
-        b = df.withColumn("_bucket", bucket)
-    else:
-        qs = [i / buckets for i in range(1, buckets)]
-        bounds = df.select(F.percentile_approx(F.col(key).cast("double"), qs, 10_000)).first()[0]
-        splits = sorted(set(x for x in (bounds or []) if x is not None))
-        b = df.withColumn("_kd", F.col(key).cast("double"))
-        if splits:
-            b = Bucketizer(splits=[-float("inf")] + splits + [float("inf")], inputCol="_kd",
-                           outputCol="_bucketd", handleInvalid="keep").transform(b)
-            b = b.withColumn("_bucket", F.col("_bucketd").cast("long")).drop("_bucketd")
-        else:
-            b = b.withColumn("_bucket", F.lit(0).cast("long"))
-        b = b.drop("_kd")
-    counts = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"))
-    offs = F.broadcast(_offsets(counts, "_bucket"))
-    order = [F.col(key)] + [F.col(c) for c in (tiebreak or [])]
-    w = Window.partitionBy("_bucket").orderBy(*order)
-    return (b.withColumn("_rn", F.row_number().over(w))
-            .join(offs, "_bucket")
-            .withColumn(index_col, (F.col("_offset") + F.col("_rn") - 1).cast("long"))
-            .drop("_bucket", "_rn", "_offset"))
+              tiebreak: list[str] | None = None) -> DataFrame:
+    """0-based contiguous index in ascending ``key`` order, nulls first.
+
+    Rows of one key are ordered by ``tiebreak``, by default all other columns
+    that have an order, so only rows that are equal throughout can swap."""
+    if tiebreak is None:
+        tiebreak = [f.name for f in df.schema.fields
+                    if f.name != key and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return row_index_sorted(df, [F.col(key).asc_nulls_first()] + [F.col(c) for c in tiebreak], index_col)
 
 
 def row_index_sorted(df: DataFrame, order: list, index_col: str = "index") -> DataFrame:
@@ -90,11 +51,11 @@ def row_index_sorted(df: DataFrame, order: list, index_col: str = "index") -> Da
             .drop("_pid", "_pos", "_offset"))
 
 
-def dense_codes(ids: DataFrame, id_col: str, code_col: str = "code",
-                buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Code table ``(id, code)``: distinct ids numbered 0..n-1 ascending."""
-    distinct = ids.select(id_col).where(F.col(id_col).isNotNull()).distinct()
-    return row_index(distinct, id_col, code_col, buckets)
+def dense_codes(ids: DataFrame, id_col: str, code_col: str = "code") -> DataFrame:
+    """Code table ``(id, code)``: distinct non-null ids numbered 0..n-1
+    ascending (E2).  The distinct ids are computed once."""
+    distinct = checkpointed(ids.select(id_col).where(F.col(id_col).isNotNull()).distinct())
+    return row_index(distinct, id_col, code_col)
 
 
 def recode(df: DataFrame, id_col: str, codes: DataFrame, code_col: str = "code",

@@ -21,68 +21,101 @@ def _check_quantiles(qs):
         raise ValueError("quantiles must be unique")
 
 
-def exact_quantiles(df: DataFrame, col: str, qs: list[float], buckets: int = 256) -> DataFrame:
-    """Linear-interpolation quantiles (numpy's default, DuckDB's
-    ``quantile_cont``), exactly, without sorting the column.
+#: Bins of a refinement round, and rows of a bin that one task sorts.
+QUANTILE_BINS, BIN_ROWS = 256, 1_000_000
+
 
-    1. one pass: the count and approximate quantile bounds (``buckets``
-       numbers, collected, so the bucket function is fixed literals);
-    2. rows are bucketed by binary search (``Bucketizer``); the per-bucket
-       counts (at most ``buckets + 1`` rows) locate the bucket and local rank
-       of the two order statistics around each ``(n-1)q``;
-    3. only those few buckets are read again, as *distinct-value counts*
-       (duplicates collapse map-side, so a value held by a third of all rows
-       is one row), and the running count inside each bucket picks the value.
+def exact_quantiles(df: DataFrame, col: str, qs: list[float], buckets: int = QUANTILE_BINS,
+                    bin_rows: int = BIN_ROWS) -> DataFrame:
+    """Linear-interpolation quantiles (numpy's default, DuckDB's
+    ``quantile_cont``), exactly, without sorting the column; nulls and NaN are
+    left out.
+
+    The two order statistics around each ``(n-1)q`` are closed in on by
+    rounds.  A round reads the bins that still hold a wanted rank (at first
+    one bin, everything), takes ``buckets`` approximate quantiles of each,
+    cuts the bins there and counts the new ones, which says where each rank
+    lies.  A bin of a single value is an answer; a bin of at most
+    ``bin_rows`` rows is read as distinct-value counts and finished by a
+    running count; any other goes into the next round.  Values that many rows
+    share are cut off as bins of their own, so every round gets ahead.
 
     Returns ``(q, value)`` rows."""
     from pyspark.ml.feature import Bucketizer
     _check_quantiles(qs)
     spark = df.sparkSession
     schema = T.StructType([T.StructField("q", T.DoubleType()), T.StructField("value", T.DoubleType())])
-    vals = df.select(F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    vals = df.select(F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    inf = float("inf")
+
+    def binned(edges: list[float]) -> DataFrame:
+        if len(edges) == 2:
+            return vals.withColumn("_b", F.lit(0).cast("long"))
+        return (Bucketizer(splits=edges, inputCol="_v", outputCol="_b").transform(vals)
+                .withColumn("_b", F.col("_b").cast("long")))
+
+    def cut(edges: list[float], targets: list[int], aggs: list):
+        got = binned(edges).where(F.col("_b").isin(targets)).groupBy("_b").agg(*aggs).collect()
+        return {r["_b"]: r for r in got}
+
     probs = [i / buckets for i in range(1, buckets)]
-    head = vals.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", probs, 10_000).alias("b")).first()
-    n = head["n"]
+    stats = [F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"),
+             F.percentile_approx("_v", probs, 10_000).alias("p")]
+    # where each wanted rank lies: (from, to) of its bin and the rows below it
+    first = vals.agg(*stats).first()
+    n = first["n"]
     if not n:
         return local_table(spark, [(float(q), None) for q in qs], schema)
-    splits = sorted(set(x for x in (head["b"] or []) if x is not None))
-    if splits:
-        vb = Bucketizer(splits=[-float("inf")] + splits + [float("inf")], inputCol="_v",
-                        outputCol="_bd", handleInvalid="keep").transform(vals)
-        vb = vb.withColumn("_b", F.col("_bd").cast("long")).drop("_bd")
-    else:
-        vb = vals.withColumn("_b", F.lit(0).cast("long"))
-    counts = sorted((r["_b"], r["c"]) for r in vb.groupBy("_b").agg(F.count(F.lit(1)).alias("c")).collect())
-    starts, acc = [], 0
-    for b, c in counts:
-        starts.append((b, acc, acc + c))
-        acc += c
-
-    def locate(rank):
-        for b, lo, hi in starts:
-            if lo <= rank < hi:
-                return b, rank - lo
-        raise AssertionError("rank outside the table")
-
-    plan, needed = [], {}
-    for q in qs:
-        h = float(n - 1) * q
-        lo, hi = math.floor(h), math.ceil(h)
-        plan.append((q, h, lo, hi))
-        for r in (lo, hi):
-            needed[r] = locate(r)
-    targets = sorted({b for b, _ in needed.values()})
-    vc = (vb.where(F.col("_b").isin(targets)).groupBy("_b", "_v").agg(F.count(F.lit(1)).alias("c")))
-    w = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    vc = vc.withColumn("_incl", F.sum("c").over(w)).withColumn("_excl", F.col("_incl") - F.col("c"))
-    want = local_table(spark, [(b, r_local, r) for r, (b, r_local) in needed.items()],
-                       T.StructType([T.StructField("_b", T.LongType()), T.StructField("_r", T.LongType()),
-                                     T.StructField("_rank", T.LongType())]))
-    hit = (vc.join(F.broadcast(want), "_b")
-           .where((F.col("_excl") <= F.col("_r")) & (F.col("_r") < F.col("_incl")))
-           .select("_rank", "_v").collect())            # at most 2 * len(qs) rows
-    value_at = {r["_rank"]: r["_v"] for r in hit}
-    rows = [(float(q), value_at[lo] + (h - lo) * (value_at[hi] - value_at[lo])) for q, h, lo, hi in plan]
+    plan = [(q, (n - 1) * q, math.floor((n - 1) * q), math.ceil((n - 1) * q)) for q in qs]
+    open_ranks = {r: (-inf, inf, 0) for _, _, lo, hi in plan for r in (lo, hi)}
+    known, small = {}, {}
+    seen = {(-inf, inf): first}
+    while open_ranks:
+        # close what one value or few rows answer; split the rest
+        splits = set()
+        for rank, (lo, hi, below) in list(open_ranks.items()):
+            r = seen[lo, hi]
+            if r["lo"] == r["hi"]:
+                known[rank] = r["lo"]
+                del open_ranks[rank]
+            elif r["n"] <= bin_rows:
+                small[rank] = (lo, hi, below)
+                del open_ranks[rank]
+            else:
+                p = [r["lo"], *r["p"], r["hi"]]
+                splits |= {lo, hi, *p}
+                splits |= {math.nextafter(x, inf) for x, y in zip(p, p[1:]) if x == y}
+                splits |= {math.nextafter(r["lo"], inf)}
+        if not open_ranks:
+            break
+        edges = sorted(splits | {-inf, inf})
+        at = {e: i for i, e in enumerate(edges)}
+        wanted = sorted({b for lo, hi, _ in open_ranks.values() for b in range(at[lo], at[hi])})
+        counts = cut(edges, wanted, [F.count(F.lit(1)).alias("n")])
+        for rank, (lo, hi, below) in open_ranks.items():
+            for b in range(at[lo], at[hi]):
+                here = counts[b]["n"] if b in counts else 0
+                if rank < below + here:
+                    open_ranks[rank] = (edges[b], edges[b + 1], below)
+                    break
+                below += here
+        bins = sorted({(lo, hi) for lo, hi, _ in open_ranks.values()})
+        got = cut(edges, [at[lo] for lo, _ in bins], stats)
+        seen = {(lo, hi): got[at[lo]] for lo, hi in bins}
+    if small:
+        edges = sorted({-inf, inf, *(e for lo, hi, _ in small.values() for e in (lo, hi))})
+        at = {e: i for i, e in enumerate(edges)}
+        want = local_table(spark, [(at[lo], rank - below, rank) for rank, (lo, _, below) in small.items()],
+                           T.StructType([T.StructField("_b", T.LongType()), T.StructField("_r", T.LongType()),
+                                         T.StructField("_rank", T.LongType())]))
+        w = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        vc = (binned(edges).where(F.col("_b").isin(sorted({at[lo] for lo, _, _ in small.values()})))
+              .groupBy("_b", "_v").agg(F.count(F.lit(1)).alias("c")).withColumn("_incl", F.sum("c").over(w)))
+        hit = (vc.join(F.broadcast(want), "_b")                 # two ranks a quantile
+               .where((F.col("_incl") - F.col("c") <= F.col("_r")) & (F.col("_r") < F.col("_incl")))
+               .select("_rank", "_v").collect())
+        known.update((r["_rank"], r["_v"]) for r in hit)
+    rows = [(float(q), known[lo] + (h - lo) * (known[hi] - known[lo])) for q, h, lo, hi in plan]
     return local_table(spark, rows, schema)
 
 

@@ -47,7 +47,7 @@ def test_top_random_k(spark):
 
 def test_row_index_contiguous(spark):
     df = spark.createDataFrame([(k,) for k in [10, 30, 20, 30, 500, -7]], "k long")
-    got = sorted((r["k"], r["i"]) for r in row_index(df.distinct(), "k", "i", buckets=3).collect())
+    got = sorted((r["k"], r["i"]) for r in row_index(df.distinct(), "k", "i").collect())
     assert got == [(-7, 0), (10, 1), (20, 2), (30, 3), (500, 4)]
     codes = dense_codes(spark.createDataFrame([(10,), (30,), (20,), (30,)], "id long"), "id")
     assert sorted((r["id"], r["code"]) for r in codes.collect()) == [(10, 0), (20, 1), (30, 2)]
@@ -81,7 +81,7 @@ def test_get_train_log_falls_back_when_history_is_empty(spark):
     users = t.users(spark, SF01).limit(7)
     items = t.items(spark, SF01)
     out = get_train_log(empty_log(spark), users, items, "user_id", "item_id",
-                        response=F.lit(1.0), use_synth_items=False)
+                        response=F.col("price") + F.col("acctbal"), use_synth_items=False)
     assert out.count() == 21 and out.select("item_id").distinct().count() == 3
     assert out.columns == ["user_id", "item_id", "relevance", "timestamp"]
     hist = t.history(spark, SF01)
@@ -92,7 +92,58 @@ def test_get_train_log_falls_back_when_history_is_empty(spark):
 def test_row_index_sparse_and_clustered_keys(spark):
     keys = list(range(1000)) + [10**15, 10**15 + 7, -(10**12)]
     df = spark.createDataFrame([(k,) for k in keys], "k long")
-    got = [r["k"] for r in row_index(df, "k", "i", buckets=16).orderBy("i").collect()]
+    got = [r["k"] for r in row_index(df, "k", "i").orderBy("i").collect()]
     assert got == sorted(keys)
-    idx = sorted(r["i"] for r in row_index(df, "k", "i", buckets=16).collect())
+    idx = sorted(r["i"] for r in row_index(df, "k", "i").collect())
     assert idx == list(range(len(keys)))
+
+
+def test_row_index_numbers_nulls_and_a_hot_key(spark):
+    rows = [(None, 1), (None, 2)] + [(5, i) for i in range(600)] + [(i + 10, 0) for i in range(1200)]
+    df = spark.createDataFrame(rows, "k long, v long").repartition(7)
+    out = row_index(df, "k", "i")
+    got = [(r["k"], r["v"]) for r in out.orderBy("i").collect()]
+    assert got == rows
+    assert sorted(r["i"] for r in out.collect()) == list(range(len(rows)))
+    # the hot key's rows are spread: the sort ranges over the whole order
+    parts = out.where("k = 5").groupBy(F.floor(F.col("i") / 100)).count().count()
+    assert parts == 7
+
+
+def test_recode_reads_the_history_at_most_twice(spark):
+    import __spark_entry__ as se
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        se.queries()["recode_ids"](spark, SF01).explain()
+    assert buf.getvalue().count("lineitem") <= 1        # the codes come from the shared folder
+
+
+def test_random_top_k_is_uniform_and_unseen(spark):
+    from stratakit.operators.logs import random_top_k
+    users = spark.range(3000).select(F.col("id").alias("u"))
+    items = spark.createDataFrame([(10 * i,) for i in range(12)], "i long")
+    seen = users.select("u", F.explode(F.expr("array(0L, 50L, 110L)")).alias("i"))
+    got = random_top_k(users, items, seen, "u", "i", 4, 3).collect()
+    assert len(got) == 12_000 and not {r["i"] for r in got} & {0, 50, 110}
+    sets = {}
+    for r in got:
+        sets.setdefault(r["u"], {})[r["rank"]] = r["i"]
+    assert all(sorted(v) == [1, 2, 3, 4] and len(set(v.values())) == 4 for v in sets.values())
+    free = [10 * i for i in range(12) if 10 * i not in (0, 50, 110)]
+    one = {i: sum(r["i"] == i for r in got) for i in free}
+    assert all(abs(n - 12_000 / 9) < 6 * (12_000 / 9) ** 0.5 for n in one.values()), one
+    pairs = {(a, b): 0 for a in free for b in free if a != b}
+    for v in sets.values():
+        pairs[v[1], v[2]] += 1                               # ordered pairs: first and second choice
+    assert all(abs(n - 3000 / 72) < 6 * (3000 / 72) ** 0.5 for n in pairs.values())
+    few = random_top_k(users.limit(2), items.limit(2), None, "u", "i", 4, 3).collect()
+    assert len(few) == 4                                     # no more than there are
+
+
+def test_index_draws_reach_every_row(spark):
+    from stratakit.functions.rand import draw_index
+    r = spark.range(100_000).select(draw_index(F.lit(2 ** 40), 1, "id").alias("x")).agg(
+        F.countDistinct("x"), F.max("x"), F.countDistinct(F.col("x") % 2 ** 20)).first()
+    assert r[0] >= 99_990 and 2 ** 40 * 0.999 < r[1] < 2 ** 40 and r[2] > 90_000
