@@ -4,12 +4,13 @@ Relabelling solves the Lagrangian dual of the reference's linear program
 (choose one class per row, maximise summed probability, equal class rates in
 both groups).  The rule for a row of group g with probabilities p is
 
-    class = argmax_c ( p_c - s_g * lambda_c / pi_g ),  s_A = +1, s_B = -1,
+    class = argmax_c ( p_c - s_g * lambda_c / pi_g ),  s_A = +1, s_B = -1.
 
-and lambda is found by subgradient steps; each step is ONE aggregate over the
-cached (group, probs) table with lambda as literals.  Replicate ensembles
-solve the same dual on small subsamples (one pandas task per replicate) and
-vote."""
+One aggregate reduces the table to counts and mean probabilities on a grid of
+bounded size; lambda is found by subgradient steps on these cells, and one more
+pass measures the class rates of the real rows under the rule.  Replicate
+ensembles solve the same dual on small subsamples and vote.  Rows without a
+group keep the plain argmax and count for no rate."""
 
 from __future__ import annotations
 
@@ -17,13 +18,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratakit.functions.arrays import argmax, majority_vote
-from stratakit.functions.rand import hash32
-from stratakit.session import local_table
+from stratakit.functions.arrays import argmax
+from stratakit.functions.rand import draw_index
+from stratakit.session import checkpointed, local_table
 
 
 def baseline_accuracy(df: DataFrame, label: str) -> DataFrame:
@@ -79,156 +80,185 @@ def fairness_metrics(test: DataFrame, baseline: Column, group: str = "grp", labe
         (F.col("acc1_before") - F.col("acc1_after")).alias("loss_group1"))
 
 
-def relabel_expr(probs: Column, group: Column, lam: list[float], pi_a: float, pi_b: float,
-                 group_a=1) -> Column:
-    """The dual rule as an expression (H7 argmax, lowest class on ties)."""
-    k = len(lam)
-    lam_a = F.array(*[F.lit(-l / pi_a) for l in lam])
-    lam_b = F.array(*[F.lit(l / pi_b) for l in lam])
-    shift = F.when(group == F.lit(group_a), lam_a).otherwise(lam_b)
-    adj = F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
-                      lambda c: probs[c] + F.element_at(shift, c + 1))
+def relabel_expr(probs: Column, group: Column, lam, pi_a, pi_b, k: int | None = None, group_a=1) -> Column:
+    """The dual rule as an expression (H7 argmax, lowest class on ties).
+    ``lam`` is a list of numbers or an array column."""
+    if isinstance(lam, Column):
+        lam_at = lambda c: F.element_at(lam, c + 1)                           # noqa: E731
+    else:
+        k = len(lam)
+        fixed = F.array(*[F.lit(float(v)) for v in lam])
+        lam_at = lambda c: F.element_at(fixed, c + 1)                         # noqa: E731
+    pi_a, pi_b = (x if isinstance(x, Column) else F.lit(float(x)) for x in (pi_a, pi_b))
+    adj = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: F.when(
+        group.isNull(), probs[c]).otherwise(probs[c] + F.when(group == F.lit(group_a), -lam_at(c) / pi_a)
+                                            .otherwise(lam_at(c) / pi_b)))
     return argmax(adj)
 
 
-def _rates(df: DataFrame, cls: Column, group: str, k: int, group_a) -> np.ndarray:
-    aggs = []
-    for g in ("a", "b"):
-        cond_g = (F.col(group) == F.lit(group_a)) if g == "a" else (F.col(group) != F.lit(group_a))
-        for c in range(k):
-            aggs.append(F.count_if(cond_g & (cls == F.lit(c))).alias(f"{g}{c}"))
-    r = df.agg(*aggs).first()
-    return np.array([[r[f"a{c}"] for c in range(k)], [r[f"b{c}"] for c in range(k)]], dtype=float)
-
-
-def fit_parity(df: DataFrame, probs: str, group: str, num_classes: int, group_a=1,
-               max_iter: int = 40, step: float = 0.1, tol: float = 0.005) -> dict:
-    """Lambda for equal class rates between the two groups.
-
-    Returns ``{"lambda", "pi_a", "pi_b", "gap", "iterations"}``; stops when the
-    largest rate gap is below ``tol``; keeps the best lambda seen."""
-    data = df.select(F.col(probs).cast("array<double>").alias("_p"), F.col(group)).cache()
-    counts = data.agg(F.count_if(F.col(group) == F.lit(group_a)).alias("a"),
-                      F.count(F.lit(1)).alias("n")).first()
-    n, n_a = counts["n"], counts["a"]
-    if n == 0 or n_a in (0, n):
-        data.unpersist()
-        return {"lambda": [0.0] * num_classes, "pi_a": 1.0, "pi_b": 1.0, "gap": 0.0, "iterations": 0}
-    pi_a, pi_b = n_a / n, (n - n_a) / n
-    lam = np.zeros(num_classes)
-    best = (math.inf, lam.copy())
-    it = 0
+def _solve_dual(p: np.ndarray, in_a: np.ndarray, n: np.ndarray, k: int, max_iter: int, step: float,
+                tol: float) -> dict:
+    """Subgradient steps on rows ``p`` that stand for ``n`` rows each, until
+    the largest rate gap is below ``tol`` or what single rows can move; the
+    first best lambda."""
+    n_a, n_b = float(n[in_a].sum()), float(n[~in_a].sum())
+    if not n_a or not n_b:
+        return {"lambda": [0.0] * k, "pi_a": 1.0, "pi_b": 1.0, "gap": 0.0, "iterations": 0}
+    total = n_a + n_b
+    pi_a, pi_b = n_a / total, n_b / total
+    tol = max(tol, (k - 1) / min(n_a, n_b))
+    lam, best, it = np.zeros(k), (math.inf, np.zeros(k)), 0
     for it in range(1, max_iter + 1):
-        cls = relabel_expr(F.col("_p"), F.col(group), lam.tolist(), pi_a, pi_b, group_a)
-        cnt = _rates(data, cls, group, num_classes, group_a)
-        rate_a = cnt[0] / max(n_a, 1)
-        rate_b = cnt[1] / max(n - n_a, 1)
+        cls = np.argmax(p + np.where(in_a[:, None], -lam / pi_a, lam / pi_b), axis=1)
+        rate_a = np.bincount(cls[in_a], weights=n[in_a], minlength=k) / n_a
+        rate_b = np.bincount(cls[~in_a], weights=n[~in_a], minlength=k) / n_b
         diff = rate_a - rate_b
-        gap = float(np.max(np.abs(diff)))
+        gap = float(np.abs(diff).max())
         if gap < best[0]:
-            best = (gap, lam.copy())
+            best = (gap, lam)
         if gap < tol:
             break
         lam = lam + (step / math.sqrt(it)) * diff
-    data.unpersist()
     return {"lambda": best[1].tolist(), "pi_a": pi_a, "pi_b": pi_b, "gap": best[0], "iterations": it}
 
 
+#: Cells of the grid, by all classes together.
+GRID_CELLS = 1 << 20
+
+
+def grid_side(k: int) -> int:
+    """Grid steps per class, so that the cells of normalised probabilities
+    stay in proportion to ``GRID_CELLS``."""
+    return max(2, int(GRID_CELLS ** (1 / max(1, k - 1)) + 1e-9))
+
+
+def fit_parity(df: DataFrame, probs: str, group: str, num_classes: int, group_a=1,
+               max_iter: int = 2000, step: float = 0.1, tol: float = 0.005, strict: bool = True) -> dict:
+    """Lambda for equal class rates between the two groups.
+
+    Two passes over the rows: the grid aggregate, and the rates of the rule
+    found.  Returns ``{"lambda", "pi_a", "pi_b", "gap", "iterations"}`` with
+    the gap of the real rows.  ``strict``: a gap above ``tol`` (or above what
+    ``num_classes - 1`` rows of the smaller group make, if that is more) is
+    an error, not a result."""
+    k, side = num_classes, grid_side(num_classes)
+    p = F.col(probs).cast("array<double>")
+    in_a = F.col(group) == F.lit(group_a)
+    data = df.where(F.col(group).isNotNull()).select(in_a.alias("a"), *[p[c].alias(f"p{c}") for c in range(k)])
+    cells = (data.groupBy("a", *[F.floor(F.col(f"p{c}") * side).alias(f"g{c}") for c in range(k)])
+             .agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"p{c}").alias(f"p{c}") for c in range(k)])
+             .select("a", "n", *[f"p{c}" for c in range(k)]).toPandas())       # the grid bounds its rows
+    fit = _solve_dual(cells[[f"p{c}" for c in range(k)]].to_numpy(dtype=float).reshape(-1, k),
+                      cells["a"].to_numpy(dtype=bool), cells["n"].to_numpy(dtype=float), k, max_iter, step, tol)
+    if not fit["iterations"]:
+        return fit
+    cls = relabel_expr(F.array(*[f"p{c}" for c in range(k)]), F.col("a"), fit["lambda"], fit["pi_a"], fit["pi_b"],
+                       group_a=True)
+    rates = data.select("a", cls.alias("c")).agg(
+        F.count_if("a").alias("n_a"), F.count_if(~F.col("a")).alias("n_b"),
+        *[F.count_if(F.col("a") & (F.col("c") == c)).alias(f"a{c}") for c in range(k)],
+        *[F.count_if(~F.col("a") & (F.col("c") == c)).alias(f"b{c}") for c in range(k)]).first()
+    fit["gap"] = max(abs(rates[f"a{c}"] / rates["n_a"] - rates[f"b{c}"] / rates["n_b"]) for c in range(k))
+    least = max(tol, (k - 1) / min(rates["n_a"], rates["n_b"]))
+    if strict and fit["gap"] > least:
+        raise RuntimeError(f"class rates differ by {fit['gap']:.4g}, more than {least:.4g}: many rows share their "
+                           "probabilities, or max_iter is too small")
+    return fit
+
+
 def parity_relabel(df: DataFrame, probs: str, group: str, num_classes: int, group_a=1,
                    out_col: str = "pred_fair", **kw) -> tuple[DataFrame, dict]:
     fit = fit_parity(df, probs, group, num_classes, group_a, **kw)
     return (df.withColumn(out_col, relabel_expr(F.col(probs), F.col(group), fit["lambda"],
-                                                fit["pi_a"], fit["pi_b"], group_a)), fit)
+                                                fit["pi_a"], fit["pi_b"], group_a=group_a)), fit)
 
 
 # ---------------------------------------------------------------- replicates
+def replicate_sizes(n: int) -> tuple[int, int]:
+    """Rows of a replicate and number of replicates: m = floor(sqrt(n)), 50 m."""
+    m = math.isqrt(n)
+    return m, 50 * m
+
+
 def replicate_samples(df: DataFrame, key: str, group: str, replicates: int | None,
                       seed: int, per_replicate: int | None = None) -> DataFrame:
     """R replicate subsamples without replacement; in each, group g gets
     floor(share_g * m) rows where m = floor(sqrt(n)) by default and
     R = 50 * m by default (the reference's sizes).
 
-    Rows of each group are indexed 0..N_g-1; replicate r walks the index
-    space by its own permutation ``(a_r * j + b_r) mod N_g`` and takes the
-    first n_g positions: every replicate has its exact size, with
-    ``R * m`` rows of work rather than ``R * n``."""
+    Rows of each group are indexed 0..N_g-1; a replicate draws indexes at
+    random (52-bit draws) and keeps the first different ones, n_g of them.  It
+    draws 2 n_g + 64, far more than repeats can use up as n_g is at most
+    N_g / sqrt(n); running short is an error.  Work is R * m rows, not R * n."""
     from stratakit.operators.index import row_index
-    from stratakit.operators.logs import PRIMES
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_N")).collect()  # one row per group
     n = sum(r["_N"] for r in sizes)
-    m = per_replicate or int(math.isqrt(n))
-    reps = replicates if replicates is not None else 50 * m
+    m, reps = replicate_sizes(n)
+    m, reps = per_replicate or m, reps if replicates is None else replicates
     spark = df.sparkSession
-    plan = local_table(spark, 
+    plan = local_table(spark,
         [(r[group], int(r["_N"]), int(math.floor(r["_N"] / n * m))) for r in sizes],
         T.StructType([T.StructField(group, df.schema[group].dataType),
                       T.StructField("_N", T.LongType()), T.StructField("_take", T.LongType())]))
     idx = None
     for r in sizes:
-        part = row_index(df.where(F.col(group) == F.lit(r[group])).select(key, group), key, "_idx")
+        part = row_index(df.where(F.col(group).eqNullSafe(F.lit(r[group]))).select(key, group), key, "_idx")
         idx = part if idx is None else idx.unionByName(part)
-    primes = F.array(*[F.lit(p).cast("long") for p in PRIMES])
     reps_df = spark.range(reps).withColumnRenamed("id", "rep")
-    # one row per (replicate, group): R * groups rows, groups is tiny
     rg = reps_df.withColumn("_g", F.explode(F.array(*[F.lit(r[group]) for r in sizes])))
-    rg = rg.withColumnRenamed("_g", group).join(F.broadcast(plan), group)
-    a = F.element_at(primes, (hash32(seed, F.lit("a"), "rep", group) % F.lit(len(PRIMES)) + 1).cast("int")) % F.col("_N")
-    b = hash32(seed, F.lit("b"), "rep", group) % F.col("_N")
-    draws = (rg.where(F.col("_take") > 0)
-             .select("rep", group, "_N", a.alias("_a"), b.alias("_b"),
-                     F.explode(F.sequence(F.lit(0).cast("long"), F.col("_take") - 1)).alias("_j"))
-             .withColumn("_idx", (F.col("_a") * F.col("_j") + F.col("_b")) % F.col("_N")))
-    return draws.join(idx, [group, "_idx"]).select("rep", group, key)
-
-
-def _dual_numpy(p: np.ndarray, g: np.ndarray, k: int, max_iter: int, step: float, tol: float):
-    n, n_a = len(g), int(g.sum())
-    if n_a in (0, n):
-        return np.zeros(k)
-    pi_a, pi_b = n_a / n, (n - n_a) / n
-    lam = np.zeros(k)
-    best = (math.inf, lam.copy())
-    for it in range(1, max_iter + 1):
-        shift = np.where(g[:, None] == 1, -lam / pi_a, lam / pi_b)
-        cls = np.argmax(p + shift, axis=1)
-        ra = np.bincount(cls[g == 1], minlength=k) / n_a
-        rb = np.bincount(cls[g == 0], minlength=k) / (n - n_a)
-        diff = ra - rb
-        gap = float(np.abs(diff).max())
-        if gap < best[0]:
-            best = (gap, lam.copy())
-        if gap < tol:
-            break
-        lam = lam + (step / math.sqrt(it)) * diff
-    return best[1]
-
-
-def replicate_lambdas(samples: DataFrame, data: DataFrame, key: str, group: str, probs: str,
-                      k: int, group_a=1, max_iter: int = 60, step: float = 0.1,
-                      tol: float = 0.005) -> DataFrame:
-    """I19 (solve part): one small dual per replicate, in parallel
-    (``groupBy(rep).applyInPandas``); a replicate holds about sqrt(n) rows."""
+    rg = rg.withColumnRenamed("_g", group).join(F.broadcast(plan), group).where(F.col("_take") > 0)
+    draws = rg.select("rep", group, "_N", "_take", F.explode(F.sequence(
+        F.lit(0).cast("long"), 2 * F.col("_take") + 63)).alias("_j"))
+    draws = draws.withColumn("_idx", draw_index(F.col("_N"), seed, F.lit("d"), "rep", group, "_j"))
+    firsts = draws.groupBy("rep", group, "_take", "_idx").agg(F.min("_j").alias("_j"))
+    mine = Window.partitionBy("rep", group)
+    ranked = firsts.withColumn("_n", F.count(F.lit(1)).over(mine)).withColumn(
+        "_rn", F.row_number().over(mine.orderBy("_j")))
+    enough = F.when(F.col("_n") < F.col("_take"), F.raise_error(F.lit("a replicate drew too few different rows"))).otherwise(F.lit(True))
+    chosen = ranked.where(enough & (F.col("_rn") <= F.col("_take"))).select("rep", group, "_idx")
+    return chosen.join(idx, [group, "_idx"]).select("rep", group, key)
+
+
+def replicate_rules(samples: DataFrame, data: DataFrame, key: str, group: str, probs: str,
+                    k: int, group_a=1, max_iter: int = 400, step: float = 0.1,
+                    tol: float = 0.005) -> DataFrame:
+    """I19 (solve part): (rep, lam, pi_a, pi_b, gap), one small dual per
+    replicate, in parallel; a replicate holds about sqrt(n) rows."""
     j = samples.join(data.select(key, F.col(probs).cast("array<double>").alias("_p")), key)
     j = j.withColumn("_ga", (F.col(group) == F.lit(group_a)).cast("int"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = np.array(pdf["_p"].tolist(), dtype=float)
-        g = pdf["_ga"].to_numpy()
-        lam = _dual_numpy(p, g, k, max_iter, step, tol)
-        n, n_a = len(g), int(g.sum())
-        pi_a = n_a / n if n else 1.0
-        pi_b = (n - n_a) / n if n else 1.0
-        return pd.DataFrame({"rep": [int(pdf["rep"].iloc[0])], "lam": [lam.tolist()],
-                             "pi_a": [pi_a or 1.0], "pi_b": [pi_b or 1.0]})
-
-    schema = "rep long, lam array<double>, pi_a double, pi_b double"
+        p, g = np.array(pdf["_p"].tolist(), dtype=float), pdf["_ga"].to_numpy() == 1
+        fit = _solve_dual(p, g, np.ones(len(p)), k, max_iter, step, tol)
+        return pd.DataFrame({"rep": [int(pdf["rep"].iloc[0])], "lam": [fit["lambda"]],
+                             "pi_a": [fit["pi_a"]], "pi_b": [fit["pi_b"]], "gap": [fit["gap"]]})
+
+    schema = "rep long, lam array<double>, pi_a double, pi_b double, gap double"
     return j.select("rep", "_p", "_ga").groupBy("rep").applyInPandas(solve, schema)
 
 
-def vote_relabel(df: DataFrame, probs: str, group: str, lambdas: list[dict], k: int,
+RULES_A_BLOCK = 256
+
+
+def vote_relabel(df: DataFrame, key: str, probs: str, group: str, rules: DataFrame, k: int,
                  group_a=1, out_col: str = "pred_vote") -> DataFrame:
-    """I19 (apply part): every rule applied to every row, majority vote
-    (D11).  ``lambdas`` is the small list of replicate solutions."""
-    preds = F.array(*[relabel_expr(F.col(probs), F.col(group), l["lam"], l["pi_a"], l["pi_b"], group_a)
-                      for l in lambdas])
-    return df.withColumn(out_col, majority_vote(preds, k))
+    """I19 (apply part): every rule votes on every row, majority wins (D11,
+    lowest class on ties).  Rules stay a table: they are packed into blocks
+    of ``RULES_A_BLOCK``, each row meets each block once and adds up the
+    block's votes by class, and the blocks' counts are summed by ``key``
+    (unique)."""
+    rule = F.struct("lam", "pi_a", "pi_b")
+    blocks = checkpointed(rules.groupBy(F.floor(F.col("rep") / F.lit(RULES_A_BLOCK)).cast("long").alias("_b"))
+                          .agg(F.collect_list(rule).alias("_rules")))
+    ids = blocks.agg(F.sort_array(F.collect_list("_b")).alias("i")).select("i").scalar()      # R / 256 numbers
+    met = (df.select(key, group, F.col(probs).cast("array<double>").alias("_p")).withColumn("_ids", ids)
+           .withColumn("_b", F.explode("_ids")).drop("_ids").join(blocks, "_b"))
+    votes = F.transform("_rules", lambda r: relabel_expr(F.col("_p"), F.col(group), r["lam"], r["pi_a"], r["pi_b"],
+                                                         k, group_a))
+    def votes_for(c: int) -> Column:
+        return F.size(F.filter("_v", lambda v: v == c)).alias(f"_n{c}")
+
+    counted = met.select(key, votes.alias("_v")).select(key, *[votes_for(c) for c in range(k)])
+    sums = counted.groupBy(key).agg(*[F.sum(f"_n{c}").alias(f"_n{c}") for c in range(k)])
+    voted = sums.select(key, argmax(F.array(*[f"_n{c}" for c in range(k)])).alias(out_col))
+    return df.join(voted, key)

@@ -6,12 +6,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratakit.functions.arrays import argmax, majority_vote
-from stratakit.functions.rand import U, hash32_sql, u_sql
-from stratakit.operators.logs import PRIMES
-from stratakit.operators.fairness import (baseline_accuracy, fairness_metrics, group_accuracy, metric_frame,
-                                          parity_relabel, relabel_expr,
-                                          replicate_lambdas, replicate_samples, vote_relabel)
-from stratakit.operators.models import class_probabilities
+from stratakit.functions.rand import U, draw_index_sql, u_sql
+from stratakit.operators.fairness import (baseline_accuracy, fairness_metrics, fit_parity, grid_side, group_accuracy,
+                                          metric_frame, parity_relabel, relabel_expr,
+                                          replicate_rules, replicate_samples, vote_relabel)
+from stratakit.operators.models import class_probabilities, fit_classifier
 from stratakit.operators.sampling import split_train_test
 from stratakit.plans.registry import SEED, query
 from stratakit.sources import tables as t
@@ -119,10 +118,11 @@ def customers_with_probs(spark, d):
                     F.transform(raw, lambda x: x / total).alias("probs"))
 
 
-# Oracle for the dual: the same subgradient iteration as a recursive CTE
-# (same IEEE operations in the same order), stopping at the first gap below
-# the tolerance and keeping the earliest best lambda.
-PARITY_ITER, PARITY_STEP, PARITY_TOL = 40, 0.1, 0.005
+# Oracle for the dual: the same grid cells and the same subgradient iteration as
+# a recursive CTE (same IEEE operations in the same order), stopping at the
+# first gap below the tolerance and keeping the earliest best lambda.
+PARITY_ITER, PARITY_STEP, PARITY_TOL = 2000, 0.1, 0.005
+SIDE = grid_side(K)
 _PU = [u_sql(SEED, f"'p{c}'", "c_custkey") for c in range(K)]
 
 
@@ -136,17 +136,20 @@ def _shifted_sql(lam):
 
 
 def _eval_sql(lam):
-    cnt = lambda g, c: f"CAST(count_if(grp = {g} AND c = {c}) AS DOUBLE)"
+    cnt = lambda g, c: f"CAST(coalesce(sum(w) FILTER (grp = {g} AND c = {c}), 0) AS DOUBLE)"
     diffs = ", ".join(f"{cnt(1, c)} / max(da) - {cnt(0, c)} / max(db) AS d{c}" for c in range(K))
-    return (f"(SELECT {diffs} FROM (SELECT pr.grp, pi.da, pi.db, {_argmax_sql(_shifted_sql(lam))} AS c "
-            f"FROM pr, pi))")
+    return (f"(SELECT {diffs} FROM (SELECT cl.grp, cl.w, pi.da, pi.db, {_argmax_sql(_shifted_sql(lam))} AS c "
+            f"FROM cl, pi))")
 
 
 def _dual_ctes() -> str:
-    """CTEs ``cn, pi, it, best`` over a ``pr(grp, p0, p1, p2)`` CTE."""
-    return f"""cn AS (SELECT count_if(grp = 1) AS na, count(*) AS n FROM pr),
+    """CTEs ``cl, cn, pi, it, best`` over a ``pr(grp, p0, p1, p2)`` CTE."""
+    return f"""cl AS (SELECT grp, count(*) AS w, avg(p0) AS p0, avg(p1) AS p1, avg(p2) AS p2 FROM pr
+       GROUP BY grp, floor(p0 * {SIDE}), floor(p1 * {SIDE}), floor(p2 * {SIDE})),
+cn AS (SELECT count_if(grp = 1) AS na, count(*) AS n FROM pr),
 pi AS (SELECT CAST(na AS DOUBLE) / n AS pi_a, CAST(n - na AS DOUBLE) / n AS pi_b,
-              CAST(greatest(na, 1) AS DOUBLE) AS da, CAST(greatest(n - na, 1) AS DOUBLE) AS db FROM cn),
+              CAST(na AS DOUBLE) AS da, CAST(n - na AS DOUBLE) AS db,
+              greatest({PARITY_TOL!r}, {K - 1}.0 / least(na, n - na)) AS tol FROM cn),
 it(i, l0, l1, l2, d0, d1, d2) AS (
   SELECT 1, CAST(0.0 AS DOUBLE), CAST(0.0 AS DOUBLE), CAST(0.0 AS DOUBLE), e.d0, e.d1, e.d2
   FROM {_eval_sql(['CAST(0.0 AS DOUBLE)'] * 3)} e
@@ -155,12 +158,18 @@ it(i, l0, l1, l2, d0, d1, d2) AS (
   FROM (SELECT i + 1 AS i,
                l0 + ({PARITY_STEP!r} / sqrt(i)) * d0 AS l0, l1 + ({PARITY_STEP!r} / sqrt(i)) * d1 AS l1,
                l2 + ({PARITY_STEP!r} / sqrt(i)) * d2 AS l2
-        FROM it WHERE i < {PARITY_ITER} AND greatest(abs(d0), abs(d1), abs(d2)) >= {PARITY_TOL!r}) nx,
+        FROM it, pi WHERE i < {PARITY_ITER} AND greatest(abs(d0), abs(d1), abs(d2)) >= pi.tol) nx,
        LATERAL {_eval_sql(['nx.l0', 'nx.l1', 'nx.l2'])} e
 ),
 best AS (SELECT l0, l1, l2 FROM it ORDER BY greatest(abs(d0), abs(d1), abs(d2)), i LIMIT 1)"""
 
 
+# The gap that the rule leaves among the rows ``x(grp, c)``.
+def _gap_sql(x: str) -> str:
+    rate = lambda g, c: f"CAST(count_if(grp = {g} AND c = {c}) AS DOUBLE) / count_if(grp = {g})"
+    return f"(SELECT greatest({', '.join(f'abs({rate(1, c)} - {rate(0, c)})' for c in range(K))}) FROM {x})"
+
+
 def _norm_probs_sql(us) -> str:
     tot = f"(((CAST(0.0 AS DOUBLE) + {us[0]}) + {us[1]}) + {us[2]})"
     return ", ".join(f"{us[c]} / {tot} AS p{c}" for c in range(K))
@@ -173,7 +182,8 @@ raw AS (SELECT c_custkey AS user_id, CAST(c_mktsegment IN ('AUTOMOBILE', 'BUILDI
 pr AS (SELECT user_id, grp, {_norm_probs_sql(['u0', 'u1', 'u2'])} FROM raw),
 {_dual_ctes()}
 SELECT pr.user_id, pr.grp, {_argmax_sql(['p0', 'p1', 'p2'])} AS pred_before,
-       {_argmax_sql(_shifted_sql(['best.l0', 'best.l1', 'best.l2']))} AS pred_after
+       {_argmax_sql(_shifted_sql(['best.l0', 'best.l1', 'best.l2']))} AS pred_after,
+       round({_gap_sql("(SELECT grp, " + _argmax_sql(_shifted_sql(['best.l0', 'best.l1', 'best.l2'])) + " AS c FROM pr, pi, best)")}, 9) AS gap
 FROM pr, pi, best"""
 
 
@@ -194,14 +204,16 @@ m AS (SELECT avg(CAST(bf = label AS DOUBLE)) AS accuracy_before, avg(CAST(af = l
              avg(CASE WHEN grp = 1 THEN CAST(bf = label AS DOUBLE) END) AS acc1_before,
              avg(CASE WHEN grp = 0 THEN CAST(af = label AS DOUBLE) END) AS acc0_after,
              avg(CASE WHEN grp = 1 THEN CAST(af = label AS DOUBLE) END) AS acc1_after FROM te),
+fg AS (SELECT {_gap_sql("(SELECT grp, " + _argmax_sql(_shifted_sql(['best.l0', 'best.l1', 'best.l2'])) + " AS c FROM pr, pi, best)")} AS fit_gap),
 bl AS (SELECT CAST(max(n) AS DOUBLE) / sum(n) AS baseline_accuracy
        FROM (SELECT label, count(*) AS n FROM lab GROUP BY label))
 SELECT {', '.join(_R6.format(c, c) for c in ['baseline_accuracy', 'accuracy_before', 'accuracy_after',
                                               'acc0_before', 'acc1_before', 'acc0_after', 'acc1_after'])},
        round(abs(acc0_before - acc1_before), 6) AS gap_before, round(abs(acc0_after - acc1_after), 6) AS gap_after,
        round(abs(acc0_before - acc1_before) - abs(acc0_after - acc1_after), 6) AS gap_improvement,
-       round(acc0_before - acc0_after, 6) AS loss_group0, round(acc1_before - acc1_after, 6) AS loss_group1
-FROM m, bl"""
+       round(acc0_before - acc0_after, 6) AS loss_group0, round(acc1_before - acc1_after, 6) AS loss_group1,
+       round(fit_gap, 6) AS fit_gap
+FROM m, bl, fg"""
 
 
 @query("fairness_report_seeded", REPORT_SQL)
@@ -213,7 +225,7 @@ def q_fairness_report_seeded(spark, d):
     raw = _seeded_probs("doc_id")
     total = F.aggregate(raw, F.lit(0.0), lambda a, v: a + v)
     scored = x.withColumn("probs", F.transform(raw, lambda v: v / total))
-    r = _report(x, scored)
+    r = _report(x, scored, True)
     return r.select(*[F.round(c, 6).alias(c) for c in r.columns])
 
 
@@ -221,17 +233,17 @@ def q_fairness_report_seeded(spark, d):
 def q_parity(spark, d):
     """I18 + H7: class per customer with equal class rates in both groups."""
     c = customers_with_probs(spark, d)
-    out, _ = parity_relabel(c, "probs", "grp", K, max_iter=PARITY_ITER, step=PARITY_STEP, tol=PARITY_TOL)
+    out, fit = parity_relabel(c, "probs", "grp", K, max_iter=PARITY_ITER, step=PARITY_STEP, tol=PARITY_TOL)
     return out.select("user_id", "grp", argmax(F.col("probs")).alias("pred_before"),
-                      F.col("pred_fair").alias("pred_after"))
+                      F.col("pred_fair").alias("pred_after"), F.round(F.lit(fit["gap"]), 9).alias("gap"))
 
 
 @query("classifier_probabilities")
 def q_classifier(spark, d):
     """I16: random-forest class probabilities for the test documents."""
     x = split_train_test(labelled(spark, d), ["doc_id"], SEED)
-    return class_probabilities(x.where(F.col("split") == "train"), x.where(F.col("split") == "test"),
-                               FEATURES, "label", seed=SEED).select("doc_id", "grp", "label", "probs")
+    model = fit_classifier(x.where(F.col("split") == "train"), FEATURES, "label", seed=SEED)
+    return class_probabilities(model, x.where(F.col("split") == "test")).select("doc_id", "grp", "label", "probs")
 
 
 @query("fairness_report")
@@ -240,42 +252,43 @@ def q_fairness_report(spark, d):
     fitted on the training rows and applied to the test rows, metrics before
     and after."""
     x = split_train_test(labelled(spark, d), ["doc_id"], SEED)
-    scored = class_probabilities(x.where(F.col("split") == "train"), x, FEATURES, "label", seed=SEED)
-    return _report(x, scored)
+    scored = class_probabilities(fit_classifier(x.where(F.col("split") == "train"), FEATURES, "label", seed=SEED), x)
+    return _report(x, scored, False)
 
 
-def _report(x, scored):
+def _report(x, scored, strict: bool):
+    """``strict``: seeded probabilities differ from row to row, so parity can
+    be reached; trees give many rows the same ones, and ``fit_gap`` tells what
+    is left."""
     train = scored.where(F.col("split") == "train")
-    _, fit = parity_relabel(train, "probs", "grp", K, max_iter=PARITY_ITER, step=PARITY_STEP, tol=PARITY_TOL)
+    fit = fit_parity(train, "probs", "grp", K, max_iter=PARITY_ITER, step=PARITY_STEP, tol=PARITY_TOL, strict=strict)
     test = scored.where(F.col("split") == "test").select(
         "grp", "label", argmax(F.col("probs")).alias("before"),
         relabel_expr(F.col("probs"), F.col("grp"), fit["lambda"], fit["pi_a"], fit["pi_b"]).alias("after"))
     base = baseline_accuracy(x, "label").select("baseline_accuracy").scalar()
-    return fairness_metrics(test, base)
+    return fairness_metrics(test, base).withColumn("fit_gap", F.lit(fit["gap"]))
 
 
-_PRIMES_SQL = "[" + ", ".join(str(p) for p in PRIMES) + "]"
-
-
-def _replicate_ctes(reps_expr: str) -> str:
-    """CTEs ending in ``samples(rep, grp, user_id)``: F7 draws in SQL."""
+def _replicate_ctes(rows: str) -> str:
+    """CTEs ending in ``samples(rep, grp, user_id)``: F7 draws in SQL over the
+    customers that ``rows`` leaves."""
     return f"""c AS (SELECT c_custkey AS user_id, CAST(c_mktsegment IN ('AUTOMOBILE', 'BUILDING') AS INTEGER) AS grp
-           FROM customer),
+           FROM customer WHERE {rows}),
 sz AS (SELECT grp, count(*) AS N FROM c GROUP BY grp),
 tot AS (SELECT CAST(sum(N) AS DOUBLE) AS n, CAST(floor(sqrt(sum(N))) AS BIGINT) AS m FROM sz),
 pl AS (SELECT sz.grp, sz.N, CAST(floor(CAST(sz.N AS DOUBLE) / tot.n * tot.m) AS BIGINT) AS take
        FROM sz CROSS JOIN tot),
 idx AS (SELECT user_id, grp, row_number() OVER (PARTITION BY grp ORDER BY user_id) - 1 AS i FROM c),
-reps AS (SELECT unnest(range({reps_expr})) AS rep FROM tot),
-w AS (SELECT reps.rep, pl.grp, pl.N, pl.take,
-             list_extract({_PRIMES_SQL}, CAST({hash32_sql(SEED, "'a'", 'reps.rep', 'pl.grp')} % {len(PRIMES)} + 1 AS INTEGER)) % pl.N AS a,
-             {hash32_sql(SEED, "'b'", 'reps.rep', 'pl.grp')} % pl.N AS b
-      FROM reps CROSS JOIN pl WHERE pl.take > 0),
-dr AS (SELECT rep, grp, (a * j + b) % N AS i FROM (SELECT *, unnest(range(take)) AS j FROM w)),
-samples AS (SELECT CAST(dr.rep AS BIGINT) AS rep, dr.grp, idx.user_id FROM dr JOIN idx ON dr.grp = idx.grp AND dr.i = idx.i)"""
+reps AS (SELECT unnest(range(50 * m)) AS rep FROM tot),
+w AS (SELECT reps.rep, pl.grp, pl.N, pl.take, unnest(range(2 * pl.take + 64)) AS j FROM reps CROSS JOIN pl WHERE pl.take > 0),
+dr AS (SELECT rep, grp, take, {draw_index_sql('N', SEED, "'d'", 'rep', 'grp', 'j')} AS i, j FROM w),
+fi AS (SELECT rep, grp, take, i, min(j) AS j FROM dr GROUP BY ALL),
+rk AS (SELECT rep, grp, take, i, row_number() OVER (PARTITION BY rep, grp ORDER BY j) AS rn FROM fi),
+samples AS (SELECT CAST(rk.rep AS BIGINT) AS rep, rk.grp, idx.user_id FROM rk JOIN idx ON rk.grp = idx.grp AND rk.i = idx.i
+            WHERE rn <= take)"""
 
 
-REPLICATE_SQL = "WITH " + _replicate_ctes("50 * m") + "\nSELECT rep, grp, user_id FROM samples"
+REPLICATE_SQL = "WITH " + _replicate_ctes("true") + "\nSELECT rep, grp, user_id FROM samples"
 
 
 @query("replicate_samples", REPLICATE_SQL)
@@ -286,7 +299,7 @@ def q_replicate_samples(spark, d):
     return replicate_samples(c, "user_id", "grp", None, SEED)
 
 
-VOTE_REPS, VOTE_ITER = 50, 60
+VOTE_ITER = 400
 
 
 def _rep_eval_sql(rep: str, lam) -> str:
@@ -299,7 +312,7 @@ def _rep_eval_sql(rep: str, lam) -> str:
 # Oracle for the replicate vote: F7 draws, one recursive dual per replicate
 # (same steps as the per-replicate numpy solve), then the vote of all rules.
 VOTE_SQL = f"""
-WITH RECURSIVE {_replicate_ctes(str(VOTE_REPS))},
+WITH RECURSIVE {_replicate_ctes(u_sql(SEED, 'c_custkey') + ' < 0.75')},
 raw AS (SELECT c_custkey AS user_id, CAST(c_mktsegment IN ('AUTOMOBILE', 'BUILDING') AS INTEGER) AS grp,
                {_PU[0]} AS u0, {_PU[1]} AS u1, {_PU[2]} AS u2 FROM customer),
 pr AS (SELECT user_id, grp, u0 / (((CAST(0.0 AS DOUBLE) + u0) + u1) + u2) AS p0,
@@ -308,17 +321,19 @@ pr AS (SELECT user_id, grp, u0 / (((CAST(0.0 AS DOUBLE) + u0) + u1) + u2) AS p0,
 rs AS (SELECT samples.rep, pr.grp, pr.p0, pr.p1, pr.p2 FROM samples JOIN pr ON samples.user_id = pr.user_id),
 rp AS (SELECT rep, CAST(count_if(grp = 1) AS DOUBLE) / count(*) AS pi_a,
               CAST(count(*) - count_if(grp = 1) AS DOUBLE) / count(*) AS pi_b,
-              CAST(count_if(grp = 1) AS DOUBLE) AS da, CAST(count(*) - count_if(grp = 1) AS DOUBLE) AS db
+              CAST(count_if(grp = 1) AS DOUBLE) AS da, CAST(count(*) - count_if(grp = 1) AS DOUBLE) AS db,
+              greatest({PARITY_TOL!r}, {K - 1}.0 / least(count_if(grp = 1), count(*) - count_if(grp = 1))) AS tol
        FROM rs GROUP BY rep),
 it(rep, i, l0, l1, l2, d0, d1, d2) AS (
   SELECT r0.rep, 1, CAST(0.0 AS DOUBLE), CAST(0.0 AS DOUBLE), CAST(0.0 AS DOUBLE), e.d0, e.d1, e.d2
   FROM rp AS r0, LATERAL {_rep_eval_sql('r0.rep', ['CAST(0.0 AS DOUBLE)'] * 3)} e
   UNION ALL
   SELECT nx.rep, nx.i, nx.l0, nx.l1, nx.l2, e.d0, e.d1, e.d2
-  FROM (SELECT rep, i + 1 AS i,
+  FROM (SELECT it.rep, i + 1 AS i,
                l0 + ({PARITY_STEP!r} / sqrt(i)) * d0 AS l0, l1 + ({PARITY_STEP!r} / sqrt(i)) * d1 AS l1,
                l2 + ({PARITY_STEP!r} / sqrt(i)) * d2 AS l2
-        FROM it WHERE i < {VOTE_ITER} AND greatest(abs(d0), abs(d1), abs(d2)) >= {PARITY_TOL!r}) nx,
+        FROM it JOIN rp ON rp.rep = it.rep
+        WHERE i < {VOTE_ITER} AND greatest(abs(d0), abs(d1), abs(d2)) >= rp.tol) nx,
        LATERAL {_rep_eval_sql('nx.rep', ['nx.l0', 'nx.l1', 'nx.l2'])} e
 ),
 best AS (SELECT rep, l0, l1, l2 FROM (
@@ -326,7 +341,7 @@ best AS (SELECT rep, l0, l1, l2 FROM (
            FROM it) WHERE rn = 1),
 rules AS (SELECT best.rep, best.l0, best.l1, best.l2, rp.pi_a, rp.pi_b FROM best JOIN rp ON best.rep = rp.rep),
 preds AS (SELECT pr.user_id, pr.grp, {_argmax_sql(_shifted_sql(['rules.l0', 'rules.l1', 'rules.l2']))} AS c
-          FROM pr CROSS JOIN rules),
+          FROM pr CROSS JOIN rules WHERE {u_sql(SEED, 'pr.user_id')} >= 0.75),
 cnt AS (SELECT user_id, grp, count_if(c = 0) AS n0, count_if(c = 1) AS n1, count_if(c = 2) AS n2
         FROM preds GROUP BY user_id, grp)
 SELECT user_id, grp, CASE WHEN n0 >= n1 AND n0 >= n2 THEN 0 WHEN n1 >= n2 THEN 1 ELSE 2 END AS pred_vote FROM cnt"""
@@ -334,11 +349,11 @@ SELECT user_id, grp, CASE WHEN n0 >= n1 AND n0 >= n2 THEN 0 WHEN n1 >= n2 THEN 1
 
 @query("replicate_vote", VOTE_SQL)
 def q_replicate_vote(spark, d):
-    """50 replicate duals solved in parallel on subsamples, every rule
-    applied to every customer, majority vote."""
-    c = customers_with_probs(spark, d)
-    samples = replicate_samples(c.select("user_id", "grp"), "user_id", "grp", VOTE_REPS, SEED)
-    lams = [r.asDict() for r in replicate_lambdas(samples, c, "user_id", "grp", "probs", K, max_iter=VOTE_ITER,
-                                                   step=PARITY_STEP, tol=PARITY_TOL).collect()]
-    lams.sort(key=lambda r: r["rep"])
-    return vote_relabel(c, "probs", "grp", lams, K).select("user_id", "grp", "pred_vote")
+    """All replicate duals, solved in parallel on subsamples of the
+    training customers; every rule votes on every test customer."""
+    c = split_train_test(customers_with_probs(spark, d), ["user_id"], SEED)
+    train, test = (c.where(F.col("split") == s).drop("split") for s in ("train", "test"))
+    samples = replicate_samples(train.select("user_id", "grp"), "user_id", "grp", None, SEED)
+    rules = replicate_rules(samples, train, "user_id", "grp", "probs", K, max_iter=VOTE_ITER,
+                            step=PARITY_STEP, tol=PARITY_TOL)
+    return vote_relabel(test, "user_id", "probs", "grp", rules, K).select("user_id", "grp", "pred_vote")
