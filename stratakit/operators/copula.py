@@ -5,7 +5,7 @@ fit:    per numeric column a quantile grid (one ``percentile_approx`` pass),
         rows -> normal scores -> correlation matrix (MLlib ``Correlation``).
 sample: ``spark.range(n)``; independent normals from the seeded uniform,
         mixed by the Cholesky factor, mapped back through the marginals.
-Only the model (grids, frequencies, d x d matrix) lives on the driver.
+Grids and the d x d matrix live on the driver; frequencies stay a table.
 """
 
 from __future__ import annotations
@@ -15,19 +15,20 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratakit.functions.rand import inv_norm_cdf, norm_cdf, normal
 
 EPS = 1e-6
-MAX_CATEGORIES = 10_000
+#: Cells that the unit interval is cut into to find a drawn value's category.
+SPAN_CELLS = 4096
 
 
 @dataclass
 class CopulaModel:
     numeric: dict[str, list[float]] = field(default_factory=dict)     # column -> grid
-    categorical: dict[str, list[tuple]] = field(default_factory=dict)  # column -> [(value, lo, hi)]
+    categorical: dict[str, DataFrame] = field(default_factory=dict)   # column -> (value, lo, hi)
     columns: list[str] = field(default_factory=list)
     chol: list[list[float]] = field(default_factory=list)
     types: dict[str, str] = field(default_factory=dict)
@@ -56,6 +57,27 @@ def _grid_inverse(u: Column, grid: list[float]) -> Column:
     return lo + frac * (hi - lo)
 
 
+def frequency_spans(df: DataFrame, col: str) -> DataFrame:
+    """(value, lo, hi): each value's stretch of the unit interval, in the
+    values' order, as long as its frequency.  A table of any size, written to
+    the shared folder; offsets come from the sorted table's partitions."""
+    from stratakit.operators.index import row_index_sorted
+    from stratakit.session import checkpointed
+    counts = df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    indexed = row_index_sorted(counts, [F.col("value").asc_nulls_first()], "i")
+    # running sums on two levels, by blocks of the index
+    block = F.floor(F.col("i") / F.lit(100_000)).cast("long")
+    run = Window.partitionBy("_b").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = indexed.withColumn("_b", block).withColumn("_s", F.sum("n").over(run))
+    sums = inside.groupBy("_b").agg(F.sum("n").alias("_n"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    total = counts.select(F.sum("n").cast("double")).scalar()
+    end = (F.col("_before") + F.col("_s")).cast("double")
+    return checkpointed(inside.join(sums, "_b").select(
+        "value", ((end - F.col("n")) / total).alias("lo"), (end / total).alias("hi")))
+
+
 def _clip(u: Column) -> Column:
     return F.least(F.greatest(u, F.lit(EPS)), F.lit(1 - EPS))
 
@@ -82,28 +104,18 @@ def fit_copula(df: DataFrame, numeric: list[str], categorical: list[str] | None
             model.numeric[c] = [float(v) for v in row[c]]
             model.types[c] = df.schema[c].dataType.simpleString()
     for c in categorical:
-        counts = df.groupBy(c).count().orderBy(c).limit(MAX_CATEGORIES + 1).collect()
-        if len(counts) > MAX_CATEGORIES:
-            raise ValueError(f"{c}: more than {MAX_CATEGORIES} categories")
-        total = float(sum(r["count"] for r in counts))
-        acc, spans = 0.0, []
-        for r in counts:
-            spans.append((r[c], acc / total, (acc + r["count"]) / total))
-            acc += r["count"]
-        model.categorical[c] = spans
+        model.categorical[c] = frequency_spans(df, c)
         model.types[c] = df.schema[c].dataType.simpleString()
     scores = []
     for c in numeric:
         scores.append(inv_norm_cdf(_clip(_grid_u(F.col(c).cast("double"), model.numeric[c]))).alias(f"_z_{c}"))
+    rows = df
     for c in categorical:
-        mid = F.lit(None).cast("double")
-        expr = None
-        for v, lo, hi in model.categorical[c]:
-            cond = F.col(c).eqNullSafe(F.lit(v))
-            expr = (F.when(cond, F.lit((lo + hi) / 2.0)) if expr is None
-                    else expr.when(cond, F.lit((lo + hi) / 2.0)))
-        scores.append(inv_norm_cdf(_clip(expr.otherwise(mid))).alias(f"_z_{c}"))
-    z = df.select(*scores).na.drop()
+        spans = model.categorical[c].select(F.col("value").alias(f"_v_{c}"),
+                                            ((F.col("lo") + F.col("hi")) / 2.0).alias(f"_m_{c}"))
+        rows = rows.join(spans, F.col(c).eqNullSafe(F.col(f"_v_{c}")))
+        scores.append(inv_norm_cdf(_clip(F.col(f"_m_{c}"))).alias(f"_z_{c}"))
+    z = rows.select(*scores).na.drop()
     d = len(model.columns)
     if d == 1:
         corr = np.ones((1, 1))
@@ -128,7 +140,7 @@ def sample_copula(spark: SparkSession, model: CopulaModel, n: int, seed: int,
     base = spark.range(0, n, numPartitions=num_partitions).withColumnRenamed("id", index_col)
     d = len(model.columns)
     zs = [normal(seed, F.col(index_col), F.lit(j)) for j in range(d)]
-    out = []
+    out, looked_up = [], []
     for i, c in enumerate(model.columns):
         mixed = F.lit(0.0)
         for j in range(i + 1):
@@ -141,10 +153,19 @@ def sample_copula(spark: SparkSession, model: CopulaModel, n: int, seed: int,
                 val = F.round(val).cast(model.types[c])
             out.append(val.alias(c))
         else:
-            expr = None
-            for v, lo, hi in model.categorical[c]:
-                cond = u < F.lit(hi)
-                expr = F.when(cond, F.lit(v)) if expr is None else expr.when(cond, F.lit(v))
-            last = model.categorical[c][-1][0]
-            out.append(expr.otherwise(F.lit(last)).cast(model.types[c]).alias(c))
-    return base.select(index_col, *out)
+            looked_up.append(c)
+            out.append(u.alias(f"_u_{c}"))
+    rows = base.select(index_col, *out)
+    cell = lambda u: F.least(F.floor(u * SPAN_CELLS), F.lit(SPAN_CELLS - 1)).cast("int")     # noqa: E731
+    for c in looked_up:
+        # A range join as an equality join on cells: a stretch goes to every
+        # cell it touches, of which the long ones have many and the short ones
+        # one or two, so the table grows by SPAN_CELLS rows at most.
+        spans = model.categorical[c]
+        top = spans.select(F.max("hi")).scalar()
+        spans = (spans.select(F.col("value").alias(c), "lo", F.when(F.col("hi") >= top, F.lit(2.0)).otherwise(F.col("hi")).alias("hi"))
+                 .withColumn("_cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.least(F.col("hi"), F.lit(1.0)))))))
+        u = F.col(f"_u_{c}")
+        rows = (rows.withColumn("_cell", cell(u)).join(spans, "_cell")
+                .where((u >= F.col("lo")) & (u < F.col("hi"))).drop("_cell", "lo", "hi", f"_u_{c}"))
+    return rows.select(index_col, *model.columns)

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratakit.functions.text import clean_text, genre_list, tokens
-from stratakit.session import broadcast_if_small, spread_for_cpu
 
 
 def genre_vocabulary(df: DataFrame, genres_col: str) -> Column:
@@ -52,7 +51,7 @@ def process_tokens(texts: DataFrame, key: str, text_col: str, stop_words: list[s
     """B5 + H3 + H4: clean, tokenise, drop stop words, lemmatise through a
     ``(token, lemma)`` table, keep dictionary words; repeats and order kept.
     Rows left empty are dropped."""
-    t = spread_for_cpu(texts.select(key, text_col)).select(
+    t = texts.select(
         key, F.posexplode(tokens(clean_text(F.col(text_col)))).alias("_pos", "token"))
     if stop_words:
         t = t.where(~F.col("token").isin(*stop_words))
@@ -96,10 +95,12 @@ def text_embedding(texts: DataFrame, key: str, tokens_col: str, word_vectors: Da
                    dim: int, out_col: str = "vec") -> DataFrame:
     """C9 + H6 + B6: mean word vector of each text (repeats count, unknown
     tokens skipped); texts with no known token get zeros."""
-    wv = broadcast_if_small(word_vectors.select("token", "vec"))
-    known = (spread_for_cpu(texts).select(key, F.explode(tokens(F.col(tokens_col))).alias("token"))
-             .join(wv, "token"))
-    means = mean_vectors(known, key, "vec", None, out_col, dim=dim)
+    # Repeats of a token in a text become one weighted row, so a frequent
+    # token travels once a text.
+    counts = (texts.select(key, F.explode(tokens(F.col(tokens_col))).alias("token"))
+              .groupBy(key, "token").agg(F.count(F.lit(1)).alias("_n")))
+    known = counts.join(word_vectors.select("token", "vec"), "token")
+    means = mean_vectors(known, key, "vec", "_n", out_col, dim=dim)
     zeros = F.array_repeat(F.lit(0.0), dim)
     return (texts.select(key).join(means, key, "left")
             .withColumn(out_col, F.coalesce(F.col(out_col), zeros)))

@@ -1,109 +1,240 @@
-"""MLlib-backed operators: learned response (I6), class probabilities (I16),
-k-means and bisecting k-means strata (I9, I10), standardise + PCA (I8).
+"""Learned operators: response (I6), class probabilities (I16), k-means and
+bisecting strata (I9, I10), standardise + PCA (I8).
 
-All fit and transform distributed; nothing is collected except the small
-model parameters MLlib keeps on the driver anyway."""
+Fitting and applying are separate: every ``fit_*`` returns a model that places
+new rows with ``apply`` and is kept with ``save`` and ``load`` (a JSON table of
+its numbers, or MLlib's own format).  Standardisation divides by the population
+standard deviation throughout, a zero one by 1."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from dataclasses import asdict, dataclass, field
+
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.clustering import BisectingKMeans, BisectingKMeansModel
+from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import FMRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def fm_response_model(train: DataFrame, users: DataFrame, items: DataFrame, user_key: str,
-                      item_key: str, value_col: str, user_feats: list[str],
-                      item_feats: list[str], seed: int = 42, factor_size: int = 4,
-                      max_iter: int = 30):
-    """Fit a factorisation machine on ``train`` (pairs with values) joined to
-    user and item features.  Returns ``(model, featurize)`` where
-    ``featurize(pairs)`` attaches the same features to new pairs."""
-    def featurize(pairs: DataFrame) -> DataFrame:
-        return (pairs.join(users.select(user_key, *user_feats), user_key)
-                .join(items.select(item_key, *item_feats), item_key))
-
-    feats = user_feats + item_feats
-    pipe = Pipeline(stages=[
-        VectorAssembler(inputCols=feats, outputCol="_raw", handleInvalid="keep"),
-        StandardScaler(inputCol="_raw", outputCol="_features", withMean=True, withStd=True),
+from stratakit.functions.rand import hash32
+from stratakit.operators.strata import standardise
+from stratakit.sources.io import load_params, save_params
+
+
+def as_array(cols) -> Column:
+    """One array column, or several numeric ones, as ``array<double>``."""
+    if isinstance(cols, str):
+        return F.col(cols).cast("array<double>")
+    return F.array(*[F.col(c).cast("double") for c in cols])
+
+
+@dataclass
+class Scaler:
+    """Means and population standard deviations by position."""
+    mean: list[float] = field(default_factory=list)
+    std: list[float] = field(default_factory=list)
+
+    def expr(self, vec: Column) -> Column:
+        if not self.mean:
+            return vec
+        m, s = (F.array(*[F.lit(float(x)) for x in v]) for v in (self.mean, self.std))
+        return F.transform(vec, lambda x, i: (x - F.element_at(m, i + 1)) / F.element_at(s, i + 1))
+
+
+def fit_scaler(df: DataFrame, cols) -> Scaler:
+    """One aggregate over (position, value); as many rows as positions."""
+    rows = (df.select(F.posexplode(as_array(cols)).alias("i", "x")).groupBy("i")
+            .agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("i").collect())
+    return Scaler([r["m"] or 0.0 for r in rows], [r["s"] or 1.0 for r in rows])
+
+
+# ------------------------------------------------------------------ responses
+@dataclass
+class ResponseModel:
+    """A factorisation machine over user and item features."""
+    pipeline: PipelineModel
+    user_key: str
+    item_key: str
+    user_feats: list[str]
+    item_feats: list[str]
+    moments: dict[str, list[float]]
+
+    def features(self, pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
+        joined = (pairs.join(users.select(self.user_key, *self.user_feats), self.user_key)
+                  .join(items.select(self.item_key, *self.item_feats), self.item_key))
+        return joined.withColumns({f"_f_{c}": (F.col(c) - F.lit(m)) / F.lit(s) for c, (m, s) in self.moments.items()})
+
+    def apply(self, pairs: DataFrame, users: DataFrame, items: DataFrame, out_col: str = "prediction") -> DataFrame:
+        scored = self.pipeline.transform(self.features(pairs, users, items))
+        return scored.select(*pairs.columns, F.col("prediction").alias(out_col))
+
+    def save(self, path: str, spark) -> None:
+        self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        save_params(spark, {k: v for k, v in self.__dict__.items() if k != "pipeline"}, f"{path}/params")
+
+    @staticmethod
+    def load(path: str, spark) -> "ResponseModel":
+        return ResponseModel(PipelineModel.load(f"{path}/pipeline"), **load_params(spark, f"{path}/params"))
+
+
+def fit_response(train: DataFrame, users: DataFrame, items: DataFrame, user_key: str, item_key: str,
+                 value_col: str, user_feats: list[str], item_feats: list[str], seed: int = 42,
+                 factor_size: int = 4, max_iter: int = 30) -> ResponseModel:
+    """Fit on ``train`` (pairs with values) joined to both sides' features."""
+    model = ResponseModel(None, user_key, item_key, list(user_feats), list(item_feats), {})
+    feats = model.user_feats + model.item_feats
+    joined = model.features(train.select(user_key, item_key, value_col), users, items)
+    m = joined.agg(*[F.avg(c).alias(f"m_{c}") for c in feats], *[F.stddev_pop(c).alias(f"s_{c}") for c in feats]).first()
+    model.moments = {c: [m[f"m_{c}"] or 0.0, m[f"s_{c}"] or 1.0] for c in feats}
+    joined = model.features(train.select(user_key, item_key, value_col), users, items)
+    model.pipeline = Pipeline(stages=[
+        VectorAssembler(inputCols=[f"_f_{c}" for c in feats], outputCol="_features", handleInvalid="keep"),
         FMRegressor(featuresCol="_features", labelCol=value_col, factorSize=factor_size,
-                    maxIter=max_iter, seed=seed, stepSize=0.05),
-    ])
-    model = pipe.fit(featurize(train).select(user_key, item_key, value_col, *feats))
-    return model, featurize
+                    maxIter=max_iter, seed=seed, stepSize=0.05)]).fit(joined)
+    return model
 
 
-def class_probabilities(train: DataFrame, apply_to: DataFrame, feature_cols: list[str],
-                        label_col: str, seed: int = 42, num_trees: int = 30,
-                        max_depth: int = 6, out_col: str = "probs") -> DataFrame:
-    """I16: multiclass classifier (random forest) -> probability array column."""
+# ------------------------------------------------------------------- classes
+def fit_classifier(train: DataFrame, feature_cols: list[str], label_col: str, seed: int = 42,
+                   num_trees: int = 30, max_depth: int = 6) -> PipelineModel:
+    """I16: multiclass random forest; MLlib's ``save`` and ``load`` keep it."""
     asm = VectorAssembler(inputCols=feature_cols, outputCol="_features", handleInvalid="keep")
     rf = RandomForestClassifier(featuresCol="_features", labelCol=label_col, seed=seed,
                                 numTrees=num_trees, maxDepth=max_depth)
-    model = Pipeline(stages=[asm, rf]).fit(train)
-    out = model.transform(apply_to)
-    return (out.withColumn(out_col, vector_to_array("probability"))
+    return Pipeline(stages=[asm, rf]).fit(train)
+
+
+def class_probabilities(model: PipelineModel, df: DataFrame, out_col: str = "probs") -> DataFrame:
+    """I16: the model's probability array of each row."""
+    return (model.transform(df).withColumn(out_col, vector_to_array("probability"))
             .drop("_features", "rawPrediction", "probability", "prediction"))
 
 
-def _vector(df: DataFrame, cols, vec_col: str) -> DataFrame:
-    if isinstance(cols, str):   # one array column
-        return df.withColumn(vec_col, array_to_vector(F.col(cols).cast("array<double>")))
-    return VectorAssembler(inputCols=list(cols), outputCol=vec_col,
-                           handleInvalid="keep").transform(df)
+# ------------------------------------------------------------------- clusters
+@dataclass
+class KMeansStrata:
+    """Centres in scaled space; a row belongs to the nearest (lowest
+    number on ties)."""
+    scaler: Scaler
+    centres: list[list[float]]
+
+    def distances(self, vec: Column) -> Column:
+        z = self.scaler.expr(vec)
+        centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in self.centres])
+        return F.transform(centres, lambda c: F.aggregate(
+            F.zip_with(z, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+
+    def apply(self, df: DataFrame, cols, out_col: str = "cluster") -> DataFrame:
+        d = self.distances(as_array(cols))
+        return df.withColumn("_d", d).withColumn(
+            out_col, (F.array_position("_d", F.array_min("_d")) - 1).cast("int")).drop("_d")
+
+    def save(self, path: str, spark) -> None:
+        save_params(spark, {"scaler": asdict(self.scaler), "centres": self.centres}, path)
+
+    @staticmethod
+    def load(path: str, spark) -> "KMeansStrata":
+        p = load_params(spark, path)
+        return KMeansStrata(Scaler(**p["scaler"]), p["centres"])
+
+
+def fit_kmeans(df: DataFrame, cols, k: int, key: str, seed: int = 42, steps: int = 10,
+               scale: bool = True) -> KMeansStrata:
+    """Lloyd's algorithm with repeatable starts: the first centres are the k
+    rows of smallest ``hash32(seed, key)``, and each of the ``steps`` is one
+    assignment and one aggregate (k rows of means reach the driver).  A centre
+    without rows stays where it is; equal steps in a row end it early."""
+    rows = df.select(key, as_array(cols).alias("_x")).where(F.col("_x").isNotNull())
+    scaler = fit_scaler(df, cols) if scale else Scaler()
+    scaled = rows.select(key, scaler.expr(F.col("_x")).alias("_x")).persist()
+    try:
+        first = scaled.orderBy(hash32(seed, key), key).limit(k).select("_x").collect()      # k rows
+        model = KMeansStrata(Scaler(), [list(r["_x"]) for r in first])
+        d = len(model.centres[0]) if model.centres else 0
+        for _ in range(steps if d else 0):
+            means = (model.apply(scaled, "_x", "_c").groupBy("_c")
+                     .agg(F.array(*[F.avg(F.col("_x")[i]) for i in range(d)]).alias("m")).collect())
+            moved = list(model.centres)
+            for r in means:
+                moved[r["_c"]] = list(r["m"])
+            if moved == model.centres:
+                break
+            model.centres = moved
+    finally:
+        scaled.unpersist()
+    return KMeansStrata(scaler, model.centres)
+
 
+@dataclass
+class BisectingStrata:
+    """Hierarchical (divisive) strata, the distributed stand-in for
+    agglomerative linkage, which needs all pairs."""
+    scaler: Scaler
+    model: BisectingKMeansModel
 
-def _scaled(df: DataFrame, cols, scale: bool):
-    v = _vector(df, cols, "_vec")
-    if not scale:
-        return v.withColumn("_features", F.col("_vec")), None
-    m = StandardScaler(inputCol="_vec", outputCol="_features", withMean=True, withStd=True).fit(v)
-    return m.transform(v), m
+    def apply(self, df: DataFrame, cols, out_col: str = "cluster") -> DataFrame:
+        v = df.withColumn("_features", array_to_vector(self.scaler.expr(as_array(cols))))
+        return self.model.setPredictionCol(out_col).transform(v).drop("_features")
 
+    def save(self, path: str, spark) -> None:
+        self.model.write().overwrite().save(f"{path}/model")
+        save_params(spark, asdict(self.scaler), f"{path}/scaler")
 
-def kmeans_strata(df: DataFrame, cols, k: int, seed: int = 42, scale: bool = True,
-                  n_init: int = 1, max_iter: int = 20, out_col: str = "cluster") -> DataFrame:
-    """K-means cluster id per row; ``n_init`` seeds, best training cost."""
-    data, _ = _scaled(df, cols, scale)
-    data = data.cache()
-    best = None
-    for i in range(max(1, n_init)):
-        m = KMeans(featuresCol="_features", k=k, seed=seed + i, maxIter=max_iter,
-                   predictionCol=out_col).fit(data)
-        if best is None or m.summary.trainingCost < best.summary.trainingCost:
-            best = m
-    return best.transform(data).drop("_vec", "_features")
+    @staticmethod
+    def load(path: str, spark) -> "BisectingStrata":
+        return BisectingStrata(Scaler(**load_params(spark, f"{path}/scaler")), BisectingKMeansModel.load(f"{path}/model"))
 
 
-def bisecting_strata(df: DataFrame, cols, k: int, seed: int = 42, scale: bool = True,
-                     out_col: str = "cluster") -> DataFrame:
-    """Hierarchical (divisive) strata, the distributed stand-in for
-    agglomerative linkage, which needs all pairs."""
-    data, _ = _scaled(df, cols, scale)
-    m = BisectingKMeans(featuresCol="_features", k=k, seed=seed, predictionCol=out_col).fit(data)
-    return m.transform(data).drop("_vec", "_features")
-
-
-def pca_embedding(df: DataFrame, cols, n_components: int | None = None,
-                  variance_share: float = 0.8, out_col: str = "embedding") -> DataFrame:
-    """I8: standardise (scale applied at transform too, Q8) then PCA.  The
-    component count is either given or the smallest k whose explained
-    variance reaches ``variance_share``."""
-    data, _ = _scaled(df, cols, True)
-    d = len(data.first()["_features"]) if isinstance(cols, str) else len(cols)
+def fit_bisecting(df: DataFrame, cols, k: int, seed: int = 42, scale: bool = True) -> BisectingStrata:
+    scaler = fit_scaler(df, cols) if scale else Scaler()
+    v = df.select(array_to_vector(scaler.expr(as_array(cols))).alias("_features"))
+    return BisectingStrata(scaler, BisectingKMeans(featuresCol="_features", k=k, seed=seed).fit(v))
+
+
+# ------------------------------------------------------------------ embedding
+@dataclass
+class PcaEmbedding:
+    """I8: standardise (at transform too, Q8), then the leading components."""
+    scaler: Scaler
+    model: PCAModel
+
+    def apply(self, df: DataFrame, cols, out_col: str = "embedding") -> DataFrame:
+        v = df.withColumn("_features", array_to_vector(self.scaler.expr(as_array(cols))))
+        return (self.model.transform(v).withColumn(out_col, vector_to_array("_pca")).drop("_features", "_pca"))
+
+    def save(self, path: str, spark) -> None:
+        self.model.write().overwrite().save(f"{path}/model")
+        save_params(spark, asdict(self.scaler), f"{path}/scaler")
+
+    @staticmethod
+    def load(path: str, spark) -> "PcaEmbedding":
+        return PcaEmbedding(Scaler(**load_params(spark, f"{path}/scaler")), PCAModel.load(f"{path}/model"))
+
+
+def fit_pca(df: DataFrame, cols, n_components: int | None = None, variance_share: float = 0.8) -> PcaEmbedding:
+    """The component count is given, or the smallest whose explained variance
+    reaches ``variance_share``."""
+    scaler = fit_scaler(df, cols)
+    v = df.select(array_to_vector(scaler.expr(as_array(cols))).alias("_features"))
     if n_components is None:
-        full = PCA(k=d, inputCol="_features", outputCol="_pca").fit(data)
-        acc, n_components = 0.0, d
-        for i, v in enumerate(full.explainedVariance.toArray(), start=1):
-            acc += v
+        full = PCA(k=len(scaler.mean), inputCol="_features", outputCol="_pca").fit(v)
+        acc, n_components = 0.0, len(scaler.mean)
+        for i, share in enumerate(full.explainedVariance.toArray(), start=1):
+            acc += share
             if acc >= variance_share - 1e-12:
                 n_components = i
                 break
-    m = PCA(k=n_components, inputCol="_features", outputCol="_pca").fit(data)
-    return (m.transform(data).withColumn(out_col, vector_to_array("_pca"))
-            .drop("_vec", "_features", "_pca"))
+    return PcaEmbedding(scaler, PCA(k=n_components, inputCol="_features", outputCol="_pca").fit(v))
+
+
+def covariance(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(i, j, cov): the population covariance of the standardised columns,
+    i <= j, in one aggregate."""
+    z = standardise(df, cols)
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    one = z.agg(*[F.covar_pop(cols[i], cols[j]).alias(f"c_{i}_{j}") for i, j in pairs])
+    rows = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c_{i}_{j}").alias("cov")) for i, j in pairs])
+    return one.select(F.explode(rows).alias("r")).select("r.i", "r.j", "r.cov")

@@ -32,14 +32,15 @@ def tag_origin(df: DataFrame, synth: int, cluster: int | None, stratum: str | No
 
 
 def augment_pool(real: DataFrame | None, generated: dict[str, DataFrame], key: str,
-                 with_cluster: bool = True) -> DataFrame:
+                 with_cluster: bool = True, fill_missing: bool = False) -> DataFrame:
     """Real rows (flag 0, stratum 0) followed by the rows of every named
     generator (flag 1, stratum i in dict order) under contiguous new keys.
 
     Each generated frame carries a contiguous 0-based ``row_index`` (what
     ``spark.range`` or :func:`stratakit.operators.index.row_index` give);
     its keys become ``offset_i + row_index`` with ``offset_1 = max(real key)+1``
-    and ``offset_{i+1} = offset_i + max(row_index_i) + 1``.
+    and ``offset_{i+1} = offset_i + max(row_index_i) + 1``.  Columns have to be
+    the same throughout, unless ``fill_missing`` lets a missing one be null.
     """
     parts = []
     if real is not None:
@@ -58,7 +59,7 @@ def augment_pool(real: DataFrame | None, generated: dict[str, DataFrame], key: s
         raise ValueError("pool is empty: no real table and no generator")
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
+        out = out.unionByName(p, allowMissingColumns=fill_missing)
     return out
 
 

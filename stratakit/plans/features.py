@@ -11,9 +11,9 @@ from stratakit.operators.features import (fill_year_by_peers, genre_multi_hot, g
                                           mean_by_key, mean_vectors, ordered_concat,
                                           process_tokens, spread_vector, text_embedding,
                                           user_vectors)
-from stratakit.operators.index import row_index_sorted
-from stratakit.plans.registry import query
-from stratakit.session import spread_for_cpu
+from stratakit.functions.rand import hash32, hash32_sql
+from stratakit.operators.index import dense_codes
+from stratakit.plans.registry import SEED, query
 from stratakit.sources import tables as t
 
 DIM = 64
@@ -182,17 +182,28 @@ def q_tags_concat(spark, d):
     return ordered_concat(cv, "conv_id", "turn", "c", "tags").withColumnRenamed("n_parts", "n_turns")
 
 
-def word_vectors(spark, d):
-    """(token, vec): dictionary words in alphabetical order take the
-    embedding rows with the same ordinal; words beyond the table have none."""
-    codes = row_index_sorted(dictionary(spark, d), [F.col("token")], "code")
-    e = t.read(spark, d, "embeddings").select(F.col("vec_id").alias("code"), F.col("embedding").alias("vec"))
-    return codes.join(e, "code").select("token", "vec")
+def vectors_for(spark, d, keyed, key: str, code):
+    """(key, vec): every row of ``keyed`` takes the embedding whose id is
+    ``code`` modulo the number of embeddings (ids are 0 up to that), so none
+    is without a vector."""
+    e = t.read(spark, d, "embeddings")
+    n = e.select(F.count(F.lit(1)).cast("long")).scalar()
+    return (keyed.select(key, (code % n).alias("vec_id"))
+            .join(e.select("vec_id", F.col("embedding").alias("vec")), "vec_id").select(key, "vec"))
+
+
+def word_vectors(spark, d, words):
+    """(token, vec) of every different word, by a hash of the word."""
+    return vectors_for(spark, d, words, "token", hash32(SEED, "token"))
+
+
+N_VECTORS_SQL = "(SELECT count(*) FROM embeddings)"
+WORD_CODE_SQL = f"{hash32_sql(SEED, 'token')} % {N_VECTORS_SQL}"
 
 
 @query("text_embedding", f"""
 WITH dict AS ({DICT_SQL}),
-wv AS (SELECT d.token, e.embedding FROM (SELECT token, row_number() OVER (ORDER BY token) - 1 AS code FROM dict) d
+wv AS (SELECT d.token, e.embedding FROM (SELECT token, {WORD_CODE_SQL} AS code FROM dict) d
        JOIN embeddings e ON e.vec_id = d.code),
 tok AS (SELECT doc_id, unnest(string_split({CLEAN_SQL.format(c='text')}, ' ')) AS token FROM documents),
 k AS (SELECT tok.doc_id, wv.embedding FROM tok JOIN wv ON tok.token = wv.token),
@@ -202,20 +213,21 @@ FROM documents d CROSS JOIN range({DIM}) g(i) LEFT JOIN m ON m.doc_id = d.doc_id
 def q_text_embedding(spark, d):
     """Mean word vector of every whole document (zeros if no word
     is known), spread to (doc_id, dim, value) at the output edge."""
-    docs = spread_for_cpu(t.read(spark, d, "documents").select("doc_id", "text")).select(
-        "doc_id", clean_text(F.col("text")).alias("clean"))
-    emb = text_embedding(docs, "doc_id", "clean", word_vectors(spark, d), DIM)
+    docs = t.read(spark, d, "documents").select("doc_id", clean_text(F.col("text")).alias("clean"))
+    emb = text_embedding(docs, "doc_id", "clean", word_vectors(spark, d, dictionary(spark, d)), DIM)
     return spread_vector(emb, "doc_id", "vec")
 
 
 def item_vectors(spark, d):
-    return t.read(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"))
+    """(item_id, vec) of every item, by its key."""
+    items = t.read(spark, d, "part").select(F.col("p_partkey").alias("item_id"))
+    return vectors_for(spark, d, items, "item_id", F.col("item_id"))
 
 
 @query("user_vectors", f"""
 WITH p AS (SELECT DISTINCT user_id, item_id FROM ({t.HISTORY_SQL})),
 m AS (SELECT p.user_id, g.i AS dim, avg(coalesce(CAST(e.embedding[g.i + 1] AS DOUBLE), 0.0)) AS value
-      FROM p LEFT JOIN embeddings e ON e.vec_id = p.item_id CROSS JOIN range({DIM}) g(i) GROUP BY ALL)
+      FROM p LEFT JOIN embeddings e ON e.vec_id = p.item_id % {N_VECTORS_SQL} CROSS JOIN range({DIM}) g(i) GROUP BY ALL)
 SELECT user_id, CAST(dim AS INTEGER) AS dim, round(value, 6) AS value FROM m""")
 def q_user_vectors(spark, d):
     """D5 + I15: mean item vector per user over distinct items."""
@@ -272,18 +284,14 @@ def q_user_features(spark, d):
 
 # ------------------------------------------------ title-embedding variant
 def title_word_vectors(spark, d, cleaned):
-    """(token, vec) for the catalogue's own title words: alphabetical ordinal
-    -> embeddings row with that id."""
-    vocab = cleaned.select(F.explode(tokens(F.col("clean"))).alias("token")).distinct()
-    codes = row_index_sorted(vocab, [F.col("token")], "code")
-    e = t.read(spark, d, "embeddings").select(F.col("vec_id").alias("code"), F.col("embedding").alias("vec"))
-    return codes.join(e, "code").select("token", "vec")
+    """(token, vec) for the catalogue's own title words."""
+    return word_vectors(spark, d, cleaned.select(F.explode(tokens(F.col("clean"))).alias("token")).distinct())
 
 
 @query("title_user_vectors", f"""
 WITH cat AS (SELECT item_id, {CLEAN_SQL.format(c='title')} AS clean FROM ({CATALOGUE_SQL})),
 tok AS (SELECT item_id, unnest(string_split(clean, ' ')) AS token FROM cat),
-voc AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS code FROM (SELECT DISTINCT token FROM tok WHERE token <> '')),
+voc AS (SELECT token, {WORD_CODE_SQL} AS code FROM (SELECT DISTINCT token FROM tok WHERE token <> '')),
 wv AS (SELECT voc.token, e.embedding FROM voc JOIN embeddings e ON e.vec_id = voc.code),
 k AS (SELECT tok.item_id, wv.embedding FROM tok JOIN wv ON tok.token = wv.token),
 iv AS (SELECT k.item_id, g.i AS dim, avg(k.embedding[g.i + 1]) AS value FROM k CROSS JOIN range({DIM}) g(i) GROUP BY ALL),
@@ -299,3 +307,91 @@ def q_title_user_vectors(spark, d):
     iv = text_embedding(cleaned, "item_id", "clean", title_word_vectors(spark, d, cleaned), DIM)
     uv = user_vectors(t.history(spark, d), iv, "user_id", "item_id", DIM)
     return spread_vector(uv, "user_id", "vec")
+
+
+# ------------------------------------------------ assembled feature tables
+# Tags of an item: the texts of the conversation whose id is the item's key
+# modulo the number of conversations, stopped, lemmatised and cut to dictionary
+# words before they are embedded.
+def item_tags(spark, d):
+    """(item_id, clean): each item's tag text after H3, H4 and D6."""
+    turns = t.read(spark, d, "conversations").select("conv_id", "turn", clean_text(F.col("text")).alias("c"))
+    texts = ordered_concat(turns.where("c <> ''"), "conv_id", "turn", "c", "tags").select("conv_id", "tags")
+    dct = dictionary(spark, d)
+    clean = process_tokens(texts, "conv_id", "tags", STOP_WORDS, lemma_table(dct), dct, "clean").select("conv_id", "clean")
+    n = t.read(spark, d, "conversations").select(F.countDistinct("conv_id")).scalar()
+    items = t.read(spark, d, "part").select(F.col("p_partkey").alias("item_id"), (F.col("p_partkey") % n).alias("conv_id"))
+    return items.join(clean, "conv_id").select("item_id", "clean")
+
+
+def item_tag_vectors(spark, d):
+    """(item_id, vec) of every item; zeros for items without a known tag."""
+    items = t.read(spark, d, "part").select(F.col("p_partkey").alias("item_id"))
+    texts = items.join(item_tags(spark, d), "item_id", "left").select(
+        "item_id", F.coalesce("clean", F.lit("")).alias("clean"))
+    return text_embedding(texts, "item_id", "clean", word_vectors(spark, d, dictionary(spark, d)), DIM)
+
+
+TAG_VECTOR_CTES = f"""
+dict AS ({DICT_SQL}),
+lem AS (SELECT token, substr(token, 1, length(token) - 1) AS lemma FROM dict
+        WHERE token LIKE '%s' AND length(token) > 1
+          AND substr(token, 1, length(token) - 1) IN (SELECT token FROM dict)),
+tagtok AS (SELECT conv_id, unnest(string_split({CLEAN_SQL.format(c='text')}, ' ')) AS token FROM conversations),
+tagged AS (SELECT conv_id, coalesce(lem.lemma, tagtok.token) AS token FROM tagtok LEFT JOIN lem ON tagtok.token = lem.token
+           WHERE tagtok.token <> '' AND tagtok.token NOT IN ({STOP_SQL})),
+wv AS (SELECT token, e.embedding FROM (SELECT token, {WORD_CODE_SQL} AS code FROM dict) x JOIN embeddings e ON e.vec_id = x.code),
+cv AS (SELECT conv_id, g.i AS dim, avg(wv.embedding[g.i + 1]) AS value
+       FROM tagged JOIN wv USING (token) CROSS JOIN range({DIM}) g(i) GROUP BY ALL),
+nc AS (SELECT count(DISTINCT conv_id) AS n FROM conversations),
+iv AS (SELECT p_partkey AS item_id, g.i AS dim, coalesce(cv.value, 0.0) AS value
+       FROM part CROSS JOIN nc CROSS JOIN range({DIM}) g(i)
+       LEFT JOIN cv ON cv.conv_id = p_partkey % nc.n AND cv.dim = g.i)"""
+
+
+@query("item_feature_table", f"""
+WITH {TAG_VECTOR_CTES},
+f AS ({FILLED_SQL}),
+r AS (SELECT item_id, avg(relevance) AS rating_avg FROM ({t.HISTORY_SQL}) GROUP BY item_id),
+codes AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS code FROM f)
+SELECT CAST(codes.code AS BIGINT) AS item_code, f.year, round(coalesce(r.rating_avg, 0.0), 6) AS rating_avg,
+       array_to_string(list_transform({VOCAB_SQL},
+           lambda v: CASE WHEN list_contains({GENRE_LIST_SQL.replace('genres', 'f.genres')}, v) THEN '1' ELSE '0' END), '') AS genre_bits,
+       CAST(iv.dim AS INTEGER) AS dim, round(iv.value, 6) AS value
+FROM f JOIN codes USING (item_id) LEFT JOIN r ON f.item_id = r.item_id JOIN iv ON iv.item_id = f.item_id""")
+def q_item_feature_table(spark, d):
+    """I14 (items), assembled: dense code, filled year, mean rating, genre
+    multi-hot and the embedding of the stopped, lemmatised, dictionary-filtered
+    tags, spread to dimensions at the output edge."""
+    f = genre_multi_hot(filled(spark, d), "genres", "genre_hot")
+    r = mean_by_key(t.history(spark, d), "item_id", "relevance", "rating_avg")
+    codes = dense_codes(f.select("item_id"), "item_id")
+    out = (f.join(r, "item_id", "left").join(item_tag_vectors(spark, d), "item_id").join(codes, "item_id"))
+    return out.select(F.col("code").alias("item_code"), "year",
+                      F.round(F.coalesce("rating_avg", F.lit(0.0)), 6).alias("rating_avg"),
+                      F.array_join(F.transform("genre_hot", lambda x: x.cast("string")), "").alias("genre_bits"),
+                      F.posexplode("vec").alias("dim", "value")).select(
+        "item_code", "year", "rating_avg", "genre_bits", F.col("dim").cast("int").alias("dim"),
+        F.round("value", 6).alias("value"))
+
+
+@query("user_feature_table", f"""
+WITH {TAG_VECTOR_CTES},
+h AS ({t.HISTORY_SQL}),
+p AS (SELECT DISTINCT user_id, item_id FROM h),
+m AS (SELECT p.user_id, iv.dim, avg(iv.value) AS value FROM p JOIN iv ON iv.item_id = p.item_id GROUP BY ALL),
+ra AS (SELECT user_id, avg(relevance) AS rating_avg FROM h GROUP BY user_id),
+codes AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS code FROM ra)
+SELECT CAST(codes.code AS BIGINT) AS user_code, round(ra.rating_avg, 6) AS rating_avg,
+       CAST(m.dim AS INTEGER) AS dim, round(m.value, 6) AS value
+FROM ra JOIN codes USING (user_id) JOIN m USING (user_id)""")
+def q_user_feature_table(spark, d):
+    """I14 (users), assembled: dense code, mean rating and the mean tag
+    embedding over the user's different items."""
+    h = t.history(spark, d)
+    uv = user_vectors(h, item_tag_vectors(spark, d), "user_id", "item_id", DIM)
+    ra = mean_by_key(h, "user_id", "relevance", "rating_avg")
+    out = ra.join(uv, "user_id").join(dense_codes(ra.select("user_id"), "user_id"), "user_id")
+    return out.select(F.col("code").alias("user_code"), F.round("rating_avg", 6).alias("rating_avg"),
+                      F.posexplode("vec").alias("dim", "value")).select(
+        "user_code", "rating_avg", F.col("dim").cast("int").alias("dim"), F.round("value", 6).alias("value"))

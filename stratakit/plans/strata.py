@@ -6,10 +6,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratakit.operators.copula import fit_copula, sample_copula
-from stratakit.operators.models import bisecting_strata, kmeans_strata, pca_embedding
+from stratakit.operators.models import covariance, fit_bisecting, fit_kmeans, fit_pca
 from stratakit.operators.pools import augment_pool
 from stratakit.operators.strata import quantile_strata, standardise, subset_by_strata
-from stratakit.functions.rand import inv_norm_cdf_sql, norm_cdf_sql, normal_sql
+from stratakit.functions.rand import hash32_sql, inv_norm_cdf_sql, norm_cdf_sql, normal_sql
 from stratakit.operators.copula import EPS
 from stratakit.plans.registry import SEED, query
 from stratakit.sources import tables as t
@@ -38,26 +38,44 @@ def user_rating_features(spark, d):
                                     F.avg("relevance").alias("rating_avg"))
 
 
-@query("subset_by_quantiles", f"""
-WITH h AS ({t.HISTORY_SQL}),
+SUBSET_CTES = f"""
+h AS ({t.HISTORY_SQL}),
 f AS (SELECT user_id, CAST(count(*) AS DOUBLE) AS rating_cnt, avg(relevance) AS rating_avg FROM h GROUP BY user_id),
 e AS (SELECT quantile_cont(rating_cnt, {QS_SQL}) AS qc, quantile_cont(rating_avg, {QS_SQL}) AS qa FROM f),
-b AS (SELECT f.user_id, {_bucket_sql('rating_cnt', 'e.qc')} AS bc, {_bucket_sql('rating_avg', 'e.qa')} AS ba
+b AS (SELECT f.user_id, rating_cnt, rating_avg, {_bucket_sql('rating_cnt', 'e.qc')} AS bc, {_bucket_sql('rating_avg', 'e.qa')} AS ba
       FROM f CROSS JOIN e),
-codes AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS code FROM b WHERE bc = 2 AND ba = 1)
-SELECT CAST(codes.code AS BIGINT) AS user_code, h.item_id, h.relevance
-FROM h JOIN codes ON h.user_id = codes.user_id""")
-def q_subset_by_quantiles(spark, d):
+codes AS (SELECT user_id, rating_cnt, rating_avg, row_number() OVER (ORDER BY user_id) - 1 AS code FROM b WHERE bc = 2 AND ba = 1)"""
+
+
+def _quantile_subset(spark, d):
     """Users in rating-count bucket 2 and rating-mean bucket 1
-    (buckets over the full frame), their ratings, re-coded."""
+    (buckets over the full frame), and their ratings, both re-coded."""
     f = user_rating_features(spark, d)
     f = quantile_strata(f, "rating_cnt", QS, "b_cnt")
     f = quantile_strata(f, "rating_avg", QS, "b_avg")
-    _, ratings = subset_by_strata(f, t.history(spark, d).select("user_id", "item_id", "relevance"),
-                                  "user_id", {"b_cnt": [2], "b_avg": [1]})
+    return subset_by_strata(f, t.history(spark, d).select("user_id", "item_id", "relevance"),
+                            "user_id", {"b_cnt": [2], "b_avg": [1]})
+
+
+@query("subset_by_quantiles", f"""
+WITH {SUBSET_CTES}
+SELECT CAST(codes.code AS BIGINT) AS user_code, h.item_id, h.relevance
+FROM h JOIN codes ON h.user_id = codes.user_id""")
+def q_subset_by_quantiles(spark, d):
+    """I12, second output: the ratings."""
+    ratings = _quantile_subset(spark, d)[1]
     return ratings.withColumnRenamed("user_id", "user_code").select("user_code", "item_id", "relevance")
 
 
+@query("subset_by_quantiles_users", f"""
+WITH {SUBSET_CTES}
+SELECT CAST(code AS BIGINT) AS user_code, rating_cnt, round(rating_avg, 9) AS rating_avg FROM codes""")
+def q_subset_by_quantiles_users(spark, d):
+    """I12, first output: the re-coded user frame."""
+    users = _quantile_subset(spark, d)[0]
+    return users.select(F.col("user_id").alias("user_code"), "rating_cnt", F.round("rating_avg", 9).alias("rating_avg"))
+
+
 @query("standardise", """
 WITH s AS (SELECT avg(c_acctbal) AS ma, stddev_pop(c_acctbal) AS sa,
                   avg(c_nationkey) AS mn, stddev_pop(c_nationkey) AS sn FROM customer)
@@ -77,33 +95,103 @@ def _vectors(spark, d):
     return t.read(spark, d, "embeddings").select("vec_id", "embedding")
 
 
-@query("kmeans_strata")
+KMEANS_STEPS = 5
+
+
+def _lloyd_ctes(rows: str, key: str, k: int) -> str:
+    """CTEs ending in ``a{steps}(key, cid)``: standardised vectors (population
+    std), the first k centres by hash, then assignment and means step by step.
+    ``rows`` has (key, x list)."""
+    dist = "list_sum(list_transform(range(1, len(v.z) + 1), lambda i: (v.z[i] - c.z[i]) * (v.z[i] - c.z[i])))"
+    out = f"""
+rows AS ({rows}),
+mo AS (SELECT list(m ORDER BY i) AS m, list(s ORDER BY i) AS s FROM (
+         SELECT i, avg(x[i]) AS m, CASE WHEN coalesce(stddev_pop(x[i]), 0) = 0 THEN 1.0 ELSE stddev_pop(x[i]) END AS s
+         FROM (SELECT x, unnest(range(1, len(x) + 1)) AS i FROM rows) GROUP BY i)),
+v AS (SELECT {key}, list_transform(range(1, len(x) + 1), lambda i: (x[i] - mo.m[i]) / mo.s[i]) AS z FROM rows, mo),
+c0 AS (SELECT row_number() OVER (ORDER BY {hash32_sql(SEED, key)}, {key}) - 1 AS cid, z FROM v
+       ORDER BY {hash32_sql(SEED, key)}, {key} LIMIT {k})"""
+    for s in range(KMEANS_STEPS + 1):
+        out += f""",
+a{s} AS (SELECT v.{key}, any_value(v.z) AS z, arg_min(c.cid, ({dist}, c.cid)) AS cid FROM v, c{s} c GROUP BY v.{key}),
+n{s} AS (SELECT cid, list(m ORDER BY i) AS z FROM (SELECT cid, i, avg(z[i]) AS m FROM (
+          SELECT cid, z, unnest(range(1, len(z) + 1)) AS i FROM a{s}) GROUP BY cid, i) GROUP BY cid),
+c{s + 1} AS (SELECT c.cid, coalesce(n.z, c.z) AS z FROM c{s} c LEFT JOIN n{s} n ON n.cid = c.cid)"""
+    return out
+
+
+@query("kmeans_strata", f"""
+WITH {_lloyd_ctes("SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings", "vec_id", 10)}
+SELECT vec_id, CAST(cid AS INTEGER) AS cluster FROM a{KMEANS_STEPS}""")
 def q_kmeans(spark, d):
-    """K-means (k=10, 3 seeds, best cost) on standardised embeddings."""
-    return kmeans_strata(_vectors(spark, d), "embedding", 10, seed=SEED, n_init=3).select("vec_id", "cluster")
+    """K-means (k=10) on standardised embeddings, fixed starts and steps."""
+    v = _vectors(spark, d)
+    model = fit_kmeans(v, "embedding", 10, "vec_id", seed=SEED, steps=KMEANS_STEPS)
+    return model.apply(v, "embedding").select("vec_id", "cluster")
 
 
 @query("bisecting_strata")
 def q_bisecting(spark, d):
     """Divisive hierarchical strata (bisecting k-means, k=8)."""
-    return bisecting_strata(_vectors(spark, d), "embedding", 8, seed=SEED).select("vec_id", "cluster")
+    v = _vectors(spark, d)
+    return fit_bisecting(v, "embedding", 8, seed=SEED).apply(v, "embedding").select("vec_id", "cluster")
 
 
-@query("subset_by_kmeans")
-def q_subset_by_kmeans(spark, d):
+KMEANS_SUBSET_CTES = f"""
+h AS ({t.HISTORY_SQL}),
+f AS (SELECT user_id, CAST(count(*) AS DOUBLE) AS rating_cnt, avg(relevance) AS rating_avg FROM h GROUP BY user_id),
+{_lloyd_ctes("SELECT u.user_id, [u.acctbal, f.rating_cnt, f.rating_avg] AS x FROM (" + t.USERS_SQL + ") u JOIN f USING (user_id)", "user_id", 10)},
+codes AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS code FROM a{KMEANS_STEPS} WHERE cid IN (2, 7, 5, 3))"""
+
+
+def _kmeans_subset(spark, d):
     """Users clustered on account balance and rating features (k=10),
-    clusters 2, 7, 5, 3 kept, their ratings re-coded."""
+    clusters 2, 7, 5, 3 kept, and their ratings, both re-coded."""
     u = t.users(spark, d).select("user_id", "acctbal").join(user_rating_features(spark, d), "user_id")
-    cl = kmeans_strata(u, ["acctbal", "rating_cnt", "rating_avg"], 10, seed=SEED)
-    _, ratings = subset_by_strata(cl, t.history(spark, d).select("user_id", "item_id", "relevance"),
-                                  "user_id", {"cluster": [2, 7, 5, 3]})
+    cols = ["acctbal", "rating_cnt", "rating_avg"]
+    cl = fit_kmeans(u, cols, 10, "user_id", seed=SEED, steps=KMEANS_STEPS).apply(u, cols)
+    return subset_by_strata(cl, t.history(spark, d).select("user_id", "item_id", "relevance"),
+                            "user_id", {"cluster": [2, 7, 5, 3]})
+
+
+@query("subset_by_kmeans", f"""
+WITH {KMEANS_SUBSET_CTES}
+SELECT CAST(codes.code AS BIGINT) AS user_code, h.item_id, h.relevance FROM h JOIN codes ON h.user_id = codes.user_id""")
+def q_subset_by_kmeans(spark, d):
+    """I13, second output: the ratings."""
+    ratings = _kmeans_subset(spark, d)[1]
     return ratings.withColumnRenamed("user_id", "user_code").select("user_code", "item_id", "relevance")
 
 
+@query("subset_by_kmeans_users", f"""
+WITH {KMEANS_SUBSET_CTES}
+SELECT CAST(codes.code AS BIGINT) AS user_code, c_acctbal AS acctbal FROM codes JOIN customer ON c_custkey = user_id""")
+def q_subset_by_kmeans_users(spark, d):
+    """I13, first output: the re-coded user frame."""
+    return _kmeans_subset(spark, d)[0].select(F.col("user_id").alias("user_code"), "acctbal")
+
+
 @query("pca_embedding")
 def q_pca(spark, d):
     """I8: standardise + PCA keeping 80 % of the variance."""
-    return pca_embedding(_vectors(spark, d), "embedding", variance_share=0.8).select("vec_id", "embedding")
+    v = _vectors(spark, d)
+    return fit_pca(v, "embedding", variance_share=0.8).apply(v, "embedding").select("vec_id", "embedding")
+
+
+PCA_DIMS = 16
+_PCA_Z = ", ".join(f"(CAST(embedding[{i + 1}] AS DOUBLE) - avg(CAST(embedding[{i + 1}] AS DOUBLE)) OVER ())"
+                   f" / stddev_pop(CAST(embedding[{i + 1}] AS DOUBLE)) OVER () AS z{i}" for i in range(PCA_DIMS))
+
+
+@query("pca_covariance", f"""
+WITH z AS (SELECT {_PCA_Z} FROM embeddings)
+{" UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round(covar_pop(z{i}, z{j}), 6) AS cov FROM z"
+                    for i in range(PCA_DIMS) for j in range(i, PCA_DIMS))}""")
+def q_pca_covariance(spark, d):
+    """I8, what the components are made of: the covariance of the first
+    standardised dimensions (population moments)."""
+    v = _vectors(spark, d).select(*[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(PCA_DIMS)])
+    return covariance(v, v.columns).select("i", "j", F.round("cov", 6).alias("cov"))
 
 
 GRID = 101
