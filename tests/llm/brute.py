@@ -125,3 +125,27 @@ def crc(ids):
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def kept_by_pipeline(texts, items, kept_by_field):
+    """Ids and texts that reach the last stage: quality (the field's verdict
+    on documents past the base rules is given), one of each near-duplicate
+    class, below the contamination limit, secrets replaced."""
+    rows = {}
+    for d, t in texts.items():
+        n, _, _, _, repeat = quality(t)
+        if n >= 50 and 100 * repeat <= 50 * n and kept_by_field[d]:
+            rows[d] = t
+    stay = classes({d: fingerprint(t) for d, t in rows.items()})
+    rows = {d: t for d, t in rows.items() if stay[d] == d}
+    hits = item_hits(rows, items)
+    rows = {d: t for d, t in rows.items() if not hits[d][3]}
+    out = {}
+    for d, t in rows.items():
+        text, at = "", 0
+        for _, a, b in base_spans(t):
+            if a > at or not text:
+                text += t[at:a] + "[SECRET]"
+            at = max(at, b)
+        out[d] = text + t[at:]
+    return out
