@@ -137,6 +137,8 @@ def sample_copula(spark: SparkSession, model: CopulaModel, n: int, seed: int,
                   index_col: str = "row_index", num_partitions: int | None = None) -> DataFrame:
     """``n`` generated rows with a contiguous 0-based ``row_index`` (ready for
     :func:`stratakit.operators.pools.augment_pool`)."""
+    if n < 1:
+        raise ValueError(f"the number of rows to generate has to be 1 or more, not {n}")
     base = spark.range(0, n, numPartitions=num_partitions).withColumnRenamed("id", index_col)
     d = len(model.columns)
     zs = [normal(seed, F.col(index_col), F.lit(j)) for j in range(d)]

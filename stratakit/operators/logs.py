@@ -175,7 +175,12 @@ def get_train_log(history: DataFrame, users: DataFrame, items: DataFrame, user_k
                   value_col: str = "relevance") -> DataFrame:
     """I2 as one call: the users' history over the allowed items; when that
     is empty, ``k`` random allowed items per user scored by ``response``.
-    The branch is chosen with ``isEmpty()`` (a one-row job), not a count."""
+    The branch is chosen with ``isEmpty()`` (a one-row job), not a count.  An
+    empty user table and ``k`` below 1 are errors (B10)."""
+    if k < 1:
+        raise ValueError(f"k has to be 1 or more, not {k}")
+    if users.isEmpty():
+        raise ValueError("the user table is empty")
     allowed = origin_filter(items, use_synth_items, use_real_items)
     log = restrict_log(history, users, allowed, user_key, item_key)
     if not log.isEmpty():

@@ -147,3 +147,16 @@ def test_index_draws_reach_every_row(spark):
     r = spark.range(100_000).select(draw_index(F.lit(2 ** 40), 1, "id").alias("x")).agg(
         F.countDistinct("x"), F.max("x"), F.countDistinct(F.col("x") % 2 ** 20)).first()
     assert r[0] >= 99_990 and 2 ** 40 * 0.999 < r[1] < 2 ** 40 and r[2] > 90_000
+
+
+def test_empty_users_and_counts_below_one_are_errors(spark):
+    from stratakit.operators.copula import CopulaModel, sample_copula
+    from stratakit.operators.logs import get_train_log
+    from stratakit.sources import tables as t
+    users, items, hist = t.users(spark, SF01), t.items(spark, SF01), t.history(spark, SF01)
+    with pytest.raises(ValueError, match="empty"):
+        get_train_log(hist, users.filter("false"), items, "user_id", "item_id")
+    with pytest.raises(ValueError, match="1 or more"):
+        get_train_log(hist, users, items, "user_id", "item_id", k=0)
+    with pytest.raises(ValueError, match="1 or more"):
+        sample_copula(spark, CopulaModel(), 0, 1)
