@@ -65,11 +65,14 @@ def top_k_per_user(scored: DataFrame, user_key: str, item_key: str, score_col: s
 Z_95 = 1.959963984540054
 
 
-def wilson_scores(log: DataFrame, item_key: str, value_col: str, z: float = Z_95) -> DataFrame:
+def wilson_scores(log: DataFrame, item_key: str, value_col: str, z: float = Z_95,
+                  count_col: str | None = None) -> DataFrame:
     """Wilson lower bound of the positive share per item (binary values).
-    Partial aggregation before the shuffle; one row per item."""
+    Partial aggregation before the shuffle; one row per item.  A log that is
+    already summed up names its row counts by ``count_col``."""
+    rows = F.count(F.lit(1)) if count_col is None else F.sum(count_col)
     agg = log.groupBy(item_key).agg(F.sum(F.col(value_col).cast("double")).alias("_pos"),
-                                    F.count(F.lit(1)).cast("double").alias("_n"))
+                                    rows.cast("double").alias("_n"))
     p = F.col("_pos") / F.col("_n")
     n = F.col("_n")
     zz = z * z

@@ -11,6 +11,7 @@ from stratakit.operators.index import dense_codes, recode
 from stratakit.operators.logs import (Z_95, dedup_pairs, random_top_k,
                                       top_k_global_unseen, wilson_scores)
 from stratakit.plans.registry import SEED, query
+from stratakit.session import checkpointed
 from stratakit.sources import tables as t
 
 K = 5
@@ -40,9 +41,11 @@ SELECT user_id, item_id, round(score, 9) AS score, CAST(rank AS BIGINT) AS rank
 @query("topk_wilson", WILSON_SQL)
 def topk_wilson(spark, d):
     """I21 + F9: popularity by Wilson lower bound, k best unseen items per user."""
-    h = _binary_history(spark, d)
-    scores = wilson_scores(h, "item_id", "relevance")
-    out = top_k_global_unseen(h.select("user_id"), scores, h, "user_id", "item_id", K)
+    # one aggregate, written once, serves scores, users, seen counts and the anti-join
+    pairs = checkpointed(_binary_history(spark, d).groupBy("user_id", "item_id").agg(
+        F.sum("relevance").alias("relevance"), F.count(F.lit(1)).alias("n")))
+    scores = wilson_scores(pairs, "item_id", "relevance", count_col="n")
+    out = top_k_global_unseen(pairs.select("user_id"), scores, pairs, "user_id", "item_id", K)
     return out.select("user_id", "item_id", F.round("score", 9).alias("score"),
                       F.col("rank").cast("long").alias("rank"))
 
@@ -69,9 +72,9 @@ FROM p JOIN i USING (iidx)"""
 @query("topk_random", RANDOM_SQL)
 def topk_random(spark, d):
     """I22 + F9: k random unseen items per user."""
-    h = t.history(spark, d)
+    pairs = checkpointed(t.history(spark, d).select("user_id", "item_id").distinct())
     items = t.read(spark, d, "part").select(F.col("p_partkey").alias("item_id"))
-    out = random_top_k(h.select("user_id"), items, h, "user_id", "item_id", K, SEED)
+    out = random_top_k(pairs.select("user_id"), items, pairs, "user_id", "item_id", K, SEED)
     return out.select("user_id", "item_id", F.col("rank").cast("long").alias("rank"))
 
 
