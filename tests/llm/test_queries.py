@@ -14,6 +14,7 @@ from stratakit.llm.queries import ORACLES, QUERIES
 from tests.conftest import SF001
 from tests.llm import brute
 from tests.llm.test_operators import check_packing
+from tools.oracle_check import duck, table_hash
 
 Q = se.queries()
 
@@ -28,6 +29,15 @@ def test_every_operator_is_registered():
     assert set(QUERIES) <= set(Q) and "pipeline" in Q and set(ORACLES) <= set(se.oracle_sql())
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_matches_duckdb(spark, name):
+    df, cur = Q[name](spark, SF001), duck(SF001).execute(ORACLES[name])
+    rows, cols = [tuple(r) for r in df.collect()], [c[0] for c in cur.description]
+    want = cur.fetchall()
+    assert sorted(df.columns) == sorted(cols) and len(rows) == len(want) > 0
+    assert table_hash(df.columns, rows) == table_hash(cols, want)
+
+
 def test_op2(spark, texts):
     fps = {d: brute.fingerprint(t) for d, t in texts.items()}
     want = brute.classes(fps)
