@@ -6,7 +6,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from ..session import ensure_checkpoint_dir
 
 #: Rows of an Arrow batch handled at once inside a Python task.
 SLICE_ROWS = 512
+#: Bytes of text handled at once where a slice is cut by size.
+SLICE_BYTES = 12_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,12 +38,31 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """A written table that grows with the input, as a join's side: never
+    broadcast for the sake of its small, compressed files."""
+    return df.hint("merge")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], name: str,
+                limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``limit`` bytes of the text column ``name``; a longer
+    text is a slice of its own."""
+    for batch in batches:
+        size = np.asarray(pc.fill_null(pc.binary_length(batch.column(name)), 0)).astype(np.int64)
+        ends, at, done = np.cumsum(size), 0, 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, done + limit, side="right")))
+            yield batch.slice(at, stop - at)
+            at, done = stop, int(ends[stop - 1])
+
+
 def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
     """The text column with null read as empty."""
     return [t or "" for t in batch.column(name).to_pylist()]

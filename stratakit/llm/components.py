@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import grown, materialize
 
 
 def _round(edges: DataFrame, large: bool) -> DataFrame:
@@ -17,7 +17,7 @@ def _round(edges: DataFrame, large: bool) -> DataFrame:
     # hub's partition can be split.
     least = materialize(ties.groupBy("u").agg(F.min("v").alias("m"))
                         .select("u", F.least("m", "u").alias("m")), "least")
-    moved = ties.join(least, "u")
+    moved = ties.join(grown(least), "u")
     if large:
         out = moved.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import latest_earlier, materialize, rank_in_key
+from .common import grown, latest_earlier, materialize, rank_in_key
 
 _QUOTE = r"^(?:[ \t]*>)+"
 PASSAGES = "array<struct<level:int,text:string>>"
@@ -112,7 +112,8 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     before = latest_earlier(counted, ["conv"], "turn", "value", "previous")
     ranked = rank_in_key(before, ["conv"], "turn", "position").select("conv", "turn", "previous", "position")
     order = materialize(ranked, "turns")
-    linked = (placed.join(order, ["conv", "turn"], "left").join(replies, ["conv", "turn"], "left"))
+    linked = (placed.join(grown(order), ["conv", "turn"], "left")
+              .join(grown(replies), ["conv", "turn"], "left"))
     out = [F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col)]
     done = linked.select(
         *out, "position", F.coalesce("quoted_turn", "previous").alias("reply_to"),

@@ -30,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import grown, materialize
 
 #: One version for all rules below; to be raised with any change to them.
 RULE_VERSION = "1"
@@ -112,7 +112,7 @@ def scan_versions(versions: DataFrame, id_col: str = "doc_id", text_col: str = "
     paths = named.select("id", "blob")
     # Most blobs have no span; only those with one need to be joined back.
     hits = known.filter(F.size("spans") > 0).select("blob", "spans")
-    findings = (paths.join(hits, "blob", "left")
+    findings = (paths.join(grown(hits), "blob", "left")
                 .select("id", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans")))
     return findings, new
 
@@ -129,7 +129,7 @@ def redact(versions: DataFrame, text_col: str = "text", mark: str = "[SECRET]",
                         .select(F.col("blob").alias("_sb"),
                                 clean_text(F.col("text"), F.col("spans"), mark).alias("_sc")), "redacted")
     clean = F.coalesce(F.col("_sc"), F.col(text_col))
-    return (named.join(found, "_sb", "left")
+    return (named.join(grown(found), "_sb", "left")
             .withColumn(text_col, clean).select(*versions.columns))
 
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, texts_of
+from .common import grown, materialize, slices, texts_of
 from .components import connected_components
 
 SHINGLE_WORDS = 4
@@ -258,9 +258,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         .filter("node is not null"), "nodes")
     edges = materialize(links(nodes, max_bits, blocks, run_rows), "edges")
     comps = connected_components(edges)
-    classes = (nodes.join(comps, "node", "left")
+    classes = (nodes.join(grown(comps), "node", "left")
                .select("fp", F.coalesce("component", "node").alias("component_id")))
     classes = materialize(classes, "classes")
-    return (fps.join(classes, "fp", "left")
+    return (fps.join(grown(classes), "fp", "left")
             .select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                     "component_id"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import local_table
-from .common import materialize
+from .common import grown, materialize
 from .components import connected_components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -113,7 +113,7 @@ def judge_urls(pages: DataFrame, edges: DataFrame | None = None, rules=RULES, id
     named = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"),
                          node_of(url).alias("node"))
     own = materialize(matched_rules(named, rules), "rules")
-    judged = named.join(own, ["host", "path"], "left")
+    judged = named.join(grown(own), ["host", "path"], "left")
     if edges is None:
         aliases = spark.createDataFrame([], "node string, component string, alias_verdict string")
     else:
@@ -125,8 +125,8 @@ def judge_urls(pages: DataFrame, edges: DataFrame | None = None, rules=RULES, id
         ruled = places.join(matched_rules(places, rules), ["host", "path"])
         decided = materialize(ruled.groupBy("component").agg(
             F.min(F.col("rule_verdict")).alias("alias_verdict")), "decisions")     # allow sorts before block
-        aliases = materialize(members.join(decided, "component", "left")
+        aliases = materialize(members.join(grown(decided), "component", "left")
                               .select("node", "component", "alias_verdict"), "alias-verdicts")
-    return (judged.join(aliases, "node", "left")
+    return (judged.join(grown(aliases), "node", "left")
             .select(id_col, "host", "path", "rule",
                     F.coalesce("rule_verdict", "alias_verdict", F.lit("allow")).alias("verdict"), "component"))

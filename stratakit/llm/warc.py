@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import latest_earlier, materialize
+from .common import grown, latest_earlier, materialize
 from .urls import LOWER, UPPER, _rest, host_of, path_of
 
 #: Header fields of a 304 that don't update a stored response (fixed list,
@@ -99,7 +99,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     source = full.select(F.col("record_id").alias("source_id"), F.col("etag").alias("s_etag"),
                          F.col("last_modified").alias("s_modified"), F.col("payload_sha256").alias("s_payload"),
                          F.col("headers").alias("s_headers")).dropDuplicates(["source_id"])
-    both = revisits.join(tied, ["url_key", "ts"], "left").join(source, "source_id", "left")
+    both = revisits.join(grown(tied), ["url_key", "ts"], "left").join(source, "source_id", "left")
     same = (F.when(F.col("etag").isNotNull() & F.col("s_etag").isNotNull(), _tag(F.col("etag")) == _tag(F.col("s_etag")))
             .when(F.col("last_modified").isNotNull() & F.col("s_modified").isNotNull(),
                   F.col("last_modified") == F.col("s_modified"))
