@@ -48,9 +48,9 @@ from .tokens import encoder, word_tokenizer_path
 END_ID = 1
 SHARD_IDS = 1 << 20
 #: Rounds and new rules a round; symbols whose pairs are counted in a round.
-ROUNDS = 6
-RULES_A_ROUND = 1024
-TOP_SYMBOLS = 1024
+ROUNDS = 5
+RULES_A_ROUND = 2048
+TOP_SYMBOLS = 512
 MIN_COUNT = 8
 
 SHARD = T.StructType([
@@ -85,7 +85,7 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, rules_a_round: in
         if not len(best):
             break
         best = best[np.argsort(-found[best], kind="stable")][:rules_a_round]
-        # the place of a pair among the chosen ones, most frequent first
+        # the place of a pair among the best ones, most frequent first
         place = np.full(len(chosen) ** 2, len(best), dtype=np.int32)
         place[best] = np.arange(len(best), dtype=np.int32)
         got = place[pair]
@@ -130,22 +130,37 @@ def _sizes(symbols: np.ndarray, base: int, expansions: np.ndarray) -> np.ndarray
     return out
 
 
-def _expand(symbols: np.ndarray, base: int, rules: np.ndarray) -> np.ndarray:
-    """All ids of a symbol sequence: every pass replaces the rules' symbols
-    by their two sides."""
-    seq = symbols.astype(np.int64)
-    while True:
-        rule = seq >= base
-        if not rule.any():
-            return seq.astype("<u4")
-        width = 1 + rule.astype(np.int64)
-        ends = np.cumsum(width)
-        out = np.empty(int(ends[-1]), dtype=np.int64)
-        starts = ends - width
-        out[starts] = np.where(rule, 0, seq)
-        sides = rules[seq[rule] - base].astype(np.int64)
-        out[starts[rule]], out[starts[rule] + 1] = sides[:, 0], sides[:, 1]
-        seq = out
+def _rule_texts(base: int, rules: np.ndarray, expansions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all rules' expansions one after another, where each begins).
+    Rules only use earlier symbols, so their sides are copied from before."""
+    ends = np.cumsum(expansions, dtype=np.int64)
+    starts = ends - expansions
+    flat = np.empty(int(ends[-1]) if len(ends) else 0, dtype="<u4")
+    for (left, right), at, stop in zip(rules.tolist(), starts.tolist(), ends.tolist()):
+        if left < base:
+            flat[at] = left
+            mid = at + 1
+        else:
+            mid = at + int(expansions[left - base])
+            flat[at:mid] = flat[starts[left - base]:ends[left - base]]
+        if right < base:
+            flat[mid] = right
+        else:
+            flat[mid:stop] = flat[starts[right - base]:ends[right - base]]
+    return flat, starts
+
+
+def _expand(symbols: np.ndarray, base: int, rules: np.ndarray, expansions: np.ndarray) -> np.ndarray:
+    """All ids of a symbol sequence: each symbol's ids are a stretch of one
+    table, the ids themselves first and the rules' expansions after them."""
+    flat, starts = _rule_texts(base, rules, expansions)
+    source = np.concatenate((np.arange(base, dtype="<u4"), flat))
+    begin = np.concatenate((np.arange(base, dtype=np.int32), (starts + base).astype(np.int32)))
+    size = np.concatenate((np.ones(base, dtype=np.int32), expansions.astype(np.int32)))[symbols]
+    ends = np.cumsum(size, dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    shift = begin[symbols] - (ends - size)
+    return source[np.repeat(shift, size) + np.arange(total)]
 
 
 def read_symbols(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,8 +171,8 @@ def read_symbols(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def decode(row: dict) -> np.ndarray:
     """All ids of a shard."""
-    symbols, rules, _ = read_symbols(row)
-    return _expand(symbols, row["base"], rules)
+    symbols, rules, expansions = read_symbols(row)
+    return _expand(symbols, row["base"], rules, expansions)
 
 
 def decode_range(row: dict, start: int, stop: int) -> np.ndarray:
@@ -168,7 +183,7 @@ def decode_range(row: dict, start: int, stop: int) -> np.ndarray:
     if stop <= start or a >= len(symbols):
         return np.zeros(0, dtype="<u4")
     first = int(ends[a - 1]) if a else 0
-    return _expand(symbols[a:b], row["base"], rules)[start - first:stop - first]
+    return _expand(symbols[a:b], row["base"], rules, expansions)[start - first:stop - first]
 
 
 def write_shards(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text",

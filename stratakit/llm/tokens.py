@@ -8,11 +8,14 @@ Most words of a corpus come again and again; each is encoded once per cache.
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 
 #: Words kept in one worker's cache; a full cache is emptied and fills anew.
 CACHE_WORDS = 1_000_000
+#: Letters before this character are in normal form by themselves.
+LAST_PLAIN = "\u0250"
 MARKS = frozenset((b".", b",", b";", b":", b"!", b"?"))
 
 
@@ -21,6 +24,26 @@ def word_tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _shown_bytes() -> dict[int, str]:
+    """How a byte-level vocabulary writes each byte: printable ones as they
+    are, the others as the characters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
+SHOWN = _shown_bytes()
+
+
+def _plain(low: str) -> bool:
+    """Letters that stay as they are under normal form and lower case."""
+    return low.isalpha() and max(low) < LAST_PLAIN
+
+
+def ids_bytes(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 class WordEncoder:
     """``encode(texts)`` gives one little-endian unsigned 32-bit array a text,
     equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``.
@@ -49,13 +72,24 @@ class WordEncoder:
         return raw.split()
 
     def _add(self, words: list[bytes]) -> None:
-        """Encode many new words as few texts, set apart by a mark that has an
-        id of its own and is in none of them."""
+        """Encode new words: plain ones by the tokenizer's model itself, the
+        others as few texts, set apart by a mark that has an id of its own and
+        is in none of them."""
         known, mark, encode = self.known, self.mark, self.tokenizer.encode_batch_fast
-        for w in [w for w in words if b"|" in w or b"<" in w]:
-            known[w] = np.asarray(encode([w.decode()], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
-        words = [w for w in words if w not in known]
-        parts = [words[at:at + 512] for at in range(0, len(words), 512)]
+        model, rest = self.tokenizer.model.tokenize, []
+        for w in words:
+            text = w.decode()
+            low = text.lower()
+            if _plain(low):
+                # one piece of letters, in normal form: lower case, then bytes
+                # written as characters, is all that is done before the model
+                shown = low if w.isascii() else low.encode().decode("latin-1").translate(SHOWN)
+                known[w] = ids_bytes([t.id for t in model(shown)])
+            elif b"|" in w or b"<" in w:
+                known[w] = ids_bytes(encode([text], add_special_tokens=False)[0].ids)
+            else:
+                rest.append(w)
+        parts = [rest[at:at + 512] for at in range(0, len(rest), 512)]
         texts = [b" | ".join(part).decode() for part in parts]
         for part, found in zip(parts, encode(texts, add_special_tokens=False)):
             ids = np.asarray(found.ids, dtype="<u4")
@@ -71,7 +105,7 @@ class WordEncoder:
             known.clear()
         split = [self._words(t) for t in texts]
         new = set().union(*split).difference(known) if split else set()
-        ended = {w: w[:-1] for w in new if w[-1:] in MARKS and w[:-1].decode()[-1:].isalpha()}
+        ended = {w: w[:-1] for w in new if w[-1:] in MARKS and _plain(w[:-1].decode()[-1:].lower())}
         plain = (new.difference(ended)).union(ended.values(), (w[-1:] for w in ended))
         self._add([w for w in plain if w not in known])
         known.update((w, known[stem] + known[w[-1:]]) for w, stem in ended.items())
