@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, slices, texts_of
+from .common import materialize, text_slices
 from .tokens import encoder, word_tokenizer_path
 
 CAPACITY = 4096
@@ -47,21 +47,25 @@ def pieces_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     fields += [T.StructField("ids", T.ArrayType(T.IntegerType()))] * keep_ids
 
     def run(batches):
-        encode = encoder(file).encode
-        end = np.array([end_id], dtype="<u4")
-        for batch in slices(batches):
+        own, end = encoder(file), np.array([end_id], dtype="<u4")
+        for batch in text_slices(batches, "_text"):
+            flat, ends = own.encode_column(batch.column("_text"))
             row, piece, start, length, crc, kept = [], [], [], [], [], []
-            for i, ids in enumerate(encode(texts_of(batch, "_text"))):
-                ids = np.concatenate((ids, end))
-                for k, at in enumerate(range(0, len(ids), capacity)):
-                    part = ids[at:at + capacity]
+            begin = 0
+            for i, stop in enumerate(ends.tolist()):
+                # the end id follows the text's; it may open a piece of its own
+                for k, at in enumerate(range(begin, stop + 1, capacity)):
+                    part = flat[at:min(at + capacity, stop)]
+                    if len(part) < capacity and at + capacity > stop:
+                        part = np.concatenate((part, end))
                     row.append(i)
                     piece.append(k)
-                    start.append(at)
+                    start.append(at - begin)
                     length.append(len(part))
                     crc.append(zlib.crc32(part.tobytes()))
                     if keep_ids:
                         kept.append(part.astype(np.int32))
+                begin = stop
             cols = [batch.column(id_col).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()),
                     pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             if keep_ids:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_path, slices, texts_of
+from .common import shared_path, slices, text_slices
 from .tokens import encoder, word_tokenizer_path
 
 END_ID = 1
@@ -214,15 +214,18 @@ def write_shards(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: st
             ("n_ids", pa.int64()), ("keys", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())),
             ("base", pa.int32()), ("rules", pa.binary()), ("expansions", pa.binary()), ("symbols", pa.binary()),
             ("width", pa.int32())])
-        for batch in slices(batches):
-            new_keys, hashes = batch.column("key").to_pylist(), batch.column("hash").to_pylist()
-            if first is None and new_keys:
-                first = (new_keys[0], hashes[0])
-            for key, ids in zip(new_keys, own.encode(texts_of(batch, "text"))):
+        for batch in text_slices(batches, "text"):
+            new_keys = batch.column("key").to_pylist()
+            if first is None:
+                first = (new_keys[0], batch.column("hash")[0].as_py())
+            flat, ends = own.encode_column(batch.column("text"))
+            begin = 0
+            for key, stop in zip(new_keys, ends.tolist()):
                 keys.append(key)
-                lengths.append(len(ids) + 1)
-                parts += [ids, end]
-                held += len(ids) + 1
+                lengths.append(stop - begin + 1)
+                parts += [flat[begin:stop], end]
+                held += stop - begin + 1
+                begin = stop
                 if held >= shard_ids:
                     yield shard()
                     seq, offset = seq + 1, offset + held

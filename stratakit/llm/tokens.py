@@ -11,6 +11,8 @@ import os
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words kept in one worker's cache; a full cache is emptied and fills anew.
 CACHE_WORDS = 1_000_000
@@ -60,16 +62,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         (self.mark,) = self.tokenizer.encode("|", add_special_tokens=False).ids
         self.max_words = max_words
-        self.known: dict[bytes, bytes] = {}
-
-    @staticmethod
-    def _words(text: str) -> list[bytes]:
-        raw = text.encode("utf-8", "replace")
-        # Not where case matters: in special tokens' strings, and before a
-        # combining mark, which may compose with one case of a letter only.
-        if b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw:
-            raw = raw.lower()
-        return raw.split()
+        self.known: dict[bytes, bytes] = {b"": b""}
 
     def _add(self, words: list[bytes]) -> None:
         """Encode new words: plain ones by the tokenizer's model itself, the
@@ -80,10 +73,12 @@ class WordEncoder:
         for w in words:
             text = w.decode()
             low = text.lower()
-            if _plain(low):
-                # one piece of letters, in normal form: lower case, then bytes
-                # written as characters, is all that is done before the model
-                shown = low if w.isascii() else low.encode().decode("latin-1").translate(SHOWN)
+            # One piece of letters, in normal form: lower case, then bytes
+            # written as characters, is all that is done before the model.
+            if w.isascii() and w.isalpha():
+                known[w] = ids_bytes([t.id for t in model(low)])
+            elif _plain(low):
+                shown = low.encode().decode("latin-1").translate(SHOWN)
                 known[w] = ids_bytes([t.id for t in model(shown)])
             elif b"|" in w or b"<" in w:
                 known[w] = ids_bytes(encode([text], add_special_tokens=False)[0].ids)
@@ -99,18 +94,53 @@ class WordEncoder:
                 known[w] = raw[start:end]
                 start = end + 4
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _ids_of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of different words; new ones join the cache."""
         known = self.known
         if len(known) > self.max_words:
             known.clear()
-        split = [self._words(t) for t in texts]
-        new = set().union(*split).difference(known) if split else set()
+            known[b""] = b""
+        found = list(map(known.get, words))
+        new = {w for w, ids in zip(words, found) if ids is None}
+        if not new:
+            return found
         ended = {w: w[:-1] for w in new if w[-1:] in MARKS and _plain(w[:-1].decode()[-1:].lower())}
         plain = (new.difference(ended)).union(ended.values(), (w[-1:] for w in ended))
         self._add([w for w in plain if w not in known])
         known.update((w, known[stem] + known[w[-1:]]) for w, stem in ended.items())
-        get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), dtype="<u4") for words in split]
+        return list(map(known.__getitem__, words))
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, where each text's ids end);
+        null is empty.  Splitting and gathering are array operations; only a
+        column's different words are looked up, for less than 2 GB at once."""
+        if texts.type != pa.string():
+            # not by a cast: string functions misread cast slices
+            texts = pa.array(texts.to_pylist(), pa.string())
+        texts = pc.fill_null(texts, "")
+        low = pc.ascii_lower(texts)
+        # Not where case matters: in special tokens' strings, and before a
+        # combining mark, which may compose with one case of a letter only.
+        odd = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, "[\u0300-\u037f]"))
+        if pc.any(odd).as_py():
+            low = pc.if_else(odd, texts, low)
+        split = pc.ascii_split_whitespace(low)
+        offsets, coded = split.offsets.to_numpy(), split.values.dictionary_encode()
+        ids = self._ids_of(coded.dictionary.cast(pa.binary()).to_pylist())
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        size = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids)) // 4
+        begin = np.cumsum(size, dtype=np.int32) - size
+        word = coded.indices.to_numpy(zero_copy_only=False)
+        each = size[word]
+        ends = np.cumsum(each, dtype=np.int32)
+        total = int(ends[-1]) if len(ends) else 0
+        place = np.repeat(begin[word] - (ends - each), each)
+        place += np.arange(total, dtype=np.int32)
+        return flat[place], np.concatenate((np.zeros(1, dtype=np.int64), ends))[offsets[1:]]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        flat, ends = self.encode_column(pa.array(texts, pa.string()))
+        return np.split(flat, ends[:-1]) if len(ends) else []
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
