@@ -75,22 +75,25 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, rules_a_round: in
         chosen = chosen[counts[chosen] >= min_count]
         if len(seq) < 2 or not len(chosen):
             break
-        code_of = np.full(n_symbols, -1, dtype=np.int32)
-        code_of[chosen] = np.arange(len(chosen), dtype=np.int32)
+        # all other symbols share one more code, whose pairs don't count
+        side = len(chosen) + 1
+        code_of = np.full(n_symbols, side - 1, dtype=np.int32)
+        code_of[chosen] = np.arange(side - 1, dtype=np.int32)
         code = code_of[seq]
-        at = np.flatnonzero((code[:-1] >= 0) & (code[1:] >= 0))
-        pair = code[at] * np.int32(len(chosen)) + code[at + 1]
-        found = np.bincount(pair, minlength=len(chosen) ** 2)
+        pair = code[:-1] * np.int32(side) + code[1:]
+        found = np.bincount(pair, minlength=side ** 2).reshape(side, side)
+        found[-1] = found[:, -1] = 0
+        found = found.ravel()
         best = np.flatnonzero(found >= min_count)
         if not len(best):
             break
         best = best[np.argsort(-found[best], kind="stable")][:rules_a_round]
         # the place of a pair among the best ones, most frequent first
-        place = np.full(len(chosen) ** 2, len(best), dtype=np.int32)
+        place = np.full(side ** 2, len(best), dtype=np.int32)
         place[best] = np.arange(len(best), dtype=np.int32)
         got = place[pair]
-        taken = got < len(best)
-        at, got = at[taken], got[taken]
+        at = np.flatnonzero(got < len(best))
+        got = got[at]
         # In a run of one symbol every second occurrence overlaps.
         fresh = np.append(True, (at[1:] != at[:-1] + 1) | (got[1:] != got[:-1]))
         place_in_run = np.arange(len(at)) - np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
@@ -113,7 +116,7 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, rules_a_round: in
         new = number[got]
         at, new = at[new >= 0], new[new >= 0]
         pairs = best[real]
-        left, right = chosen[pairs // len(chosen)], chosen[pairs % len(chosen)]
+        left, right = chosen[pairs // side], chosen[pairs % side]
         rules += list(zip(left.tolist(), right.tolist()))
         sizes = np.concatenate((sizes, sizes[left] + sizes[right]))
         seq[at] = new

@@ -101,14 +101,15 @@ class WordEncoder:
             known.clear()
             known[b""] = b""
         found = list(map(known.get, words))
-        new = {w for w, ids in zip(words, found) if ids is None}
-        if not new:
-            return found
+        holes = [i for i, ids in enumerate(found) if ids is None]
+        new = {words[i] for i in holes}
         ended = {w: w[:-1] for w in new if w[-1:] in MARKS and _plain(w[:-1].decode()[-1:].lower())}
         plain = (new.difference(ended)).union(ended.values(), (w[-1:] for w in ended))
         self._add([w for w in plain if w not in known])
         known.update((w, known[stem] + known[w[-1:]]) for w, stem in ended.items())
-        return list(map(known.__getitem__, words))
+        for i in holes:
+            found[i] = known[words[i]]
+        return found
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, where each text's ids end);
@@ -126,7 +127,7 @@ class WordEncoder:
             low = pc.if_else(odd, texts, low)
         split = pc.ascii_split_whitespace(low)
         offsets, coded = split.offsets.to_numpy(), split.values.dictionary_encode()
-        ids = self._ids_of(coded.dictionary.cast(pa.binary()).to_pylist())
+        ids = self._ids_of(coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())
         flat = np.frombuffer(b"".join(ids), dtype="<u4")
         size = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids)) // 4
         begin = np.cumsum(size, dtype=np.int32) - size
