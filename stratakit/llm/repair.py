@@ -139,7 +139,10 @@ def _rule_texts(base: int, rules: np.ndarray, expansions: np.ndarray) -> tuple[n
     ends = np.cumsum(expansions, dtype=np.int64)
     starts = ends - expansions
     flat = np.empty(int(ends[-1]) if len(ends) else 0, dtype="<u4")
-    for (left, right), at, stop in zip(rules.tolist(), starts.tolist(), ends.tolist()):
+    two = np.flatnonzero(expansions == 2)
+    flat[starts[two]], flat[starts[two] + 1] = rules[two, 0], rules[two, 1]
+    rest = np.flatnonzero(expansions > 2)
+    for (left, right), at, stop in zip(rules[rest].tolist(), starts[rest].tolist(), ends[rest].tolist()):
         if left < base:
             flat[at] = left
             mid = at + 1
@@ -162,12 +165,14 @@ def _expand(symbols: np.ndarray, base: int, rules: np.ndarray, expansions: np.nd
     size = np.concatenate((np.ones(base, dtype=np.int32), expansions.astype(np.int32)))[symbols]
     ends = np.cumsum(size, dtype=np.int64)
     total = int(ends[-1]) if len(ends) else 0
-    shift = begin[symbols] - (ends - size)
-    return source[np.repeat(shift, size) + np.arange(total)]
+    kind = np.int32 if total + len(source) < 2 ** 31 else np.int64
+    place = np.repeat((begin[symbols] - (ends - size)).astype(kind), size)
+    place += np.arange(total, dtype=kind)
+    return source[place]
 
 
 def read_symbols(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    symbols = np.frombuffer(row["symbols"], dtype=f"<u{row['width']}").astype(np.int64)
+    symbols = np.frombuffer(row["symbols"], dtype=f"<u{row['width']}").astype(np.int32)
     rules = np.frombuffer(row["rules"], dtype="<u4").reshape(-1, 2)
     return symbols, rules, np.frombuffer(row["expansions"], dtype="<u4")
 
