@@ -95,12 +95,9 @@ def text_embedding(texts: DataFrame, key: str, tokens_col: str, word_vectors: Da
                    dim: int, out_col: str = "vec") -> DataFrame:
     """C9 + H6 + B6: mean word vector of each text (repeats count, unknown
     tokens skipped); texts with no known token get zeros."""
-    # Repeats of a token in a text become one weighted row, so a frequent
-    # token travels once a text.
-    counts = (texts.select(key, F.explode(tokens(F.col(tokens_col))).alias("token"))
-              .groupBy(key, "token").agg(F.count(F.lit(1)).alias("_n")))
-    known = counts.join(word_vectors.select("token", "vec"), "token")
-    means = mean_vectors(known, key, "vec", "_n", out_col, dim=dim)
+    known = (texts.select(key, F.explode(tokens(F.col(tokens_col))).alias("token"))
+             .join(word_vectors.select("token", "vec"), "token"))
+    means = mean_vectors(known, key, "vec", None, out_col, dim=dim)
     zeros = F.array_repeat(F.lit(0.0), dim)
     return (texts.select(key).join(means, key, "left")
             .withColumn(out_col, F.coalesce(F.col(out_col), zeros)))
