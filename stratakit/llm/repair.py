@@ -3,9 +3,9 @@
 Documents become ids (with an end id) in ascending order of their key and are
 written in shards of about ``SHARD_IDS`` ids.  Within a shard, frequent
 neighbouring pairs of ids are replaced again and again by new symbols: each
-round counts the pairs of the shard's most frequent symbols exactly, takes the
-most frequent ones that don't interfere, and replaces every occurrence at
-once.  A shard row holds the rules, the length of each rule's expansion and
+round counts all pairs exactly, takes the most frequent ones that don't
+interfere, and replaces every occurrence at once, until no pair occurs
+``MIN_COUNT`` times.  A shard row holds the rules, the length of each rule's expansion and
 the final symbol sequence, so that any range of ids is decoded by a search in
 the summed lengths and an expansion of only the symbols it meets.
 
@@ -47,10 +47,9 @@ from .tokens import encoder, word_tokenizer_path
 
 END_ID = 1
 SHARD_IDS = 1 << 20
-#: Rounds and new rules a round; symbols whose pairs are counted in a round.
-ROUNDS = 5
+#: Rounds at most (None: until no pair occurs MIN_COUNT times); new rules a round.
+ROUNDS = None
 RULES_A_ROUND = 2048
-TOP_SYMBOLS = 512
 MIN_COUNT = 8
 
 SHARD = T.StructType([
@@ -62,68 +61,108 @@ SHARD = T.StructType([
     T.StructField("symbols", T.BinaryType()), T.StructField("width", T.IntegerType())])
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, rules_a_round: int = RULES_A_ROUND,
-             top: int = TOP_SYMBOLS, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pairs(seq: np.ndarray, n_symbols: int, live: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """(codes of the pairs at the live places (None: all), occurrences of each that don't
+    overlap, their places by code, places left out as they overlap)."""
+    if live is None:
+        at, left, right = np.arange(len(seq) - 1), seq[:-1], seq[1:]
+    else:
+        at = np.flatnonzero(live[:-1])
+        left, right = seq[at], seq[at + 1]
+    # In a run of one symbol every second occurrence overlaps.
+    same = np.flatnonzero(left == right)
+    fresh = np.append(True, at[same[1:]] != at[same[:-1]] + 1)[:len(same)]
+    place_in_run = np.arange(len(same)) - np.maximum.accumulate(np.where(fresh, np.arange(len(same)), 0))
+    over = same[place_in_run % 2 == 1]
+    left_out = at[over]
+    if len(over):
+        at, left, right = np.delete(at, over), np.delete(left, over), np.delete(right, over)
+    bits = n_symbols.bit_length()
+    code = left.astype(np.int64)
+    code <<= bits
+    code |= right
+    low = len(seq).bit_length()
+    if 2 * bits + low <= 63:
+        # code and place in one number: a plain sort brings both in order
+        code <<= low
+        code |= at
+        code.sort()
+        np.bitwise_and(code, (1 << low) - 1, out=at)
+        code >>= low
+    else:
+        order = np.argsort(code, kind="stable")
+        code, at = code[order], at[order]
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1])[:len(code)])
+    return code[first], np.diff(np.append(first, len(code))), at, left_out
+
+
+def compress(ids: np.ndarray, base: int, rounds: int | None = ROUNDS, rules_a_round: int = RULES_A_ROUND,
+             min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules (n, 2), expansions) of an id sequence; ids < base."""
     seq = ids.astype(np.int32)
-    rules, sizes = [], np.ones(base, dtype=np.int64)
-    for _ in range(rounds):
-        n_symbols = base + len(rules)
-        counts = np.bincount(seq, minlength=n_symbols)
-        k = min(top, n_symbols)
-        chosen = np.argpartition(counts, n_symbols - k)[n_symbols - k:]
-        chosen = chosen[counts[chosen] >= min_count]
-        if len(seq) < 2 or not len(chosen):
-            break
-        # all other symbols share one more code, whose pairs don't count
-        side = len(chosen) + 1
-        code_of = np.full(n_symbols, side - 1, dtype=np.int32)
-        code_of[chosen] = np.arange(side - 1, dtype=np.int32)
-        code = code_of[seq]
-        pair = code[:-1] * np.int32(side) + code[1:]
-        found = np.bincount(pair, minlength=side ** 2).reshape(side, side)
-        found[-1] = found[:, -1] = 0
-        found = found.ravel()
-        best = np.flatnonzero(found >= min_count)
+    lefts, rights = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    sizes = np.ones(base, dtype=np.int64)
+    # A pair below min_count gains no occurrence but next to a new symbol, so
+    # its places rest until one stands there; the end is found on all places.
+    live, done = None, 0
+    while len(seq) > 1 and (rounds is None or done < rounds):
+        n_symbols = base + len(lefts)
+        bits = n_symbols.bit_length()
+        codes, counts, at, left_out = _pairs(seq, n_symbols, live)
+        # what is left of a pair that has a rule takes its symbol
+        ruled = (lefts << bits) | rights
+        spot = np.searchsorted(codes, ruled)
+        met = np.flatnonzero(spot < len(codes))
+        met = met[codes[spot[met]] == ruled[met]]
+        symbol = np.full(len(codes), -1, dtype=np.int32)
+        symbol[spot[met]] = base + met
+        known = symbol >= 0
+        wanted = (counts >= min_count) | known
+        best = np.flatnonzero(wanted)
         if not len(best):
-            break
-        best = best[np.argsort(-found[best], kind="stable")][:rules_a_round]
+            if live is None:
+                break
+            live = None
+            continue
+        at = at[np.repeat(wanted, counts)]
+        live = np.zeros(len(seq), dtype=bool)
+        live[at], live[left_out] = True, True
+        best = best[np.argsort(-counts[best], kind="stable")][:rules_a_round]
         # the place of a pair among the best ones, most frequent first
-        place = np.full(side ** 2, len(best), dtype=np.int32)
-        place[best] = np.arange(len(best), dtype=np.int32)
-        got = place[pair]
-        at = np.flatnonzero(got < len(best))
-        got = got[at]
-        # In a run of one symbol every second occurrence overlaps.
-        fresh = np.append(True, (at[1:] != at[:-1] + 1) | (got[1:] != got[:-1]))
-        place_in_run = np.arange(len(at)) - np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-        at, got = at[place_in_run % 2 == 0], got[place_in_run % 2 == 0]
+        place = np.full(len(codes), len(best), dtype=np.int64)
+        place[best] = np.arange(len(best))
+        got = np.repeat(place[wanted], counts[wanted])
+        taken = got < len(best)
+        low = len(best).bit_length()
+        by_place = np.sort((at[taken] << low) | got[taken])
+        at, got = by_place >> low, by_place & ((1 << low) - 1)
         # Where different pairs overlap the more frequent one wins; the other
         # waits for the next round.
-        rank = got.astype(np.int64) * len(seq) + at
+        rank = got * len(seq) + at
         keep = np.ones(len(at), dtype=bool)
-        touch = at[1:] == at[:-1] + 1
-        left_wins = rank[:-1] < rank[1:]
-        keep[1:] &= ~(touch & left_wins)
-        keep[:-1] &= ~(touch & ~left_wins)
+        touch = np.flatnonzero(at[1:] == at[:-1] + 1)
+        left_wins = rank[touch] < rank[touch + 1]
+        keep[touch[left_wins] + 1] = False
+        keep[touch[~left_wins]] = False
         at, got = at[keep], got[keep]
+        # A rule must pay for itself; the most frequent pair loses no place.
         used = np.bincount(got, minlength=len(best))
-        real = np.flatnonzero(used >= 3)            # a rule must pay for itself
-        if not len(real):
-            break
-        number = np.full(len(best), -1, dtype=np.int32)
+        real = np.flatnonzero((used >= min_count) & ~known[best])
+        number = symbol[best]
         number[real] = n_symbols + np.arange(len(real), dtype=np.int32)
         new = number[got]
         at, new = at[new >= 0], new[new >= 0]
-        pairs = best[real]
-        left, right = chosen[pairs // side], chosen[pairs % side]
-        rules += list(zip(left.tolist(), right.tolist()))
+        left, right = codes[best[real]] >> bits, codes[best[real]] & ((1 << bits) - 1)
+        lefts, rights = np.concatenate((lefts, left)), np.concatenate((rights, right))
         sizes = np.concatenate((sizes, sizes[left] + sizes[right]))
         seq[at] = new
+        live[at] = True
+        live[at[at > 0] - 1] = True
         stay = np.ones(len(seq), dtype=bool)
         stay[at + 1] = False
-        seq = seq[stay]
-    return seq, np.array(rules, dtype="<u4").reshape(-1, 2), sizes[base:].astype("<u4")
+        seq, live = seq[stay], live[stay]
+        done += 1
+    return seq, np.column_stack((lefts, rights)).astype("<u4"), sizes[base:].astype("<u4")
 
 
 def _sizes(symbols: np.ndarray, base: int, expansions: np.ndarray) -> np.ndarray:
@@ -196,7 +235,7 @@ def decode_range(row: dict, start: int, stop: int) -> np.ndarray:
 
 def write_shards(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text",
                  path: str | None = None, end_id: int = END_ID, shard_ids: int = SHARD_IDS,
-                 rounds: int = ROUNDS) -> None:
+                 rounds: int | None = ROUNDS) -> None:
     """Encode ``docs`` and write the shard files to ``out``."""
     file = path or word_tokenizer_path()
 

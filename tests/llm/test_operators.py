@@ -265,6 +265,31 @@ def test_repair_compress():
             assert (repair.decode_range(row, a, a + 13) == ids[a:a + 13]).all()
 
 
+def _pair_counts(symbols):
+    """Occurrences of each pair that don't overlap, from left to right."""
+    counts, last = {}, {}
+    for i, pair in enumerate(itertools.pairwise(symbols.tolist())):
+        if last.get(pair) != i - 1 or pair[0] != pair[1]:
+            counts[pair] = counts.get(pair, 0) + 1
+            last[pair] = i
+    return counts
+
+
+def test_repair_goes_on_to_the_end():
+    rng = np.random.default_rng(5)
+    # rare symbols that only occur as one pair, behind more than 512 frequent ones; long nested repeats
+    rare = np.repeat(np.arange(600, 1600, 2), 8)
+    rare = np.column_stack((rare, rare + 1, rng.integers(0, 600, len(rare)))).ravel()
+    for ids in (np.append(np.tile(rng.permutation(600), 30), rare), np.tile(np.arange(1024), 32), np.full(5000, 7),
+                rng.integers(0, 40, 30000), np.repeat(rng.integers(0, 9, 4000), rng.integers(1, 30, 4000))):
+        symbols, rules, expansions = repair.compress(ids.astype("<u4"), 1600)
+        row = {"symbols": symbols.astype("<u4").tobytes(), "width": 4, "base": 1600, "rules": rules.tobytes(),
+               "expansions": expansions.tobytes()}
+        assert (repair.decode(row) == ids).all()
+        assert max(_pair_counts(symbols).values(), default=0) < repair.MIN_COUNT
+        assert len({tuple(r) for r in rules.tolist()}) == len(rules)
+
+
 # --- 6 quality
 
 def test_quality(spark, docs, given, odd, texts):
