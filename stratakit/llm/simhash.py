@@ -17,8 +17,8 @@ is lost.  Components of the links give one class a document.
 
 Defined results: a null or empty text, or one without words, has fingerprint
 zero; repeated rows share a class; a row without an id keeps its fingerprint
-and gets the class of its equals, or null if no row with an id is among them;
-an empty table gives an empty result; other columns are not carried.
+and gets the class of its equals and all they link to, or null if no row with
+an id is among them; an empty table gives an empty result; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -247,6 +247,19 @@ def list_last(batches):
     yield None
 
 
+def classes(nodes: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS,
+            run_rows: int = RUN_ROWS) -> tuple[DataFrame, DataFrame]:
+    """((fp, root), (root, first)) of a written table (fp, first), one row a
+    fingerprint: root is the smallest fingerprint reachable over links, and
+    ``first`` the smallest of its class, nulls aside."""
+    edges = materialize(links(nodes.select(F.col("fp").alias("node"), "fp"), max_bits, blocks, run_rows), "edges")
+    comps = connected_components(edges).withColumnRenamed("node", "fp")
+    rooted = materialize(nodes.join(grown(comps), "fp", "left")
+                         .select("fp", F.coalesce("component", "fp").alias("root"), "first"), "roots")
+    heads = materialize(rooted.groupBy("root").agg(F.min("first").alias("first")), "heads")
+    return rooted.select("fp", "root"), heads
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     size: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, blocks: int = BLOCKS,
                     seed: int = SEED, run_rows: int = RUN_ROWS) -> DataFrame:
@@ -254,13 +267,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reachable over links of ``max_bits`` or fewer differing bits, named by its
     smallest id.  Ids are integers."""
     fps = materialize(fingerprints(docs, id_col, text_col, size, seed), "fingerprints")
-    nodes = materialize(fps.groupBy("fp").agg(F.min(F.col("id").cast("bigint")).alias("node"))
-                        .filter("node is not null"), "nodes")
-    edges = materialize(links(nodes, max_bits, blocks, run_rows), "edges")
-    comps = connected_components(edges)
-    classes = (nodes.join(grown(comps), "node", "left")
-               .select("fp", F.coalesce("component", "node").alias("component_id")))
-    classes = materialize(classes, "classes")
-    return (fps.join(grown(classes), "fp", "left")
+    nodes = materialize(fps.groupBy("fp").agg(F.min(F.col("id").cast("bigint")).alias("first")), "nodes")
+    members, heads = classes(nodes, max_bits, blocks, run_rows)
+    named = materialize(members.join(grown(heads), "root").select("fp", F.col("first").alias("component_id")), "classes")
+    return (fps.join(grown(named), "fp", "left")
             .select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                     "component_id"))

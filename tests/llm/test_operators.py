@@ -140,6 +140,22 @@ def test_simhash_odd(odd, texts, spark):
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in rows.collect()) == [(0, 0), (0, 4), (4, 4)]
 
 
+def _flipped(fp, bits):
+    """A signed fingerprint with these bits changed."""
+    fp ^= sum(1 << b for b in bits)
+    return fp - (1 << 64) if fp >> 63 else fp
+
+
+def test_simhash_links_through_rows_without_id(spark, monkeypatch):
+    # 9 - null - 5 is a chain over a row without an id; two rows without one are a class of their own
+    rows = [(9, _flipped(0, ())), (None, _flipped(0, range(4))), (5, _flipped(0, range(8))),
+            (None, _flipped(0, range(20, 60))), (None, _flipped(0, range(20, 58)))]
+    fps = spark.createDataFrame(rows, "id bigint, fp bigint")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a, **k: fps)
+    got = simhash.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0), (0, 0), (0, 5), (5, 5), (9, 5)]
+
+
 # --- 3 secrets
 
 def test_secrets_odd(odd, texts):
