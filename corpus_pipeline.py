@@ -6,8 +6,9 @@ and returns a DataFrame, which is written as Parquet and read again as the next
 stage's ``docs``.  All but the last return the columns of ``documents``.
 
 Documents with a null or empty text fail the quality rules and leave there; an
-empty table goes through all stages as one; repeated rows of one id are copies
-and leave one document.
+empty table goes through all stages as one; near-duplicates leave one document,
+with ids or without, and rows of one id with other texts are documents of
+their own.
 """
 
 from __future__ import annotations
@@ -27,12 +28,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each class; of several rows of that
-    id, one.  Rows without an id can't be named by a class and pass as they are."""
-    classes = simhash.near_duplicates(docs)
-    stay = classes.filter("doc_id = component_id").select("doc_id")
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """One row of each class, of its smallest id; rows without an id come last."""
+    return simhash.one_a_class(docs).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

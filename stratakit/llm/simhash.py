@@ -273,3 +273,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return (fps.join(grown(named), "fp", "left")
             .select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                     "component_id"))
+
+
+def one_a_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS,
+                max_bits: int = MAX_BITS, blocks: int = BLOCKS, seed: int = SEED,
+                run_rows: int = RUN_ROWS) -> DataFrame:
+    """``docs`` with one row of each class: of the smallest id (rows without
+    one come last), then the smallest fingerprint, then the smallest hash of
+    the text.  Only rows of one class replace each other, whatever their ids."""
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")     # fixes the numbers
+    fps = fingerprints(rows.select("_row", text_col), "_row", text_col, size, seed)
+    fps = materialize(fps.withColumnRenamed("id", "_row"), "fingerprints")
+    keys = rows.select("_row", F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("hash"))
+    first = F.struct(F.col("id").isNull().alias("no_id"), "id", "fp", "hash", "_row")
+    nodes = materialize(fps.join(grown(keys), "_row").groupBy("fp").agg(F.min(first).alias("first")), "nodes")
+    _, heads = classes(nodes, max_bits, blocks, run_rows)
+    return rows.join(grown(heads.select(F.col("first._row").alias("_row"))), "_row", "left_semi").drop("_row")

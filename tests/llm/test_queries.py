@@ -134,6 +134,19 @@ def test_stages_on_odd_rows(spark):
     assert [df.count() for df in _stages(spark, docs.filter("false"))] == [0] * 5
 
 
+def test_near_duplicate_stage_keeps_one_row_a_class(spark):
+    one, two, three = (" ".join(f"{w}{i} of" for i in range(60)) for w in ("word", "thing", "item"))
+    # id 1 stands for three texts, and the copy of its second has a larger id; two rows without an id are copies
+    # of each other, one is a copy of a row with one
+    rows = [(1, one, "a"), (1, two, "a"), (1, two, "b"), (2, two, "a"), (1, three, "a"), (None, three, "a"),
+            (None, "quite another text", "a"), (None, "quite another text", "a"), (3, one, "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, SF001)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"] or 0), r["text"]) for r in kept.collect()) == sorted(
+        [(1, one), (1, two), (1, three), (0, "quite another text")])
+
+
 def test_hot_groups(spark):
     """A third of all rows copies of one text, a third close to another one,
     and one secret everywhere."""
