@@ -83,13 +83,25 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
     return F.when(text.rlike(rule.pattern), walked).otherwise(F.array().cast(SPANS))
 
 
-def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION,
-               keep_text: bool = False) -> DataFrame:
+def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
     """Ledger rows (blob, rule_version, spans) of a table (blob, text); spans
     are ordered by start, then by the rules' order."""
     found = F.array_sort(F.concat(*[rule_spans(F.col("text"), r, i) for i, r in enumerate(rules)]))
-    return blobs.select("blob", F.lit(version).alias("rule_version"), found.alias("spans"),
-                        *(["text"] if keep_text else []))
+    return blobs.select("blob", F.lit(version).alias("rule_version"), found.alias("spans"))
+
+
+def _scanned(named: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...],
+             version: str) -> tuple[DataFrame, DataFrame]:
+    """(ledger rows under ``version``, those of them that are new) of the
+    blobs of ``named`` (blob, text); only unseen blobs are scanned."""
+    unseen = named
+    if ledger is not None:
+        unseen = named.join(ledger.filter(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
+    blobs = unseen.select("blob", "text").dropDuplicates(["blob"])
+    new = materialize(scan_blobs(blobs, rules, version), "ledger")
+    known = new if ledger is None else new.unionByName(
+        ledger.filter(F.col("rule_version") == version).select("blob", "rule_version", "spans"))
+    return known, new
 
 
 def scan_versions(versions: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -102,13 +114,7 @@ def scan_versions(versions: DataFrame, id_col: str = "doc_id", text_col: str = "
     and scanned.  To keep the ledger, append the new rows to it."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     named = versions.select(F.col(id_col).alias("id"), text.alias("text"), F.sha2(text, 256).alias("blob"))
-    unseen = named
-    if ledger is not None:
-        unseen = named.join(ledger.filter(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
-    blobs = unseen.select("blob", "text").dropDuplicates(["blob"])
-    new = materialize(scan_blobs(blobs, rules, version), "ledger")
-    known = new if ledger is None else new.unionByName(
-        ledger.filter(F.col("rule_version") == version).select("blob", "rule_version", "spans"))
+    known, new = _scanned(named, ledger, rules, version)
     paths = named.select("id", "blob")
     # Most blobs have no span; only those with one need to be joined back.
     hits = known.filter(F.size("spans") > 0).select("blob", "spans")
@@ -117,20 +123,27 @@ def scan_versions(versions: DataFrame, id_col: str = "doc_id", text_col: str = "
     return findings, new
 
 
-def redact(versions: DataFrame, text_col: str = "text", mark: str = "[SECRET]",
-           rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
-    """``versions`` with every span found replaced by ``mark`` (overlapping or
-    touching spans by one), through the blob ledger: a blob's clean text is
-    made once, and only blobs with a span are joined back."""
+def redact_versions(versions: DataFrame, text_col: str = "text", mark: str = "[SECRET]",
+                    ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES,
+                    version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
+    """(``versions`` with every span found replaced by ``mark``, overlapping
+    or touching spans by one; new ledger rows).
+
+    ``ledger`` is as in ``scan_versions``: only blobs not in it under
+    ``version`` are scanned, and only those with a span are joined back."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     named = versions.withColumn("_sb", F.sha2(text, 256))
-    blobs = named.select(F.col("_sb").alias("blob"), text.alias("text")).dropDuplicates(["blob"])
-    found = materialize(scan_blobs(blobs, rules, version, keep_text=True).filter(F.size("spans") > 0)
-                        .select(F.col("blob").alias("_sb"),
-                                clean_text(F.col("text"), F.col("spans"), mark).alias("_sc")), "redacted")
-    clean = F.coalesce(F.col("_sc"), F.col(text_col))
-    return (named.join(grown(found), "_sb", "left")
-            .withColumn(text_col, clean).select(*versions.columns))
+    known, new = _scanned(named.select(F.col("_sb").alias("blob"), text.alias("text")), ledger, rules, version)
+    hits = known.filter(F.size("spans") > 0).select(F.col("blob").alias("_sb"), F.col("spans").alias("_ss"))
+    clean = F.when(F.col("_ss").isNotNull(), clean_text(text, F.col("_ss"), mark)).otherwise(F.col(text_col))
+    return (named.join(grown(hits), "_sb", "left").withColumn(text_col, clean).select(*versions.columns)), new
+
+
+def redact(versions: DataFrame, text_col: str = "text", mark: str = "[SECRET]",
+           rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION,
+           ledger: DataFrame | None = None) -> DataFrame:
+    """The clean table of ``redact_versions`` alone."""
+    return redact_versions(versions, text_col, mark, ledger, rules, version)[0]
 
 
 def clean_text(text: Column, spans: Column, mark: str) -> Column:

@@ -195,6 +195,24 @@ def test_redact(odd, texts):
     assert secrets.redact(odd).columns == odd.columns
 
 
+def test_redact_ledger(spark):
+    first = spark.createDataFrame([(1, "token=abcdef x"), (2, "nothing")], "doc_id int, text string")
+    clean, ledger = secrets.redact_versions(first)
+    assert {r["doc_id"]: r["text"] for r in clean.collect()} == {1: "[SECRET] x", 2: "nothing"}
+    assert ledger.count() == 2
+    later = spark.createDataFrame([(1, "token=abcdef x"), (3, "token=abcdef x"), (4, "b token=fedcba1"), (5, None)],
+                                  "doc_id int, text string")
+    want = {1: "[SECRET] x", 3: "[SECRET] x", 4: "b [SECRET]", 5: None}
+    clean, new = secrets.redact_versions(later, ledger=ledger)
+    assert {r["doc_id"]: r["text"] for r in clean.collect()} == want and new.count() == 2     # only the unseen blobs
+    clean, none = secrets.redact_versions(later, ledger=ledger.unionByName(new))
+    assert {r["doc_id"]: r["text"] for r in clean.collect()} == want and none.count() == 0
+    # what the ledger says of a seen blob counts: it isn't scanned again
+    blank = ledger.withColumn("spans", F.array().cast(secrets.SPANS))
+    assert secrets.redact(first, ledger=blank).filter("doc_id = 1").first()["text"] == "token=abcdef x"
+    assert secrets.redact_versions(later, ledger=blank, version="2")[1].count() == 3
+
+
 # --- 4 decontamination
 
 def test_decontaminate_odd(odd, texts):
