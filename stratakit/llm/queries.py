@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lattice, packing, quality, quotes, repair, secrets, simhash, urls, warc
+from . import collocations, decontaminate, lattice, packing, quality, quotes, repair, secrets, simhash, urls, variants, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,3 +224,66 @@ LEFT JOIN comp ON comp.node = pg.node LEFT JOIN decided ON decided.component = c
 def op10_lattice(spark, sf_dir):
     """Scores of all documents, learned from the training ones."""
     return lattice.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_collocations(spark, sf_dir):
+    """The first phrases of each language."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_collocations"] = f"""
+WITH p AS (SELECT lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') AS w
+           FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UP}', '{LOW}'),
+                                                                              '[.,;:!?\\n\\x0B\\f\\r]')) AS piece FROM documents)),
+f AS (SELECT lang, k, phrase, count(*) AS c
+      FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+            FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 6) s(k) WHERE len(w) >= k)) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(c) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+g AS (SELECT * FROM f WHERE c >= 100),
+inside AS (SELECT lang, phrase, max(c) AS c
+           FROM (SELECT lang, c, array_to_string(w[i:i + s - 1], ' ') AS phrase
+                 FROM (SELECT lang, c, w, s, unnest(range(1, k - s + 2)) AS i
+                       FROM (SELECT lang, c, k, string_split(phrase, ' ') AS w, unnest(range(2, k)) AS s FROM g WHERE k > 2))) GROUP BY ALL),
+cut AS (SELECT lang, phrase, c AS a, j, array_to_string(w[1:j], ' ') AS le, array_to_string(w[j + 1:], ' ') AS ri
+        FROM (SELECT g.lang, g.phrase, g.c, string_split(g.phrase, ' ') AS w, unnest(range(1, k)) AS j FROM g
+              LEFT JOIN inside i ON g.lang = i.lang AND g.phrase = i.phrase WHERE k > 1 AND (i.c IS NULL OR 100 * i.c < 100 * g.c))),
+s AS (SELECT cut.lang, cut.phrase, a, j, x.c AS l, y.c AS r, n, CAST((CAST(1000 AS HUGEINT) * a * n) // (CAST(x.c AS HUGEINT) * y.c) AS BIGINT) AS score
+      FROM cut JOIN g x ON x.lang = cut.lang AND x.phrase = le JOIN g y ON y.lang = cut.lang AND y.phrase = ri JOIN n ON n.lang = cut.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b
+QUALIFY rank <= 2000"""
+
+
+@query
+def op13_variants(spark, sf_dir):
+    """All words with their near words, forms and roots."""
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_variants"] = f"""
+WITH RECURSIVE crc(t) AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([CAST(i AS BIGINT)], range(8)),
+    lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))),
+runs AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), '{UP}', '{LOW}'), '[a-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
+h AS (SELECT run, k, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(
+    list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c: CAST(unicode(c) AS BIGINT)),
+    lambda u: CASE WHEN u < 128 THEN [u] ELSE [192 + (u >> 6), 128 + (u & 63)] END))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM runs, crc),
+words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT k, CASE WHEN h % 31 = 0
+    THEN run[1:CAST(h % length(run) AS INT)] || run[CAST(h % length(run) AS INT) + 2:] ELSE run END AS word FROM h)
+    WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+masks AS (SELECT word, n, word[1:i - 1] || '_' || word[i + 1:] AS m FROM places),
+cut AS (SELECT DISTINCT word, n, word[1:i - 1] || word[i + 1:] AS short FROM places),
+one AS (SELECT cut.word AS a, cut.n AS a_n, w.word AS b, w.n AS b_n FROM cut JOIN words w ON w.word = short),
+near AS (SELECT x.word, y.word AS other, y.n AS other_n FROM masks x JOIN masks y ON x.m = y.m AND x.word <> y.word
+         UNION ALL SELECT a, b, b_n FROM one UNION ALL SELECT b, a, a_n FROM one),
+best AS (SELECT word, other, other_n, count(*) OVER (PARTITION BY word) AS n_near FROM near
+         QUALIFY row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) = 1),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * w.n THEN other END AS form,
+             CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+up(word, root, depth) AS (SELECT word, word, 0 FROM f
+    UNION ALL SELECT up.word, f.form, depth + 1 FROM up JOIN f ON f.word = up.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, arg_max(root, depth) AS root, any_value(n) AS n, any_value(n_near) AS n_near, any_value(form_n) AS form_n
+FROM f JOIN up ON up.word = f.word GROUP BY f.word, form"""
