@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, lattice, packing, quality, quotes, repair, secrets, simhash, urls, variants, warc
+from . import (collocations, decontaminate, lattice, packing, quality, quotes, repair, secrets, simhash, toxicity, urls, variants,
+               warc)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,6 +227,14 @@ def op10_lattice(spark, sf_dir):
     return lattice.score_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_toxicity(spark, sf_dir):
+    """Scores of all documents; models and curve learn from labels that are
+    not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op12_collocations(spark, sf_dir):
     """The first phrases of each language."""
