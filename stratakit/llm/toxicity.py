@@ -117,11 +117,10 @@ class Models:
         length = np.minimum(since + 1, self.order)
         return code[~begin], length[~begin], word[~begin]
 
-    def fit(self, words: list[str], toxic: np.ndarray, ordinary: np.ndarray) -> "Models":
-        """``toxic``, ``ordinary``: how often each of the different words
-        stands in the texts of the class."""
-        code, length, word = self.codes(words)
-        uses = [ordinary[word].astype(float), toxic[word].astype(float)]
+    def fit(self, code: np.ndarray, length: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> "Models":
+        """``toxic``, ``ordinary``: how often each of the different sequences
+        that ``codes`` gives stands in the words of the class."""
+        uses = [ordinary.astype(float), toxic.astype(float)]
         top = self.order
         # counts by length: of the longest sequences and of those from a word's start, the uses; of others, the
         # different sequences one longer that end in them
@@ -253,18 +252,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 [words.cast(pa.string()), pa.array(np.bincount(codes[is_toxic], minlength=n)),
                  pa.array(np.bincount(codes[~is_toxic], minlength=n))], names=["word", "toxic", "ordinary"])
 
-    # the sample's different words: bounded as it is
-    words = (sample.filter("not curve").select("body", "y").mapInArrow(count, "word string, toxic bigint, ordinary bigint")
-             .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-             .orderBy("word").toPandas())
-    toxic, ordinary = (words[c].to_numpy(dtype=np.int64) for c in ("toxic", "ordinary"))
+    words = materialize(sample.filter("not curve").select("body", "y").mapInArrow(count, "word string, toxic bigint, ordinary bigint")
+                        .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "toxicity-words")
+    chars = [r["char"] for r in words.select(F.explode(F.split("word", "")).alias("char"), (F.col("toxic") + F.col("ordinary")).alias("n"))
+             .filter("char not in ('', '\\u0001', '\\u0002')").groupBy("char").agg(F.sum("n").alias("n"))
+             .orderBy(F.desc("n"), "char").limit(CLASSES).collect()]
+
+    def sequences(batches):
+        empty = Models(chars)
+        for batch in batches:
+            code, length, word = empty.codes(batch.column("word").to_pylist())
+            uses = [batch.column(c).to_numpy(zero_copy_only=False)[word] for c in ("toxic", "ordinary")]
+            code, first, back = np.unique(code, return_index=True, return_inverse=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(code), pa.array(length[first].astype(np.int32))]
+                + [pa.array(np.bincount(back, weights=u).astype(np.int64)) for u in uses],
+                names=["code", "length", "toxic", "ordinary"])
+
+    # the sample's different sequences: bounded as it is
+    rows = (words.mapInArrow(sequences, "code bigint, length int, toxic bigint, ordinary bigint").groupBy("code", "length")
+            .agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).orderBy("code").toPandas())
+    code, length, toxic, ordinary = (rows[c].to_numpy(dtype=np.int64) for c in ("code", "length", "toxic", "ordinary"))
     if not toxic.sum() or not ordinary.sum():
         return Scorer(None, share=share)
-    own = words["word"].tolist()
-    seen = np.bincount(np.frombuffer("".join(own).encode("utf-32-le"), dtype="<u4"), minlength=0x110000)
-    seen[[1, 2]] = 0
-    chars = [chr(c) for c in np.argsort(-seen, kind="stable")[:CLASSES].tolist() if seen[c]]
-    models = Models(chars).fit(own, toxic, ordinary)
+    models = Models(chars).fit(code, length, toxic, ordinary)
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def differ(batches):
