@@ -12,6 +12,12 @@ the same continuation counts of all texts together.  An expression that one
 class has never shown thus gets what its parts are worth in all texts, and
 only what one class has shown tells the classes apart.
 
+Texts of both classes are mostly ordinary words.  A class's likelihood of a
+word is therefore a mixture: toxic texts take ``TOXIC_SHARE`` of their words
+from the toxic model, ordinary ones ``ORDINARY_SHARE``, and the rest of both
+comes from the ordinary model.  What a rare ordinary word happens to be worth
+thus stays near zero, and no single word decides alone.
+
 The models are fitted on a bounded sample of labelled rows (``FIT_TOXIC`` and
 ``FIT_ORDINARY`` documents, the first by a hash of their id, whole texts); a
 fifth of them is kept for the curve.  Their size is bounded with the sample:
@@ -43,6 +49,9 @@ ORDER = 5
 SHARED = 3
 DISCOUNT = 0.75
 THRESHOLD = 0.3
+#: Shares of words that the classes' texts take from the toxic model.
+TOXIC_SHARE = 0.01
+ORDINARY_SHARE = 0.004
 #: Bounds of the fitting sample.
 FIT_TOXIC = 6000
 FIT_ORDINARY = 12000
@@ -187,6 +196,8 @@ class Models:
         """Toxic minus ordinary log-likelihood of each text, a character."""
         codes, words, text = words_of(texts)
         ratio, size = self.ratios([w.decode("utf-8", "replace") for w in words.to_pylist()])
+        more = np.expm1(np.minimum(ratio, 500.0))
+        ratio = np.log1p(TOXIC_SHARE * more) - np.log1p(ORDINARY_SHARE * more)
         total = np.bincount(text, weights=ratio[codes], minlength=len(texts))
         return total / np.maximum(np.bincount(text, weights=size[codes], minlength=len(texts)), 1.0)
 
