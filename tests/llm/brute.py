@@ -149,3 +149,121 @@ def kept_by_pipeline(texts, items, kept_by_field):
             at = max(at, b)
         out[d] = text + t[at:]
     return out
+
+
+def phrase_counts(rows, max_words=5):
+    """{(lang, words): count} of rows (lang, text), and {lang: words}."""
+    counts, n = collections.Counter(), collections.Counter()
+    for lang, text in rows:
+        lang = lang or "und"
+        for piece in re.split("[.,;:!?\n-\r]", lower(text)):
+            w = re.findall("[^ \t]+", piece)
+            n[lang] += len(w)
+            counts.update((lang, tuple(w[i:i + k])) for k in range(1, max_words + 1) for i in range(len(w) - k + 1))
+    return counts, n
+
+
+def collocations(rows, least=100, top=2000):
+    """Rows (lang, rank, phrase, a, l, r, n, score)."""
+    counts, n = phrase_counts(rows)
+    often = {p: a for p, a in counts.items() if a >= least}
+    inside = {}
+    for (lang, w), a in often.items():
+        for k in range(2, len(w)):
+            for i in range(len(w) - k + 1):
+                part = (lang, w[i:i + k])
+                inside[part] = max(inside.get(part, 0), a)
+    found = collections.defaultdict(list)
+    for (lang, w), a in often.items():
+        if len(w) < 2 or inside.get((lang, w), 0) >= a:
+            continue
+        cuts = [(1000 * a * n[lang] // (often[lang, w[:k]] * often[lang, w[k:]]), k) for k in range(1, len(w))]
+        score, k = min(cuts)
+        found[lang].append((-score, -a, " ".join(w).encode(), often[lang, w[:k]], often[lang, w[k:]]))
+    return [(lang, i, p.decode(), -a, left, right, n[lang], -s)
+            for lang, own in found.items() for i, (s, a, p, left, right) in enumerate(sorted(own)[:top], 1)]
+
+
+def variant_words(texts):
+    """{word: n} of {doc_id: text}."""
+    out = collections.Counter()
+    for doc, text in texts.items():
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = lower(run)
+            h = zlib.crc32(f"{doc}:{run}".encode())
+            if h % 31 == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            out[run] += 1
+    return {w: n for w, n in out.items() if len(w) >= 7 and n >= 2}
+
+
+def is_near(a, b):
+    """One edit apart."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1 or a == b:
+        return False
+    i = 0
+    while i < len(a) and a[i] == b[i]:
+        i += 1
+    return a[i + (len(a) == len(b)):] == b[i + 1:]
+
+
+def variants(words):
+    """Rows (word, form, root, n, n_near, form_n)."""
+    near = {w: [v for v in words if is_near(w, v)] for w in words}
+    form = {}
+    for w, own in near.items():
+        best = min(own, key=lambda v: (-words[v], v), default=None)
+        form[w] = best if best is not None and words[best] >= 10 * words[w] else None
+
+    def root(w):
+        while form[w] is not None:
+            w = form[w]
+        return w
+    return {(w, form[w], root(w), words[w], len(near[w]), words.get(form[w])) for w in words}
+
+
+def char_models(words, toxic, ordinary, order=5, shared=3, discount=0.75, extra=4):
+    """Kneser-Ney log ratios by the definition, with recursion; a function of
+    a word.  ``words`` with their uses in the two classes."""
+    raw = collections.defaultdict(lambda: [0, 0])
+    for w, t, o in zip(words, toxic, ordinary):
+        s = "\x01" + w + "\x02"
+        for i in range(1, len(s)):
+            for k in range(1, min(order, i + 1) + 1):
+                g = s[i - k + 1:i + 1]
+                raw[g][0] += o
+                raw[g][1] += t
+    left = [collections.Counter(), collections.Counter(), collections.Counter()]
+    for g, (o, t) in raw.items():
+        if len(g) > 1:
+            left[0][g[1:]] += o > 0
+            left[1][g[1:]] += t > 0
+            left[2][g[1:]] += 1
+
+    def count(g, y):
+        whole = len(g) == order or g[0] == "\x01"
+        if len(g) < shared:
+            return sum(raw[g]) if whole else left[2][g]
+        return raw[g][y] if whole else left[y][g]
+    ends = collections.defaultdict(list)
+    for g in list(raw):
+        ends[g[:-1]].append(g)
+    chars = len({c for w in words for c in w}) + extra
+
+    def prob(g, y):
+        if not g:
+            return 1.0 / chars
+        own = [count(e, y) for e in ends[g[:-1]]]
+        total, low = sum(own), prob(g[1:], y)
+        if not total:
+            return low
+        n = count(g, y) if g in raw else 0
+        return max(n - discount, 0) / total + discount * sum(x > 0 for x in own) / total * low
+
+    def ratio(w):
+        s = "\x01" + w + "\x02"
+        return sum(math.log(prob(s[max(0, i - order + 1):i + 1], 1) / prob(s[max(0, i - order + 1):i + 1], 0))
+                   for i in range(1, len(s)))
+    return ratio

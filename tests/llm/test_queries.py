@@ -25,7 +25,7 @@ def texts(spark):
 
 
 def test_every_operator_is_registered():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(QUERIES) <= set(Q) and "pipeline" in Q and set(ORACLES) <= set(se.oracle_sql())
 
 
