@@ -4,12 +4,12 @@ slices, and the bucketed as-of lookup."""
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -38,6 +38,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have; names are told apart without
+    regard to case, as Spark does."""
+    taken, name = {c.lower() for c in df.columns}, stem
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once a row, also where ``body``
+    uses it inside the lambda of a higher-order function."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def grown(df: DataFrame) -> DataFrame:
     """A written table that grows with the input, as a join's side: never
     broadcast for the sake of its small, compressed files."""

@@ -85,8 +85,10 @@ def repeated_words(words: list[bytes], size: int = 3) -> int:
 
 def line_features(lines: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
     """(features, words) of the lines that hold a word, and how many of them
-    equal an earlier one."""
+    equal an earlier one.  Every feature is of the whole line."""
     rows, counts, seen, dups = [], [], set(), 0
+    low = "\n".join(lines).lower()
+    furnished = any(w in low for w in FURNITURE)
     for line in lines:
         words = line.split()
         if not words and not words_of(line):
@@ -103,7 +105,7 @@ def line_features(lines: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
             min(1.0, 3 * words.count("|") / n),
             dup,
             n < 3,
-            not FURNITURE.isdisjoint([w.lower().strip(".,:") for w in words[:12]]) if n <= 40 else False,
+            min(1.0, 8 * sum([w.lower().strip(".,:") in FURNITURE for w in words]) / n) if furnished else 0.0,
             1 - len(set(words)) / n))
         counts.append(len(words_of(line)))
     return (np.array(rows, dtype=np.float64).reshape(-1, len(FEATURES)),
@@ -234,7 +236,7 @@ def quality_rules(docs: DataFrame, field: LineField, text_col: str = "text",
                   min_share: float = MIN_CONTENT_SHARE, keep_text: bool = True) -> DataFrame:
     """``docs`` with the measures, the field's line counts and ``kept``."""
     weights, change = field.weights.tolist(), field.change
-    carried = [c for c in docs.columns if c not in RESULT.names and (keep_text or c != text_col)]
+    carried = [c for c in docs.columns if c.lower() not in RESULT.names and (keep_text or c != text_col)]
     schema = T.StructType([docs.schema[c] for c in carried] + list(RESULT.fields))
 
     def run(batches):

@@ -187,18 +187,27 @@ def op9_urls(spark, sf_dir):
 
 
 _HOST = f"translate(regexp_extract(rest, '^[^/?#]*'), '{UP}', '{LOW}')"
+_SOME = "coalesce(nullif(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), ''), '/')"
+_PATH = f"""(CASE WHEN regexp_matches({_SOME}, '/\\.\\.?(/|$)')
+    THEN list_reduce(list_concat([''], string_split({_SOME}, '/')[2:]),
+           lambda a, s: CASE s WHEN '.' THEN a WHEN '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || s END)
+         || CASE WHEN regexp_matches({_SOME}, '/\\.\\.?$') THEN '/' ELSE '' END
+    ELSE {_SOME} END)"""
+_PLAIN = "href0"
+for _name, _mark in urls.ENTITIES:
+    _PLAIN = f"""regexp_replace({_PLAIN}, '{_name}', '{_mark.replace("'", "''")}', 'g')"""
 _PLACE = f"""{_HOST} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
-  CASE WHEN ok THEN translate(string_split(url, '://')[1], '{UP}', '{LOW}') || '://' || {_HOST} || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) END AS node"""
+  CASE WHEN ok THEN translate(string_split(url, '://')[1], '{UP}', '{LOW}') || '://' || {_HOST} || {_PATH} || regexp_extract(rest, '^[^?#]*(\\?[^#]*)', 1) END AS node"""
 _REST = "strpos(url, '://') > 0 AS ok, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest"
 ORACLES["op9_urls"] = f"""
 WITH RECURSIVE rules(rh, rp, rv) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urls.RULES)}),
 pages0 AS (SELECT page_id, url, html, {_REST} FROM pages),
 pg AS (SELECT page_id, url, html, {_PLACE} FROM pages0),
-hrefs AS (SELECT url, host, path, unnest(list_concat(
+hrefs AS (SELECT url, host, path, {_PLAIN} AS href FROM (SELECT url, host, path, unnest(list_concat(
     list_transform(list_filter(regexp_extract_all(html, '(?is)<link\\s[^>]*>'), lambda t: regexp_matches(t, '(?is)\\srel\\s*=\\s*["'']?canonical["''\\s/>]')),
       lambda t: regexp_extract(t, '(?is)\\shref\\s*=\\s*["'']?([^"''\\s>]+)', 1)),
     list_transform(list_filter(regexp_extract_all(html, '(?is)<meta\\s[^>]*>'), lambda t: regexp_matches(t, '(?is)\\shttp-equiv\\s*=\\s*["'']?refresh["''\\s/>]')),
-      lambda t: regexp_extract(t, '(?is)[;\\s]url\\s*=\\s*["'']?([^"''\\s>]+)', 1)))) AS href FROM pg WHERE url IS NOT NULL),
+      lambda t: regexp_extract(t, '(?is)[;\\s]url\\s*=\\s*["'']?([^"''\\s>]+)', 1)))) AS href0 FROM pg WHERE url IS NOT NULL)),
 tied AS (SELECT url AS src, CASE WHEN contains(href, '://') THEN href
     WHEN starts_with(href, '//') THEN string_split(url, '://')[1] || ':' || href
     WHEN starts_with(href, '/') THEN string_split(url, '://')[1] || '://' || host || href

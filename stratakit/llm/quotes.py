@@ -18,7 +18,8 @@ Defined results: a null text is empty; a message without conversation or turn
 gets no link and no position; messages of one conversation and turn share
 their position and don't see each other, and each row gets its result;
 passages and lines without a letter or digit are not linked by; an empty table
-gives an empty result; other columns are not carried.
+gives an empty result; other columns are not carried, whatever their names; a
+very long text of very many levels is parsed in time in proportion to it.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import grown, latest_earlier, materialize, rank_in_key
+from .common import bound, grown, latest_earlier, materialize, rank_in_key
 
 _QUOTE = r"^(?:[ \t]*>)+"
 PASSAGES = "array<struct<level:int,text:string>>"
@@ -38,22 +39,20 @@ def passages(text: Column) -> Column:
     lines = F.transform(F.split(text, "\r?\n", -1), lambda line: F.struct(
         F.length(F.regexp_replace(prefix(line), "[^>]", "")).alias("level"),
         F.regexp_replace(line, _QUOTE + "[ \t]?", "").alias("body")))
-    start = F.struct(F.lit(-1).alias("level"), F.array().cast("array<string>").alias("open"),
-                     F.array().cast(PASSAGES).alias("done"))
-
-    def closed(acc):
-        return F.when(acc["level"] < 0, acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct(
-            acc["level"].alias("level"), F.array_join(acc["open"], "\n").alias("text")))))
-
-    def step(acc, line):
-        same = acc["level"] == line["level"]
-        return F.struct(line["level"].alias("level"),
-                        F.when(same, F.concat(acc["open"], F.array(line["body"])))
-                        .otherwise(F.array(line["body"])).alias("open"),
-                        F.when(same, acc["done"]).otherwise(closed(acc)).alias("done"))
-
+    # a run begins where the level changes; a line is looked up by its place
+    def begins(own):
+        changes = F.transform(own, lambda line, i: F.when((i == 0) | (line["level"] != F.get(own, i - 1)["level"]), i))
+        return F.filter(changes, lambda i: i.isNotNull())
+
+    def runs(own, first):
+        return F.transform(first, lambda i, k: F.struct(
+            F.get(own, i)["level"].alias("level"),
+            F.array_join(F.transform(F.slice(own, i + 1, F.coalesce(F.get(first, k + 1), F.size(own)) - i),
+                                     lambda line: line["body"]), "\n").alias("text")))
+
+    parsed = bound(lines, lambda own: bound(begins(own), lambda first: runs(own, first)))
     whole = F.array(F.struct(F.lit(0).alias("level"), F.regexp_replace(text, "\r\n", "\n").alias("text"))).cast(PASSAGES)
-    return F.when(text.rlike("(?m)^[ \t]*>"), F.aggregate(lines, start, step, closed)).otherwise(whole)
+    return F.when(text.rlike("(?m)^[ \t]*>"), parsed.cast(PASSAGES)).otherwise(whole)
 
 
 def normal(text: Column) -> Column:

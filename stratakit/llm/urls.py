@@ -15,7 +15,11 @@ to is a hub of the components, whose joins Spark splits.
 Defined results: a url that is null or has no ``://`` has empty host and path,
 no rule, no aliases and is allowed; repeated urls get equal results; empty
 tables and an empty rule list work as such; null edge ends are no edges;
-fragments don't tell urls apart as aliases.
+fragments don't tell urls apart as aliases, nor do dot segments, an empty path
+against ``/``, and entities in a page's links; columns of other names are not
+carried, and working names are those of tables made here; a very long url
+costs time in proportion to its length, or to the square of its number of
+segments where it has dot segments.
 """
 
 from __future__ import annotations
@@ -35,6 +39,11 @@ RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
          ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
 
+# The standard entities; an ampersand's own comes last.
+ENTITIES = (("&(lt|#60|#[xX]3[cC]);", "<"), ("&(gt|#62|#[xX]3[eE]);", ">"), ("&(quot|#34|#[xX]22);", "\""),
+            ("&(apos|#39|#[xX]27);", "'"), ("&(amp|#38|#[xX]26);", "&"))
+
+
 def _rest(url: Column) -> Column:
     """What stands after the first ://, or empty."""
     at = F.instr(url, "://")
@@ -49,12 +58,30 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_rest(url), "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def without_dots(path: Column) -> Column:
+    """``path`` with its ``.`` and ``..`` segments resolved."""
+    parts = F.slice(F.split(path, "/", -1), F.lit(2), F.size(F.split(path, "/", -1)))
+    walked = F.aggregate(parts, F.lit(""), lambda done, part: F.when(part == ".", done)
+                         .when(part == "..", F.regexp_replace(done, "/[^/]*$", ""))
+                         .otherwise(F.concat(done, F.lit("/"), part)))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(walked, F.when(path.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit("")))
+                  ).otherwise(path)
+
+
+def plain(text: Column) -> Column:
+    """An attribute's value with the standard entities decoded."""
+    for name, mark in ENTITIES:
+        text = F.regexp_replace(text, name, mark)
+    return text
+
+
 def node_of(url: Column) -> Column:
-    """The url without its fragment, scheme and host lower-cased; null if it
-    is none."""
+    """The url without its fragment, scheme and host lower-cased, an empty
+    path read as ``/`` and dot segments resolved; null if it is none."""
     scheme = F.translate(F.substring_index(url, "://", 1), UPPER, LOWER)
-    tail = F.regexp_extract(_rest(url), "^[^/?#]*([^#]*)", 1)
-    return F.when(F.instr(url, "://") > 0, F.concat(scheme, F.lit("://"), host_of(url), tail))
+    path = without_dots(F.when(path_of(url) == "", F.lit("/")).otherwise(path_of(url)))
+    query = F.regexp_extract(_rest(url), r"^[^?#]*(\?[^#]*)", 1)
+    return F.when(F.instr(url, "://") > 0, F.concat(scheme, F.lit("://"), host_of(url), path, query))
 
 
 def html_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -69,7 +96,8 @@ def html_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
         F.transform(links, lambda t: F.regexp_extract(t, r"(?is)\shref\s*=\s*[\"']?([^\"'\s>]+)", 1)),
         F.transform(metas, lambda t: F.regexp_extract(t, r"(?is)[;\s]url\s*=\s*[\"']?([^\"'\s>]+)", 1)))
     found = (pages.filter(url.isNotNull() & html.rlike(r"(?i)<(link|meta)\s"))
-             .select(url.alias("src"), F.explode(targets).alias("href")).filter("href <> ''"))
+             .select(url.alias("src"), F.explode(targets).alias("href"))
+             .select("src", plain(F.col("href")).alias("href")).filter("href <> ''"))
     src = F.col("src")
     scheme, host = F.substring_index(src, "://", 1), host_of(src)
     base = F.concat(scheme, F.lit("://"), host)
