@@ -19,18 +19,20 @@ large partitions Spark splits.
 
 Defined results: a null text is the empty blob; an empty table gives an empty
 result; repeated paths each get their row; a null id is a path like others;
-columns of other names pass through in ``redact`` (one named like a working
-column is safe, working columns start with an underscore and two letters).
+all columns of the table pass through in ``redact``, whatever their names; a
+very long text or one of very many matches is scanned in time nearly in
+proportion to them.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import grown, materialize
+from .common import bound, free_name, grown, materialize
 
 #: One version for all rules below; to be raised with any change to them.
 RULE_VERSION = "1"
@@ -68,7 +70,8 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
     tested = whole if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
     # (match, gap before it, length of the tested group)
     parts = F.arrays_zip(whole.alias("m"), F.split(text, rule.pattern, -1).alias("gap"), tested.alias("t"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("found"))
+    # split gives one piece more than there are matches; that one has no match
+    parts = F.slice(parts, F.lit(1), F.size(whole))
 
     def step(acc, p):
         begin = acc["at"] + F.length(p["gap"])
@@ -78,11 +81,32 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
         return F.struct(stop.alias("at"), F.when(F.length(p["t"]) >= rule.least, F.concat(acc["found"], F.array(span)))
                         .otherwise(acc["found"]).alias("found"))
 
-    # split gives one piece more than there are matches; that one has no match
-    walked = F.aggregate(F.slice(parts, F.lit(1), F.size(whole)), start, step)["found"]
+    walked = in_groups(parts, lambda p: F.length(p["gap"]) + F.length(p["m"]), lambda a, b: a + b, step, SPANS)
     return F.when(text.rlike(rule.pattern), walked).otherwise(F.array().cast(SPANS))
 
 
+def in_groups(rows: Column, move, join, step, kind: str) -> Column:
+    """A fold over an array that appends to a list, in groups of about the
+    square root of its length: appending copies the list, so one list for all
+    would take time with the square of their number.
+
+    ``move`` gives what an element adds to the place, ``join`` adds two such;
+    ``step`` takes (place so far ``at``, list ``found``) and an element.  The
+    result is the list of the whole fold."""
+    def split(r):
+        size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(r))).cast("int"))
+        return F.when(F.size(r) > 0, F.transform(F.sequence(F.lit(1), F.size(r), size), lambda i: F.slice(r, i, size)))
+
+    def folded(groups):
+        sums = F.transform(groups, lambda g: F.aggregate(g, F.lit(0), lambda a, r: join(a, move(r))))
+        starts = F.aggregate(sums, F.array(F.lit(0)), lambda a, s: F.concat(a, F.array(join(F.element_at(a, -1), s))))
+        each = F.zip_with(groups, starts, lambda g, at: F.when(g.isNotNull(), F.aggregate(
+            g, F.struct(at.alias("at"), F.array().cast(kind).alias("found")), step)["found"]))
+        return F.flatten(F.filter(each, lambda e: e.isNotNull()))
+
+    return F.coalesce(bound(rows, lambda r: bound(split(r), folded)), F.array().cast(kind))
+
+
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
     """Ledger rows (blob, rule_version, spans) of a table (blob, text); spans
     are ordered by start, then by the rules' order."""
@@ -104,6 +128,16 @@ def _scanned(named: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]
     return known, new
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger kept in the folder ``path``; None where there is none yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def scan_versions(versions: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES,
                   version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
@@ -132,11 +166,12 @@ def redact_versions(versions: DataFrame, text_col: str = "text", mark: str = "[S
     ``ledger`` is as in ``scan_versions``: only blobs not in it under
     ``version`` are scanned, and only those with a span are joined back."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    named = versions.withColumn("_sb", F.sha2(text, 256))
-    known, new = _scanned(named.select(F.col("_sb").alias("blob"), text.alias("text")), ledger, rules, version)
-    hits = known.filter(F.size("spans") > 0).select(F.col("blob").alias("_sb"), F.col("spans").alias("_ss"))
-    clean = F.when(F.col("_ss").isNotNull(), clean_text(text, F.col("_ss"), mark)).otherwise(F.col(text_col))
-    return (named.join(grown(hits), "_sb", "left").withColumn(text_col, clean).select(*versions.columns)), new
+    blob, spans = free_name(versions, "blob"), free_name(versions, "spans")
+    named = versions.withColumn(blob, F.sha2(text, 256))
+    known, new = _scanned(named.select(F.col(blob).alias("blob"), text.alias("text")), ledger, rules, version)
+    hits = known.filter(F.size("spans") > 0).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    clean = F.when(F.col(spans).isNotNull(), clean_text(text, F.col(spans), mark)).otherwise(F.col(text_col))
+    return (named.join(grown(hits), blob, "left").withColumn(text_col, clean).select(*versions.columns)), new
 
 
 def redact(versions: DataFrame, text_col: str = "text", mark: str = "[SECRET]",
@@ -146,20 +181,37 @@ def redact(versions: DataFrame, text_col: str = "text", mark: str = "[SECRET]",
     return redact_versions(versions, text_col, mark, ledger, rules, version)[0]
 
 
+#: Code points of a block in which a place of a text is looked up.
+BLOCK = 1024
+
+
 def clean_text(text: Column, spans: Column, mark: str) -> Column:
     """``text`` with ordered ``spans`` replaced by ``mark``."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)),
+                 lambda blocks: _cleaned(text, blocks, spans, mark))
+
+
+def _cleaned(text: Column, blocks: Column, spans: Column, mark: str) -> Column:
+    def between(begin, end):
+        """Code points [begin, end), looked up in the blocks that have them."""
+        first = F.floor(begin / BLOCK).cast("int")
+        count = F.floor((end - 1) / BLOCK).cast("int") - first + 1
+        near = F.array_join(F.slice(blocks, first + 1, F.greatest(count, F.lit(0))), "")
+        return F.when(end > begin, F.substring(near, begin - first * BLOCK + 1, end - begin)).otherwise(F.lit(""))
 
     def step(acc, s):
         # a span inside what is already covered adds nothing; one that begins
         # there only moves the end
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        fresh = (s["start"] > acc["at"]) | (acc["out"] == "")
+        fresh = (s["start"] > acc["at"]) | (s["start"] == 0)
+        piece = F.struct(between(acc["at"], s["start"]).alias("gap"), F.lit(mark).alias("mark"))
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"),
-                        F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+                        F.when(fresh & (s["stop"] > acc["at"]), F.concat(acc["found"], F.array(piece)))
+                        .otherwise(acc["found"]).alias("found"))
 
-    walked = F.aggregate(spans, start, step)
-    return F.concat(walked["out"], F.substring(text, walked["at"] + 1, F.length(text) - walked["at"]))
+    pieces = in_groups(spans, lambda s: s["stop"], lambda a, b: F.greatest(a, b), step, "array<struct<gap:string,mark:string>>")
+    end = F.coalesce(F.array_max(F.transform(spans, lambda s: s["stop"])), F.lit(0))
+    return F.concat(F.array_join(F.transform(pieces, lambda p: F.concat(p["gap"], p["mark"])), ""),
+                    between(end, F.length(text)))
 
 
 def spans_text(spans: Column, base_only: bool = False) -> Column:

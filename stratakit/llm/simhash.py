@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grown, materialize, slices, texts_of
+from .common import free_name, grown, materialize, slices, texts_of
 from .components import connected_components
 
 SHINGLE_WORDS = 4
@@ -281,11 +281,12 @@ def one_a_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one row of each class: of the smallest id (rows without
     one come last), then the smallest fingerprint, then the smallest hash of
     the text.  Only rows of one class replace each other, whatever their ids."""
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")     # fixes the numbers
-    fps = fingerprints(rows.select("_row", text_col), "_row", text_col, size, seed)
-    fps = materialize(fps.withColumnRenamed("id", "_row"), "fingerprints")
-    keys = rows.select("_row", F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("hash"))
-    first = F.struct(F.col("id").isNull().alias("no_id"), "id", "fp", "hash", "_row")
-    nodes = materialize(fps.join(grown(keys), "_row").groupBy("fp").agg(F.min(first).alias("first")), "nodes")
+    row = free_name(docs, "row")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")     # fixes the numbers
+    fps = fingerprints(rows.select(row, text_col), row, text_col, size, seed)
+    fps = materialize(fps.withColumnRenamed("id", "row"), "fingerprints")
+    keys = rows.select(F.col(row).alias("row"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("hash"))
+    first = F.struct(F.col("id").isNull().alias("no_id"), "id", "fp", "hash", "row")
+    nodes = materialize(fps.join(grown(keys), "row").groupBy("fp").agg(F.min(first).alias("first")), "nodes")
     _, heads = classes(nodes, max_bits, blocks, run_rows)
-    return rows.join(grown(heads.select(F.col("first._row").alias("_row"))), "_row", "left_semi").drop("_row")
+    return rows.join(grown(heads.select(F.col("first.row").alias(row))), row, "left_semi").select(*docs.columns)
