@@ -18,8 +18,9 @@ window; this changes no result.
 
 Defined results: null and empty texts (of documents and items) have no words
 and no hits; a document without words is not contaminated; an empty benchmark
-hits nothing; repeated rows and repeated items count as they stand; null item
-ids count for hits but are not listed; columns of other names pass through if
+hits nothing; repeated rows each get their result, repeated rows of the
+benchmark add nothing; null item ids count for hits but are not listed; very
+long texts are streamed whole, in time in proportion to their length; columns of other names pass through if
 asked for, and one named like a result is replaced.
 """
 
@@ -29,12 +30,13 @@ import hashlib
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, slices, texts_of
+from .common import free_name, materialize, slices, texts_of
 
 WINDOW = 13
 MIN_COVERAGE_PARTS = 20          # contaminated from 1/20 of the words on
@@ -252,11 +254,34 @@ def _one_pass(docs: DataFrame, carried: list[str], text_col: str, shared, window
                        F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
-def shards_of(benchmark: DataFrame, item_col: str, text_col: str, max_words: int) -> int:
-    """Automata needed so that none gets more than ``max_words`` words (twice
-    the mean, as items are dealt out by hash; an item is never cut)."""
-    words = benchmark.agg(F.sum(F.size(F.split(F.coalesce(text_col, F.lit("")), "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")))).first()[0]
-    return 1 if (words or 0) <= max_words else 2 * (words // max_words) + 1
+def shards_of(items: DataFrame, max_words: int) -> list[DataFrame]:
+    """``items`` (item, words) in parts of at most ``max_words`` words each;
+    only an item that is longer by itself, which is never cut, has a part
+    beyond that.
+
+    Rows are dealt to buckets by hash, and neighbouring buckets are joined
+    while the bound holds; the driver sees one number a bucket."""
+    size = F.size(F.split(F.coalesce("words", F.lit("")), "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"))
+    total = items.agg(F.sum(size)).first()[0] or 0
+    if total <= max_words:
+        return [items]
+    buckets = 4 * (total // max_words + 1)
+    while True:
+        rows = (items.groupBy(F.pmod(F.xxhash64("item", "words"), F.lit(buckets)).alias("bucket"))
+                .agg(F.sum(size).alias("n"), F.count("*").alias("rows")).orderBy("bucket").collect())
+        # rows of different items part sooner or later
+        if all(r["n"] <= max_words or r["rows"] == 1 for r in rows) or buckets > 1 << 24:
+            break
+        buckets *= 2
+    cuts, held = [], 0
+    for r in rows:
+        if not cuts or held + r["n"] > max_words:
+            cuts.append([])
+            held = 0
+        cuts[-1].append(r["bucket"])
+        held += r["n"]
+    bucket = F.pmod(F.xxhash64("item", "words"), F.lit(buckets))
+    return [items.filter(bucket.between(c[0], c[-1])) for c in cuts]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
@@ -264,37 +289,38 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
             keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` with n_words, n_hit, items (ids as
     sorted strings) and spans ([from, to) in words) of each document."""
-    carried = [c for c in (docs.columns if keep is None else keep) if c not in RESULT.names]
+    carried = [c for c in (docs.columns if keep is None else keep) if c.lower() not in RESULT.names]
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("words"))
-    n = shards_of(items, "item", "words", max_words)
-    if n == 1:
+    # A row that repeats another adds nothing.
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("words")).distinct()
+    parts = shards_of(items, max_words)
+    if len(parts) == 1:
         shared = spark.sparkContext.broadcast([tuple(r) for r in items.collect()])     # at most max_words words
         return _one_pass(docs, carried, text_col, shared, window)
     # Rows need a key to be united by; a written copy fixes it.
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
+    row = free_name(docs, "row")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
     found = None
-    for k in range(n):
-        part = items.filter(F.pmod(F.xxhash64("item", "words"), F.lit(n)) == k).collect()
-        part_found = _one_pass(rows, ["_row"], text_col, spark.sparkContext.broadcast([tuple(r) for r in part]),
-                               window)
+    for part in parts:
+        shared = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])      # at most max_words words
+        part_found = _one_pass(rows, [row], text_col, shared, window)
         found = part_found if found is None else found.unionByName(part_found)
-    spans = F.array_sort(F.flatten(F.collect_list("spans")))
-    # union of spans: sorted by start, each joins the last one if they touch
-    merged = F.aggregate(
-        spans, F.array().cast("array<array<bigint>>"),
-        lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(F.element_at(acc, -1), 2) >= s[0]),
-                              F.concat(F.slice(acc, 1, F.size(acc) - 1),
-                                       F.array(F.array(F.element_at(F.element_at(acc, -1), 1),
-                                                       F.greatest(F.element_at(F.element_at(acc, -1), 2), s[1])))))
-        .otherwise(F.concat(acc, F.array(s))))
-    united = (found.groupBy("_row")
-              .agg(F.max("n_words").alias("n_words"),
-                   F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-                   merged.alias("spans"))
-              .withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s[1] - s[0])))
-    return (rows.select("_row", *carried).join(united, "_row")
-            .select(*carried, *RESULT.names))
+    found = materialize(found, "hits")
+    # union of spans: a new one begins where all earlier ones have ended
+    by_start = Window.partitionBy(row).orderBy("a", "b")
+    before = by_start.rowsBetween(Window.unboundedPreceding, -1)
+    spans = (found.select(row, F.explode("spans").alias("s")).select(row, F.col("s")[0].alias("a"), F.col("s")[1].alias("b"))
+             .withColumn("begins", F.coalesce(F.col("a") > F.max("b").over(before), F.lit(True)).cast("int"))
+             .withColumn("run", F.sum("begins").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+             .groupBy(row, "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+             .groupBy(row).agg(F.sum(F.col("b") - F.col("a")).alias("n_hit"),
+                               F.sort_array(F.collect_list(F.array("a", "b"))).alias("spans")))
+    united = (found.groupBy(row).agg(F.max("n_words").alias("n_words"),
+                                     F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+              .join(spans, row, "left")
+              .select(row, "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), "items",
+                      F.coalesce("spans", F.array().cast("array<array<bigint>>")).alias("spans")))
+    return rows.select(row, *carried).join(united, row).select(*carried, *RESULT.names)
 
 
 def contaminated(parts: int = MIN_COVERAGE_PARTS):
@@ -309,15 +335,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     the text instead (from the first hit word to the last, with the marks
     between)."""
     columns = docs.columns
-    clash = [c for c in columns if c in RESULT.names]
-    renamed = docs.select(*[F.col(c).alias(f"_own_{c}") if c in clash else F.col(c) for c in columns])
-    found = matches(renamed, benchmark, text_col=text_col, window=window)
-    back = [F.col(f"_own_{c}").alias(c) if c in clash else F.col(c) for c in columns]
+    own = {c: f"own{i}" for i, c in enumerate(columns)}
+    found = matches(docs.select(*[F.col(c).alias(n) for c, n in own.items()]), benchmark, text_col=own[text_col], window=window)
+    back = [F.col(n).alias(c) for c, n in own.items()]
     if not cut_spans:
         return found.filter(~contaminated(parts)).select(*back)
-    cut = F.udf(cut_words, "string")
-    return (found.withColumn(text_col, F.when(contaminated(parts), cut(text_col, "spans")).otherwise(F.col(text_col)))
-            .select(*back))
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([cut_words(t, s) if t is not None and s is not None and len(s) else t for t, s in zip(texts, spans)],
+                         dtype=object)
+
+    hit = F.when(contaminated(parts), F.col("spans"))
+    return found.withColumn(own[text_col], cut(own[text_col], hit)).select(*back)
 
 
 def cut_words(text: str, spans: list[list[int]]) -> str:
