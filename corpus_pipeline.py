@@ -6,7 +6,8 @@ and returns a DataFrame, which is written as Parquet and read again as the next
 stage's ``docs``.  All but the last return the columns of ``documents``.
 
 Documents with a null or empty text fail the quality rules and leave there; an
-empty table goes through all stages as one; near-duplicates leave one document,
+empty table goes through all stages as one; columns of other names pass through up to packing, whatever their names;
+very long texts go through whole; near-duplicates leave one document,
 with ids or without, and rows of one id with other texts are documents of
 their own.
 """
@@ -19,6 +20,11 @@ from pyspark.sql import functions as F
 from stratakit.llm import decontaminate, packing, quality, secrets, simhash
 from stratakit.llm.common import materialize, table
 
+#: Session settings: a lasting folder for the ledger of scanned blobs (none: every blob is scanned), and whether
+#: contaminated documents stay without their spans.
+LEDGER = "spark.stratakit.secrets.ledger"
+CUT = "spark.stratakit.decontamination.cut"
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the line field keep."""
@@ -33,17 +39,29 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents below the contamination limit, as they are."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    """Documents below the contamination limit, as they are; with ``CUT`` set
+    to true the others stay too, without their contaminated spans."""
+    cut = spark.conf.get(CUT, "false") == "true"
+    return _with_length(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), cut_spans=cut), docs, cut)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by a mark; n_chars follows the text."""
-    clean = secrets.redact(docs)
-    if "n_chars" not in docs.columns:
-        return clean
+    """All documents, secrets replaced by a mark; n_chars follows the text.
+    With a folder in ``LEDGER`` only blobs that its ledger does not have are
+    scanned, and theirs are added to it."""
+    path = spark.conf.get(LEDGER, "")
+    clean, new = secrets.redact_versions(docs, ledger=secrets.read_ledger(spark, path) if path else None)
+    if path:
+        new.write.mode("append").parquet(path)
+    return _with_length(clean, docs)
+
+
+def _with_length(changed: DataFrame, docs: DataFrame, is_changed: bool = True) -> DataFrame:
+    """n_chars, where ``docs`` has it, follows the changed texts."""
+    if not is_changed or "n_chars" not in docs.columns:
+        return changed
     kind = docs.schema["n_chars"].dataType
-    return clean.withColumn("n_chars", F.length("text").cast(kind)).select(*docs.columns)
+    return changed.withColumn("n_chars", F.length("text").cast(kind)).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
