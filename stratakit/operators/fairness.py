@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratakit.functions.arrays import argmax
-from stratakit.functions.rand import draw_index
+from stratakit.functions.rand import U, draw_index
 from stratakit.session import checkpointed, local_table
 
 
@@ -173,6 +173,130 @@ def parity_relabel(df: DataFrame, probs: str, group: str, num_classes: int, grou
                                                 fit["pi_a"], fit["pi_b"], group_a=group_a)), fit)
 
 
+# ------------------------------------------------------------ primal recovery
+def parity_targets(counts: dict[bool, list[int]]) -> dict[bool, list[int]]:
+    """Rows a (group, class) so that both groups have the classes at the rates
+    of all rows together, rounded to whole rows by largest remainders (ties to
+    the lowest class): a rate is off by less than one row of its group."""
+    k, total = len(next(iter(counts.values()))), sum(map(sum, counts.values()))
+    both = [sum(c[i] for c in counts.values()) for i in range(k)]
+    out = {}
+    for g, own in counts.items():
+        n = sum(own)
+        floors = [n * b // total for b in both]
+        left = n - sum(floors)
+        up = sorted(range(k), key=lambda i: (-(n * both[i] % total), i))[:left]
+        out[g] = [f + (i in up) for i, f in enumerate(floors)]
+    return out
+
+
+def parity_flows(have: list[int], want: list[int]) -> list[tuple[int, int, int]]:
+    """(source class, target class, rows): classes with too many rows give to
+    those with too few, both in ascending order."""
+    more = [[i, h - w] for i, (h, w) in enumerate(zip(have, want)) if h > w]
+    less = [[i, w - h] for i, (h, w) in enumerate(zip(have, want)) if w > h]
+    out = []
+    while more and less:
+        n = min(more[0][1], less[0][1])
+        out.append((more[0][0], less[0][0], n))
+        for side in (more, less):
+            side[0][1] -= n
+            if not side[0][1]:
+                side.pop(0)
+    return out
+
+
+def shifted_scores(probs: Column, group: Column, fit: dict, k: int, group_a=1) -> Column:
+    """The scores whose argmax the dual rule takes."""
+    lam = fit["lambda"]
+    a, b = F.lit(float(fit["pi_a"])), F.lit(float(fit["pi_b"]))
+    return F.array(*[probs[c] + F.when(group == F.lit(group_a), F.lit(-float(lam[c])) / a)
+                     .otherwise(F.lit(float(lam[c])) / b) for c in range(k)])
+
+
+def _moved(move: dict) -> Column:
+    """Rows (_a, _c, _s, _u) that a move takes: those of the smallest regret,
+    of equal regret those of the smallest draw."""
+    regret = F.col("_s")[move["source"]] - F.col("_s")[move["target"]]
+    return ((F.col("_a") == F.lit(move["in_a"])) & (F.col("_c") == move["source"])
+            & ((regret < move["regret"]) | ((regret == move["regret"]) & (F.col("_u") <= move["draw"]))))
+
+
+def recover_primal(df: DataFrame, fit: dict, probs: str, group: str, num_classes: int, keys: list[str],
+                   seed: int = 0, group_a=1) -> dict:
+    """``fit`` with ``moves`` and the gap that they leave: the labels of the
+    linear program behind the dual.
+
+    Where many rows share their probabilities the dual's rule can only give
+    all of them one class.  The program splits them; so the rows that cost
+    least (by shifted score, then by a seeded draw of ``keys``) move from
+    classes that a group has too often to those it has too rarely, an exact
+    count each, until both groups agree to a row.  A move is two numbers, so
+    it also applies to rows that were not fitted on.
+
+    One aggregate counts classes; each of at most 2 (classes - 1) moves sorts
+    the rows of its class once to read one row."""
+    from stratakit.operators.index import row_index_sorted
+    k = num_classes
+    rows = checkpointed(parity_rows(df.where(F.col(group).isNotNull()), fit, probs, group, k, keys, seed, group_a)
+                        .select("_a", "_s", "_c", "_u"))
+    found = rows.groupBy("_a", "_c").agg(F.count(F.lit(1)).alias("n")).collect()       # 2 k rows
+    counts = {g: [sum(r["n"] for r in found if r["_a"] == g and r["_c"] == c) for c in range(k)] for g in (True, False)}
+    moves: list[dict] = []
+    if sum(counts[True]) and sum(counts[False]):
+        targets = parity_targets(counts)
+        for g in (True, False):
+            for source, target, n in parity_flows(counts[g], targets[g]):
+                mine = [m for m in moves if m["in_a"] == g and m["source"] == source]
+                left = rows.where((F.col("_a") == F.lit(g)) & (F.col("_c") == source))
+                for m in mine:
+                    left = left.where(~_moved(m))
+                ranked = row_index_sorted(left.select((F.col("_s")[source] - F.col("_s")[target]).alias("_r"), "_u"),
+                                          ["_r", "_u"], "_i")
+                last = ranked.where(F.col("_i") == n - 1).first()
+                moves.append({"in_a": g, "source": source, "target": target, "rows": n,
+                              "regret": float(last["_r"]), "draw": float(last["_u"])})
+        sizes = {g: sum(c) for g, c in counts.items()}
+        gap = max(abs(targets[True][c] / sizes[True] - targets[False][c] / sizes[False]) for c in range(k))
+    else:
+        gap = 0.0
+    return {**fit, "moves": moves, "gap": gap}
+
+
+def parity_rows(df: DataFrame, fit: dict, probs: str, group: str, k: int, keys: list[str], seed: int,
+                group_a=1) -> DataFrame:
+    """``df`` with the rule's working columns: group, scores, class, draw."""
+    p = F.col(probs).cast("array<double>")
+    return (df.withColumn("_a", F.col(group) == F.lit(group_a))
+            .withColumn("_s", F.when(F.col(group).isNull(), p).otherwise(shifted_scores(p, F.col(group), fit, k, group_a)))
+            .withColumn("_c", argmax(F.col("_s"))).withColumn("_u", U(seed, F.lit("t"), *keys)))
+
+
+def apply_primal(df: DataFrame, fit: dict, probs: str, group: str, num_classes: int, keys: list[str], seed: int = 0,
+                 group_a=1, out_col: str = "pred_fair") -> DataFrame:
+    """``df`` with the class of the rule and its moves; rows without a group
+    keep the plain argmax."""
+    rows = parity_rows(df, fit, probs, group, num_classes, keys, seed, group_a)
+    cls = F.col("_c")
+    for m in reversed(fit["moves"]):                     # an earlier move of a class goes first
+        cls = F.when(_moved(m), m["target"]).otherwise(cls)
+    return rows.withColumn(out_col, cls.cast("int")).drop("_a", "_s", "_c", "_u")
+
+
+def exact_parity(df: DataFrame, probs: str, group: str, num_classes: int, keys: list[str], seed: int = 0, group_a=1,
+                 out_col: str = "pred_fair", **kw) -> tuple[DataFrame, dict]:
+    """I18 with ties split: (``df`` with classes, fit).  The groups' rates agree
+    to what whole rows allow; anything else is an error."""
+    fit = recover_primal(df, fit_parity(df, probs, group, num_classes, group_a, strict=False, **kw), probs, group,
+                         num_classes, keys, seed, group_a)
+    sizes = df.where(F.col(group).isNotNull()).agg(F.count_if(F.col(group) == F.lit(group_a)).alias("a"),
+                                                   F.count(F.lit(1)).alias("n")).first()
+    least = min(sizes["a"], sizes["n"] - sizes["a"])
+    if least and fit["gap"] > (num_classes - 1) / least + 1e-12:
+        raise RuntimeError(f"class rates differ by {fit['gap']:.4g}")
+    return apply_primal(df, fit, probs, group, num_classes, keys, seed, group_a, out_col), fit
+
+
 # ---------------------------------------------------------------- replicates
 def replicate_sizes(n: int) -> tuple[int, int]:
     """Rows of a replicate and number of replicates: m = floor(sqrt(n)), 50 m."""
@@ -223,13 +347,18 @@ def replicate_rules(samples: DataFrame, data: DataFrame, key: str, group: str, p
                     k: int, group_a=1, max_iter: int = 400, step: float = 0.1,
                     tol: float = 0.005) -> DataFrame:
     """I19 (solve part): (rep, lam, pi_a, pi_b, gap), one small dual per
-    replicate, in parallel; a replicate holds about sqrt(n) rows."""
+    replicate, in parallel; a replicate holds about sqrt(n) rows.  One whose
+    gap stays above ``tol``, or above what ``k - 1`` rows of its smaller group
+    make, is an error: an unfinished rule doesn't vote."""
     j = samples.join(data.select(key, F.col(probs).cast("array<double>").alias("_p")), key)
     j = j.withColumn("_ga", (F.col(group) == F.lit(group_a)).cast("int"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         p, g = np.array(pdf["_p"].tolist(), dtype=float), pdf["_ga"].to_numpy() == 1
         fit = _solve_dual(p, g, np.ones(len(p)), k, max_iter, step, tol)
+        least = max(tol, (k - 1) / max(1, min(g.sum(), (~g).sum())))
+        if fit["gap"] > least:
+            raise RuntimeError(f"replicate {pdf['rep'].iloc[0]}: class rates differ by {fit['gap']:.4g}, more than {least:.4g}")
         return pd.DataFrame({"rep": [int(pdf["rep"].iloc[0])], "lam": [fit["lambda"]],
                              "pi_a": [fit["pi_a"]], "pi_b": [fit["pi_b"]], "gap": [fit["gap"]]})
 

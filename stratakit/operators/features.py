@@ -14,6 +14,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratakit.functions.arrays import places
 from stratakit.functions.text import clean_text, genre_list, tokens
 
 
@@ -51,17 +52,34 @@ def process_tokens(texts: DataFrame, key: str, text_col: str, stop_words: list[s
     """B5 + H3 + H4: clean, tokenise, drop stop words, lemmatise through a
     ``(token, lemma)`` table, keep dictionary words; repeats and order kept.
     Rows left empty are dropped."""
-    t = texts.select(
-        key, F.posexplode(tokens(clean_text(F.col(text_col)))).alias("_pos", "token"))
-    if stop_words:
-        t = t.where(~F.col("token").isin(*stop_words))
+    t = term_places(texts, key, text_col, stop_words)
     if lemmas is not None:
         lm = lemmas.select("token", "lemma")
-        t = (t.join(lm, "token", "left")
-             .select(key, "_pos", F.coalesce("lemma", "token").alias("token")))
+        t = t.join(lm, "token", "left").select(key, "at", F.coalesce("lemma", "token").alias("token"))
     if dictionary is not None:
         t = t.join(dictionary.select("token"), "token", "left_semi")
-    return ordered_concat(t, key, "_pos", "token", out_col)
+    agg = t.groupBy(key).agg(F.collect_list(F.struct("at", "token")).alias("_parts"), F.sum(F.size("at")).alias("n_parts"))
+    placed = F.flatten(F.transform("_parts", lambda p: F.transform(p["at"], lambda i: F.struct(i.alias("i"), p["token"].alias("w")))))
+    return agg.select(key, F.array_join(F.transform(F.array_sort(placed), lambda p: p["w"]), " ").alias(out_col), "n_parts")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files give fewer partitions than there
+    are (a small table in one row group); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def term_places(texts: DataFrame, key: str, text_col: str, stop_words: list[str] | None = None) -> DataFrame:
+    """H3: the sparse (text, term) matrix (key, token, at): one row for each
+    different token of a text, with its places.  A text's words stay in its
+    row until they are different ones, so what joins and shuffles is the
+    matrix and not the words."""
+    words = tokens(clean_text(F.col(text_col)))
+    if stop_words:
+        words = F.filter(words, lambda w: ~w.isin(*stop_words))
+    found = spread(texts.select(key, text_col)).select(key, F.explode(places(words)).alias("_p"))
+    return found.select(key, F.col("_p.value").alias("token"), F.col("_p.at").alias("at"))
 
 
 def ordered_concat(df: DataFrame, key: str, order_col: str, text_col: str, out_col: str,
@@ -95,9 +113,10 @@ def text_embedding(texts: DataFrame, key: str, tokens_col: str, word_vectors: Da
                    dim: int, out_col: str = "vec") -> DataFrame:
     """C9 + H6 + B6: mean word vector of each text (repeats count, unknown
     tokens skipped); texts with no known token get zeros."""
-    known = (texts.select(key, F.explode(tokens(F.col(tokens_col))).alias("token"))
+    known = (spread(texts.select(key, tokens_col)).select(key, F.explode(places(tokens(F.col(tokens_col)))).alias("_p"))
+             .select(key, F.col("_p.value").alias("token"), F.size("_p.at").alias("_n"))
              .join(word_vectors.select("token", "vec"), "token"))
-    means = mean_vectors(known, key, "vec", None, out_col, dim=dim)
+    means = mean_vectors(known, key, "vec", "_n", out_col, dim=dim)
     zeros = F.array_repeat(F.lit(0.0), dim)
     return (texts.select(key).join(means, key, "left")
             .withColumn(out_col, F.coalesce(F.col(out_col), zeros)))

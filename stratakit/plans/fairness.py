@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from stratakit.functions.arrays import argmax, majority_vote
 from stratakit.functions.rand import U, draw_index_sql, u_sql
-from stratakit.operators.fairness import (baseline_accuracy, fairness_metrics, fit_parity, grid_side, group_accuracy,
-                                          metric_frame, parity_relabel, relabel_expr,
+from stratakit.operators.fairness import (apply_primal, baseline_accuracy, exact_parity, fairness_metrics, fit_parity,
+                                          grid_side, group_accuracy, metric_frame, parity_relabel, relabel_expr,
                                           replicate_rules, replicate_samples, vote_relabel)
 from stratakit.operators.models import class_probabilities, fit_classifier
 from stratakit.operators.sampling import split_train_test
 from stratakit.plans.registry import SEED, query
+from stratakit.session import checkpointed
 from stratakit.sources import tables as t
 
 K = 3
@@ -225,7 +226,11 @@ def q_fairness_report_seeded(spark, d):
     raw = _seeded_probs("doc_id")
     total = F.aggregate(raw, F.lit(0.0), lambda a, v: a + v)
     scored = x.withColumn("probs", F.transform(raw, lambda v: v / total))
-    r = _report(x, scored, True)
+    train = scored.where(F.col("split") == "train")
+    fit = fit_parity(train, "probs", "grp", K, max_iter=PARITY_ITER, step=PARITY_STEP, tol=PARITY_TOL)
+    r = _report(x, scored.where(F.col("split") == "test").select(
+        "grp", "label", argmax(F.col("probs")).alias("before"),
+        relabel_expr(F.col("probs"), F.col("grp"), fit["lambda"], fit["pi_a"], fit["pi_b"]).alias("after")), fit)
     return r.select(*[F.round(c, 6).alias(c) for c in r.columns])
 
 
@@ -238,6 +243,56 @@ def q_parity(spark, d):
                       F.col("pred_fair").alias("pred_after"), F.round(F.lit(fit["gap"]), 9).alias("gap"))
 
 
+# Probabilities in fifths: many customers share theirs, so ties must be split.
+_T5 = [f"floor(5 * {u}) + 1" for u in _PU]
+_MOVES = """
+f{n} AS (SELECT grp, src, dst, m FROM flow WHERE nth = {n}),
+r{n} AS (SELECT user_id, f{n}.dst, f{n}.m, row_number() OVER (PARTITION BY x.grp, x.c ORDER BY
+           (CASE x.c WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END) - (CASE dst WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END), u) AS rn
+         FROM x JOIN f{n} ON x.grp = f{n}.grp AND x.c = f{n}.src{skip}),
+t{n} AS (SELECT user_id, dst FROM r{n} WHERE rn <= m)"""
+EXACT_SQL = f"""
+WITH RECURSIVE
+raw AS (SELECT c_custkey AS user_id, CAST(c_mktsegment IN ('AUTOMOBILE', 'BUILDING') AS INTEGER) AS grp,
+               {_T5[0]} + 2 * grp AS u0, {_T5[1]} AS u1, {_T5[2]} AS u2 FROM customer),
+pr AS (SELECT user_id, grp, u0 / (u0 + u1 + u2) AS p0, u1 / (u0 + u1 + u2) AS p1, u2 / (u0 + u1 + u2) AS p2 FROM raw),
+{_dual_ctes()},
+sc AS (SELECT user_id, grp, {u_sql(SEED, "'t'", 'user_id')} AS u, {_shifted_sql(['best.l0', 'best.l1', 'best.l2'])[0]} AS s0,
+              {_shifted_sql(['best.l0', 'best.l1', 'best.l2'])[1]} AS s1, {_shifted_sql(['best.l0', 'best.l1', 'best.l2'])[2]} AS s2
+       FROM pr, pi, best),
+x AS (SELECT *, {_argmax_sql(['s0', 's1', 's2'])} AS c FROM sc),
+cell AS (SELECT g.grp, k.c, (SELECT count(*) FROM x WHERE x.grp = g.grp AND x.c = k.c) AS have,
+                (SELECT count(*) FROM x WHERE x.grp = g.grp) AS ng, (SELECT count(*) FROM x WHERE x.c = k.c) AS nc,
+                (SELECT count(*) FROM x) AS n FROM (VALUES (0), (1)) g(grp), range({K}) k(c)),
+part AS (SELECT *, ng * nc // n AS fl, row_number() OVER (PARTITION BY grp ORDER BY ng * nc % n DESC, c) AS up FROM cell),
+want AS (SELECT grp, c, have, ng, fl + CAST(up <= ng - sum(fl) OVER (PARTITION BY grp) AS BIGINT) AS want FROM part),
+side AS (SELECT grp, c, have - want AS d, sum(abs(have - want)) OVER (PARTITION BY grp, have > want ORDER BY c) AS hi FROM want
+         WHERE have <> want),
+flow AS (SELECT a.grp, a.c AS src, b.c AS dst, least(a.hi, b.hi) - greatest(a.hi - abs(a.d), b.hi - abs(b.d)) AS m,
+                row_number() OVER (PARTITION BY a.grp, a.c ORDER BY b.c) AS nth
+         FROM side a JOIN side b ON a.grp = b.grp AND a.d > 0 AND b.d < 0
+         WHERE least(a.hi, b.hi) > greatest(a.hi - abs(a.d), b.hi - abs(b.d))),{_MOVES.format(n=1, skip='')},{_MOVES.format(
+             n=2, skip=" WHERE x.user_id NOT IN (SELECT user_id FROM t1)")},
+gap AS (SELECT max(abs(CAST(a.want AS DOUBLE) / a.ng - CAST(b.want AS DOUBLE) / b.ng)) AS gap
+        FROM want a JOIN want b ON a.c = b.c AND a.grp = 1 AND b.grp = 0)
+SELECT x.user_id, x.grp, CAST(x.c AS INTEGER) AS pred_rule, CAST(coalesce(t1.dst, t2.dst, x.c) AS INTEGER) AS pred_exact, round(gap, 9) AS gap
+FROM x LEFT JOIN t1 USING (user_id) LEFT JOIN t2 USING (user_id), gap"""
+
+
+@query("parity_exact", EXACT_SQL)
+def q_parity_exact(spark, d):
+    """I18 on ties: probabilities that many customers share, the dual's rule,
+    and the rows that move until both groups' class rates agree to a row."""
+    raw = [F.floor(5 * U(SEED, F.lit(f"p{c}"), "user_id")) + 1 for c in range(K)]
+    c = t.users(spark, d).select("user_id", F.col("segment").isin("AUTOMOBILE", "BUILDING").cast("int").alias("grp"))
+    raw[0] = raw[0] + 2 * F.col("grp")
+    total = raw[0] + raw[1] + raw[2]
+    c = c.withColumn("probs", F.array(*[r / total for r in raw]))
+    out, fit = exact_parity(c, "probs", "grp", K, ["user_id"], SEED, max_iter=PARITY_ITER, step=PARITY_STEP, tol=PARITY_TOL)
+    return out.select("user_id", "grp", relabel_expr(F.col("probs"), F.col("grp"), fit["lambda"], fit["pi_a"], fit["pi_b"])
+                      .alias("pred_rule"), F.col("pred_fair").alias("pred_exact"), F.round(F.lit(fit["gap"]), 9).alias("gap"))
+
+
 @query("classifier_probabilities")
 def q_classifier(spark, d):
     """I16: random-forest class probabilities for the test documents."""
@@ -251,20 +306,17 @@ def q_fairness_report(spark, d):
     """I20 (+ I16, I18, D7-D9): classifier probabilities, dual relabelling
     fitted on the training rows and applied to the test rows, metrics before
     and after."""
-    x = split_train_test(labelled(spark, d), ["doc_id"], SEED)
-    scored = class_probabilities(fit_classifier(x.where(F.col("split") == "train"), FEATURES, "label", seed=SEED), x)
-    return _report(x, scored, False)
+    x = checkpointed(split_train_test(labelled(spark, d), ["doc_id"], SEED))
+    scored = checkpointed(class_probabilities(fit_classifier(x.where(F.col("split") == "train"), FEATURES, "label", seed=SEED), x)
+                          .select("doc_id", "grp", "label", "split", "probs"))
+    # trees give many rows the same probabilities: the rows of a tie are split
+    _, fit = exact_parity(scored.where(F.col("split") == "train"), "probs", "grp", K, ["doc_id"], SEED,
+                          max_iter=PARITY_ITER, step=PARITY_STEP, tol=PARITY_TOL)
+    test = apply_primal(scored.where(F.col("split") == "test"), fit, "probs", "grp", K, ["doc_id"], SEED, out_col="after")
+    return _report(x, test.withColumn("before", argmax(F.col("probs"))), fit)
 
 
-def _report(x, scored, strict: bool):
-    """``strict``: seeded probabilities differ from row to row, so parity can
-    be reached; trees give many rows the same ones, and ``fit_gap`` tells what
-    is left."""
-    train = scored.where(F.col("split") == "train")
-    fit = fit_parity(train, "probs", "grp", K, max_iter=PARITY_ITER, step=PARITY_STEP, tol=PARITY_TOL, strict=strict)
-    test = scored.where(F.col("split") == "test").select(
-        "grp", "label", argmax(F.col("probs")).alias("before"),
-        relabel_expr(F.col("probs"), F.col("grp"), fit["lambda"], fit["pi_a"], fit["pi_b"]).alias("after"))
+def _report(x, test, fit):
     base = baseline_accuracy(x, "label").select("baseline_accuracy").scalar()
     return fairness_metrics(test, base).withColumn("fit_gap", F.lit(fit["gap"]))
 

@@ -68,3 +68,45 @@ def test_replicate_samples_sizes_and_uniformity(spark):
     for r in rows:
         hits[r["id"]] += 1
     assert all(abs(n - 50) < 6 * 50 ** 0.5 for n in hits)        # each row is in 1 of 20 replicates
+
+
+def _rates(rows, col):
+    n = {g: sum(r["grp"] == g for r in rows) for g in (0, 1)}
+    return {g: [sum(r["grp"] == g and r[col] == c for r in rows) / n[g] for c in range(3)] for g in (0, 1)}
+
+
+@pytest.mark.parametrize("sizes", [(40, 40), (101, 37), (1, 5)])
+def test_tied_rows_are_split_until_rates_agree(spark, sizes):
+    from stratakit.operators.fairness import apply_primal, exact_parity
+    rows = [(i, 1, [0.9, 0.06, 0.04]) for i in range(sizes[0])] + [(1000 + i, 0, [0.1, 0.5, 0.4]) for i in range(sizes[1])]
+    df = spark.createDataFrame(rows + [(5000, None, [0.2, 0.1, 0.7])], "id long, grp int, probs array<double>")
+    out, fit = exact_parity(df, "probs", "grp", 3, ["id"], 7)
+    got = out.collect()
+    rates = _rates(got, "pred_fair")
+    gap = max(abs(a - b) for a, b in zip(*rates.values()))
+    assert gap <= 2 / min(sizes) + 1e-12 and abs(gap - fit["gap"]) < 1e-9
+    assert [r["pred_fair"] for r in got if r["grp"] is None] == [2] and out.columns == df.columns + ["pred_fair"]
+    again = apply_primal(df.repartition(7), fit, "probs", "grp", 3, ["id"], 7).collect()
+    assert {tuple(r[:2]) + (r["pred_fair"],) for r in again} == {tuple(r[:2]) + (r["pred_fair"],) for r in got}
+
+
+def test_flows_and_targets():
+    from stratakit.operators.fairness import parity_flows, parity_targets
+    assert parity_targets({True: [7, 0, 0], False: [0, 2, 1]}) == {True: [5, 1, 1], False: [2, 1, 0]}
+    assert parity_flows([5, 0, 4], [2, 6, 1]) == [(0, 1, 3), (2, 1, 3)]
+    assert parity_flows([9, 0, 0], [4, 3, 2]) == [(0, 1, 3), (0, 2, 2)] and parity_flows([1, 2], [1, 2]) == []
+
+
+def test_empty_group_moves_nothing(spark):
+    from stratakit.operators.fairness import exact_parity
+    df = spark.createDataFrame([(i, 1, [0.3, 0.7]) for i in range(5)], "id long, grp int, probs array<double>")
+    out, fit = exact_parity(df, "probs", "grp", 2, ["id"])
+    assert fit["moves"] == [] and {r["pred_fair"] for r in out.collect()} == {1}
+
+
+def test_unfinished_replicate_is_an_error(spark):
+    from stratakit.operators.fairness import replicate_rules
+    rows = [(0, 1, i, [0.9, 0.1]) for i in range(40)] + [(0, 0, 40 + i, [0.1, 0.9]) for i in range(40)]
+    df = spark.createDataFrame(rows, "rep long, grp int, id long, probs array<double>")
+    with pytest.raises(Exception, match="class rates differ"):
+        replicate_rules(df.select("rep", "grp", "id"), df.select("id", "grp", "probs"), "id", "grp", "probs", 2).collect()

@@ -49,3 +49,11 @@ def test_seeded_uniform_is_repeatable_and_matches_duckdb(spark):
     want = dict(con.execute(f"SELECT id, {u_sql(7, 'id')} FROM range(50) t(id)").fetchall())
     assert all(abs(got[i] - want[i]) < 1e-15 for i in range(50))
     assert all(0 < v < 1 for v in got.values())
+
+
+def test_places(spark):
+    from stratakit.functions.arrays import places
+    df = spark.createDataFrame([(["b", "a", "b", "c", "a"],), ([],), (None,), (["x"] * 20_000,)], "w array<string>")
+    got = [r[0] for r in df.select(places(F.col("w"))).collect()]
+    assert [(p["value"], p["at"]) for p in got[0]] == [("a", [1, 4]), ("b", [0, 2]), ("c", [3])]
+    assert got[1] == [] and got[2] is None and [p["at"] for p in got[3]] == [list(range(20_000))]
