@@ -10,8 +10,8 @@ from stratakit.functions.rand import U, draw_index_sql, u_sql
 from stratakit.operators.fairness import (apply_primal, baseline_accuracy, exact_parity, fairness_metrics, fit_parity,
                                           grid_side, group_accuracy, metric_frame, parity_relabel, relabel_expr,
                                           replicate_rules, replicate_samples, vote_relabel)
-from stratakit.operators.models import class_probabilities, fit_classifier
 from stratakit.operators.sampling import split_train_test
+from stratakit.operators.trees import POISSON_POINTS, fit_forest
 from stratakit.plans.registry import SEED, query
 from stratakit.session import checkpointed
 from stratakit.sources import tables as t
@@ -190,6 +190,14 @@ FROM pr, pi, best"""
 
 _DU = [u_sql(SEED, f"'p{c}'", "doc_id") for c in range(K)]
 _R6 = "round({}, 6) AS {}"
+_REPORT_COLUMNS_SQL = f"""
+SELECT {', '.join(_R6.format(c, c) for c in ['baseline_accuracy', 'accuracy_before', 'accuracy_after',
+                                              'acc0_before', 'acc1_before', 'acc0_after', 'acc1_after'])},
+       round(abs(acc0_before - acc1_before), 6) AS gap_before, round(abs(acc0_after - acc1_after), 6) AS gap_after,
+       round(abs(acc0_before - acc1_before) - abs(acc0_after - acc1_after), 6) AS gap_improvement,
+       round(acc0_before - acc0_after, 6) AS loss_group0, round(acc1_before - acc1_after, 6) AS loss_group1,
+       round(fit_gap, 6) AS fit_gap
+FROM m, bl, fg"""
 REPORT_SQL = f"""
 WITH RECURSIVE
 lab AS (SELECT l.*, {_norm_probs_sql(_DU)},
@@ -208,13 +216,7 @@ m AS (SELECT avg(CAST(bf = label AS DOUBLE)) AS accuracy_before, avg(CAST(af = l
 fg AS (SELECT {_gap_sql("(SELECT grp, " + _argmax_sql(_shifted_sql(['best.l0', 'best.l1', 'best.l2'])) + " AS c FROM pr, pi, best)")} AS fit_gap),
 bl AS (SELECT CAST(max(n) AS DOUBLE) / sum(n) AS baseline_accuracy
        FROM (SELECT label, count(*) AS n FROM lab GROUP BY label))
-SELECT {', '.join(_R6.format(c, c) for c in ['baseline_accuracy', 'accuracy_before', 'accuracy_after',
-                                              'acc0_before', 'acc1_before', 'acc0_after', 'acc1_after'])},
-       round(abs(acc0_before - acc1_before), 6) AS gap_before, round(abs(acc0_after - acc1_after), 6) AS gap_after,
-       round(abs(acc0_before - acc1_before) - abs(acc0_after - acc1_after), 6) AS gap_improvement,
-       round(acc0_before - acc0_after, 6) AS loss_group0, round(acc1_before - acc1_after, 6) AS loss_group1,
-       round(fit_gap, 6) AS fit_gap
-FROM m, bl, fg"""
+{_REPORT_COLUMNS_SQL}"""
 
 
 @query("fairness_report_seeded", REPORT_SQL)
@@ -245,23 +247,16 @@ def q_parity(spark, d):
 
 # Probabilities in fifths: many customers share theirs, so ties must be split.
 _T5 = [f"floor(5 * {u}) + 1" for u in _PU]
+_REGRET = "(CASE x.c WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END) - (CASE dst WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END)"
 _MOVES = """
 f{n} AS (SELECT grp, src, dst, m FROM flow WHERE nth = {n}),
 r{n} AS (SELECT user_id, f{n}.dst, f{n}.m, row_number() OVER (PARTITION BY x.grp, x.c ORDER BY
-           (CASE x.c WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END) - (CASE dst WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END), u) AS rn
+           {regret}, u) AS rn, x.grp, x.c, {regret} AS regret, u
          FROM x JOIN f{n} ON x.grp = f{n}.grp AND x.c = f{n}.src{skip}),
-t{n} AS (SELECT user_id, dst FROM r{n} WHERE rn <= m)"""
-EXACT_SQL = f"""
-WITH RECURSIVE
-raw AS (SELECT c_custkey AS user_id, CAST(c_mktsegment IN ('AUTOMOBILE', 'BUILDING') AS INTEGER) AS grp,
-               {_T5[0]} + 2 * grp AS u0, {_T5[1]} AS u1, {_T5[2]} AS u2 FROM customer),
-pr AS (SELECT user_id, grp, u0 / (u0 + u1 + u2) AS p0, u1 / (u0 + u1 + u2) AS p1, u2 / (u0 + u1 + u2) AS p2 FROM raw),
-{_dual_ctes()},
-sc AS (SELECT user_id, grp, {u_sql(SEED, "'t'", 'user_id')} AS u, {_shifted_sql(['best.l0', 'best.l1', 'best.l2'])[0]} AS s0,
-              {_shifted_sql(['best.l0', 'best.l1', 'best.l2'])[1]} AS s1, {_shifted_sql(['best.l0', 'best.l1', 'best.l2'])[2]} AS s2
-       FROM pr, pi, best),
-x AS (SELECT *, {_argmax_sql(['s0', 's1', 's2'])} AS c FROM sc),
-cell AS (SELECT g.grp, k.c, (SELECT count(*) FROM x WHERE x.grp = g.grp AND x.c = k.c) AS have,
+t{n} AS (SELECT user_id, dst FROM r{n} WHERE rn <= m)""".replace("{regret}", _REGRET)
+_MOVED = ("(k{n}.u IS NOT NULL AND (" + _REGRET.replace("x.c", "xa.c").replace("dst", "k{n}.dst") + ", xa.u) <= (k{n}.regret, k{n}.u))")
+# Rows that must move between classes for equal rates, and the gap that is left.
+_FLOW_CTES = f"""cell AS (SELECT g.grp, k.c, (SELECT count(*) FROM x WHERE x.grp = g.grp AND x.c = k.c) AS have,
                 (SELECT count(*) FROM x WHERE x.grp = g.grp) AS ng, (SELECT count(*) FROM x WHERE x.c = k.c) AS nc,
                 (SELECT count(*) FROM x) AS n FROM (VALUES (0), (1)) g(grp), range({K}) k(c)),
 part AS (SELECT *, ng * nc // n AS fl, row_number() OVER (PARTITION BY grp ORDER BY ng * nc % n DESC, c) AS up FROM cell),
@@ -271,10 +266,21 @@ side AS (SELECT grp, c, have - want AS d, sum(abs(have - want)) OVER (PARTITION
 flow AS (SELECT a.grp, a.c AS src, b.c AS dst, least(a.hi, b.hi) - greatest(a.hi - abs(a.d), b.hi - abs(b.d)) AS m,
                 row_number() OVER (PARTITION BY a.grp, a.c ORDER BY b.c) AS nth
          FROM side a JOIN side b ON a.grp = b.grp AND a.d > 0 AND b.d < 0
-         WHERE least(a.hi, b.hi) > greatest(a.hi - abs(a.d), b.hi - abs(b.d))),{_MOVES.format(n=1, skip='')},{_MOVES.format(
-             n=2, skip=" WHERE x.user_id NOT IN (SELECT user_id FROM t1)")},
+         WHERE least(a.hi, b.hi) > greatest(a.hi - abs(a.d), b.hi - abs(b.d))),
 gap AS (SELECT max(abs(CAST(a.want AS DOUBLE) / a.ng - CAST(b.want AS DOUBLE) / b.ng)) AS gap
-        FROM want a JOIN want b ON a.c = b.c AND a.grp = 1 AND b.grp = 0)
+        FROM want a JOIN want b ON a.c = b.c AND a.grp = 1 AND b.grp = 0)"""
+EXACT_SQL = f"""
+WITH RECURSIVE
+raw AS (SELECT c_custkey AS user_id, CAST(c_mktsegment IN ('AUTOMOBILE', 'BUILDING') AS INTEGER) AS grp,
+               {_T5[0]} + 2 * grp AS u0, {_T5[1]} AS u1, {_T5[2]} AS u2 FROM customer),
+pr AS (SELECT user_id, grp, u0 / (u0 + u1 + u2) AS p0, u1 / (u0 + u1 + u2) AS p1, u2 / (u0 + u1 + u2) AS p2 FROM raw),
+{_dual_ctes()},
+sc AS (SELECT user_id, grp, {u_sql(SEED, "'t'", 'user_id')} AS u, {_shifted_sql(['best.l0', 'best.l1', 'best.l2'])[0]} AS s0,
+              {_shifted_sql(['best.l0', 'best.l1', 'best.l2'])[1]} AS s1, {_shifted_sql(['best.l0', 'best.l1', 'best.l2'])[2]} AS s2
+       FROM pr, pi, best),
+x AS (SELECT *, {_argmax_sql(['s0', 's1', 's2'])} AS c FROM sc),
+{_FLOW_CTES},{_MOVES.format(n=1, skip='')},{_MOVES.format(
+             n=2, skip=" WHERE x.user_id NOT IN (SELECT user_id FROM t1)")}
 SELECT x.user_id, x.grp, CAST(x.c AS INTEGER) AS pred_rule, CAST(coalesce(t1.dst, t2.dst, x.c) AS INTEGER) AS pred_exact, round(gap, 9) AS gap
 FROM x LEFT JOIN t1 USING (user_id) LEFT JOIN t2 USING (user_id), gap"""
 
@@ -293,27 +299,104 @@ def q_parity_exact(spark, d):
                       .alias("pred_rule"), F.col("pred_fair").alias("pred_exact"), F.round(F.lit(fit["gap"]), 9).alias("gap"))
 
 
-@query("classifier_probabilities")
+TREES, DEPTH, BINS = 20, 5, 32
+_NEXT_BIN = "CASE z.f " + " ".join(f"WHEN {i} THEN n.b{i}" for i in range(len(FEATURES))) + " END"
+
+
+def _level_ctes(n: int) -> str:
+    """One level of all trees: class weights by bin, the best split of each
+    node, and the rows' next nodes."""
+    cs = range(K)
+    side = lambda p: "(" + " + ".join(f"{p}{c}" for c in cs) + ")"
+    pure = lambda p: ("((" + " + ".join(f"CAST({p}{c} AS DOUBLE) * CAST({p}{c} AS DOUBLE)" for c in cs)
+                      + f") / CAST({side(p)} AS DOUBLE))")
+    here = "PARTITION BY tree, node, f"
+    return f"""
+h{n} AS (SELECT tree, node, f, b, {', '.join(f'sum(CASE WHEN label = {c} THEN w ELSE 0 END) AS c{c}' for c in cs)}
+         FROM (SELECT tree, node, label, w, unnest([0, 1, 2]) AS f, unnest([b0, b1, b2]) AS b FROM n{n}
+               WHERE w > 0 AND node >= {(1 << n) - 1}) GROUP BY ALL),
+g{n} AS (SELECT tree, node, f, b, {', '.join(f'sum(c{c}) OVER ({here}) AS a{c}, sum(c{c}) OVER ({here} ORDER BY b) AS l{c}' for c in cs)},
+                dense_rank() OVER (PARTITION BY tree, node ORDER BY {u_sql(SEED, "'f'", 'tree', 'node', 'f')}, f) AS rk FROM h{n}),
+u{n} AS (SELECT *, {', '.join(f'a{c} - l{c} AS r{c}' for c in cs)} FROM g{n} WHERE rk <= 2),
+s{n} AS (SELECT tree, node, f, b, {pure('l')} + {pure('r')} AS score, {pure('a')} AS least FROM u{n} WHERE {side('r')} > 0),
+z{n} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tree, node ORDER BY score DESC, f, b) AS rn
+                        FROM s{n} WHERE score > least) WHERE rn = 1),
+n{n + 1} AS (SELECT n.* REPLACE (CASE WHEN z.f IS NULL THEN n.node ELSE 2 * n.node + 1 + CAST({_NEXT_BIN} > z.b AS INTEGER) END AS node)
+         FROM n{n} n LEFT JOIN z{n} z ON n.tree = z.tree AND n.node = z.node)"""
+
+
+# Oracle for the forest: exact quantile bins, Poisson weights, the levels one
+# after another, leaf shares added up in the order of the trees.
+FOREST_CTES = f"""
+lab AS (SELECT l.*, CASE WHEN {u_sql(SEED, 'doc_id')} < 0.75 THEN 'train' ELSE 'test' END AS split FROM ({LABELLED_SQL}) l),
+ed AS (SELECT {', '.join(f"list_distinct(quantile_cont({f}, {[i / BINS for i in range(1, BINS)]})) AS e{i}" for i, f in enumerate(FEATURES))}
+       FROM lab WHERE split = 'train'),
+bn AS (SELECT doc_id, label, split, {', '.join(f'len(list_filter(e{i}, lambda v: v < {f})) AS b{i}' for i, f in enumerate(FEATURES))} FROM lab, ed),
+n0 AS (SELECT bn.*, tr.tree, 0 AS node, CASE WHEN split = 'train' THEN {' + '.join(
+    f"CAST({u_sql(SEED, chr(39) + 'w' + chr(39), 'tr.tree', 'doc_id')} >= {p!r} AS INTEGER)" for p in POISSON_POINTS)} ELSE 0 END AS w
+       FROM bn, range({TREES}) tr(tree)),{','.join(_level_ctes(n) for n in range(DEPTH))},
+leaf AS (SELECT tree, node, sum(w) AS n, {', '.join(f'sum(CASE WHEN label = {c} THEN w ELSE 0 END) AS c{c}' for c in range(K))}
+         FROM n{DEPTH} WHERE w > 0 GROUP BY tree, node),
+fo AS (SELECT doc_id, {', '.join(f'list_reduce(list_prepend(CAST(0.0 AS DOUBLE), list(CAST(c{c} AS DOUBLE) / n ORDER BY tree)), lambda a, v: a + v) / {float(TREES)!r} AS p{c}'
+                                 for c in range(K))}
+       FROM n{DEPTH} JOIN leaf USING (tree, node) GROUP BY doc_id),
+pl AS (SELECT lab.doc_id, grp, label, split, p0, p1, p2 FROM lab JOIN fo USING (doc_id))"""
+
+
+def labelled_forest(x):
+    """The forest fitted on the training documents."""
+    return fit_forest(x.where(F.col("split") == "train"), FEATURES, "label", ["doc_id"], K, seed=SEED, trees=TREES,
+                      depth=DEPTH, bins=BINS)
+
+
+@query("classifier_probabilities", f"""
+WITH {FOREST_CTES}
+SELECT doc_id, grp, label, [p0, p1, p2] AS probs FROM pl WHERE split = 'test'""")
 def q_classifier(spark, d):
     """I16: random-forest class probabilities for the test documents."""
     x = split_train_test(labelled(spark, d), ["doc_id"], SEED)
-    model = fit_classifier(x.where(F.col("split") == "train"), FEATURES, "label", seed=SEED)
-    return class_probabilities(model, x.where(F.col("split") == "test")).select("doc_id", "grp", "label", "probs")
+    return labelled_forest(x).apply(x.where(F.col("split") == "test")).select("doc_id", "grp", "label", "probs")
 
 
-@query("fairness_report")
+_BEST = ["best.l0", "best.l1", "best.l2"]
+# A move of training rows ends at a row's (regret, draw); test rows up to it move too.
+_CUT = """
+k{n} AS (SELECT r{n}.grp, r{n}.c AS src, dst, regret, u FROM r{n} WHERE rn = m)"""
+FOREST_REPORT_SQL = f"""
+WITH RECURSIVE {FOREST_CTES},
+pr AS (SELECT doc_id, grp, p0, p1, p2 FROM pl WHERE split = 'train'),
+{_dual_ctes()},
+sc AS (SELECT doc_id AS user_id, label, split, grp, {u_sql(SEED, "'t'", 'doc_id')} AS u, {_argmax_sql(['p0', 'p1', 'p2'])} AS bf,
+              {', '.join(f'{_shifted_sql(_BEST)[c]} AS s{c}' for c in range(K))} FROM pl, pi, best),
+xa AS (SELECT *, {_argmax_sql(['s0', 's1', 's2'])} AS c FROM sc),
+x AS (SELECT * FROM xa WHERE split = 'train'),
+{_FLOW_CTES},{_MOVES.format(n=1, skip='')},{_MOVES.format(n=2, skip=" WHERE x.user_id NOT IN (SELECT user_id FROM t1)")},{_CUT.format(n=1)},{_CUT.format(n=2)},
+af AS (SELECT xa.grp, xa.label, xa.bf, CASE WHEN {_MOVED.format(n=1)} THEN k1.dst WHEN {_MOVED.format(n=2)} THEN k2.dst ELSE xa.c END AS af
+       FROM xa LEFT JOIN k1 ON k1.grp = xa.grp AND k1.src = xa.c LEFT JOIN k2 ON k2.grp = xa.grp AND k2.src = xa.c WHERE split = 'test'),
+m AS (SELECT avg(CAST(bf = label AS DOUBLE)) AS accuracy_before, avg(CAST(af = label AS DOUBLE)) AS accuracy_after,
+             avg(CASE WHEN grp = 0 THEN CAST(bf = label AS DOUBLE) END) AS acc0_before,
+             avg(CASE WHEN grp = 1 THEN CAST(bf = label AS DOUBLE) END) AS acc1_before,
+             avg(CASE WHEN grp = 0 THEN CAST(af = label AS DOUBLE) END) AS acc0_after,
+             avg(CASE WHEN grp = 1 THEN CAST(af = label AS DOUBLE) END) AS acc1_after FROM af),
+fg AS (SELECT gap AS fit_gap FROM gap),
+bl AS (SELECT CAST(max(n) AS DOUBLE) / sum(n) AS baseline_accuracy
+       FROM (SELECT label, count(*) AS n FROM lab GROUP BY label))
+{_REPORT_COLUMNS_SQL}"""
+
+
+@query("fairness_report", FOREST_REPORT_SQL)
 def q_fairness_report(spark, d):
     """I20 (+ I16, I18, D7-D9): classifier probabilities, dual relabelling
     fitted on the training rows and applied to the test rows, metrics before
     and after."""
     x = checkpointed(split_train_test(labelled(spark, d), ["doc_id"], SEED))
-    scored = checkpointed(class_probabilities(fit_classifier(x.where(F.col("split") == "train"), FEATURES, "label", seed=SEED), x)
-                          .select("doc_id", "grp", "label", "split", "probs"))
+    scored = checkpointed(labelled_forest(x).apply(x).select("doc_id", "grp", "label", "split", "probs"))
     # trees give many rows the same probabilities: the rows of a tie are split
     _, fit = exact_parity(scored.where(F.col("split") == "train"), "probs", "grp", K, ["doc_id"], SEED,
                           max_iter=PARITY_ITER, step=PARITY_STEP, tol=PARITY_TOL)
     test = apply_primal(scored.where(F.col("split") == "test"), fit, "probs", "grp", K, ["doc_id"], SEED, out_col="after")
-    return _report(x, test.withColumn("before", argmax(F.col("probs"))), fit)
+    r = _report(x, test.withColumn("before", argmax(F.col("probs"))), fit)
+    return r.select(*[F.round(c, 6).alias(c) for c in r.columns])
 
 
 def _report(x, test, fit):
