@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from stratakit.functions.arrays import places
 from stratakit.functions.text import clean_text, genre_list, tokens
+from stratakit.operators.index import dense_codes
 
 
 def genre_vocabulary(df: DataFrame, genres_col: str) -> Column:
@@ -35,6 +36,31 @@ def genre_multi_hot(df: DataFrame, genres_col: str, out_col: str = "genre_hot")
             .drop("_vocab"))
 
 
+def genre_index(df: DataFrame, genres_col: str) -> DataFrame:
+    """The vocabulary as a table (genre, index), alphabetical, for
+    vocabularies of any size."""
+    words = df.select(F.explode(genre_list(F.col(genres_col))).alias("genre")).where(F.col("genre") != "")
+    return dense_codes(words, "genre", "index")
+
+
+def sparse_genres(df: DataFrame, key: str, genres_col: str, vocabulary: DataFrame, out_col: str = "genres_at") -> DataFrame:
+    """H5, sparse: the ascending vocabulary indexes of a row's genres (none:
+    an empty array).  ``key`` is unique; a null one keeps an empty array.
+    Shuffles the genres that rows have, never the vocabulary with each row."""
+    met = (df.select(key, F.explode(F.array_distinct(genre_list(F.col(genres_col)))).alias("genre"))
+           .join(vocabulary.select("genre", "index"), "genre"))
+    at = met.groupBy(key).agg(F.array_sort(F.collect_list("index")).alias(out_col))
+    return df.join(at, key, "left").withColumn(out_col, F.coalesce(F.col(out_col), F.array().cast("array<bigint>")))
+
+
+def mean_sparse(rows: DataFrame, key: str, at_col: str, out_col: str = "share") -> DataFrame:
+    """D4, sparse: (key, index, share), the mean of the rows' 0/1 vectors at
+    each index that a row of the key has; others are 0 and left out."""
+    n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    met = rows.select(key, F.explode(at_col).alias("index")).groupBy(key, "index").agg(F.count(F.lit(1)).alias("_c"))
+    return met.join(n, key).select(key, "index", (F.col("_c") / F.col("_n")).alias(out_col))
+
+
 def fill_year_by_peers(df: DataFrame, year_col: str, genres_col: str) -> DataFrame:
     """A null year becomes the half-even rounded mean year of the rows with
     the identical genre set; with no dated peer it stays null (Q12)."""

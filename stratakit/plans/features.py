@@ -7,13 +7,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratakit.functions.text import clean_text, title_prep, tokens, year_from_title
-from stratakit.operators.features import (fill_year_by_peers, genre_multi_hot, genre_vocabulary,
-                                          mean_by_key, mean_vectors, ordered_concat,
-                                          process_tokens, spread_vector, text_embedding,
+from stratakit.operators.features import (fill_year_by_peers, genre_index, mean_by_key, mean_sparse, ordered_concat,
+                                          process_tokens, sparse_genres, spread_vector, term_places, text_embedding,
                                           user_vectors)
 from stratakit.functions.rand import hash32, hash32_sql
 from stratakit.operators.index import dense_codes
 from stratakit.plans.registry import SEED, query
+from stratakit.session import checkpointed
 from stratakit.sources import tables as t
 
 DIM = 64
@@ -121,10 +121,17 @@ SELECT item_id,
 FROM ({CATALOGUE_SQL})""")
 def q_genre_multi_hot(spark, d):
     """H5 + G4: multi-hot over the alphabetical genre vocabulary."""
-    c = genre_multi_hot(catalogue(spark, d), "genres", "genre_hot")
-    return c.select("item_id",
-                    F.array_join(F.transform("genre_hot", lambda x: x.cast("string")), "").alias("genre_bits"),
-                    F.aggregate("genre_hot", F.lit(0), lambda a, x: a + x).cast("int").alias("n_genres"))
+    cat = catalogue(spark, d)
+    vocabulary = genre_index(cat, "genres")
+    c = sparse_genres(cat, "item_id", "genres", vocabulary)
+    return with_bits(c, vocabulary).select("item_id", "genre_bits", F.size("genres_at").alias("n_genres"))
+
+
+def with_bits(df, vocabulary):
+    """Output edge only: sparse genres as one string of 0 and 1."""
+    n = vocabulary.select(F.count(F.lit(1)).cast("int")).scalar()
+    bits = F.transform(F.sequence(F.lit(1), F.col("_size")), lambda i: F.array_contains("genres_at", (i - 1).cast("long")).cast("int").cast("string"))
+    return df.withColumn("_size", n).withColumn("genre_bits", F.when(F.col("_size") > 0, F.array_join(bits, "")).otherwise("")).drop("_size")
 
 
 # ------------------------------------------------------------- texts
@@ -246,11 +253,17 @@ FROM f LEFT JOIN r ON f.item_id = r.item_id""")
 def q_item_features(spark, d):
     """I14 (items): filled year, mean rating (0 when unrated, C6 + B6) and
     genre multi-hot."""
-    f = genre_multi_hot(filled(spark, d), "genres", "genre_hot")
+    f = item_genres(spark, d)
     r = mean_by_key(t.history(spark, d), "item_id", "relevance", "rating_avg")
-    return (f.join(r, "item_id", "left")
-            .select("item_id", "year", F.round(F.coalesce("rating_avg", F.lit(0.0)), 6).alias("rating_avg"),
-                    F.array_join(F.transform("genre_hot", lambda x: x.cast("string")), "").alias("genre_bits")))
+    return f.join(r, "item_id", "left").select("item_id", "year", F.round(F.coalesce("rating_avg", F.lit(0.0)), 6).alias("rating_avg"),
+                                               "genre_bits")
+
+
+def item_genres(spark, d):
+    """Filled years and genre bits of the catalogue."""
+    f = filled(spark, d)
+    vocabulary = genre_index(f, "genres")
+    return with_bits(sparse_genres(f, "item_id", "genres", vocabulary), vocabulary)
 
 
 @query("user_features", f"""
@@ -266,70 +279,92 @@ FROM g JOIN ra ON g.user_id = ra.user_id""")
 def q_user_features(spark, d):
     """I14 (users): mean rating (D3) and mean genre vector once per rating
     row (D4), spread to (user_id, genre) rows at the output edge."""
-    h = t.history(spark, d)
-    cat = genre_multi_hot(catalogue(spark, d), "genres", "genre_hot")
-    vocab = genre_vocabulary(catalogue(spark, d), "genres")
-    j = h.join(cat.select("item_id", "genre_hot"), "item_id")
-    # the vocabulary is small and bounded; its size makes the mean one hash
-    # aggregate of per-genre sums
-    n_genres = len(spark.range(1).select(vocab).first()[0] or [])
-    means = mean_vectors(j, "user_id", "genre_hot", None, "share", dim=n_genres)
-    ra = mean_by_key(h, "user_id", "relevance", "rating_avg")
-    out = (means.select("user_id", F.posexplode("share").alias("_i", "share"))
-           .withColumn("genre", F.element_at(vocab, F.col("_i") + 1))
-           .join(ra, "user_id"))
-    return out.select("user_id", "genre", F.round("share", 6).alias("genre_share"),
-                      F.round("rating_avg", 6).alias("rating_avg"))
+    return user_genres(spark, d).select("user_id", "genre", F.round("share", 6).alias("genre_share"),
+                                        F.round("rating_avg", 6).alias("rating_avg"))
+
+
+def user_genres(spark, d):
+    """(user_id, rating_avg, genre, share) for every genre of the vocabulary:
+    sparse means, spread with zeros at the output edge."""
+    h, cat = t.history(spark, d), catalogue(spark, d)
+    vocabulary = genre_index(cat, "genres")
+    j = h.join(sparse_genres(cat, "item_id", "genres", vocabulary).select("item_id", "genres_at"), "item_id")
+    shares = mean_sparse(j, "user_id", "genres_at")
+    n = vocabulary.select(F.count(F.lit(1))).scalar()
+    users = j.groupBy("user_id").agg(F.count(F.lit(1)).alias("_rows")).join(mean_by_key(h, "user_id", "relevance", "rating_avg"), "user_id")
+    wide = (users.withColumn("_size", n).where("_size > 0")
+            .withColumn("index", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_size") - 1))))
+    return (wide.join(vocabulary, "index").join(shares, ["user_id", "index"], "left")
+            .select("user_id", "rating_avg", "genre", F.coalesce("share", F.lit(0.0)).alias("share")))
 
 
 # ------------------------------------------------ title-embedding variant
-def title_word_vectors(spark, d, cleaned):
-    """(token, vec) for the catalogue's own title words."""
-    return word_vectors(spark, d, cleaned.select(F.explode(tokens(F.col("clean"))).alias("token")).distinct())
+TITLES_A_WORD = 2
+
+
+def title_vectors(spark, d):
+    """(item_id, vec): titles without stop words, lemmatised and cut to words
+    that at least ``TITLES_A_WORD`` titles have, then embedded."""
+    titles = catalogue(spark, d).select("item_id", "title")
+    words = term_places(titles, "item_id", "title").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    dct = checkpointed(words.where(F.col("n") >= TITLES_A_WORD).select("token"))
+    clean = process_tokens(titles, "item_id", "title", STOP_WORDS, lemma_table(dct), dct, "clean")
+    return text_embedding(clean, "item_id", "clean", word_vectors(spark, d, dct), DIM)
 
 
 @query("title_user_vectors", f"""
-WITH cat AS (SELECT item_id, {CLEAN_SQL.format(c='title')} AS clean FROM ({CATALOGUE_SQL})),
-tok AS (SELECT item_id, unnest(string_split(clean, ' ')) AS token FROM cat),
-voc AS (SELECT token, {WORD_CODE_SQL} AS code FROM (SELECT DISTINCT token FROM tok WHERE token <> '')),
-wv AS (SELECT voc.token, e.embedding FROM voc JOIN embeddings e ON e.vec_id = voc.code),
-k AS (SELECT tok.item_id, wv.embedding FROM tok JOIN wv ON tok.token = wv.token),
+WITH tok AS (SELECT item_id, unnest(string_split({CLEAN_SQL.format(c='title')}, ' ')) AS token FROM ({CATALOGUE_SQL})),
+dict AS (SELECT token FROM tok WHERE token <> '' GROUP BY token HAVING count(DISTINCT item_id) >= {TITLES_A_WORD}),
+lem AS (SELECT token, substr(token, 1, length(token) - 1) AS lemma FROM dict
+        WHERE token LIKE '%s' AND length(token) > 1
+          AND substr(token, 1, length(token) - 1) IN (SELECT token FROM dict)),
+cl AS (SELECT tok.item_id, coalesce(lem.lemma, tok.token) AS token FROM tok LEFT JOIN lem ON tok.token = lem.token
+       WHERE tok.token NOT IN ({STOP_SQL})),
+wv AS (SELECT token, e.embedding FROM (SELECT token, {WORD_CODE_SQL} AS code FROM dict) x JOIN embeddings e ON e.vec_id = x.code),
+k AS (SELECT cl.item_id, wv.embedding FROM cl JOIN wv ON cl.token = wv.token),
 iv AS (SELECT k.item_id, g.i AS dim, avg(k.embedding[g.i + 1]) AS value FROM k CROSS JOIN range({DIM}) g(i) GROUP BY ALL),
-p AS (SELECT DISTINCT user_id, item_id FROM ({t.HISTORY_SQL})),
+h AS ({t.HISTORY_SQL}),
+p AS (SELECT DISTINCT user_id, item_id FROM h),
+ra AS (SELECT user_id, avg(relevance) AS rating_avg FROM h GROUP BY user_id),
 m AS (SELECT p.user_id, g.i AS dim, avg(coalesce(iv.value, 0.0)) AS value
       FROM p CROSS JOIN range({DIM}) g(i) LEFT JOIN iv ON iv.item_id = p.item_id AND iv.dim = g.i GROUP BY ALL)
-SELECT user_id, CAST(dim AS INTEGER) AS dim, round(value, 6) AS value FROM m""")
+SELECT m.user_id, c.c_acctbal AS acctbal, c.c_nationkey AS nationkey, round(ra.rating_avg, 6) AS rating_avg,
+       CAST(m.dim AS INTEGER) AS dim, round(m.value, 6) AS value
+FROM m JOIN ra USING (user_id) JOIN customer c ON c.c_custkey = m.user_id""")
 def q_title_user_vectors(spark, d):
-    """I15 (+ H3 H6 C9 D5): item vectors from cleaned titles (mean word
+    """I15 (+ H3 H4 H6 C9 D5): item vectors from processed titles (mean word
     vector, zeros when no word is known), user vector = mean over the user's
-    distinct items, spread at the output edge."""
-    cleaned = catalogue(spark, d).select("item_id", clean_text(F.col("title")).alias("clean"))
-    iv = text_embedding(cleaned, "item_id", "clean", title_word_vectors(spark, d, cleaned), DIM)
-    uv = user_vectors(t.history(spark, d), iv, "user_id", "item_id", DIM)
-    return spread_vector(uv, "user_id", "vec")
+    distinct items, joined to the user's own features and mean rating, spread
+    at the output edge."""
+    h = t.history(spark, d)
+    uv = user_vectors(h, title_vectors(spark, d), "user_id", "item_id", DIM)
+    users = t.users(spark, d).select("user_id", "acctbal", "nationkey")
+    out = uv.join(mean_by_key(h, "user_id", "relevance", "rating_avg"), "user_id").join(users, "user_id")
+    return out.select("user_id", "acctbal", "nationkey", F.round("rating_avg", 6).alias("rating_avg"),
+                      F.posexplode("vec").alias("dim", "value")).select(
+        "user_id", "acctbal", "nationkey", "rating_avg", F.col("dim").cast("int").alias("dim"), F.round("value", 6).alias("value"))
 
 
 # ------------------------------------------------ assembled feature tables
 # Tags of an item: the texts of the conversation whose id is the item's key
 # modulo the number of conversations, stopped, lemmatised and cut to dictionary
 # words before they are embedded.
-def item_tags(spark, d):
-    """(item_id, clean): each item's tag text after H3, H4 and D6."""
+def tag_vectors(spark, d):
+    """(conv_id, vec): each conversation's tag text after H3, H4 and D6,
+    embedded; written once, because items and users both read it."""
     turns = t.read(spark, d, "conversations").select("conv_id", "turn", clean_text(F.col("text")).alias("c"))
     texts = ordered_concat(turns.where("c <> ''"), "conv_id", "turn", "c", "tags").select("conv_id", "tags")
-    dct = dictionary(spark, d)
-    clean = process_tokens(texts, "conv_id", "tags", STOP_WORDS, lemma_table(dct), dct, "clean").select("conv_id", "clean")
-    n = t.read(spark, d, "conversations").select(F.countDistinct("conv_id")).scalar()
-    items = t.read(spark, d, "part").select(F.col("p_partkey").alias("item_id"), (F.col("p_partkey") % n).alias("conv_id"))
-    return items.join(clean, "conv_id").select("item_id", "clean")
+    dct = checkpointed(dictionary(spark, d))
+    clean = process_tokens(texts, "conv_id", "tags", STOP_WORDS, lemma_table(dct), dct, "clean")
+    return checkpointed(text_embedding(clean, "conv_id", "clean", word_vectors(spark, d, dct), DIM))
 
 
 def item_tag_vectors(spark, d):
     """(item_id, vec) of every item; zeros for items without a known tag."""
-    items = t.read(spark, d, "part").select(F.col("p_partkey").alias("item_id"))
-    texts = items.join(item_tags(spark, d), "item_id", "left").select(
-        "item_id", F.coalesce("clean", F.lit("")).alias("clean"))
-    return text_embedding(texts, "item_id", "clean", word_vectors(spark, d, dictionary(spark, d)), DIM)
+    n = t.read(spark, d, "conversations").select(F.countDistinct("conv_id")).scalar()
+    items = t.read(spark, d, "part").select(F.col("p_partkey").alias("item_id"), (F.col("p_partkey") % n).alias("conv_id"))
+    zeros = F.array_repeat(F.lit(0.0), DIM)
+    return items.join(tag_vectors(spark, d), "conv_id", "left").select("item_id", F.coalesce("vec", zeros).alias("vec"))
 
 
 TAG_VECTOR_CTES = f"""
@@ -363,13 +398,12 @@ def q_item_feature_table(spark, d):
     """I14 (items), assembled: dense code, filled year, mean rating, genre
     multi-hot and the embedding of the stopped, lemmatised, dictionary-filtered
     tags, spread to dimensions at the output edge."""
-    f = genre_multi_hot(filled(spark, d), "genres", "genre_hot")
+    f = checkpointed(item_genres(spark, d).select("item_id", "year", "genre_bits"))
     r = mean_by_key(t.history(spark, d), "item_id", "relevance", "rating_avg")
     codes = dense_codes(f.select("item_id"), "item_id")
     out = (f.join(r, "item_id", "left").join(item_tag_vectors(spark, d), "item_id").join(codes, "item_id"))
     return out.select(F.col("code").alias("item_code"), "year",
-                      F.round(F.coalesce("rating_avg", F.lit(0.0)), 6).alias("rating_avg"),
-                      F.array_join(F.transform("genre_hot", lambda x: x.cast("string")), "").alias("genre_bits"),
+                      F.round(F.coalesce("rating_avg", F.lit(0.0)), 6).alias("rating_avg"), "genre_bits",
                       F.posexplode("vec").alias("dim", "value")).select(
         "item_code", "year", "rating_avg", "genre_bits", F.col("dim").cast("int").alias("dim"),
         F.round("value", 6).alias("value"))
@@ -395,3 +429,32 @@ def q_user_feature_table(spark, d):
     return out.select(F.col("code").alias("user_code"), F.round("rating_avg", 6).alias("rating_avg"),
                       F.posexplode("vec").alias("dim", "value")).select(
         "user_code", "rating_avg", F.col("dim").cast("int").alias("dim"), F.round("value", 6).alias("value"))
+
+
+@query("user_table", f"""
+WITH {TAG_VECTOR_CTES},
+h AS ({t.HISTORY_SQL}),
+c AS ({CATALOGUE_SQL}),
+v AS (SELECT unnest({VOCAB_SQL}) AS genre),
+p AS (SELECT DISTINCT user_id, item_id FROM h),
+ra AS (SELECT user_id, avg(relevance) AS rating_avg FROM h GROUP BY user_id),
+codes AS (SELECT user_id, CAST(row_number() OVER (ORDER BY user_id) - 1 AS BIGINT) AS user_code FROM ra),
+j AS (SELECT h.user_id, {GENRE_LIST_SQL.replace('genres', 'c.genres')} AS gl FROM h JOIN c ON h.item_id = c.item_id),
+x AS (SELECT user_id, 'rating_avg' AS feature, rating_avg AS value FROM ra
+      UNION ALL SELECT j.user_id, 'genre ' || v.genre, avg(CASE WHEN list_contains(j.gl, v.genre) THEN 1.0 ELSE 0.0 END)
+      FROM j CROSS JOIN v GROUP BY ALL
+      UNION ALL SELECT p.user_id, 'tag ' || iv.dim, avg(iv.value) FROM p JOIN iv ON iv.item_id = p.item_id GROUP BY p.user_id, iv.dim)
+SELECT user_code, feature, round(value, 6) AS value FROM x JOIN codes USING (user_id)""")
+def q_user_table(spark, d):
+    """I14 (users), whole: mean rating, genre means and mean tag embedding of
+    each user under one dense code, as (code, feature, value) rows."""
+    h = t.history(spark, d)
+    genres = user_genres(spark, d).select("user_id", F.concat(F.lit("genre "), "genre").alias("feature"), F.col("share").alias("value"))
+    tags = user_vectors(h, item_tag_vectors(spark, d), "user_id", "item_id", DIM).select(
+        "user_id", F.posexplode("vec").alias("dim", "value")).select(
+        "user_id", F.concat(F.lit("tag "), F.col("dim").cast("string")).alias("feature"), "value")
+    ra = checkpointed(mean_by_key(h, "user_id", "relevance", "rating_avg"))
+    means = ra.select("user_id", F.lit("rating_avg").alias("feature"), F.col("rating_avg").alias("value"))
+    codes = dense_codes(ra, "user_id")
+    return (means.unionByName(genres).unionByName(tags).join(codes, "user_id")
+            .select(F.col("code").alias("user_code"), "feature", F.round("value", 6).alias("value")))
