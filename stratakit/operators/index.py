@@ -9,7 +9,7 @@ partition.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,14 +59,16 @@ def dense_codes(ids: DataFrame, id_col: str, code_col: str = "code") -> DataFram
 
 
 def recode(df: DataFrame, id_col: str, codes: DataFrame, code_col: str = "code",
-           out_col: str | None = None) -> DataFrame:
+           out_col: str | None = None, dropped: Observation | None = None) -> DataFrame:
     """Replace ``id_col`` by its dense code (C10); rows whose id has no code
-    are dropped (inner join, quirk Q17)."""
+    are dropped (inner join, quirk Q17).  ``dropped`` counts them in the same
+    pass: after an action ``dropped.get`` has ``without_code``."""
     out = out_col or id_col
     c = codes.select(F.col(id_col).alias("_rid"), F.col(code_col).alias("_code"))
-    return (df.join(c, df[id_col] == c["_rid"])
-            .drop("_rid").drop(id_col)
-            .withColumnRenamed("_code", out))
+    j = df.join(c, df[id_col] == c["_rid"], "inner" if dropped is None else "left")
+    if dropped is not None:
+        j = j.observe(dropped, F.count_if(F.col("_code").isNull()).alias("without_code")).where(F.col("_code").isNotNull())
+    return j.drop("_rid").drop(id_col).withColumnRenamed("_code", out)
 
 
 def explode_range(df: DataFrame, count_col: str, out_col: str, block: int = 4096,

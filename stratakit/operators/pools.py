@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,8 +31,8 @@ def tag_origin(df: DataFrame, synth: int, cluster: int | None, stratum: str | No
     return df.withColumns(cols)
 
 
-def augment_pool(real: DataFrame | None, generated: dict[str, DataFrame], key: str,
-                 with_cluster: bool = True, fill_missing: bool = False) -> DataFrame:
+def augment_pool(real: DataFrame | None, generated: dict, key: str, with_cluster: bool = True,
+                 fill_missing: bool = False, spark: SparkSession | None = None) -> DataFrame:
     """Real rows (flag 0, stratum 0) followed by the rows of every named
     generator (flag 1, stratum i in dict order) under contiguous new keys.
 
@@ -41,13 +41,20 @@ def augment_pool(real: DataFrame | None, generated: dict[str, DataFrame], key: s
     its keys become ``offset_i + row_index`` with ``offset_1 = max(real key)+1``
     and ``offset_{i+1} = offset_i + max(row_index_i) + 1``.  Columns have to be
     the same throughout, unless ``fill_missing`` lets a missing one be null.
+
+    An entry may also be ``(generator, n)``, see
+    :mod:`stratakit.operators.generators`; ``spark`` is then needed where
+    there is no real table.
     """
     parts = []
+    if spark is None and real is not None:
+        spark = real.sparkSession
+    made = {name: g[0].generate(spark, g[1]) if isinstance(g, tuple) else g for name, g in generated.items()}
     if real is not None:
         parts.append(tag_origin(real, 0, 0 if with_cluster else None,
                                 "real" if with_cluster else None))
     offset = next_key(real, key)
-    for i, (name, gen) in enumerate(generated.items(), start=1):
+    for i, (name, gen) in enumerate(made.items(), start=1):
         if GEN_INDEX not in gen.columns:
             raise ValueError(f"generated frame {name!r} needs a {GEN_INDEX!r} column")
         g = (gen.withColumn(key, (offset + F.col(GEN_INDEX)).cast("long"))

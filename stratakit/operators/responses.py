@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from stratakit.functions.rand import bernoulli, normal
@@ -48,18 +49,47 @@ def weighted_ensemble(components: list[Column], weights: list[float]) -> Column:
     return acc
 
 
+def vectorised_response(fn: Callable, *cols: str, returns: str = "double") -> Builder:
+    """SURVEY 2.10's escape hatch: ``fn`` takes the named columns of the joined
+    pair row as a pandas frame (an Arrow batch of rows) and returns a series.
+    A Column builder is faster wherever the formula can be written as one."""
+    def over_frame(frame: pd.DataFrame) -> pd.Series:
+        return pd.Series(fn(frame))
+    scored = F.pandas_udf(over_frame, returns)
+    return lambda joined: scored(F.struct(*[joined[c] for c in cols]))
+
+
 def attach_features(pairs: DataFrame, users: DataFrame, items: DataFrame,
-                    user_key: str, item_key: str) -> DataFrame:
+                    user_key: str, item_key: str, dropped: Observation | None = None) -> DataFrame:
     """Pair -> user features -> item features, keyed inner joins (Q1, Q2);
-    AQE chooses the join by the sides' bytes."""
-    return pairs.select(user_key, item_key).join(users, user_key).join(items, item_key)
+    AQE chooses the join by the sides' bytes.
+
+    ``dropped`` counts what the joins leave out, in the same pass: after an
+    action ``dropped.get`` has ``without_user`` and ``without_item`` (pairs
+    with a known user but no item)."""
+    own = pairs.select(user_key, item_key)
+    if dropped is None:
+        return own.join(users, user_key).join(items, item_key)
+    known_user, known_item = _fresh("known_user", users, items), _fresh("known_item", users, items)
+    j = (own.join(users.withColumn(known_user, F.lit(True)), user_key, "left")
+         .join(items.withColumn(known_item, F.lit(True)), item_key, "left"))
+    no_user, no_item = F.col(known_user).isNull(), F.col(known_item).isNull()
+    j = j.observe(dropped, F.count_if(no_user).alias("without_user"), F.count_if(~no_user & no_item).alias("without_item"))
+    return j.where(~no_user & ~no_item).drop(known_user, known_item)
+
+
+def _fresh(name: str, *tables: DataFrame) -> str:
+    taken = {c for df in tables for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
 
 
 def score_responses(pairs: DataFrame, users: DataFrame, items: DataFrame,
                     user_key: str, item_key: str, actions: Mapping[str, Builder],
-                    keep_features: bool = False) -> DataFrame:
+                    keep_features: bool = False, dropped: Observation | None = None) -> DataFrame:
     """One column per named action over the feature-joined pairs."""
-    joined = attach_features(pairs, users, items, user_key, item_key)
+    joined = attach_features(pairs, users, items, user_key, item_key, dropped)
     cols = {name: (b(joined) if callable(b) else b) for name, b in actions.items()}
     out = joined.withColumns(cols)
     if keep_features:

@@ -25,21 +25,34 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool
     return spark.read.schema(schema).option("header", header).option("mode", "FAILFAST").csv(path)
 
 
-def read_task_sets(spark: SparkSession, path: str, order_col: str, fmt: str = "csv",
+def read_task_sets(spark: SparkSession, path: str, order_col: str | None = None, fmt: str = "csv",
                    schema: T.StructType = TASK_SCHEMA) -> DataFrame:
     """A2: a folder of task-set files, one file = one instance.
 
-    ``instance_id`` is the file name.  Rows of a file have no order in Spark
-    (a large file is read in splits), so the files carry one: ``order_col``,
-    a number, added to the schema if it isn't there.  ``task_no`` is the rank
-    in it, by one global sort rather than a window a file."""
+    ``instance_id`` is the file name, ``task_no`` the place of a row in its
+    file, or its rank in ``order_col`` (a number that the files carry; added
+    to the schema if it isn't there).  One global sort ranks all files, not a
+    window a file.  A file may be read in several splits."""
     from stratakit.operators.queues import number_tasks
-    if order_col not in schema.names:
+    if order_col is not None and order_col not in schema.names:
         schema = T.StructType([T.StructField(order_col, T.LongType()), *schema.fields])
     reader = spark.read.schema(schema)
     df = reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
-    df = df.withColumn("instance_id", F.element_at(F.split(F.input_file_name(), "/"), -1))
-    return number_tasks(df, "instance_id", [order_col])
+    df = with_file_order(df, fmt).withColumn("instance_id", F.element_at(F.split("_file_path", "/"), -1))
+    own = [order_col] if order_col is not None else ["_file_at", "_file_row"]
+    return number_tasks(df, "instance_id", own).drop("_file_path", "_file_at", "_file_row")
+
+
+def with_file_order(df: DataFrame, fmt: str) -> DataFrame:
+    """Columns ``_file_path``, ``_file_at``, ``_file_row`` of a fresh scan:
+    rows of a file are in the order of the last two.  Parquet knows the row's
+    number; of a text file it is the split's first byte and the row's place
+    among those that the task reads (tasks read a split from front to back)."""
+    if fmt == "parquet":
+        at, row = F.lit(0).cast("long"), F.col("_metadata.row_index")
+    else:
+        at, row = F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
+    return df.select("*", F.col("_metadata.file_path").alias("_file_path"), at.alias("_file_at"), row.alias("_file_row"))
 
 
 def from_pandas(spark: SparkSession, pdf, schema: T.StructType | None = None) -> DataFrame:

@@ -28,6 +28,28 @@ def test_task_sets_folder_and_csv_sink(spark):
     assert back["a.csv", "2"] == 2.0 and back["a.csv", "4"] == 15.0
 
 
+def test_task_sets_without_an_order_column(spark):
+    d = tempfile.mkdtemp(prefix="stratakit-io-")
+    os.makedirs(f"{d}/in")
+    n = {"a.csv": 4000, "b.csv": 3}
+    for name, rows in n.items():
+        with open(f"{d}/in/{name}", "w") as f:
+            f.write("arrival,processing,deadline\n" + "".join(f"{i * 7919 % 4001},{i},{i % 5}\n" for i in range(rows)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        tasks = read_task_sets(spark, f"{d}/in")
+        assert spark.read.csv(f"{d}/in").rdd.getNumPartitions() > 8                  # the large file has several splits
+        assert {(r["instance_id"], r["task_no"], r["processing"]) for r in tasks.collect()} == \
+            {(name, i + 1, float(i)) for name, rows in n.items() for i in range(rows)}
+        tasks.where("instance_id = 'a.csv'").orderBy("task_no").select("arrival", "processing", "deadline").coalesce(1) \
+            .write.option("parquet.block.size", 1024).parquet(f"{d}/p")
+        again = read_task_sets(spark, f"{d}/p", fmt="parquet")
+        assert [r["processing"] for r in again.orderBy("task_no").collect()] == [float(i) for i in range(4000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_from_pandas_and_params(spark):
     with pytest.raises(ValueError):
         from_pandas(spark, pd.DataFrame())
