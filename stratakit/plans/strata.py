@@ -130,11 +130,49 @@ def q_kmeans(spark, d):
     return model.apply(v, "embedding").select("vec_id", "cluster")
 
 
-@query("bisecting_strata")
+BISECT_K, BISECT_STEPS = 8, 5
+
+
+def _bisect_ctes(levels: int) -> str:
+    """CTEs ending in ``b{levels}(vec_id, z, node)``: all leaves of a level are
+    split in two, children of node n being 2n + 1 and 2n + 2.  ``v`` has
+    (vec_id, z)."""
+    def dist(c):
+        return f"list_sum(list_transform(range(1, len(z) + 1), lambda i: (z[i] - {c}[i]) * (z[i] - {c}[i])))"
+
+    def means(rows, key):
+        return (f"SELECT {key}, list(m ORDER BY i) AS m FROM (SELECT {key}, i, avg(z[i]) AS m FROM ("
+                f"SELECT {key}, z, unnest(range(1, len(z) + 1)) AS i FROM {rows}) GROUP BY {key}, i) GROUP BY {key}")
+
+    out = ", b0 AS MATERIALIZED (SELECT vec_id, z, 0 AS node FROM v)"
+    for n in range(levels):
+        out += f""",
+m{n} AS MATERIALIZED ({means(f"b{n}", "node")}),
+s{n}_0 AS MATERIALIZED (SELECT node, l, list_transform(range(1, len(l) + 1), lambda i: 2 * m[i] - l[i]) AS r FROM (
+  SELECT node, any_value(m) AS m, arg_max(z, ({dist("m")}, z)) AS l FROM b{n} JOIN m{n} USING (node) GROUP BY node))"""
+        for s in range(BISECT_STEPS + 1):
+            out += f""",
+w{n}_{s} AS MATERIALIZED (SELECT vec_id, z, node, l, r, CASE WHEN {dist("l")} <= {dist("r")} THEN 1 ELSE 2 END AS side
+                          FROM b{n} JOIN s{n}_{s} USING (node))"""
+            if s < BISECT_STEPS:
+                out += f""",
+p{n}_{s} AS MATERIALIZED ({means(f"w{n}_{s}", "node, side")}),
+s{n}_{s + 1} AS MATERIALIZED (SELECT s.node, coalesce(a.m, s.l) AS l, coalesce(b.m, s.r) AS r FROM s{n}_{s} s
+  LEFT JOIN p{n}_{s} a ON a.node = s.node AND a.side = 1 LEFT JOIN p{n}_{s} b ON b.node = s.node AND b.side = 2)"""
+        out += f""",
+b{n + 1} AS MATERIALIZED (SELECT vec_id, z, 2 * node + side AS node FROM w{n}_{BISECT_STEPS})"""
+    return out
+
+
+@query("bisecting_strata", f"""
+WITH {_lloyd_ctes("SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings", "vec_id", 1).split("c0 AS (")[0].rstrip(", " + chr(10))}
+{_bisect_ctes(3)}
+SELECT vec_id, CAST(dense_rank() OVER (ORDER BY node) - 1 AS INTEGER) AS cluster FROM b3""")
 def q_bisecting(spark, d):
-    """Divisive hierarchical strata (bisecting k-means, k=8)."""
+    """Divisive hierarchical strata (k=8: three levels, fixed starts and
+    steps)."""
     v = _vectors(spark, d)
-    return fit_bisecting(v, "embedding", 8, seed=SEED).apply(v, "embedding").select("vec_id", "cluster")
+    return fit_bisecting(v, "embedding", BISECT_K, steps=BISECT_STEPS).apply(v, "embedding").select("vec_id", "cluster")
 
 
 KMEANS_SUBSET_CTES = f"""
@@ -171,11 +209,59 @@ def q_subset_by_kmeans_users(spark, d):
     return _kmeans_subset(spark, d)[0].select(F.col("user_id").alias("user_code"), "acctbal")
 
 
-@query("pca_embedding")
+def _pca_ctes(d: int = 64, sweeps: int = 9, share: float = 0.8) -> str:
+    """CTEs ending in ``z(vec_id, i, z)`` and ``ld(component, i, x, share)``: Jacobi
+    rotations of the covariance of the standardised dimensions, d / 2 disjoint
+    pairs at a time in the order of a round-robin tournament (d even)."""
+    m = d - 1
+    turn = f"""(SELECT i, p, CASE WHEN b = 0 THEN 1.0 ELSE cos(h) END AS co, CASE WHEN b = 0 THEN 0.0 ELSE sin(h) END AS si FROM (
+      SELECT i, p, b, CASE WHEN g = 0 THEN CASE WHEN i < p THEN pi() / 4 ELSE -pi() / 4 END ELSE 0.5 * atan(2 * b / g) END AS h FROM (
+        SELECT i, p, a[i * {d} + p + 1] AS b, a[i * {d} + i + 1] - a[p * {d} + p + 1] AS g FROM (
+          SELECT a, i, CASE WHEN i = {m} THEN step % {m} WHEN i = step % {m} THEN {m} ELSE (2 * (step % {m}) - i + {m}) % {m} END AS p
+          FROM jac, range({d}) r(i)))))"""
+    return f"""
+e AS MATERIALIZED (SELECT vec_id, i - 1 AS i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, {d + 1}) r(i)),
+mo AS MATERIALIZED (SELECT i, avg(x) AS m, CASE WHEN coalesce(stddev_pop(x), 0) = 0 THEN 1.0 ELSE stddev_pop(x) END AS s FROM e GROUP BY i),
+z AS MATERIALIZED (SELECT vec_id, i, (x - m) / s AS z FROM e JOIN mo USING (i)),
+cov AS MATERIALIZED (SELECT p.i, q.i AS j, avg(p.z * q.z) AS c FROM z p JOIN z q USING (vec_id) GROUP BY p.i, q.i),
+jac AS (
+  SELECT 0 AS step, list(c ORDER BY i * {d} + j) AS a, list(CAST(i = j AS DOUBLE) ORDER BY i * {d} + j) AS v FROM cov
+  UNION ALL
+  SELECT step + 1, na, nv FROM (
+    SELECT any_value(w.step) AS step,
+           list(x.co * (w.a[x.i * {d} + y.i + 1] * y.co + w.a[x.i * {d} + y.p + 1] * y.si)
+                + x.si * (w.a[x.p * {d} + y.i + 1] * y.co + w.a[x.p * {d} + y.p + 1] * y.si) ORDER BY x.i * {d} + y.i) AS na,
+           list(w.v[x.i * {d} + y.i + 1] * y.co + w.v[x.i * {d} + y.p + 1] * y.si ORDER BY x.i * {d} + y.i) AS nv
+    FROM jac w, {turn} x, {turn} y) WHERE step < {sweeps * m}),
+fin AS MATERIALIZED (SELECT a, v FROM jac ORDER BY step DESC LIMIT 1),
+ev AS MATERIALIZED (SELECT c, a[c * {d} + c + 1] AS l FROM fin, range({d}) r(c)),
+kept AS MATERIALIZED (SELECT c, component, share FROM (
+  SELECT c, l / sum(l) OVER () AS share, row_number() OVER (ORDER BY l DESC) - 1 AS component,
+         sum(l) OVER (ORDER BY l DESC) / sum(l) OVER () - l / sum(l) OVER () AS before FROM ev) WHERE before < {share} - 1e-12),
+raw AS MATERIALIZED (SELECT component, share, i, v[i * {d} + c + 1] AS x FROM fin, kept, range({d}) r(i)),
+ld AS MATERIALIZED (SELECT component, share, i, x * CASE WHEN big >= 0 THEN 1.0 ELSE -1.0 END AS x
+  FROM raw JOIN (SELECT component, arg_max(x, (abs(x), -i)) AS big FROM raw GROUP BY component) USING (component))"""
+
+
+@query("pca_embedding", f"""
+WITH RECURSIVE {_pca_ctes()}
+SELECT vec_id, list(round(s, 6) ORDER BY component) AS embedding FROM (
+  SELECT vec_id, component, sum(z * x) AS s FROM z JOIN ld USING (i) GROUP BY vec_id, component) GROUP BY vec_id""")
 def q_pca(spark, d):
     """I8: standardise + PCA keeping 80 % of the variance."""
     v = _vectors(spark, d)
-    return fit_pca(v, "embedding", variance_share=0.8).apply(v, "embedding").select("vec_id", "embedding")
+    return fit_pca(v, "embedding", variance_share=0.8).apply(v, "embedding").select(
+        "vec_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+
+
+@query("pca_components", f"""
+WITH RECURSIVE {_pca_ctes()}
+SELECT CAST(component AS INTEGER) AS component, CAST(i AS INTEGER) AS dim, round(x, 6) AS loading, round(share, 6) AS share FROM ld""")
+def q_pca_components(spark, d):
+    """I8: loadings and variance shares of the components kept."""
+    model = fit_pca(_vectors(spark, d), "embedding", variance_share=0.8)
+    return model.components(spark).select("component", "dim", F.round("loading", 6).alias("loading"),
+                                          F.round("share", 6).alias("share"))
 
 
 PCA_DIMS = 16

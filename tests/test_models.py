@@ -63,3 +63,75 @@ def test_response_and_classifier_round_trip(spark):
     new = data.limit(10)
     assert _rows(m.class_probabilities(forest, new), "user_id", "probs") == \
         _rows(m.class_probabilities(PipelineModel.load(f"{root}/forest"), new), "user_id", "probs")
+
+
+def test_split_tree_against_a_plain_one(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, 1, (n, 3)) for c, n in ((0, 40), (9, 25), (30, 10), (33, 5))])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(900, None)], "id int, x array<double>")
+    model = m.fit_bisecting(df, "x", 6, steps=4)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    node, splits = np.zeros(len(z), int), {}
+    while len(splits) < 5:                                          # levels of 1, 2 and 2 splits
+        leaves = sorted(((((z[node == n] - z[node == n].mean(axis=0)) ** 2).sum(), n) for n in set(node)),
+                        key=lambda t: (-t[0], t[1]))[:5 - len(splits)]
+        top = 2 * len(splits)
+        for at, n in enumerate(sorted(n for _, n in leaves)):
+            own = z[node == n]
+            mean = own.mean(axis=0)
+            left = own[((own - mean) ** 2).sum(axis=1).argmax()]
+            right = 2 * mean - left
+            for _ in range(5):
+                is_left = ((own - left) ** 2).sum(axis=1) <= ((own - right) ** 2).sum(axis=1)
+                last = is_left
+                left, right = own[is_left].mean(axis=0), own[~is_left].mean(axis=0)
+            splits[n] = top + 2 * at + 1
+            node[node == n] = np.where(last, splits[n], splits[n] + 1)
+    strata = sorted(set(node))
+    got = dict(_rows(model.apply(df.where("id < 900"), "x"), "id", "cluster"))
+    assert got == {i: strata.index(n) for i, n in enumerate(node)}
+    assert model.apply(df.where("id = 900"), "x").first()["cluster"] is None
+
+
+def test_split_tree_stops_at_equal_rows_and_empty_tables(spark):
+    df = spark.createDataFrame([([1.0, 2.0],)] * 6 + [([4.0, 2.0],)] * 3, "x array<double>")
+    model = m.fit_bisecting(df, "x", 5)
+    assert sorted(r["n"] for r in model.apply(df, "x").groupBy("cluster").agg(F.count("*").alias("n")).collect()) == [3, 6]
+    assert m.fit_bisecting(df.limit(0), "x", 5).splits == []
+    assert {r["cluster"] for r in m.fit_bisecting(df, "x", 1).apply(df, "x").collect()} == {0}
+
+
+def test_components_are_eigenvectors_with_fixed_signs(spark):
+    v = _vectors(spark)
+    model = m.fit_pca(v, "embedding", 3)
+    x = np.array([r["embedding"] for r in v.collect()])
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    values, vectors = np.linalg.eigh(z.T @ z / len(z))
+    rows = model.components(spark).collect()
+    assert len(rows) == 3 * x.shape[1]
+    for c in range(3):
+        own = vectors[:, -1 - c] * np.sign(vectors[:, -1 - c][abs(vectors[:, -1 - c]).argmax()])
+        got = sorted((r["dim"], r["loading"], r["share"]) for r in rows if r["component"] == c)
+        assert np.allclose([g[1] for g in got], own) and np.allclose(got[0][2], values[-1 - c] / values.sum())
+
+
+def test_factored_response_against_least_squares(spark):
+    rng = np.random.default_rng(2)
+    users = spark.createDataFrame([(i, float(rng.normal())) for i in range(30)] + [(99, None)], "user_id int, a double")
+    items = spark.createDataFrame([(i, float(rng.normal()), float(rng.normal())) for i in range(20)], "item_id int, b double, c double")
+    log = (users.where("user_id < 30").crossJoin(items)
+           .selectExpr("user_id", "item_id", "2 + 3 * a * b - a * c + 0.5 * b AS y"))
+    full = m.fit_factored_response(log.unionByName(log.limit(5).withColumn("y", F.lit(None).cast("double"))), users, items,
+                                   "user_id", "item_id", "y", ["a"], ["b", "c"], rank=2, steps=30, ridge=1e-6)
+    err = full.apply(log, users, items).selectExpr("max(abs(prediction - y)) AS e").first()["e"]
+    assert err < 1e-3                                               # a matrix of 2 x 3 has rank 2 at most
+    one = m.fit_factored_response(log, users, items, "user_id", "item_id", "y", ["a"], ["b", "c"], rank=1, steps=30, ridge=1e-6)
+    assert np.linalg.matrix_rank(np.array(one.weights), tol=1e-9) == 1
+    path = tempfile.mkdtemp(prefix="stratakit-model-") + "/factored"
+    full.save(path, spark)
+    new = items.select(F.lit(99).alias("user_id"), "item_id")       # a user without history or feature
+    a = full.apply(new, users, items)
+    assert _rows(a, *a.columns) == _rows(m.FactoredResponse.load(path, spark).apply(new, users, items), *a.columns)
+    assert a.where("prediction IS NULL").isEmpty() and a.count() == 20
+    empty = m.fit_factored_response(log.limit(0), users, items, "user_id", "item_id", "y", ["a"], ["b", "c"])
+    assert {r["prediction"] for r in empty.apply(new, users, items).collect()} == {0.0}
