@@ -104,13 +104,15 @@ def top_k_global_unseen(users: DataFrame, scores: DataFrame, seen: DataFrame | N
     else:
         u = u.withColumn("_seen", F.lit(0).cast("long"))
     from stratakit.operators.index import explode_range
-    need = F.lit(k) + F.col("_seen")
-    u = u.withColumn("_need", need).withColumn(
-        "_nchunks", F.floor((F.col("_need") - 1) / F.lit(chunk)).cast("long") + 1)
-    u = explode_range(u, "_nchunks", "_chunk", spread_cols=[user_key]).drop("_nchunks")
-    cand = (u.join(ranked, "_chunk")
-            .where(F.col("_rank") < F.col("_need"))
-            .select(user_key, item_key, "score", "_rank"))
+    u = u.withColumn("_need", F.lit(k) + F.col("_seen"))
+    # every user needs the first chunk, a table of at most ``chunk`` rows; it is no join key that all users share
+    head = parameter_broadcast(ranked.where(F.col("_rank") < chunk), chunk)
+    cand = u.withColumn("_chunk", F.lit(0).cast("long")).join(head, "_chunk")
+    if seen is not None or k > chunk:
+        rest = u.withColumn("_more", F.floor((F.col("_need") - 1) / F.lit(chunk)).cast("long")).where(F.col("_more") > 0)
+        rest = explode_range(rest, "_more", "_at", spread_cols=[user_key]).withColumn("_chunk", F.col("_at") + 1)
+        cand = cand.unionByName(rest.join(ranked, "_chunk").select(*cand.columns))
+    cand = cand.where(F.col("_rank") < F.col("_need")).select(user_key, item_key, "score", "_rank")
     if seen is not None:
         cand = cand.join(seen.select(user_key, item_key), [user_key, item_key], "left_anti")
     w = Window.partitionBy(user_key).orderBy("_rank")
