@@ -160,3 +160,18 @@ def test_empty_users_and_counts_below_one_are_errors(spark):
         get_train_log(hist, users, items, "user_id", "item_id", k=0)
     with pytest.raises(ValueError, match="1 or more"):
         sample_copula(spark, CopulaModel(), 0, 1)
+
+
+def test_shared_top_k_over_several_chunks(spark):
+    from stratakit.operators.logs import top_k_global_unseen
+    users = spark.range(5).withColumnRenamed("id", "u")
+    scores = spark.range(30).selectExpr("id AS i", "CAST(id % 7 AS DOUBLE) AS score")
+    ranking = sorted(range(30), key=lambda i: (-(i % 7), i))
+    seen = [(0, i) for i in ranking[:20]] + [(1, i) for i in ranking[3:9]] + [(2, i) for i in range(30)]
+    log = spark.createDataFrame(seen, "u long, i long")
+    for own in (None, log):
+        for k in (2, 6):
+            got = top_k_global_unseen(users, scores, own, "u", "i", k, chunk=4).collect()
+            want = {(u, i, n) for u in range(5) for n, i in enumerate(
+                [i for i in ranking if own is None or (u, i) not in seen][:k], 1)}
+            assert {(r["u"], r["i"], r["rank"]) for r in got} == want
