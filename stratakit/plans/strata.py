@@ -245,22 +245,24 @@ ld AS MATERIALIZED (SELECT component, share, i, x * CASE WHEN big >= 0 THEN 1.0
 
 @query("pca_embedding", f"""
 WITH RECURSIVE {_pca_ctes()}
-SELECT vec_id, list(round(s, 6) ORDER BY component) AS embedding FROM (
+SELECT vec_id, list(round(s, 4) ORDER BY component) AS embedding FROM (
   SELECT vec_id, component, sum(z * x) AS s FROM z JOIN ld USING (i) GROUP BY vec_id, component) GROUP BY vec_id""")
 def q_pca(spark, d):
-    """I8: standardise + PCA keeping 80 % of the variance."""
+    """I8: standardise + PCA keeping 80 % of the variance.  Close eigenvalues
+    make components differ by about 1e-10 from fit to fit, so values are given
+    to 4 digits."""
     v = _vectors(spark, d)
     return fit_pca(v, "embedding", variance_share=0.8).apply(v, "embedding").select(
-        "vec_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+        "vec_id", F.transform("embedding", lambda x: F.round(x, 4)).alias("embedding"))
 
 
 @query("pca_components", f"""
 WITH RECURSIVE {_pca_ctes()}
-SELECT CAST(component AS INTEGER) AS component, CAST(i AS INTEGER) AS dim, round(x, 6) AS loading, round(share, 6) AS share FROM ld""")
+SELECT CAST(component AS INTEGER) AS component, CAST(i AS INTEGER) AS dim, round(x, 4) AS loading, round(share, 6) AS share FROM ld""")
 def q_pca_components(spark, d):
     """I8: loadings and variance shares of the components kept."""
     model = fit_pca(_vectors(spark, d), "embedding", variance_share=0.8)
-    return model.components(spark).select("component", "dim", F.round("loading", 6).alias("loading"),
+    return model.components(spark).select("component", "dim", F.round("loading", 4).alias("loading"),
                                           F.round("share", 6).alias("share"))
 
 
