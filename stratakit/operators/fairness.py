@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratakit.functions.arrays import argmax
+from stratakit.functions.arrays import argmax, once
 from stratakit.functions.rand import U, draw_index
 from stratakit.session import checkpointed, local_table
 
@@ -298,6 +298,11 @@ def exact_parity(df: DataFrame, probs: str, group: str, num_classes: int, keys:
 
 
 # ---------------------------------------------------------------- replicates
+#: Draws of a replicate's group above what it needs, before it draws them all;
+#: rows that one task draws.
+SPARE_DRAWS, SAMPLE_ROWS = 16, 2_000_000
+
+
 def replicate_sizes(n: int) -> tuple[int, int]:
     """Rows of a replicate and number of replicates: m = floor(sqrt(n)), 50 m."""
     m = math.isqrt(n)
@@ -312,8 +317,14 @@ def replicate_samples(df: DataFrame, key: str, group: str, replicates: int | Non
 
     Rows of each group are indexed 0..N_g-1; a replicate draws indexes at
     random (52-bit draws) and keeps the first different ones, n_g of them.  It
-    draws 2 n_g + 64, far more than repeats can use up as n_g is at most
-    N_g / sqrt(n); running short is an error.  Work is R * m rows, not R * n."""
+    draws up to 2 n_g + 64, far more than repeats can use up as n_g is at most
+    N_g / sqrt(n); running short is an error.  Work is R * m rows, not R * n.
+
+    A (replicate, group) draws inside its own row: of the sequence of draws it
+    works out ``SPARE_DRAWS`` more than it needs, and the rest only where these
+    repeat too often.  So draws are neither sorted nor grouped; the chosen
+    indexes are shuffled once, to meet the index table, whose part of a
+    partition is hashed."""
     from stratakit.operators.index import row_index
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_N")).collect()  # one row per group
     n = sum(r["_N"] for r in sizes)
@@ -328,19 +339,24 @@ def replicate_samples(df: DataFrame, key: str, group: str, replicates: int | Non
     for r in sizes:
         part = row_index(df.where(F.col(group).eqNullSafe(F.lit(r[group]))).select(key, group), key, "_idx")
         idx = part if idx is None else idx.unionByName(part)
-    reps_df = spark.range(reps).withColumnRenamed("id", "rep")
+    parts = max(spark.sparkContext.defaultParallelism, -(-reps * m // SAMPLE_ROWS))
+    reps_df = spark.range(0, reps, 1, min(parts, max(1, reps))).withColumnRenamed("id", "rep")
     rg = reps_df.withColumn("_g", F.explode(F.array(*[F.lit(r[group]) for r in sizes])))
     rg = rg.withColumnRenamed("_g", group).join(F.broadcast(plan), group).where(F.col("_take") > 0)
-    draws = rg.select("rep", group, "_N", "_take", F.explode(F.sequence(
-        F.lit(0).cast("long"), 2 * F.col("_take") + 63)).alias("_j"))
-    draws = draws.withColumn("_idx", draw_index(F.col("_N"), seed, F.lit("d"), "rep", group, "_j"))
-    firsts = draws.groupBy("rep", group, "_take", "_idx").agg(F.min("_j").alias("_j"))
-    mine = Window.partitionBy("rep", group)
-    ranked = firsts.withColumn("_n", F.count(F.lit(1)).over(mine)).withColumn(
-        "_rn", F.row_number().over(mine.orderBy("_j")))
-    enough = F.when(F.col("_n") < F.col("_take"), F.raise_error(F.lit("a replicate drew too few different rows"))).otherwise(F.lit(True))
-    chosen = ranked.where(enough & (F.col("_rn") <= F.col("_take"))).select("rep", group, "_idx")
-    return chosen.join(idx, [group, "_idx"]).select("rep", group, key)
+
+    def drawn(last: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(0).cast("long"), last), lambda j: draw_index(
+            F.col("_N"), seed, F.lit("d"), "rep", group, j)))
+
+    def first_ones(found: Column) -> Column:
+        whole = once(drawn(2 * F.col("_take") + 63), lambda d: F.when(F.size(d) < F.col("_take"), F.raise_error(
+            F.lit("a replicate drew too few different rows")).cast("array<bigint>")).otherwise(d))
+        return F.when(F.size(found) < F.col("_take"), whole).otherwise(found)
+
+    few = F.least(F.col("_take") + SPARE_DRAWS, 2 * F.col("_take") + 64) - 1
+    kept = F.slice(once(drawn(few), first_ones), F.lit(1), F.col("_take").cast("int"))
+    chosen = rg.select("rep", group, F.explode(kept).alias("_idx"))
+    return chosen.join(idx.hint("shuffle_hash"), [group, "_idx"]).select("rep", group, key)
 
 
 def replicate_rules(samples: DataFrame, data: DataFrame, key: str, group: str, probs: str,

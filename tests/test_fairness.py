@@ -110,3 +110,23 @@ def test_unfinished_replicate_is_an_error(spark):
     df = spark.createDataFrame(rows, "rep long, grp int, id long, probs array<double>")
     with pytest.raises(Exception, match="class rates differ"):
         replicate_rules(df.select("rep", "grp", "id"), df.select("id", "grp", "probs"), "id", "grp", "probs", 2).collect()
+
+
+def test_replicate_draws_are_not_sorted(spark):
+    """A replicate draws inside its row; only the chosen rows are shuffled, and no task sorts them."""
+    from stratakit.operators.fairness import draw_index, replicate_samples
+    df = spark.range(30).select("id", F.when(F.col("id") < 20, F.col("id") % 2).cast("int").alias("g"))
+    out = replicate_samples(df, "id", "g", 40, 5, per_replicate=20)            # 6 of 10 rows: draws repeat often
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "strategy=shuffle_hash" in plan
+    draws = spark.range(40).selectExpr("id AS rep", "explode(sequence(0, 75)) AS j", "array(0, 1) AS gs").selectExpr(
+        "rep", "j", "explode(gs) AS g").select("rep", "g", "j", draw_index(F.lit(10), 5, F.lit("d"), "rep", "g", F.col("j").cast("long")).alias("i"))
+    want = {}
+    for r in sorted(draws.collect(), key=lambda r: r["j"]):
+        own = want.setdefault((r["rep"], r["g"]), [])
+        if len(own) < 6 and r["i"] not in own:
+            own.append(r["i"])
+    got = {}
+    for r in out.collect():
+        got.setdefault((r["rep"], r["g"]), set()).add((r["id"] - r["g"]) // 2)
+    assert got == {k: set(v) for k, v in want.items()}
