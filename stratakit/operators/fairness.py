@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -366,44 +366,146 @@ def replicate_rules(samples: DataFrame, data: DataFrame, key: str, group: str, p
     replicate, in parallel; a replicate holds about sqrt(n) rows.  One whose
     gap stays above ``tol``, or above what ``k - 1`` rows of its smaller group
     make, is an error: an unfinished rule doesn't vote."""
-    j = samples.join(data.select(key, F.col(probs).cast("array<double>").alias("_p")), key)
-    j = j.withColumn("_ga", (F.col(group) == F.lit(group_a)).cast("int"))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, g = np.array(pdf["_p"].tolist(), dtype=float), pdf["_ga"].to_numpy() == 1
+    p = F.col(probs).cast("array<double>")
+    j = samples.join(data.select(key, *[p[c].alias(f"_p{c}") for c in range(k)]).hint("shuffle_hash"), key)
+    j = j.withColumn("_ga", F.coalesce(F.col(group) == F.lit(group_a), F.lit(False)))
+    arrow = pa.schema([("rep", pa.int64()), ("lam", pa.list_(pa.float64())), ("pi_a", pa.float64()),
+                       ("pi_b", pa.float64()), ("gap", pa.float64())])
+
+    def solve(rows: pa.Table) -> pa.Table:
+        p = np.column_stack([rows.column(f"_p{c}").to_numpy() for c in range(k)])
+        g, rep = rows.column("_ga").to_numpy(), rows.column("rep")[0].as_py()
         fit = _solve_dual(p, g, np.ones(len(p)), k, max_iter, step, tol)
         least = max(tol, (k - 1) / max(1, min(g.sum(), (~g).sum())))
         if fit["gap"] > least:
-            raise RuntimeError(f"replicate {pdf['rep'].iloc[0]}: class rates differ by {fit['gap']:.4g}, more than {least:.4g}")
-        return pd.DataFrame({"rep": [int(pdf["rep"].iloc[0])], "lam": [fit["lambda"]],
-                             "pi_a": [fit["pi_a"]], "pi_b": [fit["pi_b"]], "gap": [fit["gap"]]})
+            raise RuntimeError(f"replicate {rep}: class rates differ by {fit['gap']:.4g}, more than {least:.4g}")
+        return pa.Table.from_pylist([{"rep": rep, "lam": fit["lambda"], "pi_a": fit["pi_a"], "pi_b": fit["pi_b"],
+                                      "gap": fit["gap"]}], schema=arrow)
 
     schema = "rep long, lam array<double>, pi_a double, pi_b double, gap double"
-    return j.select("rep", "_p", "_ga").groupBy("rep").applyInPandas(solve, schema)
+    return j.select("rep", "_ga", *[f"_p{c}" for c in range(k)]).groupBy("rep").applyInArrow(solve, schema)
+
+
+#: Rules of a block, and of the boxes it is cut into; rows of a chunk.
+RULES_A_BLOCK, RULES_A_BOX, ROWS_A_CHUNK = 4096, 64, 4096
+
+
+def _boxed(lam: np.ndarray) -> list[np.ndarray]:
+    """Indexes of rules whose lambdas are near each other: strips by the first
+    coordinate, cut by the second."""
+    n, strip = len(lam), max(RULES_A_BOX, int(math.sqrt(len(lam) * RULES_A_BOX)))
+    order = np.argsort(lam[:, 0], kind="stable")
+    out = []
+    for at in range(0, n, strip):
+        own = order[at:at + strip]
+        own = own[np.argsort(lam[own, min(1, lam.shape[1] - 1)], kind="stable")]
+        out += [own[i:i + RULES_A_BOX] for i in range(0, len(own), RULES_A_BOX)]
+    return out
+
 
+def _agreed(p: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The class that every shift between ``low`` and ``high`` gives a row
+    (argmax, lowest class on ties); -1 where they may differ.  Exact, as the
+    rounded sum p + shift never falls when the shift grows."""
+    least, most = p + low, p + high
+    out = np.full(len(p), -1, dtype=np.int64)
+    for c in range(p.shape[1]):
+        sure = np.ones(len(p), dtype=bool)
+        for other in range(p.shape[1]):
+            if other != c:
+                sure &= (least[:, c] > most[:, other]) if other < c else (least[:, c] >= most[:, other])
+        out[sure] = c
+    return out
 
-RULES_A_BLOCK = 256
+
+def _votes(p: np.ndarray, lam: np.ndarray, in_a: bool, pi: np.ndarray) -> np.ndarray:
+    """Votes of all rules for each class, of one group's rows."""
+    k = p.shape[1]
+    shifts = (-lam if in_a else lam) / pi[:, None]
+    out = np.zeros((len(p), k), dtype=np.int64)
+
+    def count(rows: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Counts the votes of rows on whose class the rules ``own`` agree; the other rows."""
+        if not len(rows):
+            return rows
+        cls = _agreed(p[rows], shifts[own].min(axis=0), shifts[own].max(axis=0))
+        sure = cls >= 0
+        out[rows[sure], cls[sure]] += len(own)
+        return rows[~sure]
+
+    left = count(np.arange(len(p)), np.arange(len(lam)))
+    for own in _boxed(lam) if len(left) else []:
+        rows = count(left, own)
+        if not len(rows):
+            continue
+        best = p[rows, :1] + shifts[own, 0]
+        cls = np.zeros(best.shape, dtype=np.int8)
+        for c in range(1, k):
+            value = p[rows, c:c + 1] + shifts[own, c]
+            # as argmax has it: not a number counts as greatest
+            more = (value > best) | (np.isnan(value) & ~np.isnan(best))
+            cls[more] = c
+            best = np.where(more, value, best)
+        for c in range(k):
+            out[rows, c] += (cls == c).sum(axis=1)
+    return out
 
 
 def vote_relabel(df: DataFrame, key: str, probs: str, group: str, rules: DataFrame, k: int,
                  group_a=1, out_col: str = "pred_vote") -> DataFrame:
     """I19 (apply part): every rule votes on every row, majority wins (D11,
-    lowest class on ties).  Rules stay a table: they are packed into blocks
-    of ``RULES_A_BLOCK``, each row meets each block once and adds up the
-    block's votes by class, and the blocks' counts are summed by ``key``
-    (unique)."""
-    rule = F.struct("lam", "pi_a", "pi_b")
-    blocks = checkpointed(rules.groupBy(F.floor(F.col("rep") / F.lit(RULES_A_BLOCK)).cast("long").alias("_b"))
-                          .agg(F.collect_list(rule).alias("_rules")))
-    ids = blocks.agg(F.sort_array(F.collect_list("_b")).alias("i")).select("i").scalar()      # R / 256 numbers
-    met = (df.select(key, group, F.col(probs).cast("array<double>").alias("_p")).withColumn("_ids", ids)
-           .withColumn("_b", F.explode("_ids")).drop("_ids").join(blocks, "_b"))
-    votes = F.transform("_rules", lambda r: relabel_expr(F.col("_p"), F.col(group), r["lam"], r["pi_a"], r["pi_b"],
-                                                         k, group_a))
-    def votes_for(c: int) -> Column:
-        return F.size(F.filter("_v", lambda v: v == c)).alias(f"_n{c}")
-
-    counted = met.select(key, votes.alias("_v")).select(key, *[votes_for(c) for c in range(k)])
+    lowest class on ties).  Rules and rows stay tables: rules are packed into
+    blocks, rows into chunks, and each chunk meets each block in a row of its
+    own.  There the rules vote by arrays: first all at once where the whole
+    block, then where a box of similar rules gives a row the same class for
+    certain, one by one only for rows near the border between classes.  The
+    blocks' counts are summed by ``key`` (unique)."""
+    spark = df.sparkSession
+    blocks = checkpointed(rules.groupBy(F.floor(F.col("rep") / F.lit(RULES_A_BLOCK)).cast("long").alias("_b")).agg(
+        F.flatten(F.collect_list("lam")).alias("_lam"), F.collect_list(F.struct("pi_a", "pi_b")).alias("_pi"))
+        .select("_b", "_lam", F.col("_pi.pi_a").alias("_pi_a"), F.col("_pi.pi_b").alias("_pi_b")))
+    ids = blocks.agg(F.sort_array(F.collect_list("_b")).alias("i")).select("i").scalar()      # R / 4096 numbers
+    p = F.col(probs).cast("array<double>")
+    # a missing probability never wins
+    rows = df.select(F.col(key).alias("_key"), (F.col(group) == F.lit(group_a)).alias("_ga"),
+                     *[F.coalesce(F.get(p, F.lit(c)), F.lit(-math.inf)).alias(f"_p{c}") for c in range(k)])
+    in_key = df.schema[key].dataType
+    chunk = T.StructType([T.StructField("_keys", T.ArrayType(in_key)), T.StructField("_ga", T.ArrayType(T.BooleanType())),
+                          *[T.StructField(f"_p{c}", T.ArrayType(T.DoubleType())) for c in range(k)]])
+
+    def chunks(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_A_CHUNK):
+                own = batch.slice(at, ROWS_A_CHUNK)
+                cols = [pa.concat_arrays([col]) for col in own.columns]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.ListArray.from_arrays(pa.array([0, own.num_rows], pa.int32()), col) for col in cols],
+                    names=chunk.names)
+
+    counts = T.StructType([T.StructField(key, in_key), *[T.StructField(f"_n{c}", T.LongType()) for c in range(k)]])
+
+    def vote(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                def values(name, i=i, batch=batch):
+                    return batch.column(name)[i].values
+                pi_a, pi_b = (values(c).to_numpy() for c in ("_pi_a", "_pi_b"))
+                lam = values("_lam").to_numpy().reshape(len(pi_a), -1)
+                ps = np.column_stack([values(f"_p{c}").to_numpy() for c in range(k)])
+                side = values("_ga").cast(pa.int8()).fill_null(2).to_numpy()
+                out = np.zeros(ps.shape, dtype=np.int64)
+                for in_a, pi in ((1, pi_a), (0, pi_b)):
+                    own = np.flatnonzero(side == in_a)
+                    out[own] = _votes(ps[own], lam, bool(in_a), pi)
+                own = np.flatnonzero(side == 2)                  # no group: the plain argmax
+                out[own, np.argmax(ps[own], axis=1)] = len(lam)
+                yield pa.RecordBatch.from_arrays([values("_keys"), *[pa.array(out[:, c]) for c in range(k)]],
+                                                 names=counts.names)
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = (rows.mapInArrow(chunks, chunk).withColumn("_c", F.monotonically_increasing_id()).withColumn("_ids", ids)
+           .withColumn("_b", F.explode("_ids")).drop("_ids").join(blocks, "_b").repartition(n, "_c", "_b"))
+    counted = met.drop("_c", "_b").mapInArrow(vote, counts)
     sums = counted.groupBy(key).agg(*[F.sum(f"_n{c}").alias(f"_n{c}") for c in range(k)])
     voted = sums.select(key, argmax(F.array(*[f"_n{c}" for c in range(k)])).alias(out_col))
     return df.join(voted, key)

@@ -1,5 +1,8 @@
 """Parity relabelling properties."""
 
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +133,42 @@ def test_replicate_draws_are_not_sorted(spark):
     for r in out.collect():
         got.setdefault((r["rep"], r["g"]), set()).add((r["id"] - r["g"]) // 2)
     assert got == {k: set(v) for k, v in want.items()}
+
+
+def test_votes_equal_each_rule_by_itself():
+    """All rules' votes, also for rows on a border, where classes tie, and for odd numbers."""
+    from stratakit.operators import fairness as f
+    rng = np.random.default_rng(3)
+    for k, n in ((2, 10), (3, 1000), (4, 300)):
+        p = np.round(rng.dirichlet(np.ones(k), 500), 1)
+        p[3, 0], p[4] = np.nan, -np.inf
+        lam, pi = np.round(rng.normal(0, 0.1, (n, k)), 1), rng.choice([0.5, 0.25], n)
+        lam[5:9] = lam[5]
+        for in_a in (True, False):
+            shifts = (-lam if in_a else lam) / pi[:, None]
+            cls = np.argmax(p[:, None, :] + shifts[None], axis=2)
+            want = np.stack([(cls == c).sum(axis=1) for c in range(k)], axis=1)
+            assert (f._votes(p, lam, in_a, pi) == want).all()
+
+
+def test_vote_takes_chunks_and_keys_as_they_come(spark, monkeypatch):
+    """Rows without a group or probabilities, repeated keys and several blocks."""
+    from stratakit.operators import fairness as f
+    monkeypatch.setattr(f, "RULES_A_BLOCK", 3)
+    rules = spark.createDataFrame([(i, [0.1 * i, -0.05 * i], 0.5, 0.5) for i in range(8)],
+                                  "rep long, lam array<double>, pi_a double, pi_b double")
+    rows = [("a", 1, [0.7, 0.3]), ("b", 0, [0.3, 0.7]), ("c", None, [0.4, 0.6]), ("d", 1, [0.9, 0.1]), ("d", 1, [0.1, 0.9]),
+            ("e", 0, None), (None, 1, [0.5, 0.5]), ("f", 1, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "id string, g int, p array<double>")
+    got = f.vote_relabel(df, "id", "p", "g", rules, 2)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and got.columns == ["id", "g", "p", "pred_vote"]
+    votes = {}
+    for key, g, p in rows:
+        own = votes.setdefault(key, [0, 0])
+        for i in range(8):
+            s = {1: -2.0, 0: 2.0, None: 0.0}[g]
+            a, b = (x + s * y for x, y in zip(p or [-math.inf] * 2, (0.1 * i, -0.05 * i)))
+            own[int(b > a)] += 1
+    assert sorted((r["id"], r["pred_vote"]) for r in got.collect()) == sorted(
+        (key, int(votes[key][1] > votes[key][0])) for key, _, _ in rows if key is not None)
