@@ -29,26 +29,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, text_slices
+from .common import SLICE_BYTES, materialize, text_slices
 from .tokens import encoder, word_tokenizer_path
 
 CAPACITY = 4096
 END_ID = 1
+#: Cached words and bytes of text at once, where other stages' workers are
+#: alive beside a task's own.
+LEAN_WORDS, LEAN_BYTES = 200_000, 2_000_000
 #: Salts that share out the pieces of a length, for each shuffle partition.
 SALTS_PER_PARTITION = 4
 
 
 def pieces_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
-              capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
-    """(id, piece, start, length, ids_crc32[, ids]) of every document."""
+              capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, lean: bool = False) -> DataFrame:
+    """(id, piece, start, length, ids_crc32[, ids]) of every document.  ``lean``
+    takes less memory for more time: a small cache of words, short slices, and
+    nothing kept between tasks."""
     file = path or word_tokenizer_path()
     fields = [docs.schema[id_col], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
               T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
     fields += [T.StructField("ids", T.ArrayType(T.IntegerType()))] * keep_ids
 
     def run(batches):
-        own, end = encoder(file), np.array([end_id], dtype="<u4")
-        for batch in text_slices(batches, "_text"):
+        own = encoder(file, LEAN_WORDS) if lean else encoder(file)
+        end = np.array([end_id], dtype="<u4")
+        for batch in text_slices(batches, "_text", LEAN_BYTES if lean else SLICE_BYTES):
             flat, ends = own.encode_column(batch.column("_text"))
             row, piece, start, length, crc, kept = [], [], [], [], [], []
             begin = 0
@@ -71,6 +77,8 @@ def pieces_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
             if keep_ids:
                 cols.append(pa.array(kept, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
+        if lean:
+            own.trim()
 
     return (docs.select(id_col, F.col(text_col).alias("_text"))
             .mapInArrow(run, T.StructType(fields)))
@@ -132,10 +140,10 @@ def ranked(pieces: DataFrame, ties: list[str], salts: int) -> DataFrame:
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
-         capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
-    """The pieces with their sequence_id and offset."""
+         capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, lean: bool = False) -> DataFrame:
+    """The pieces with their sequence_id and offset; ``lean`` as in ``pieces_of``."""
     spark = docs.sparkSession
-    pieces = materialize(pieces_of(docs, id_col, text_col, path, capacity, end_id, keep_ids), "pieces")
+    pieces = materialize(pieces_of(docs, id_col, text_col, path, capacity, end_id, keep_ids, lean), "pieces")
     counts = {r[0]: r[1] for r in pieces.groupBy("length").agg(F.count("*")).collect()}      # capacity rows at most
     runs, _ = plan(counts, capacity)
     runs = np.array(sorted(runs), dtype=np.int64).reshape(-1, 5)

@@ -7,6 +7,7 @@ Most words of a corpus come again and again; each is encoded once per cache.
 
 from __future__ import annotations
 
+import ctypes
 import os
 from array import array
 
@@ -14,8 +15,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words kept in one worker's cache; a full cache is emptied and fills anew.
+#: Words kept in one worker's cache. It has two halves: a full young one
+#: becomes the old one, and what the old one is not asked for again is dropped.
 CACHE_WORDS = 1_000_000
+#: Texts of 512 words handed to the tokenizer at once; its results take some
+#: hundred bytes a token until they are copied.
+ENCODE_PARTS = 16
 #: Letters before this character are in normal form by themselves.
 LAST_PLAIN = "\u0250"
 MARKS = frozenset((b".", b",", b";", b":", b"!", b"?"))
@@ -63,8 +68,18 @@ class WordEncoder:
         (self.mark,) = self.tokenizer.encode("|", add_special_tokens=False).ids
         self.max_words = max_words
         self.known: dict[bytes, bytes] = {b"": b""}
-
-    def _add(self, words: list[bytes]) -> None:
+        self.old: dict[bytes, bytes] = {}
+
+    def trim(self) -> None:
+        """Empty the cache and give free memory back: a worker that waits for
+        its next task keeps the tokenizer only."""
+        self.known, self.old = {b"": b""}, {}
+        pa.default_memory_pool().release_unused()
+        release = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc has it
+        if release:
+            release(0)
+
+    def _add(self, words: set[bytes]) -> None:
         """Encode new words: plain ones by the tokenizer's model itself, the
         others as few texts, set apart by a mark that has an id of its own and
         is in none of them."""
@@ -75,7 +90,7 @@ class WordEncoder:
             low = text.lower()
             # One piece of letters, in normal form: lower case, then bytes
             # written as characters, is all that is done before the model.
-            if w.isascii() and w.isalpha():
+            if w.isalpha():                                # of bytes: ASCII letters only
                 known[w] = ids_bytes([t.id for t in model(low)])
             elif _plain(low):
                 shown = low.encode().decode("latin-1").translate(SHOWN)
@@ -85,27 +100,32 @@ class WordEncoder:
             else:
                 rest.append(w)
         parts = [rest[at:at + 512] for at in range(0, len(rest), 512)]
-        texts = [b" | ".join(part).decode() for part in parts]
-        for part, found in zip(parts, encode(texts, add_special_tokens=False)):
-            ids = np.asarray(found.ids, dtype="<u4")
-            ends = (4 * np.append(np.flatnonzero(ids == mark), ids.size)).tolist()
-            raw, start = ids.tobytes(), 0
-            for w, end in zip(part, ends):
-                known[w] = raw[start:end]
-                start = end + 4
+        for at in range(0, len(parts), ENCODE_PARTS):
+            own = parts[at:at + ENCODE_PARTS]
+            texts = [b" | ".join(part).decode() for part in own]
+            for part, found in zip(own, encode(texts, add_special_tokens=False)):
+                ids = np.asarray(found.ids, dtype="<u4")
+                ends = (4 * np.append(np.flatnonzero(ids == mark), ids.size)).tolist()
+                raw, start = ids.tobytes(), 0
+                for w, end in zip(part, ends):
+                    known[w] = raw[start:end]
+                    start = end + 4
 
     def _ids_of(self, words: list[bytes]) -> list[bytes]:
         """The ids of different words; new ones join the cache."""
-        known = self.known
-        if len(known) > self.max_words:
-            known.clear()
-            known[b""] = b""
+        if len(self.known) > self.max_words // 2:
+            self.old, self.known = self.known, {b"": b""}
+        known, old = self.known, self.old
         found = list(map(known.get, words))
         holes = [i for i, ids in enumerate(found) if ids is None]
         new = {words[i] for i in holes}
-        ended = {w: w[:-1] for w in new if w[-1:] in MARKS and _plain(w[:-1].decode()[-1:].lower())}
-        plain = (new.difference(ended)).union(ended.values(), (w[-1:] for w in ended))
-        self._add([w for w in plain if w not in known])
+        known.update((w, old[w]) for w in new.intersection(old))
+        new = new.difference(old)
+        # a byte that is a letter is an ASCII letter
+        ended = {w: w[:-1] for w in new if w[-1:] in MARKS and (w[-2:-1].isalpha() or _plain(w[:-1].decode()[-1:].lower()))}
+        plain = (new.difference(ended)).union(ended.values(), (w[-1:] for w in ended)).difference(known)
+        known.update((w, old[w]) for w in plain.intersection(old))
+        self._add(plain.difference(old))
         known.update((w, known[stem] + known[w[-1:]]) for w, stem in ended.items())
         for i in holes:
             found[i] = known[words[i]]
@@ -144,11 +164,11 @@ class WordEncoder:
         return np.split(flat, ends[:-1]) if len(ends) else []
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """One encoder per Python worker and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, max_words: int = CACHE_WORDS) -> WordEncoder:
+    """One encoder per Python worker, file and size of cache."""
+    if (path, max_words) not in _ENCODERS:
+        _ENCODERS[path, max_words] = WordEncoder(path, max_words)
+    return _ENCODERS[path, max_words]

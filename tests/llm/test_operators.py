@@ -553,3 +553,14 @@ def test_quotes(spark):
     assert of("d", 1, "u") == (None, "none", 1, 1, "x") and of("d", 1, "a")[:4] == (None, "none", 2, 3)
     assert of(None, 1, "u")[:2] == (None, "none") and got["e", None, "u"]["position"] is None
     assert quotes.link_quotes(empty(df)).count() == 0
+
+
+def test_a_lean_encoder_keeps_nothing_and_halves_its_cache():
+    own = tokens.WordEncoder(tokens.word_tokenizer_path(), max_words=40)
+    plain = tokens.WordEncoder(tokens.word_tokenizer_path())
+    for k in range(30):
+        texts = [f"word{i} plain. tail{k} (odd{i})" for i in range(k, k + 12)]
+        assert [x.tolist() for x in own.encode(texts)] == [x.tolist() for x in plain.encode(texts)]
+        assert len(own.old) <= 200
+    own.trim()
+    assert len(own.known) == 1 and not own.old and own.encode(["plain."])[0].tolist() == plain.encode(["plain."])[0].tolist()
