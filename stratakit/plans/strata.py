@@ -12,6 +12,7 @@ from stratakit.operators.strata import quantile_strata, standardise, subset_by_s
 from stratakit.functions.rand import hash32_sql, inv_norm_cdf_sql, norm_cdf_sql, normal_sql
 from stratakit.operators.copula import EPS
 from stratakit.plans.registry import SEED, query
+from stratakit.session import checkpointed
 from stratakit.sources import tables as t
 
 QS = [0.25, 0.5, 0.75]
@@ -50,7 +51,8 @@ codes AS (SELECT user_id, rating_cnt, rating_avg, row_number() OVER (ORDER BY us
 def _quantile_subset(spark, d):
     """Users in rating-count bucket 2 and rating-mean bucket 1
     (buckets over the full frame), and their ratings, both re-coded."""
-    f = user_rating_features(spark, d)
+    # one row a user: the quantiles read it in several rounds, the history is joined once for it
+    f = checkpointed(user_rating_features(spark, d))
     f = quantile_strata(f, "rating_cnt", QS, "b_cnt")
     f = quantile_strata(f, "rating_avg", QS, "b_avg")
     return subset_by_strata(f, t.history(spark, d).select("user_id", "item_id", "relevance"),

@@ -41,3 +41,13 @@ def test_stratified_sample_has_no_global_sort_of_the_pool(spark):
     plan = _plan(Q["stratified_sample"](spark, SF01))
     # only range partitioning would indicate a global sort; the sample uses hash bins
     assert "rangepartitioning" not in plan.lower()
+
+
+def test_rating_features_are_joined_once_for_the_quantiles(spark, monkeypatch):
+    from stratakit.plans import strata
+    reads, own = [], strata.user_rating_features
+    monkeypatch.setattr(strata, "quantile_strata", lambda f, c, q, out: reads.append(
+        f._jdf.queryExecution().optimizedPlan().toString()) or f.withColumn(out, F.lit(0)))
+    monkeypatch.setattr(strata, "user_rating_features", lambda s, d: own(s, d))
+    strata._quantile_subset(spark, SF001)
+    assert len(reads) == 2 and not any("Join" in r or "Aggregate" in r for r in reads)
