@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from stratakit.functions.arrays import places
 from stratakit.functions.text import clean_text, genre_list, tokens
 from stratakit.operators.index import dense_codes
+from stratakit.session import checkpointed
 
 
 def genre_vocabulary(df: DataFrame, genres_col: str) -> Column:
@@ -56,9 +57,19 @@ def sparse_genres(df: DataFrame, key: str, genres_col: str, vocabulary: DataFram
 def mean_sparse(rows: DataFrame, key: str, at_col: str, out_col: str = "share") -> DataFrame:
     """D4, sparse: (key, index, share), the mean of the rows' 0/1 vectors at
     each index that a row of the key has; others are 0 and left out."""
-    n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    met = rows.select(key, F.explode(at_col).alias("index")).groupBy(key, "index").agg(F.count(F.lit(1)).alias("_c"))
-    return met.join(n, key).select(key, "index", (F.col("_c") / F.col("_n")).alias(out_col))
+    return sparse_shares(sparse_counts(rows, key, at_col), key, out_col)
+
+
+def sparse_counts(rows: DataFrame, key: str, at_col: str) -> DataFrame:
+    """(key, index, _c): rows of the key that have the index; index -1 counts
+    all its rows.  One pass over ``rows``, written once."""
+    at = F.concat(F.array(F.lit(-1).cast("long")), F.coalesce(F.col(at_col), F.array().cast("array<bigint>")))
+    return checkpointed(rows.select(key, F.explode(at).alias("index")).groupBy(key, "index").agg(F.count(F.lit(1)).alias("_c")))
+
+
+def sparse_shares(counts: DataFrame, key: str, out_col: str = "share") -> DataFrame:
+    n = counts.where("index = -1").select(key, F.col("_c").alias("_n"))
+    return counts.where("index >= 0").join(n, key).select(key, "index", (F.col("_c") / F.col("_n")).alias(out_col))
 
 
 def fill_year_by_peers(df: DataFrame, year_col: str, genres_col: str) -> DataFrame:
@@ -159,6 +170,22 @@ def user_vectors(log: DataFrame, item_vectors: DataFrame, user_key: str, item_ke
     return mean_vectors(j, user_key, "_iv", None, out_col, dim=dim)
 
 
+def user_vectors_shared(log: DataFrame, item_groups: DataFrame, group_vectors: DataFrame, user_key: str, item_key: str,
+                        group_key: str, dim: int, out_col: str = "vec") -> DataFrame:
+    """``user_vectors`` where items share vectors: ``item_groups`` has each
+    item's group, ``group_vectors`` one vector a group (none: zeros).  A user's
+    items are counted by group before a vector is met, so pairs are shuffled
+    without vectors, and a user's pairs are in one place when they meet them."""
+    pairs = log.select(user_key, item_key).distinct()
+    j = pairs.join(item_groups.select(item_key, group_key), item_key, "left")
+    counts = j.groupBy(user_key, group_key).agg(F.count(F.lit(1)).alias("_n"))
+    zeros = F.array_repeat(F.lit(0.0), dim)
+    vectors = group_vectors.select(group_key, F.col("vec").alias("_iv"))
+    met = (counts.join(vectors, group_key, "left")
+           .withColumn("_iv", F.coalesce(F.col("_iv").cast("array<double>"), zeros)))
+    return mean_vectors(met, user_key, "_iv", "_n", out_col, dim=dim)
+
+
 def spread_vector(df: DataFrame, key: str, vec_col: str, digits: int = 6) -> DataFrame:
     """Output edge only: ``(key, dim, value)`` rows of a vector column."""
     return df.select(key, F.posexplode(vec_col).alias("dim", "value")).select(

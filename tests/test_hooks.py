@@ -72,3 +72,24 @@ def test_sparse_genres_with_a_million_genres(spark):
     shares = mean_sparse(got.selectExpr("id % 2 AS half", "genres_at").where("half >= 0"), "half", "genres_at")
     top = shares.where("index = 0").collect()
     assert len(top) == 2 and all(0.99 < r["share"] <= 1.0 for r in top)
+
+
+def test_items_that_share_vectors_count_once_each(spark):
+    """Pairs meet vectors after they are counted by group; items without a group or a vector are zeros."""
+    from stratakit.operators.features import user_vectors, user_vectors_shared
+    log = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (1, 3), (2, 4), (2, 9), (3, 9), (3, 5)], "u int, i int")
+    groups = spark.createDataFrame([(1, 7), (2, 7), (3, 8), (4, 8), (5, None)], "i int, g int")
+    vectors = spark.createDataFrame([(7, [1.0, 2.0])], "g int, vec array<double>")
+    got = user_vectors_shared(log, groups, vectors, "u", "i", "g", 2)
+    want = user_vectors(log, groups.join(vectors, "g").select("i", "vec"), "u", "i", 2)
+    own = {r["u"]: [round(x, 9) for x in r["vec"]] for r in got.collect()}
+    assert own == {r["u"]: [round(x, 9) for x in r["vec"]] for r in want.collect()} and len(own) == 3
+
+
+def test_ratings_are_read_once_for_genre_means(spark):
+    from stratakit.operators.features import sparse_counts, sparse_shares
+    rows = spark.createDataFrame([(1, [0, 2]), (1, []), (1, None), (2, [1]), (3, None)], "k int, at array<bigint>")
+    counts = sparse_counts(rows, "k", "at")
+    assert "Generate" not in counts._jdf.queryExecution().optimizedPlan().toString()          # written
+    assert sorted(map(tuple, sparse_shares(counts, "k").collect())) == [(1, 0, 1 / 3), (1, 2, 1 / 3), (2, 1, 1.0)]
+    assert counts.where("index = -1").count() == 3
