@@ -4,6 +4,8 @@ import contextlib
 import io
 import re
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as se
 from tests.conftest import SF01
 
@@ -49,5 +51,5 @@ def test_rating_features_are_joined_once_for_the_quantiles(spark, monkeypatch):
     monkeypatch.setattr(strata, "quantile_strata", lambda f, c, q, out: reads.append(
         f._jdf.queryExecution().optimizedPlan().toString()) or f.withColumn(out, F.lit(0)))
     monkeypatch.setattr(strata, "user_rating_features", lambda s, d: own(s, d))
-    strata._quantile_subset(spark, SF001)
+    strata._quantile_subset(spark, SF01)
     assert len(reads) == 2 and not any("Join" in r or "Aggregate" in r for r in reads)
