@@ -1,6 +1,7 @@
 """Toxicity models, phrase collocations and spelling variants against
 brute-force versions, on given tables, odd rows and hot groups."""
 
+import collections
 import itertools
 import random
 import zlib
@@ -104,6 +105,36 @@ def test_counts_are_exact(spark, shards, slots):
     assert sorted(got) == sorted(want | {(lang, "", 0, c) for lang, c in n.items()})
 
 
+@pytest.mark.parametrize("few", [None, 5])
+def test_phrases_below_the_threshold_have_no_texts(monkeypatch, few):
+    """Rows of a phrase's text begin at the scan after its hash reached the
+    threshold; counts of texts stay exact where words share hashes."""
+    if few:
+        plain = collocations.hashes
+        monkeypatch.setattr(collocations, "hashes", lambda words: plain(words) % np.uint64(few))
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcdefghijklmnop") if rng.random() < .5 else "x y z" for _ in range(60)) for _ in range(40)]
+    shards, least, reached = 4, 20, np.full(1 << 22, collocations.NEVER, dtype=np.uint8)
+    counts, exact, step, last = collections.Counter(), collections.Counter(), 0, 3
+    while step <= last:
+        seen = reached.copy()
+        for batch in collocations.scan_texts("en", [t.encode() for t in texts[step % shards::shards]], seen, step, shards, 5):
+            for r in batch.to_pylist():
+                if r["phrase"] is None:
+                    counts[r["h"], r["kind"]] += r["c"]
+                elif r["kind"]:
+                    exact[r["phrase"]] += r["c"]
+        slot = collocations.slots_of(np.array([h for (h, _), c in counts.items() if c >= least], np.int64).view(np.uint64), len(reached))
+        free = slot[reached[slot] == collocations.NEVER]
+        reached[free] = step
+        last, step = max(last, step + shards if len(free) else 0), step + 1
+    want, _ = brute.phrase_counts([("en", t) for t in texts])
+    want = {" ".join(w): c for (_, w), c in want.items()}
+    assert {p: c for p, c in exact.items() if c >= least} == {p: c for p, c in want.items() if c >= least}
+    assert all(c == want[p] for p, c in exact.items())
+    assert few or sum(c < least for c in exact.values()) <= 2 and len(exact) < len(counts) / 3     # hardly a slot is shared
+
+
 def test_collocations(spark):
     rng = random.Random(6)
     texts = [" ".join(rng.choice(["big data", "data", "big", "the one and only", "only", "one", "z"]) for _ in range(30)) + ";"
