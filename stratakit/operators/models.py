@@ -210,7 +210,8 @@ def fit_classifier(train: DataFrame, feature_cols: list[str], label_col: str, se
     asm = VectorAssembler(inputCols=feature_cols, outputCol="_features", handleInvalid="keep")
     rf = RandomForestClassifier(featuresCol="_features", labelCol=label_col, seed=seed,
                                 numTrees=num_trees, maxDepth=max_depth)
-    return Pipeline(stages=[asm, rf]).fit(train)
+    # the copy has no training summary, whose session can't go to tasks once it has observed a query
+    return Pipeline(stages=[asm, rf]).fit(train).copy()
 
 
 def class_probabilities(model: PipelineModel, df: DataFrame, out_col: str = "probs") -> DataFrame:

@@ -3,6 +3,7 @@
 import tempfile
 
 import numpy as np
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from stratakit.operators import models as m
@@ -65,6 +66,15 @@ def test_response_and_classifier_round_trip(spark):
         _rows(m.class_probabilities(PipelineModel.load(f"{root}/forest"), new), "user_id", "probs")
 
 
+def test_classifier_after_an_observed_query(spark):
+    seen = Observation()
+    assert spark.range(3).observe(seen, F.count("id").alias("n")).count() == 3 and seen.get == {"n": 3}
+    data = spark.createDataFrame([(i, float(i), int(i > 20)) for i in range(40)], "user_id int, acctbal double, label int")
+    forest = m.fit_classifier(data, ["acctbal"], "label", num_trees=3)
+    probs = {r["user_id"]: r["probs"] for r in m.class_probabilities(forest, data).collect()}
+    assert len(probs) == 40 and probs[1][0] > .5 > probs[38][0]
+
+
 def test_split_tree_against_a_plain_one(spark):
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(c, 1, (n, 3)) for c, n in ((0, 40), (9, 25), (30, 10), (33, 5))])
