@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratakit.session import checkpointed
+from stratakit.session import checkpointed, written
 
 
 def _offsets(counts: DataFrame, bucket: str) -> DataFrame:
@@ -58,6 +58,19 @@ def dense_codes(ids: DataFrame, id_col: str, code_col: str = "code") -> DataFram
     return row_index(distinct, id_col, code_col)
 
 
+def numbered_blocks(df: DataFrame, key: str, code_col: str = "code") -> DataFrame:
+    """``df``, one row a key and without null keys, with the codes that
+    ``dense_codes`` gives its keys.  ``_block`` holds ascending ranges of the
+    key, each in one partition: a key's place in its block and the sizes of the
+    blocks before make its code, so rows are not joined to codes.  The table is
+    written, for its blocks are read for their sizes first."""
+    place = F.row_number().over(Window.partitionBy("_block").orderBy(key)) - 1
+    table = written(df.withColumn("_pos", place), "numbered")
+    offs = F.broadcast(_offsets(table.groupBy("_block").agg(F.count(F.lit(1)).alias("n")), "_block"))
+    return (table.join(offs, "_block").withColumn(code_col, (F.col("_offset") + F.col("_pos")).cast("long"))
+            .drop("_block", "_pos", "_offset"))
+
+
 def recode(df: DataFrame, id_col: str, codes: DataFrame, code_col: str = "code",
            out_col: str | None = None, dropped: Observation | None = None) -> DataFrame:
     """Replace ``id_col`` by its dense code (C10); rows whose id has no code
